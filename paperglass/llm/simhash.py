@@ -93,8 +93,8 @@ def simhash(docs: DataFrame, words: int = 3, salts: tuple[int, ...] = (0,), id_c
     return narrow.mapInArrow(_fingerprinted(words, np.array(salts, np.uint64)), "_id long, prints array<long>").withColumnRenamed("_id", id_col)
 
 
-def _links(distance: int, table: bool):
-    """Links within runs of equal (table, key) in sorted rows: from the least of each connected part of a run to the others."""
+def _links(distance: int):
+    """Links within runs of equal key in sorted rows: from the least of each connected part of a run to the others."""
 
     def within(fp: np.ndarray, node: np.ndarray, run_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(fp)
@@ -149,13 +149,14 @@ def _links(distance: int, table: bool):
 def near_pairs(points: DataFrame, radius: int = 3, distance: int | None = None) -> DataFrame:
     """Links (a > b) between rows of (node long, fp long) that connect all fingerprints within `radius` bits.
 
-    Links stand for connected parts of buckets: each is a chain of fingerprints at most `distance` bits apart (the radius
+    With a column `salt`, fingerprints meet only those of their own salt. Links stand for connected parts of buckets: each is a chain of fingerprints at most `distance` bits apart (the radius
     if not given). A bucket of over LARGE rows is covered again on its free bits.
     """
     distance = radius if distance is None else distance
     first = masks(radius)
-    keyed = points.select(F.posexplode(F.array(*[F.lit(m) for m in _signed(first)])).alias("t", "mask"), "fp", "node").select(
-        "t", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "node"
+    salt = F.col("salt") if "salt" in points.columns else F.lit(0)
+    keyed = points.select(F.posexplode(F.array(*[F.lit(m) for m in _signed(first)])).alias("t", "mask"), salt.alias("salt"), "fp", "node").select(
+        "t", F.xxhash64("salt", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "node"
     )
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     crowded = checkpointed(sizes.where(F.col("n") > LARGE).select("key"))
@@ -168,7 +169,7 @@ def near_pairs(points: DataFrame, radius: int = 3, distance: int | None = None)
     rows = small.select("key", "fp", "node")
     rows = rows.unionByName(large) if large is not None else rows
     dealt = rows.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_links(distance, True), "a long, b long").distinct()
+    return dealt.mapInArrow(_links(distance), "a long, b long").distinct()
 
 
 def components(links: DataFrame, limit: int = 100) -> DataFrame:
@@ -187,7 +188,7 @@ def components(links: DataFrame, limit: int = 100) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, salts: tup
         kinds = written(kinds.select(F.xxhash64("prints").alias("node"), "prints", "least_id"), "kinds")
         nodes = kinds
         points = kinds.select("node", F.posexplode("prints").alias("salt", "fp"))
-        links = near_pairs_by_salt(points, radius, distance)
+        links = near_pairs(points, radius, distance)
     found = components(links)
     named = nodes.select("node", "least_id").join(found, "node")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -225,13 +226,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, salts: tup
     return prints.join(of_kind, "prints").select(F.col("_id").alias(id_col), "prints", "component_id")
 
 
-def near_pairs_by_salt(points: DataFrame, radius: int, distance: int | None) -> DataFrame:
-    """near_pairs over rows of (node, salt, fp): fingerprints meet only those of their own salt."""
-    distance = radius if distance is None else distance
-    keyed = points.select(F.posexplode(F.array(*[F.lit(m) for m in _signed(masks(radius))])).alias("t", "mask"), "salt", "fp", "node").select(F.xxhash64("salt", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "node")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_links(distance, True), "a long, b long").distinct()
-
-
 def hex_print(column) -> F.Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
