@@ -37,7 +37,7 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     end = np.cumsum(size + 1) - 1
     start = end - size
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start[: 1 - words].tolist(), end[words - 1 :].tolist(), strict=True)), np.uint64, len(parts) - words + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start[: len(parts) - words + 1].tolist(), end[words - 1 :].tolist(), strict=True)), np.uint64, len(parts) - words + 1)
 
 
 def fingerprints(texts: list[str], words: int, salts: np.ndarray) -> np.ndarray:
@@ -226,5 +226,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, salts: tup
     return prints.join(of_kind, "prints").select(F.col("_id").alias(id_col), "prints", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int, radius: int, salts: tuple[int, ...], distance: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, with one document of each group of near-duplicates: that of the least id.
+
+    Repeated rows are one document. Rows with a null id cannot be named and stay.
+    """
+    found = near_duplicates(docs, words, radius, salts, distance, id_col, text_col)
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return docs.join(kept, id_col, "left_semi").dropDuplicates().unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def hex_print(column) -> F.Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
