@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperglass.llm import ann_tree, bpe, packing, secret_scan, simhash, token_count, topk, toxicity
+from paperglass.llm import ann_tree, bpe, chat_format, license_scan, packing, secret_scan, simhash, token_count, topk, toxicity
 from paperglass.llm.common import table
 from paperglass.llm.vectors import valid
 
@@ -24,6 +24,14 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", nonzero=True)
     return ann_tree.nearest(rows.where("id % 20 = 0"), rows, k=20)
@@ -64,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ann_tree, op4_token_counts, op5_simhash, op6_secret_scan, op7_packing, op8_byte_bpe, op9_exact_top_k, op10_toxicity)
+    f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_ann_tree, op4_token_counts, op5_simhash, op6_secret_scan, op7_packing, op8_byte_bpe, op9_exact_top_k, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {
