@@ -21,35 +21,46 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 #: A token that the models judge, and the ratio from which it is a secret.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 LOG_RATIO = 10.0
 #: Ordinary words are shorter than the tokens that are judged.
-WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_]{2,18}(?![A-Za-z0-9+/_=-])"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_]{2,18}+(?![A-Za-z0-9+/_=-])"
 #: Generated keys in the sample of random strings, of each form.
 GENERATED = 1_000
 
 
-def matches(text: Column, pattern: str, k: int, keep=None) -> Column:
+def bound(value: Column, body) -> Column:
+    """`body` of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def matches(text: Column, pattern: str, k: int, group: int = 0, keep=None) -> Column:
     """Spans (start, k, end) of a pattern's leftmost matches that do not overlap, in code points, end exclusive. `keep`
-    picks matches by their index."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    picks matches by the text of their group."""
     empty = F.array().cast("array<struct<start:int,k:int,end:int>>")
     zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    hit = F.lit(pattern)
+    parts = F.struct(
+        F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
+        F.transform(F.regexp_extract_all(text, hit, F.lit(0)), F.length).alias("sizes"),
+        F.regexp_extract_all(text, hit, F.lit(group)).alias("values"),
+    )
+
+    def spans(p: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + p["gaps"][i]
+            end = start + p["sizes"][i]
+            span = F.array(F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end")))
+            return F.struct(end.alias("at"), F.concat(acc["spans"], span if keep is None else F.when(keep(p["values"][i]), span).otherwise(empty)).alias("spans"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(gaps[i])
-        end = start + F.length(hits[i])
-        span = F.array(F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end")))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], span if keep is None else F.when(keep(i), span).otherwise(empty)).alias("spans"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(p["sizes"]) - 1), zero, step)["spans"]
 
-    indices = F.sequence(F.lit(0), F.size(hits) - 1)
-    return F.when(text.rlike(pattern), F.aggregate(indices, zero, step)["spans"]).otherwise(empty)
+    return F.when(text.rlike(pattern), bound(parts, spans)).otherwise(empty)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     return {
-        "assign": matches(text, ASSIGN, 0, lambda i: F.length(values[i]) >= 12),
+        "assign": matches(text, ASSIGN, 0, 2, lambda v: F.length(v) >= 12),
         "access": matches(text, ACCESS, 1),
         "hex": matches(text, HEX, 2),
     }
@@ -62,7 +73,7 @@ def _code(token: Column, i: Column) -> Column:
 def pair_codes(token: Column) -> Column:
     """Codes before * SIZE + after of a token's character pairs, with code 0 for the edges."""
     codes = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: _code(token, i)), F.array(F.lit(0)))
-    return F.transform(F.slice(codes, 2, F.length(token) + 1), lambda c, i: codes[i] * SIZE + c)
+    return bound(codes, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: c[i - 1] * SIZE + c[i]))
 
 
 def labelled_sample(texts: DataFrame) -> DataFrame:
@@ -108,9 +119,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         model = fit(labelled_sample(texts.select("text")))
     kinds = base_spans(F.col("text"))
     based = texts.withColumn("base", F.array_sort(F.concat(*kinds.values())))
-    tokens = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     free = F.filter(
-        matches(F.col("text"), TOKEN, 3, lambda i: log_ratio(tokens[i], model) > LOG_RATIO),
+        matches(F.col("text"), TOKEN, 3, 0, lambda v: log_ratio(v, model) > LOG_RATIO),
         lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     out = based.withColumn("spans", F.array_sort(F.concat("base", free)))
