@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A word's input is its hashed embedding and the end states of a character network over its letters. A second network reads
+A word's input is its hashed embedding, that of its first letters and the end states of a character network over all. A second network reads
 overlapping windows of words in both directions, attention pools its states, and a document scores its highest window.
 The networks are trained in numpy on a bounded sample of labelled documents, window by window: of each document that
 window counts which scores highest so far.
@@ -22,12 +22,14 @@ from paperglass.llm.common import text_slices
 
 #: Words of a window and from one window to the next.
 WINDOW, STRIDE = 64, 48
-#: Hashed words, word embedding, character embedding, states of the character and of the word network.
-BUCKETS, D_WORD, D_CHAR, H_CHAR, H_WORD = 1 << 15, 8, 6, 6, 8
+#: Hashed words, word embedding, embedding of first letters, character embedding, states of the character and word networks.
+BUCKETS, D_WORD, D_STEM, D_CHAR, H_CHAR, H_WORD = 1 << 15, 8, 4, 6, 6, 8
+#: First letters that share an embedding.
+STEM = 5
 #: Longer words are read as several.
 LETTERS = 24
 #: Labelled documents of each class that the model is fitted on, at most.
-POSITIVE, NEGATIVE = 1_200, 2_000
+POSITIVE, NEGATIVE = 900, 1_600
 #: Words that a worker keeps; beyond them it starts anew.
 WORDS = 600_000
 WORD = re.compile(r"[^\W_]+")
@@ -105,8 +107,8 @@ class Model:
         def weights(*shape: int) -> np.ndarray:
             return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(f32)
 
-        d = D_WORD + 2 * H_CHAR
-        self.p = {"embed": (rng.standard_normal((BUCKETS, D_WORD)) * 0.05).astype(f32), "char": (rng.standard_normal((510, D_CHAR)) * 0.3).astype(f32)}
+        d = D_WORD + D_STEM + 2 * H_CHAR
+        self.p = {"embed": (rng.standard_normal((BUCKETS, D_WORD)) * 0.05).astype(f32), "stem": (rng.standard_normal((BUCKETS, D_STEM)) * 0.05).astype(f32), "char": (rng.standard_normal((510, D_CHAR)) * 0.3).astype(f32)}
         for side in "fb":
             self.p |= {f"cw{side}": weights(D_CHAR, 3 * H_CHAR), f"cu{side}": weights(H_CHAR, 3 * H_CHAR), f"cb{side}": np.zeros(3 * H_CHAR, f32)}
             self.p |= {f"w{side}": weights(d, 3 * H_WORD), f"u{side}": weights(H_WORD, 3 * H_WORD), f"b{side}": np.zeros(3 * H_WORD, f32)}
@@ -122,6 +124,7 @@ class Model:
         back = np.where(mask, np.maximum(size - 1 - steps, 0), 0)
         code_back = np.take_along_axis(code, back, 0)
         at = np.fromiter(map(bucket, words), np.int64, len(words))
+        stem = np.fromiter((bucket(w[:STEM]) for w in words), np.int64, len(words))
         ends, kept = [], {}
         for side, c in (("f", code), ("b", code_back)):
             k: list | None = [] if keep is not None else None
@@ -129,15 +132,17 @@ class Model:
             ends.append(states[-1])
             kept[side] = (c, k)
         if keep is not None:
-            keep |= {"at": at, "mask": mask, "sides": kept}
-        return np.concatenate([p["embed"][at], *ends], 1)
+            keep |= {"at": at, "stem": stem, "mask": mask, "sides": kept}
+        return np.concatenate([p["embed"][at], p["stem"][stem], *ends], 1)
 
     def vectors_back(self, d: np.ndarray, keep: dict, g: dict) -> None:
         np.add.at(g["embed"], keep["at"], d[:, :D_WORD])
+        np.add.at(g["stem"], keep["stem"], d[:, D_WORD : D_WORD + D_STEM])
+        first = D_WORD + D_STEM
         for n, side in enumerate("fb"):
             c, k = keep["sides"][side]
             dout = np.zeros((*c.shape, H_CHAR), f32)
-            dout[-1] = d[:, D_WORD + n * H_CHAR : D_WORD + (n + 1) * H_CHAR]
+            dout[-1] = d[:, first + n * H_CHAR : first + (n + 1) * H_CHAR]
             dx, g[f"cu{side}"] = recur_back(dout, self.p[f"cu{side}"], keep["mask"], k)
             flat, x = dx.reshape(-1, 3 * H_CHAR), self.p["char"][c].reshape(-1, D_CHAR)
             g[f"cw{side}"], g[f"cb{side}"] = x.T @ flat, flat.sum(0)
@@ -227,8 +232,9 @@ class Scorer:
             if not len(steps):
                 logit[own] = self.model.p["ob"][0]
                 continue
-            f = flat[at + np.minimum(steps, np.maximum(s - 1, 0))] if len(flat) else np.zeros((len(steps), len(own)), np.int64)
-            b = flat[np.minimum(at + np.maximum(s - 1 - steps, 0), len(flat) - 1)]
+            end = len(flat) - 1  # an empty last document points behind the words; its window is masked
+            f = flat[np.minimum(at + np.minimum(steps, np.maximum(s - 1, 0)), end)]
+            b = flat[np.minimum(at + np.maximum(s - 1 - steps, 0), end)]
             logit[own] = self.model.logits(self.table[0][f], self.table[1][b], s)
         return doc, start, size, logit
 
@@ -240,26 +246,27 @@ class Scorer:
         return sigmoid(best).astype(np.float64)
 
 
-def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Model:
+def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Model:
     """A model of labelled texts. Embeddings start from the words' shrunken log odds; without both classes the model is untrained."""
     model, rng = Model(), np.random.default_rng(seed)
     if len(set(labels.tolist())) < 2:
         return model
     lists = [words_of(t) for t in texts]
-    hits = np.zeros((2, BUCKETS))
-    for w, y in zip(lists, labels.tolist(), strict=True):
-        hits[y, list({bucket(x) for x in w})] += 1
     n = np.bincount(labels, minlength=2)
-    odds = np.log((hits[1] + 1.5) / (n[1] + 3)) - np.log((hits[0] + 1.5 * n[0] / n[1]) / (n[0] + 3 * n[0] / n[1]))
-    model.p["embed"][:, 0] = np.clip(odds, -4, 4)
-    model.p["embed"][:, 0] *= (hits.sum(0) > 2)
+    for name, cut in (("embed", LETTERS), ("stem", STEM)):
+        hits = np.zeros((2, BUCKETS))
+        for w, y in zip(lists, labels.tolist(), strict=True):
+            hits[y, list({bucket(x) for x in {x[:cut] for x in w}})] += 1
+        odds = np.log((hits[1] + 1.5) / (n[1] + 3)) - np.log((hits[0] + 1.5 * n[0] / n[1]) / (n[0] + 3 * n[0] / n[1]))
+        model.p[name][:, 0] = np.clip(odds, -4, 4) * (hits.sum(0) > 2)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
     for turn in range(rounds):
         if turn:
             doc, start, size, logit = Scorer(model).windows(lists)
-        else:  # by the words' odds alone
-            value = [np.concatenate([[0.0], np.cumsum([max(model.p["embed"][bucket(x), 0] - 1, 0) for x in w])]) for w in lists]
+        else:  # by the odds of words and stems alone
+            odd_of = {x: max(model.p["embed"][bucket(x), 0] - 1, 0) + max(model.p["stem"][bucket(x[:STEM]), 0] - 1, 0) for x in set().union(*lists)}
+            value = [np.concatenate([[0.0], np.cumsum([odd_of[x] for x in w])]) for w in lists]
             spans = [(i, s) for i, w in enumerate(lists) for s in range(0, max(1, len(w) - STRIDE), STRIDE)]
             doc, start = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
             size = np.minimum(WINDOW, np.array([len(lists[i]) for i in doc]) - start)
