@@ -342,12 +342,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [r["text"] for r in rows], y, weight[y].astype(f32)
 
 
-def _appended(model: Model, at: int):
+def _appended(model: Model, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             score = [scorer.scores(texts) for _, _, texts in text_slices(batch, batch.schema.names[at])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
@@ -355,8 +355,11 @@ def _appended(model: Model, at: int):
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positive: int = POSITIVE, negative: int = NEGATIVE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of `docs`, all columns, whose text scores under the threshold; fitted as in toxicity()."""
     model = fit(*training_sample(docs, labels, id_col, text_col, label_col, positive, negative))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_appended(model, docs.columns.index(text_col)), schema).where(F.col("_score") < threshold).drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_appended(model, docs.columns.index(text_col), name), schema).where(F.col(name) < threshold).drop(name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positive: int = POSITIVE, negative: int = NEGATIVE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", model: Model | None = None) -> DataFrame:
