@@ -172,17 +172,27 @@ def near_pairs(points: DataFrame, radius: int = 3, distance: int | None = None)
     return dealt.mapInArrow(_links(distance), "a long, b long").distinct()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges with the same components, about one for each node: every node points to the least of its neighbours and
+    itself, and an edge of two nodes becomes one of what they point to, which inside a dense group is mostly the same."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    moved = edges.join(least, "a").select("b", F.col("m").alias("x")).join(least.withColumnRenamed("a", "b"), "b").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
+    pointers = least.select("a", F.col("m").alias("b"))
+    return checkpointed(moved.unionByName(pointers).where("a <> b").distinct())
+
+
 def components(links: DataFrame, limit: int = 100) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node it is connected to.
 
-    Alternating large-star and small-star steps; frames are cut by reliable checkpoints and compared by count and hash
+    The links are contracted once, then alternate large-star and small-star steps; frames are cut by reliable checkpoints and compared by count and hash
     sum, until nothing changes. No links give no rows.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = contracted(checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()))
     before = state(edges)
     for _ in range(limit):
         if not before[0]:
