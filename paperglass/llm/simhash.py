@@ -64,6 +64,9 @@ def masks(radius: int, bits: np.ndarray | None = None) -> np.ndarray:
     bits = np.arange(BITS) if bits is None else bits
     rows = (1 << (radius + 1)) - 1
     vectors = np.arange(len(bits)) % rows + 1  # non-zero vectors, each as often as any other
+    if len(bits) < rows:  # the first few vectors span too little, and some mask would keep no bit: of 64 fixed draws, that of the heaviest least mask
+        draws = [np.random.default_rng(k).permutation(rows)[: len(bits)] + 1 for k in range(64)]
+        vectors = max(draws, key=lambda d: (np.bitwise_count(d[None] & np.arange(1, rows + 1)[:, None]) & 1).sum(1).min())
     out = np.zeros(rows, np.uint64)
     for v in range(1, rows + 1):
         odd = np.bitwise_count((vectors & v).astype(np.uint64)) & 1
@@ -150,7 +153,7 @@ def near_pairs(points: DataFrame, radius: int = 3, distance: int | None = None)
     """Links (a > b) between rows of (node long, fp long) that connect all fingerprints within `radius` bits.
 
     With a column `salt`, fingerprints meet only those of their own salt. Links stand for connected parts of buckets: each is a chain of fingerprints at most `distance` bits apart (the radius
-    if not given). A bucket of over LARGE rows is covered again on its free bits.
+    if not given). A bucket of over LARGE rows is covered again on its free bits, for `distance`, so it keeps each link.
     """
     distance = radius if distance is None else distance
     first = masks(radius)
@@ -163,7 +166,7 @@ def near_pairs(points: DataFrame, radius: int = 3, distance: int | None = None)
     small, large = keyed, None
     if crowded.take(1):
         small = keyed.join(crowded, "key", "left_anti")
-        kept = F.array(*[F.array(*[F.lit(m) for m in _signed(masks(radius, np.array([i for i in range(BITS) if not int(f) >> i & 1])))]) for f in first])
+        kept = F.array(*[F.array(*[F.lit(m) for m in _signed(masks(max(radius, distance), np.array([i for i in range(BITS) if not int(f) >> i & 1])))]) for f in first])
         hot = keyed.join(crowded, "key", "left_semi")
         large = hot.select("key", "fp", "node", F.posexplode(kept[F.col("t")]).alias("u", "mask")).select(F.xxhash64("key", "u", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "node")
     rows = small.select("key", "fp", "node")

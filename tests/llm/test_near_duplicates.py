@@ -93,6 +93,35 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(fps))] == [least[g] for g in of]
 
 
+def test_crowded_buckets_lose_no_link_beyond_the_radius(spark, monkeypatch):
+    rng = random.Random(11)
+    values = set()
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        values |= {centre} | {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(4, 6))) for _ in range(25)}
+    fps, n = sorted(values), len(values)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    points = spark.createDataFrame([(s * n + i, s, v) for s in range(3) for i, v in enumerate(signed)], "node long, salt int, fp long")
+    first = simhash.masks(3).tolist()
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if (d := fps[i] ^ fps[j]).bit_count() <= 6 and any(not d & m for m in first):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    expected = [s * n + find(i) for s in range(3) for i in range(n)]
+    for large in (2048, 3):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        got = {r["node"]: r["root"] for r in simhash.components(simhash.near_pairs(points, 3, 6)).collect()}
+        assert [got.get(i, i) for i in range(3 * n)] == expected
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["root"] for r in simhash.components(links).collect()} == {0}
