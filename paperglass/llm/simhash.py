@@ -2,7 +2,8 @@
 
 Fingerprints of 64 bits are compared under 2^(radius+1) - 1 masks: bit i carries a non-zero vector m(i) of radius+1 bits,
 and mask v keeps the bits with an odd product <m(i), v>. Any `radius` vectors leave a v orthogonal to all of them, so each
-pair within the radius agrees under some mask (Pagh, CoveringLSH). Copies are collapsed first, equal keys of one mask are
+pair within the radius agrees under some mask (Pagh, CoveringLSH). Copies are collapsed first, and with several
+salts equal fingerprints of each salt are linked to one that stands for them. Equal keys of one mask are
 a bucket, and a bucket too large for one pass is covered anew on the bits that its mask drops, which leaves so few free
 bits that its size has a bound. Links become components by star contraction.
 """
@@ -23,6 +24,8 @@ BITS = 64
 SEED = 42
 #: Distinct fingerprints of a bucket beyond which it is covered a second time.
 LARGE = 2048
+#: Near pairs of a batch that a worker holds before it joins their parts.
+PAIRS = 1 << 20
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -102,25 +105,33 @@ def _links(distance: int):
     def within(fp: np.ndarray, node: np.ndarray, run_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(fp)
         label = np.arange(n)
-        a_all, b_all = [], []
-        live, lag = np.flatnonzero(run_end > np.arange(n) + 1), 1
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merge() -> None:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            a, b = label[a], label[b]  # what earlier pairs have joined stays joined
+            while len(a):  # least label of each connected part
+                low = np.minimum(label[a], label[b])
+                before = label.copy()
+                np.minimum.at(label, a, low)
+                np.minimum.at(label, b, low)
+                label[:] = label[label]
+                if (label == before).all():
+                    break
+
+        live, lag, size = np.flatnonzero(run_end > np.arange(n) + 1), 1, 0
         while len(live):
             near = live[np.bitwise_count(fp[live] ^ fp[live + lag]) <= distance]
-            a_all.append(near)
-            b_all.append(near + lag)
+            held.append((near, near + lag))
+            size += len(near)
+            if size >= PAIRS:
+                merge()
+                size = 0
             lag += 1
             live = live[run_end[live] > live + lag]
-        if not a_all:
-            return node[:0], node[:0]
-        a, b = np.concatenate(a_all), np.concatenate(b_all)
-        while len(a):  # least label of each connected part
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            label = label[label]
-            if (label == before).all():
-                break
+        if held:
+            merge()
         other = np.flatnonzero(label != np.arange(n))
         return node[label[other]], node[other]
 
@@ -230,7 +241,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, salts: tup
         kinds = written(kinds.select(F.xxhash64("prints").alias("node"), "prints", "least_id"), "kinds")
         nodes = kinds
         points = kinds.select("node", F.posexplode("prints").alias("salt", "fp"))
-        links = near_pairs(points, radius, distance)
+        reps = points.groupBy("salt", "fp").agg(F.min("node").alias("rep"))
+        same = points.join(reps, ["salt", "fp"]).where("node <> rep").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
+        links = near_pairs(reps.withColumnRenamed("rep", "node"), radius, distance).unionByName(same)
     found = components(links)
     named = nodes.select("node", "least_id").join(found, "node")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -122,6 +122,32 @@ def test_crowded_buckets_lose_no_link_beyond_the_radius(spark, monkeypatch):
         assert [got.get(i, i) for i in range(3 * n)] == expected
 
 
+def test_equal_fingerprints_of_a_salt_meet_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:k] + ["changed"] + words[k + 1 :]) for k in range(0, 400, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, plain = [], simhash.near_pairs
+
+    def spied(points, *a):
+        seen.append((points.count(), points.select("salt", "fp").distinct().count()))
+        return plain(points, *a)
+
+    monkeypatch.setattr(simhash, "near_pairs", spied)
+    salts = np.arange(8, dtype=np.uint64)
+    prints = [[int(x) for x in f] for f in simhash.fingerprints(texts, 2, salts)]
+    first = simhash.masks(3).tolist()
+    root = list(range(len(texts)))
+    for _ in root:
+        for i in range(len(texts)):
+            for j in range(i):
+                if any((a ^ b).bit_count() <= 6 and any(not (a ^ b) & m for m in first) for a, b in zip(prints[i], prints[j], strict=True)):
+                    root[i] = root[j] = min(root[i], root[j])
+    found = simhash.near_duplicates(docs, 2, 3, tuple(range(8)), 6).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(root))
+    assert len({tuple(p) for p in prints}) * 8 > seen[0][0] == seen[0][1]
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["root"] for r in simhash.components(links).collect()} == {0}
