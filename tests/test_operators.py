@@ -1,5 +1,7 @@
 """Operators on small frames with hand-made values."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,17 @@ def test_strict_decisions(spark, tmp_path):
     good, bad = read_decisions(spark, str(tmp_path), "question_id int, decision string")
     assert [r["question_id"] for r in good.collect()] == [1] and [r["file"] for r in bad.collect()] == ["a.jsonl"]
     assert read_jsonl(spark, str(tmp_path / "a.jsonl"), "question_id int, decision string").count() == 1
+
+
+def test_keyword_topics_of_phrases_and_signs(spark):
+    from paperglass.operators.tagging import keyword_topics
+
+    keywords = ["simple interest", "24-hour", "%", "rate", r"a\E.b", "(x)"]
+    texts = ["Simple Interest at a rate", "simple interests", "a simple  interest", "the 24-hour clock", "124-hour 24 hour", "5% of", "a % b", "irate", r"A\E.B", r"a\Exb", "f (x) and (x)", "f(x)", None]
+    questions = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for k in keywords:
+        table = spark.createDataFrame([("K", k)], "code string, keyword string")
+        pattern = re.compile(r"(?<![A-Za-z0-9])" + re.escape(k) + r"(?![A-Za-z0-9])", re.I)
+        weight = 3.0 if len(k) >= 14 else 2.2 if len(k) >= 9 else 1.5 if len(k) >= 6 else 1.0
+        got = {r["id"]: r["score"] for r in keyword_topics(questions, table).collect()}
+        assert got == {i: weight for i, t in enumerate(texts) if t and pattern.search(t)}, k
