@@ -8,15 +8,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds decoded at once.
 SLICE_CHARS = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local mode)."""
+    """The folder that driver and executors share. Only in local mode is a temporary one made where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="paperglass-")
         spark.conf.set("spark.checkpoint.dir", found)
     context = spark.sparkContext
@@ -52,3 +55,20 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int,
         if size >= SLICE_CHARS or i + 1 == len(texts):
             yield lo, i + 1, texts[lo : i + 1]
             lo, size = i + 1, 0
+
+
+#: Rows of (id, hash) keys up to which they are broadcast; beyond, they join by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    """A written frame of narrow rows, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of `df` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

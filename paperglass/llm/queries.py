@@ -43,7 +43,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
-    return found.select("doc_id", simhash.hex_print(F.col("prints")[0]).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.hex_print("fingerprint").alias("fingerprint"), "component_id")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

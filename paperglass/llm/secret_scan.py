@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperglass.llm.common import free_name
+
 #: Base kinds and their patterns, in the order in which spans of one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -108,23 +110,46 @@ def log_ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(pair_codes(token), F.lit(0.0), lambda acc, p: acc + table[p])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def spans_of(text: Column, model: list[float]) -> Column:
+    """Struct (base, spans) of a text: the base spans, and these with the spans that the models add."""
+
+    def added(base: Column) -> Column:
+        free = F.filter(
+            matches(text, TOKEN, 3, 0, lambda v: log_ratio(v, model) > LOG_RATIO),
+            lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        )
+        return F.struct(base.alias("base"), F.array_sort(F.concat(base, free)).alias("spans"))
+
+    return bound(F.array_sort(F.concat(*base_spans(text).values())), added)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None) -> DataFrame:
     """(id, text, base, spans) of every row: arrays of (start, k, end), k an index of KINDS; `spans` holds base and added ones.
 
-    A null text counts as empty and has no spans. Repeated rows and null ids give a row each; `keep` names further
-    columns to carry. Added spans are tokens of 20 or more characters that no base span touches.
+    A null text counts as empty and has no spans. Repeated rows and null ids give a row each; other columns are ignored,
+    whatever their names. Texts are scanned whole. Of matches that begin at one place the kinds come in the order of KINDS.
+    Added spans are tokens of 20 or more characters that no base span touches.
     """
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_kept_{c}") for c in keep))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if model is None:
         model = fit(labelled_sample(texts.select("text")))
-    kinds = base_spans(F.col("text"))
-    based = texts.withColumn("base", F.array_sort(F.concat(*kinds.values())))
-    free = F.filter(
-        matches(F.col("text"), TOKEN, 3, 0, lambda v: log_ratio(v, model) > LOG_RATIO),
-        lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    out = based.withColumn("spans", F.array_sort(F.concat("base", free)))
-    return out.select(F.col("_id").alias(id_col), "text", "base", "spans", *(F.col(f"_kept_{c}").alias(c) for c in keep))
+    found = texts.withColumn("found", spans_of(F.col("text"), model))
+    return found.select(F.col("_id").alias(id_col), "text", "found.base", "found.spans")
+
+
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, model: list[float] | None = None) -> DataFrame:
+    """All rows and columns of `docs` with the secrets of each text replaced, and the length column, if named, counted anew
+    where a text has changed. Null texts stay null; columns of any name are kept as they are."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if model is None:
+        model = fit(labelled_sample(docs.select(text.alias("text"))))
+    spans, clean = free_name(docs, "_spans"), free_name(docs, "_clean")
+    found = docs.withColumn(spans, spans_of(text, model)["spans"]).withColumn(clean, redacted(F.col(text_col), F.col(spans)))
+    new = {text_col: F.col(clean)}
+    if length_col:
+        changed = F.coalesce(F.size(spans) > 0, F.lit(False))
+        new[length_col] = F.when(changed, F.length(clean).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def shown(spans: Column) -> Column:

@@ -2,8 +2,7 @@
 
 Fingerprints of 64 bits are compared under 2^(radius+1) - 1 masks: bit i carries a non-zero vector m(i) of radius+1 bits,
 and mask v keeps the bits with an odd product <m(i), v>. Any `radius` vectors leave a v orthogonal to all of them, so each
-pair within the radius agrees under some mask (Pagh, CoveringLSH). Copies are collapsed first, and with several
-salts equal fingerprints of each salt are linked to one that stands for them. Equal keys of one mask are
+pair within the radius agrees under some mask (Pagh, CoveringLSH). Equal fingerprints are collapsed first. Equal keys of one mask are
 a bucket, and a bucket too large for one pass is covered anew on the bits that its mask drops, which leaves so few free
 bits that its size has a bound. Links become components by star contraction.
 """
@@ -43,11 +42,12 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start[: len(parts) - words + 1].tolist(), end[words - 1 :].tolist(), strict=True)), np.uint64, len(parts) - words + 1)
 
 
-def fingerprints(texts: list[str], words: int, salts: np.ndarray) -> np.ndarray:
-    """A row of fingerprints for each text, one for each salt; salt 0 takes the hashes as they are. No words give zero."""
+def fingerprints(texts: list[str], words: int, salts: np.ndarray, distinct: bool = False) -> np.ndarray:
+    """A row of fingerprints for each text, one for each salt; salt 0 takes the hashes as they are. No words give zero.
+    Repeats count, unless only `distinct` shingles do."""
     out = np.zeros((len(texts), len(salts)), np.uint64)
     for i, t in enumerate(texts):
-        h = shingle_hashes(t, words)
+        h = np.unique(shingle_hashes(t, words)) if distinct else shingle_hashes(t, words)
         if not len(h):
             continue
         for k, salt in enumerate(salts):
@@ -78,7 +78,7 @@ def masks(radius: int, bits: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
-def _signed(x: np.ndarray) -> list[int]:
+def signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
@@ -169,7 +169,7 @@ def near_pairs(points: DataFrame, radius: int = 3, distance: int | None = None)
     distance = radius if distance is None else distance
     first = masks(radius)
     salt = F.col("salt") if "salt" in points.columns else F.lit(0)
-    keyed = points.select(F.posexplode(F.array(*[F.lit(m) for m in _signed(first)])).alias("t", "mask"), salt.alias("salt"), "fp", "node").select(
+    keyed = points.select(F.posexplode(F.array(*[F.lit(m) for m in signed(first)])).alias("t", "mask"), salt.alias("salt"), "fp", "node").select(
         "t", F.xxhash64("salt", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "node"
     )
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -177,7 +177,7 @@ def near_pairs(points: DataFrame, radius: int = 3, distance: int | None = None)
     small, large = keyed, None
     if crowded.take(1):
         small = keyed.join(crowded, "key", "left_anti")
-        kept = F.array(*[F.array(*[F.lit(m) for m in _signed(masks(max(radius, distance), np.array([i for i in range(BITS) if not int(f) >> i & 1])))]) for f in first])
+        kept = F.array(*[F.array(*[F.lit(m) for m in signed(masks(max(radius, distance), np.array([i for i in range(BITS) if not int(f) >> i & 1])))]) for f in first])
         hot = keyed.join(crowded, "key", "left_semi")
         large = hot.select("key", "fp", "node", F.posexplode(kept[F.col("t")]).alias("u", "mask")).select(F.xxhash64("key", "u", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "node")
     rows = small.select("key", "fp", "node")
@@ -196,7 +196,7 @@ def contracted(edges: DataFrame) -> DataFrame:
     return checkpointed(moved.unionByName(pointers).where("a <> b").distinct())
 
 
-def components(links: DataFrame, limit: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node it is connected to.
 
     The links are contracted once, then alternate large-star and small-star steps; frames are cut by reliable checkpoints and compared by count and hash
@@ -208,9 +208,7 @@ def components(links: DataFrame, limit: int = 100) -> DataFrame:
 
     edges = contracted(checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()))
     before = state(edges)
-    for _ in range(limit):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -224,42 +222,21 @@ def components(links: DataFrame, limit: int = 100) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, salts: tuple[int, ...] = (0,), distance: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, prints, component_id) of every row; component_id is the least id reachable over links.
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint long, component_id) of every row; component_id is the least id reachable over links.
 
-    Two rows link if their fingerprints of one salt are within `radius` bits, or meet in a table and are within
-    `distance`. Null and empty texts have fingerprint zero and link like any other. Rows with a null id take part, but
-    only ids that are there can name a component; one with none has a null component. Repeated rows stay. An empty table
-    gives no rows.
+    Two rows link if their fingerprints differ in at most `radius` bits. Null and empty texts have fingerprint zero and
+    link like any other. Rows with a null id take part, but only ids that are there can name a component; one with none has
+    a null component. Repeated rows and further columns: a row each, and other columns are ignored. Texts are hashed whole,
+    whatever their length. An empty table gives no rows.
     """
-    prints = written(simhash(docs, words, salts, id_col, text_col).select(F.col(id_col).alias("_id"), "prints"), "prints")
-    kinds = prints.groupBy("prints").agg(F.min("_id").alias("least_id"))
-    if len(salts) == 1:
-        nodes = kinds.select(F.col("prints")[0].alias("node"), "prints", "least_id")
-        links = near_pairs(nodes.select("node", F.col("node").alias("fp")), radius, distance)
-    else:
-        kinds = written(kinds.select(F.xxhash64("prints").alias("node"), "prints", "least_id"), "kinds")
-        nodes = kinds
-        points = kinds.select("node", F.posexplode("prints").alias("salt", "fp"))
-        reps = points.groupBy("salt", "fp").agg(F.min("node").alias("rep"))
-        same = points.join(reps, ["salt", "fp"]).where("node <> rep").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
-        links = near_pairs(reps.withColumnRenamed("rep", "node"), radius, distance).unionByName(same)
-    found = components(links)
-    named = nodes.select("node", "least_id").join(found, "node")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    prints = written(simhash(docs, words, (0,), id_col, text_col).select(F.col(id_col).alias("_id"), F.col("prints")[0].alias("fingerprint")), "prints")
+    nodes = prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("_id").alias("least_id"))
+    found = components(near_pairs(nodes.select("node", F.col("node").alias("fp")), radius))
+    least = nodes.join(found, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     groups = found.join(least, "root").select("node", "component_id")
-    of_kind = nodes.join(groups, "node", "left").select("prints", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(of_kind, "prints").select(F.col("_id").alias(id_col), "prints", "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int, radius: int, salts: tuple[int, ...], distance: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, with one document of each group of near-duplicates: that of the least id.
-
-    Repeated rows are one document. Rows with a null id cannot be named and stay.
-    """
-    found = near_duplicates(docs, words, radius, salts, distance, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates().unionByName(docs.where(F.col(id_col).isNull()))
+    named = nodes.join(groups, "node", "left").select(F.col("node").alias("fingerprint"), F.coalesce("component_id", "least_id").alias("component_id"))
+    return prints.join(named, "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
 
 
 def hex_print(column) -> F.Column:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from paperglass.llm import license_scan, secret_scan, simhash
+from paperglass.llm import common, license_scan, near_dedup, secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,7 +68,7 @@ def test_simhash_by_brute_force(spark):
     prints = [plain_print(t) for _, t in rows]
     least, of = plain_components([d for d, _ in rows], prints)
     expected = sorted(repr((d, f"{p:016x}", least[g])) for (d, _), p, g in zip(rows, prints, of, strict=True))
-    found = simhash.near_duplicates(docs).select("doc_id", simhash.hex_print(F.col("prints")[0]).alias("f"), "component_id")
+    found = simhash.near_duplicates(docs).select("doc_id", simhash.hex_print("fingerprint").alias("f"), "component_id")
     assert sorted(repr(tuple(r)) for r in found.collect()) == expected
 
 
@@ -122,44 +122,101 @@ def test_crowded_buckets_lose_no_link_beyond_the_radius(spark, monkeypatch):
         assert [got.get(i, i) for i in range(3 * n)] == expected
 
 
-def test_equal_fingerprints_of_a_salt_meet_no_bucket(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRS", 8)
-    words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(words[:k] + ["changed"] + words[k + 1 :]) for k in range(0, 400, 10)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    seen, plain = [], simhash.near_pairs
-
-    def spied(points, *a):
-        seen.append((points.count(), points.select("salt", "fp").distinct().count()))
-        return plain(points, *a)
-
-    monkeypatch.setattr(simhash, "near_pairs", spied)
-    salts = np.arange(8, dtype=np.uint64)
-    prints = [[int(x) for x in f] for f in simhash.fingerprints(texts, 2, salts)]
-    first = simhash.masks(3).tolist()
-    root = list(range(len(texts)))
-    for _ in root:
-        for i in range(len(texts)):
-            for j in range(i):
-                if any((a ^ b).bit_count() <= 6 and any(not (a ^ b) & m for m in first) for a, b in zip(prints[i], prints[j], strict=True)):
-                    root[i] = root[j] = min(root[i], root[j])
-    found = simhash.near_duplicates(docs, 2, 3, tuple(range(8)), 6).collect()
-    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(root))
-    assert len({tuple(p) for p in prints}) * 8 > seen[0][0] == seen[0][1]
-
-
 def test_components_of_a_chain(spark):
     links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["root"] for r in simhash.components(links).collect()} == {0}
     assert simhash.components(links.where("false")).count() == 0
 
 
-def test_one_of_each_keeps_clean_documents(spark):
-    docs = sample(spark)
-    kept = simhash.one_of_each(docs, 2, 3, tuple(range(8)), 6)
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(None) == 1 and sum(1 for i in ids if i is not None and 5000 <= i < 5030) <= 3
-    assert simhash.one_of_each(docs.where("false"), 2, 3, (0,), 3).count() == 0
+def plain_groups(rows, words=5, similarity=0.8, radius=3, distance=6, salts=5):
+    """The rows (id, text) that stay of distinct rows: groups by masks and bits, in them links by exact similarity, then the least of each component."""
+    rows = sorted({(i, t or "") for i, t in rows if i is not None})
+    h = {r: xxhash.xxh64_intdigest(r[1].encode(), 42) for r in rows}
+    h = {r: v - 2**64 if v >= 2**63 else v for r, v in h.items()}
+    parts = [t.encode().lower().split() for _, t in rows]
+    sets = [{tuple(p[k : k + words]) for k in range(max(1, len(p) - words + 1))} if p else set() for p in parts]
+    prints = [[int(x) for x in f] for f in simhash.fingerprints([t for _, t in rows], 1, np.arange(salts, dtype=np.uint64), distinct=True)]
+    first = simhash.masks(radius).tolist()
+    loose, root = list(range(len(rows))), list(range(len(rows)))
+
+    def find(of, i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if parts[i] == parts[j] or any((a ^ b).bit_count() <= distance and any(not (a ^ b) & m for m in first) for a, b in zip(prints[i], prints[j], strict=True)):
+                loose[find(loose, i)] = find(loose, j)
+    for i in range(len(rows)):
+        for j in range(i):
+            if parts[i] == parts[j] or (find(loose, i) == find(loose, j) and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])):
+                root[find(root, i)] = find(root, j)
+    best = {}
+    for k, r in enumerate(rows):
+        g = find(root, k)
+        if g not in best or (r[0], h[r]) < (best[g][0], h[best[g]]):
+            best[g] = r
+    return sorted(best.values())
+
+
+def near_copies(n, seed, size=120, changes=2):
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        own = list(words)
+        for k in rng.sample(range(size), changes):
+            own[k] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_one_of_each_by_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts = [t for seed in range(4) for t in near_copies(15, seed, 60 + 60 * seed, 1 + 2 * seed)]
+    chain = [f"c{i}" for i in range(100)]
+    for k in range(12):  # neighbours are near, ends are not
+        chain[5 * k : 5 * k + 3] = [f"y{k}{j}" for j in range(3)]
+        texts.append(" ".join(chain))
+    rows += [(9000 + k, t) for k, t in enumerate(rng.sample(texts, len(texts)))]
+    rows += [(1, texts[0]), (1, "another text of the same id"), (9000, rows[-70][1]), (9999, " \n"), (9998, ""), (9997, None), (8, "A b"), (7, "a  B"), (6, "b a")]
+    rows += rows[:5] + [(None, texts[0]), (None, None), (12345, "many words " * 20000)]
+    expected = plain_groups(rows)
+    schema = "doc_id long, text string, _h int, _KEY string, stays boolean, n int, digest int, node int, first int"
+    docs = spark.createDataFrame([(i, t, 1, "k", None, 2, 3, 4, 5) for i, t in rows], schema)
+    for share in (2,):
+        monkeypatch.setattr(near_dedup, "SHARE", share)
+        kept = near_dedup.one_of_each(docs)
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert sorted((r["doc_id"], r["text"] or "") for r in got if r["doc_id"] is not None) == expected
+        assert sum(r["doc_id"] is None for r in got) == 2 and all(r["n"] == 2 and r["_KEY"] == "k" for r in got)
+    assert near_dedup.one_of_each(docs.where("false")).count() == 0
+
+
+def test_one_of_each_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    texts = near_copies(30, 3) + near_copies(3, 4)
+    docs = spark.createDataFrame([(k % 31, t) for k, t in enumerate(texts)] * 2, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in near_dedup.one_of_each(docs).collect())
+    assert got == plain_groups([(k % 31, t) for k, t in enumerate(texts)])
+
+
+def test_equal_fingerprints_are_linked_without_pairs(spark):
+    """Many texts of the same words in other orders: equal fingerprints, which no bucket meets; none is similar to another beyond its group."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(words[k:] + words[:k]) for k in range(0, 150, 3)]  # rotations of one text: similar
+    far = []
+    for _ in range(20):
+        rng.shuffle(words)
+        far.append(" ".join(words))
+    rows = list(enumerate(texts + far))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in near_dedup.one_of_each(docs).collect())
+    assert got == plain_groups(rows) and len(got) == 21
 
 
 def test_licenses_by_brute_force(spark):
