@@ -3,37 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from paperglass.llm import secret_scan, simhash, toxicity
+from paperglass.llm import near_dedup, secret_scan, toxicity
 from paperglass.llm.common import table, written
 from paperglass.llm.queries import pack
 
-#: Near-duplicates: eight fingerprints of two-word shingles, covering radius 3, links up to 6 bits. On five-word shingles
-#: this finds 0.99 of the pairs with a Jaccard similarity of 0.8 or more.
-NEAR = {"words": 2, "radius": 3, "salts": tuple(range(8)), "distance": 6}
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs, **NEAR)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.one_of_each(docs, words=5, similarity=0.8)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced and n_chars counted anew where a text has changed."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = secret_scan.scan(docs, keep=tuple(rest))
-    text = secret_scan.redacted(F.col("text"), F.col("spans"))
-    changed = F.size("spans") > 0
-    out = found.withColumn("text", text)
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return secret_scan.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
