@@ -31,7 +31,7 @@ LETTERS = 24
 #: Labelled documents of each class that the model is fitted on, at most.
 POSITIVE, NEGATIVE = 900, 1_600
 #: Words that a worker keeps; beyond them it starts anew.
-WORDS = 600_000
+WORDS = 200_000
 WORD = re.compile(r"[^\W_]+")
 f32 = np.float32
 
@@ -325,8 +325,8 @@ def _scored(model: Model):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positive: int, negative: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most so many labelled documents of each class, those with the least hash of the id;
-    weights restore the classes' shares. Rows without id, text or label are left out."""
+    """Texts, labels and weights of at most so many labelled documents of each class, those with the least hash of the id, one
+    text for each id; weights restore the classes' shares. Rows without id, text or label are left out."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and _id is not null")
     known = known.groupBy("_id").agg(F.max("y").alias("y")).where(F.crc32(F.col("_id").cast("string")) % 4 != 2)
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -335,7 +335,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
         some = part if some is None else some.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(some), "_id").orderBy("_id", "text").collect()  # at most positive + negative ids
+    one = texts.join(F.broadcast(some), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))  # of an id with several texts the least
+    rows = one.orderBy("_id").collect()  # at most positive + negative rows
     y = np.array([r["y"] for r in rows], np.int64)
     got = np.maximum(1, np.bincount(y, minlength=2))
     weight = np.array([share.get(k, 0) / got[k] for k in (0, 1)]) / max(1, sum(share.values())) * got.sum()
