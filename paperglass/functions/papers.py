@@ -7,28 +7,72 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Signs of document types in their text, with weights (fixed values).
+#: Signs of document types on their first pages, with weights; of equal sums the first type counts (fixed values).
 TYPE_SIGNS = {
-    "mark_scheme": {r"(?i)\bmark scheme\b": 3.0, r"(?i)\baward (?:one )?mark": 1.5, r"(?i)\baccept\b": 0.5},
-    "question_paper": {r"(?i)\banswer all questions\b": 3.0, r"(?i)\byou must have\b": 1.5, r"(?i)\btotal for (?:question|paper)\b": 1.0},
-    "examiner_report": {r"(?i)\bexaminers?'? report\b": 3.0, r"(?i)\bcandidates\b": 1.0},
-}
-
-
-def content_type(text: Column, signs: dict[str, dict[str, float]] | None = None) -> Column:
-    """(type, score, confidence): the type with the highest sum of weights; its share of all sums. Null without a sign."""
-    signs = TYPE_SIGNS if signs is None else signs
-    scores = [F.struct(reduce(lambda a, b: a + b, [F.when(text.rlike(p), w).otherwise(0.0) for p, w in own.items()]).alias("score"), F.lit(kind).alias("type")) for kind, own in sorted(signs.items())]
-    best = F.array_max(F.array(*scores))
-    total = reduce(lambda a, b: a + b, [s["score"] for s in scores])
-    return F.when(best["score"] > 0, F.struct(best["type"].alias("type"), best["score"].alias("score"), F.round(best["score"] / total, 4).alias("confidence")))
-
-
-def reconcile_type(label: Column, label_confidence: Column, content: Column, content_confidence: Column) -> tuple[Column, Column, Column]:
-    """(type, confidence, outcome) of a label's and the content's type: agree, label_only, content_only, conflict, unknown."""
-    outcome = F.when(label.isNull() & content.isNull(), "unknown").when(content.isNull(), "label_only").when(label.isNull(), "content_only").when(label == content, "agree").otherwise("conflict")
-    confidence = F.when(outcome == "agree", F.greatest(label_confidence, content_confidence)).when(outcome == "label_only", label_confidence).when(outcome == "content_only", content_confidence).when(outcome == "conflict", 0.35).otherwise(0.0)
-    return F.coalesce(label, content), confidence, outcome
+    "mark_scheme": {
+        r"mark scheme": 1.00, r"maximum mark\s*:": 0.60, r"published as an aid to teachers": 0.80, r"\bpartial marks\b": 0.50,
+        r"\bquestion\b\s+\banswer\b\s+\bmarks\b": 0.45, r"how the marks should be awarded": 0.70, r"\bM1\b|\bA1\b|\bB1\b": 0.25,
+    },
+    "specimen_mark_scheme": {r"specimen": 0.45, r"mark scheme": 0.80, r"for examination from\s+\d{4}": 0.60},
+    "question_paper": {
+        r"question paper": 0.95, r"answer all questions": 0.70, r"write your answer": 0.50, r"you must answer on the question paper": 0.75,
+        r"time allowed": 0.45, r"\[\s*\d+\s*\]": 0.20, r"before entering your candidate information": 0.85, r"write your name here": 0.55,
+        r"you do not need any other materials": 0.45, r"instructions to (?:the )?(?:teacher/examiner|candidate)\b": 0.40, r"paper reference": 0.35,
+        r"transcript of (?:the )?listening test": 0.65, r"\btranscript\b": 0.50, r"\btotal marks\b": 0.30,
+    },
+    "specimen_paper": {r"specimen": 0.50, r"question paper": 0.80, r"for examination from\s+\d{4}": 0.55},
+    "examiner_report": {r"examiner report": 1.00, r"principal examiner": 0.80, r"general comments": 0.55, r"candidates?\s+(?:were|did|found|often)": 0.35, r"common misconceptions": 0.60},
+    "scoring_guideline": {r"scoring guideline": 1.00, r"rubric": 0.55, r"free[- ]response": 0.40},
+    "sample_response": {r"sample response": 1.00, r"exemplar": 0.70, r"candidate response": 0.60},
+    "formula_booklet": {r"formula (?:booklet|sheet|list)": 1.00, r"list of formulae": 0.85, r"mathematical formulae": 0.70},
+    "data_booklet": {r"data booklet": 1.00, r"periodic table": 0.55, r"data sheet": 0.70},
+    "source_material": {r"source material": 1.00, r"insert": 0.55, r"clean copy": 0.45},
+    "other": {
+        r"scheme of work": 1.00, r"specification\b": 0.60, r"qualification guide": 0.80, r"getting started guide": 0.80, r"\bnotice\b": 0.40,
+        r"past training|training content": 0.60, r"accredited specification": 0.70,
+    },
+}
+#: Characters of a document that its type is read from (fixed value).
+SCAN_CHARS = 6000
+
+
+def content_type(text: Column) -> Column:
+    """Struct (type, score, confidence, error): the type with the highest sum of weights, whose confidence is its sum against
+    1.5, at most 1, times its share of the two highest sums. A text that cannot be read has an error, one without a sign
+    neither type nor error."""
+    part = F.substring(F.coalesce(text, F.lit("")), 1, SCAN_CHARS)
+    flat = F.regexp_replace(part, r"\s+", " ")
+    control = F.length(F.regexp_replace(part, r"[^\x00-\x08\x0b-\x1f\x7f]", "")) / F.greatest(F.length(part), F.lit(1))
+    poor = (F.size(F.regexp_extract_all(flat, F.lit("[A-Za-z]{3,}"), F.lit(0))) < 5) | (control > 0.10)
+    scores = F.array(*[
+        F.struct(reduce(lambda a, b: a + b, [F.when(flat.rlike(f"(?i){p}"), w).otherwise(0.0) for p, w in own.items()]).alias("score"), F.lit(-k).alias("k"), F.lit(kind).alias("type"))
+        for k, (kind, own) in enumerate(TYPE_SIGNS.items())
+    ])
+
+    def judged(found: Column) -> Column:
+        best, runner = F.get(found, 0), F.get(found, 1)["score"]
+        sure = F.least(F.lit(1.0), best["score"] / 1.5) * best["score"] / (best["score"] + runner)
+        none = F.lit(None)
+        error = F.when(poor, F.when(F.trim(flat) == "", "no_text_layer").otherwise("text_layer_unreadable"))
+        some = error.isNull() & (best["score"] > 0)
+        return F.struct(F.when(some, best["type"]).alias("type"), F.when(some, F.round(best["score"], 4)).otherwise(none).alias("score"), F.when(some, F.round(sure, 4)).otherwise(0.0).alias("confidence"), error.alias("error"))
+
+    return F.transform(F.array(F.reverse(F.array_sort(scores))), judged)[0]
+
+
+#: Types that are a special form of another (fixed values).
+SPECIALIZES = {"specimen_paper": "question_paper", "specimen_mark_scheme": "mark_scheme"}
+
+
+def reconcile_type(label: Column, content: Column, content_confidence: Column) -> Column:
+    """Struct (type, confidence, method) of a label's and the content's type. A label that is a special form of the content's
+    type agrees with it. In a conflict the label stays, with a confidence that asks for a review."""
+    general = F.element_at(F.create_map(*[F.lit(x) for kv in SPECIALIZES.items() for x in kv]), label)
+    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    agree = (label == content) | (general == content)
+    method = F.when(label.isNotNull() & content.isNotNull(), F.when(agree, "label+content").otherwise("conflict")).when(content.isNotNull(), "content").when(label.isNotNull(), "label").otherwise("none")
+    confidence = F.when(method == "label+content", clip(F.greatest(F.lit(0.9), content_confidence))).when(method == "conflict", 0.35).when(method == "content", clip(F.least(F.lit(0.75), content_confidence))).when(method == "label", 0.6).otherwise(0.2)
+    return F.struct(F.coalesce(label, content, F.lit("other")).alias("type"), confidence.alias("confidence"), method.alias("method"))
 
 
 def label_parts(label: Column) -> dict[str, Column]:
@@ -69,15 +113,47 @@ def clock_scale(times: DataFrame, key: list[str], time: str, duration: str) -> D
     return top.withColumn("unit", F.when(F.col("top") <= F.col("length") * 1.5, "s").when(F.col("top") <= F.col("length") * 1500, "ms").otherwise("unknown"))
 
 
-def head_tail(a: Column, b: Column, n: int = 12) -> Column:
-    """How two transcripts relate by their first and last n words: same, prefix, suffix, inside or different."""
-    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    whole = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    wa, wb = words(a), words(b)
-    head, tail = whole(F.slice(wa, 1, n)), whole(F.slice(wa, F.greatest(F.size(wa) - n + 1, F.lit(1)), n))
-    text = whole(wb)
-    first, last = F.contains(text, head), F.contains(text, tail)
-    return F.when(whole(wa) == text, "same").when(first & last, "inside").when(first, "prefix").when(last, "suffix").otherwise("different")
+def transcript_words(text: Column) -> Column:
+    """Lower-case words and digits of a transcript."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9']+"), lambda w: w != "")
+
+
+def _joined(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def holds(words: Column, part: Column, front: int = 0, back: int = 0, least: int = 10) -> Column:
+    """Whether `part` stands in a row in `words`, where up to `front` and `back` of its outer words may be cut off if `least`
+    of them, or all of a shorter one, are left."""
+    n = F.size(part)
+    need, whole = F.least(F.lit(least), n), _joined(words)
+    tries = []
+    for f in range(front + 1):
+        for b in range(back + 1):
+            left = F.greatest(n - f - b, F.lit(0))
+            probe = F.slice(part, F.lit(f + 1), left)
+            tries.append((left >= need) & (left > 0) & F.contains(whole, _joined(probe)))
+    return reduce(lambda x, y: x | y, tries)
+
+
+def head_words(words: Column, n: int = 12) -> Column:
+    return F.slice(words, 1, n)
+
+
+def tail_words(words: Column, n: int = 16) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
+
+
+def tail_relation(a: Column, b: Column) -> Column:
+    """How the last words of two texts relate: same, extends (b is cut off in a), extended_by, or differ."""
+    in_b, in_a = holds(b, tail_words(a), back=3), holds(a, tail_words(b), back=3)
+    return F.when((tail_words(a) == tail_words(b)) | (in_a & in_b), "same").when(in_a, "extends").when(in_b, "extended_by").otherwise("differ")
+
+
+def head_relation(a: Column, b: Column) -> Column:
+    """How the first words of two texts relate: same, extends, extended_by or differ."""
+    ha, hb = head_words(a), head_words(b)
+    return F.when(ha == hb, "same").when(holds(ha, hb, least=1 << 30), "extends").when(holds(hb, ha, least=1 << 30), "extended_by").otherwise("differ")
 
 
 def region_of(text: Column, aliases: dict[str, str]) -> Column:

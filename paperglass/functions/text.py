@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def identity_key(*parts: Column) -> Column:
     """sha1 of the trimmed, lower-cased, space-collapsed parts; null counts as empty."""
     folded = [F.lower(F.regexp_replace(F.trim(F.coalesce(p.cast("string"), F.lit(""))), r"\s+", " ")) for p in parts]
@@ -75,8 +81,8 @@ def fold_plural(word: Column) -> Column:
 
 
 def topic_words(text: Column) -> Column:
-    """Lower-case words of two or more letters or digits, without numbers and stop words, plurals folded."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-case words, in compatibility form, of two or more letters or digits, without numbers and stop words, plurals folded."""
+    words = F.regexp_extract_all(F.lower(compatible(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\d+$") & ~F.array_contains(stop, w))
     return F.transform(kept, fold_plural)
@@ -125,10 +131,13 @@ def duration_minutes(text: Column) -> Column:
     return F.when(hours.isNotNull() | minutes.isNotNull(), total)
 
 
-def mark_codes(text: Column) -> dict[str, Column]:
-    """Counts of method, accuracy and independent marks, and whether errors carry forward."""
-    counts = {f"n_{c.lower()}": F.size(F.regexp_extract_all(text, F.lit(rf"\b{c}\d\b"), F.lit(0))).cast("long") for c in "MAB"}
-    return counts | {"ecf": text.rlike(r"(?i)\b(?:ecf|ft|follow through)\b")}
+def mark_codes(answer: Column, guidance: Column | None = None) -> dict[str, Column]:
+    """Counts of method, accuracy and independent marks in an entry, whether errors carry forward, and the first six answers
+    that `oe`, `or` and `accept` introduce."""
+    text = F.concat(F.coalesce(answer, F.lit("")), F.lit(" "), F.coalesce(guidance, F.lit("")) if guidance is not None else F.lit(""))
+    counts = {f"n_{c.lower()}": F.size(F.regexp_extract_all(text, F.lit(rf"\b{c}\d?"), F.lit(0))).cast("long") for c in "MAB"}
+    said = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\b(?:oe|or|accept)\b\s*([^;.]{1,80})"), F.lit(1)), lambda v: F.trim(v))
+    return counts | {"ecf": text.rlike(r"(?i)\b(?:FT|ECF)\b"), "acceptable": F.slice(F.filter(said, lambda v: v != ""), 1, 6)}
 
 
 def paper_number(text: Column) -> Column:
@@ -136,52 +145,148 @@ def paper_number(text: Column) -> Column:
     return F.lpad(F.regexp_extract(text, r"(\d{1,2})\s*$", 1), 2, "0")
 
 
-def redact(text: Column, limit: int = 500) -> Column:
-    """Paths and secrets masked, blanks folded, at most `limit` characters."""
-    t = F.regexp_replace(text, r"(?i)\b(password|secret|token|api_?key)\b\s*[:=]\s*\S+", "$1=[redacted]")
-    t = F.regexp_replace(t, r"(?:[A-Za-z]:\\|/)(?:[\w.-]+[\\/])+[\w.-]*", "[path]")
+def redact(text: Column, secrets: tuple[str, ...] = (), limit: int = 500) -> Column:
+    """Given secrets and anything that looks like a path replaced, blanks folded, at most `limit` characters."""
+    t = text
+    for secret in secrets:
+        if secret:
+            t = F.replace(t, F.lit(secret), F.lit("<secret>"))
+    t = F.regexp_replace(t, r"""\\\\[^\s'"]+""", "<path>")
+    t = F.regexp_replace(t, r"""(?:[A-Za-z]:[\\/]|/)[^\s'"]+""", "<path>")
     return F.substring(F.trim(F.regexp_replace(t, r"\s+", " ")), 1, limit)
 
 
+def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """The compatibility forms of single characters: those of one character as two strings, longer ones as pairs."""
+    one, to, longer = [], [], []
+    for code in (*range(0xA0, 0x250), *range(0x2000, 0x2190), *range(0x2460, 0x2474), *range(0x3000, 0x3001), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)):
+        form = unicodedata.normalize("NFKC", chr(code))
+        if form != chr(code) and len(form) == 1:
+            one.append(chr(code))
+            to.append(form)
+        elif form != chr(code) and (code in (0xBC, 0xBD, 0xBE, 0x2025, 0x2026, 0x2116, 0x2121, 0x2122) or code >= 0xFB00):
+            longer.append((chr(code), form))
+    return "".join(one), "".join(to), longer
+
+
+ONE, TO, LONGER = _compatible()
+
+
+def compatible(text: Column) -> Column:
+    """Characters in their compatibility form: full width, superscripts, ligatures, fractions, unusual blanks.
+
+    Letters and their combining marks are not composed; texts hold composed letters."""
+    def folded(t: Column) -> Column:
+        out = F.translate(t, ONE, TO)
+        for sign, form in LONGER:
+            out = F.replace(out, F.lit(sign), F.lit(form))
+        return F.when(t.rlike("[^\\x00-\\x7F]"), out).otherwise(t)
+
+    return once(text, folded)
+
+
 def normalize_answer(text: Column) -> Column:
-    """Curly quotes and dashes folded, lower case, blanks collapsed, closing points dropped."""
-    t = F.translate(F.coalesce(text, F.lit("")), "‘’“”–—", "''\"\"--")
-    t = F.trim(F.regexp_replace(F.lower(t), r"\s+", " "))
-    return F.regexp_replace(t, r"[.;,]+$", "")
+    """Compatibility forms, straight quotes and dashes, blanks collapsed, lower case; null counts as empty."""
+    t = F.translate(compatible(F.coalesce(text, F.lit(""))), "‘’‚‛“”„‟–—", "'" * 4 + '"' * 4 + "--")
+    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+
+
+#: Number words and choice families (fixed values).
+NUMBER_WORDS = {
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
+    "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16,
+    "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50,
+    "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000,
+}
+CHOICES = {
+    "tfng": {"t": "true", "true": "true", "f": "false", "false": "false", "ng": "not given", "not given": "not given", "notgiven": "not given"},
+    "ynng": {"y": "yes", "yes": "yes", "n": "no", "no": "no", "ng": "not given", "not given": "not given", "notgiven": "not given"},
+}
 
 
-#: Number words to twelve and choice families (fixed values).
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve".split()
-CHOICES = {"t": "true", "true": "true", "f": "false", "false": "false", "ng": "not given", "not given": "not given", "y": "yes", "yes": "yes", "n": "no", "no": "no"}
+def literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def _number(s: Column) -> Column:
+    words = literal_map({w: str(n) for w, n in NUMBER_WORDS.items()})
+    return F.when(s.rlike(r"^\d{1,3}(?:,\d{3})+$"), F.replace(s, F.lit(","), F.lit(""))).when(s.rlike(r"^\d+$"), F.regexp_replace(s, "^0+(?=\\d)", "")).otherwise(F.element_at(words, s))
 
 
 def number_form(text: Column) -> Column:
-    """A number word as digits and digits without thousands signs; other texts as they are."""
-    words = F.create_map(*[x for i, w in enumerate(NUMBER_WORDS) for x in (F.lit(w), F.lit(str(i)))])
-    plain = F.replace(text, F.lit(","), F.lit(""))
-    return F.coalesce(F.element_at(words, text), F.when(plain.rlike(r"^\d+(?:\.\d+)?$"), plain), text)
+    """The digits of a number word or of digits with thousands signs, without leading zeros; null for other texts."""
+    return once(normalize_answer(text), _number)
 
 
-def choice_family(text: Column) -> Column:
-    return F.when(text.isin("t", "f", "true", "false"), "tf").when(text.isin("y", "n", "yes", "no"), "yn").when(text.isin("ng", "not given"), "shared")
+def _date(s: Column) -> Column:
+    pattern = r"^(\d{1,4})[.\-/](\d{1,2})[.\-/](\d{1,4})$"
+    first, month, last = (F.nullif(F.regexp_extract(s, pattern, k), F.lit("")) for k in (1, 2, 3))
+    turned = F.length(first) == 4
+    year, day, month = F.when(turned, first).otherwise(last).cast("int"), F.when(turned, last).otherwise(first).cast("int"), month.cast("int")
+    return F.when(month.between(1, 12) & day.between(1, 31), F.format_string("%04d-%02d-%02d", year, month, day))
 
 
-def compare_answers(a: Column, b: Column) -> Column:
-    """Why two answers are equal (exact, normalized, choice, number), else `different`. A single letter equals no longer text."""
-    x, y = normalize_answer(a), normalize_answer(b)
-    choice = F.create_map(*[F.lit(v) for kv in CHOICES.items() for v in kv])
-    one_letter = (F.length(x) == 1) != (F.length(y) == 1)
-    family = F.element_at(choice, x).isNotNull() & (F.element_at(choice, x) == F.element_at(choice, y))
-    return F.when(a == b, "exact").when(x == y, "normalized").when(family, "choice").when(one_letter, "different").when(number_form(x) == number_form(y), "number").otherwise("different")
+def date_form(text: Column) -> Column:
+    """yyyy-mm-dd of day, month and year, or year, month and day, with points, dashes or slashes; null for other texts."""
+    return once(normalize_answer(text), _date)
 
 
-def variants(text: Column, depth: int = 2) -> Column:
-    """Readings of an answer: `/` separates alternatives, and up to `depth` parts in parentheses may be left out."""
-    out = F.split(text, r"\s*/\s*")
-    for _ in range(depth):
-        both = F.transform(out, lambda v: F.array(F.regexp_replace(v, r"^(.*?)\(([^()]*)\)", "$1$2"), F.regexp_replace(v, r"^(.*?)\s*\([^()]*\)", "$1")))
-        out = F.array_distinct(F.flatten(both))
-    return F.array_sort(F.array_distinct(F.transform(out, lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))))
+def choice_family(text: Column) -> Column:
+    """The family that an instruction speaks of: tfng, ynng or null."""
+    s = F.upper(F.coalesce(text, F.lit("")))
+    return F.when(s.rlike(r"\b(?:TRUE|FALSE)\b"), "tfng").when(s.rlike(r"\b(?:YES|NO)\b"), "ynng")
+
+
+def normalize_choice(text: Column, family: Column) -> Column:
+    """A normalised answer, in a family's own words where it is one of its choices."""
+    named = F.element_at(F.create_map(*[x for f, c in CHOICES.items() for x in (F.lit(f), literal_map(c))]), family)
+    return once(normalize_answer(text), lambda s: F.coalesce(F.element_at(named, s), s))
+
+
+def compare_answers(a: Column, b: Column, family: Column | None = None, allowed_a: Column | None = None, allowed_b: Column | None = None, number_word: bool = False, dates: bool = False) -> Column:
+    """Struct (equal, reason) of a strict comparison, the first that holds: empty, exact, single_letter_mismatch, variant,
+    allowed_variant, number_word, date_variant, mismatch. Numbers as words and dates count only if asked for."""
+    family = F.lit(None).cast("string") if family is None else family
+    forms = lambda c: F.transform(variants(F.coalesce(c, F.lit(""))), normalize_answer)
+    none = F.array().cast("array<string>")
+    listed = lambda c: none if c is None else F.transform(F.coalesce(c, none), normalize_answer)
+    one = lambda c: c.rlike("^[a-z]$")
+
+    def judged(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        reason = (
+            F.when((x == "") | (y == ""), "empty").when(x == y, "exact").when(one(x) != one(y), "single_letter_mismatch")
+            .when(F.arrays_overlap(forms(v["a"]), forms(v["b"])), "variant")
+            .when(F.array_contains(listed(allowed_a), y) | F.array_contains(listed(allowed_b), x), "allowed_variant")
+        )
+        if number_word:
+            reason = reason.when(_number(x) == _number(y), "number_word")
+        if dates:
+            reason = reason.when(_date(x) == _date(y), "date_variant")
+        return reason.otherwise("mismatch")
+
+    found = once(F.struct(normalize_choice(a, family).alias("x"), normalize_choice(b, family).alias("y"), a.alias("a"), b.alias("b")), judged)
+    return once(found, lambda r: F.struct(r.isin("exact", "variant", "allowed_variant", "number_word", "date_variant").alias("equal"), r.alias("reason")))
+
+
+def variants(text: Column) -> Column:
+    """Readings of an answer, sorted, itself among them: what stands in parentheses may be left out or is one of several
+    alternatives with slashes, and slashes between blanks separate alternatives. Every pair of parentheses is read, so an
+    answer with many of them has many readings."""
+    fold = lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))
+    pattern = r"(?s)^(.*?)\(([^()]*)\)(.*)$"
+
+    def opened(v: Column) -> Column:
+        before, inside, after = (F.regexp_extract(v, pattern, k) for k in (1, 2, 3))
+        inner = F.filter(F.transform(F.split(inside, "/"), lambda x: F.trim(x)), lambda x: x != "")
+        with_one = F.concat(F.transform(inner, lambda x: F.concat(before, x, after)), F.array(F.regexp_replace(F.concat(before, after), r"\s+", " ")))
+        return F.when(~v.rlike(pattern), F.array(v)).when(F.size(inner) == 0, F.array(F.concat(before, after))).otherwise(with_one)
+
+    pairs = F.size(F.split(text, r"\)")) - 1
+    steps = F.when(pairs > 0, F.sequence(F.lit(1), pairs)).otherwise(F.array().cast("array<int>"))
+    plain = F.aggregate(steps, F.array(text), lambda acc, _: F.array_distinct(F.flatten(F.transform(acc, opened))))
+    split = F.flatten(F.transform(plain, lambda v: F.when(F.contains(v, F.lit(" / ")), F.transform(F.split(v, " / "), lambda x: F.trim(x))).otherwise(F.array(fold(v)))))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(split, F.array(text)), lambda v: v != "")))
 
 
 def overlap_share(needed: Column, found: Column) -> Column:
@@ -191,13 +296,22 @@ def overlap_share(needed: Column, found: Column) -> Column:
 
 
 def text_quality(text: Column) -> dict[str, Column]:
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """Signals of a transcript's text: sizes, how it ends, pages and advertisements in its place, lines of speakers."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", ""), r"\s+$", "")
+    blanks = lambda c: F.filter(c, lambda w: w != "")
+    lines = blanks(F.transform(F.split(t, r"\n+"), lambda v: F.regexp_replace(F.regexp_replace(v, r"^\s+", ""), r"\s+$", "")))
+    last, first = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("")), F.coalesce(F.get(lines, 0), F.lit(""))
+    cut = t.rlike(r"(?:\.\.\.|…)\s*$")
     return {
-        "chars": F.length(text).cast("long"),
-        "words": F.size(words).cast("long"),
-        "ellipsis": text.rlike(r"\.\.\.|…"),
-        "has_html": text.rlike(r"<[a-zA-Z/][^>]*>"),
-        "speaker_lines": F.size(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[A-Z][a-z]+:"), F.lit(0))).cast("long"),
+        "chars": F.length(t).cast("long"),
+        "words": F.size(blanks(F.split(t, r"\s+"))).cast("long"),
+        "lines": F.size(lines).cast("long"),
+        "ends_with_terminal": ~cut & last.rlike(r"""[.!?»"')\]]\s*$"""),
+        "tail_ellipsis": cut,
+        "html_like": t.rlike(r"(?i)<(?:!doctype|html|head|body|script|div|p|meta)\b"),
+        "ad_like": t.rlike(r"(?i)adsbygoogle|document\.createElement") | t.rlike(r"(?im)^Advertisements$"),
+        "speaker_lines": F.size(F.filter(lines, lambda v: v.rlike(r"^[A-Z][A-Za-z .'-]{1,24}:\s"))).cast("long"),
+        "starts_with_marker": first.rlike(r"(?i)^(?:PART|SECTION)\s*[1-4]\b"),
     }
 
 

@@ -1,118 +1,147 @@
-"""Answer adjudication over sources, group grading, and transcript alignment."""
+"""Answer adjudication over sources, group grading, and the confidence of alignments."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperglass.functions.text import normalize_answer, number_form, overlap_share
+from paperglass.functions.text import choice_family, compare_answers, normalize_answer, normalize_choice, once
 
 
 def identity_gate(candidates: DataFrame) -> DataFrame:
-    """Candidates (book, test, skill, variant, and the same with want_) with the reason for which they are refused, if any."""
-    differs = lambda c: F.col(c) != F.col(f"want_{c}")
-    reason = F.when(differs("book"), "book_mismatch").when(differs("test"), "test_mismatch").when(differs("skill"), "skill_mismatch").when(differs("variant"), "variant_mismatch")
-    return candidates.withColumn("rejected", reason)
+    """Candidates (book, test, skill, variant, edition, and the same with want_) with the reason for which they are refused, if any,
+    and whether their edition is not verified. Book, test and skill must be there; variant and edition only must not differ."""
+    given = [F.col(c).isNull() for c in ("book", "test", "skill", "variant", "edition")]
+    missing = given[0] & given[1] & given[2] & given[3] & given[4]
+    reason = F.when(missing, "identity_missing")
+    for c in ("book", "test", "skill"):
+        reason = reason.when(F.col(c).isNull(), "identity_incomplete").when(F.col(c) != F.col(f"want_{c}"), f"identity_{c}_mismatch")
+    for c in ("variant", "edition"):
+        reason = reason.when(F.col(c) != F.col(f"want_{c}"), f"identity_{c}_mismatch")
+    open_ = reason.isNull() & F.col("want_edition").isNotNull() & F.col("edition").isNull()
+    return candidates.withColumn("rejected", reason).withColumn("edition_unverified", open_)
 
 
 def guarded_correction(rows: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
-    """Values with decisions (action, from, to): corrected only where the raw value still is `from`, else stale."""
+    """Values with decisions (action, from, to, book_value, equivalents array<string>): corrected only where the raw value still is
+    `from`, else stale; confirmed where they equal the book's value or one of its equivalents."""
     j = rows.join(decisions, key, "left")
-    state = F.when(F.col("action").isNull(), "none").when((F.col("action") == "correct") & F.col("value").eqNullSafe(F.col("from")), "applied").when(F.col("action") == "correct", "stale").when((F.col("action") == "confirm") & (F.col("value") == F.col("book_value")), "confirmed").otherwise("unconfirmed")
+    same = lambda x: compare_answers(x, F.col("value"), number_word=True, dates=True)["equal"]
+    listed = F.exists(F.coalesce("equivalents", F.array().cast("array<string>")), same)
+    agrees = F.coalesce(same(F.col("book_value")), F.lit(False)) | listed
+    state = (
+        F.when(F.col("action").isNull(), "none").when(F.col("action") == "correct", F.when(F.col("value").eqNullSafe(F.col("from")), "applied").otherwise("stale"))
+        .when(agrees, "confirmed").otherwise("unconfirmed")
+    )
     return j.select(*key, F.when(state == "applied", F.col("to")).otherwise(F.col("value")).alias("value"), state.alias("decision_state"))
 
 
-def adjudicate(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """One row for each question of candidates (value, upstream, priority): missing, single or conflict, the value of the
-    best priority, how many values and upstreams are left."""
-    form = number_form(normalize_answer(F.col("value")))
-    known = candidates.withColumn("_form", F.when(form != "", form))
-    by_value = known.groupBy(*key, "_form").agg(F.min("priority").alias("_best"), F.min_by("value", F.struct("priority", "value")).alias("_value"), F.count_distinct("upstream").alias("_up"))
-    left = F.col("_form").isNotNull()
-    out = by_value.groupBy(*key).agg(
-        F.count_if(left).alias("values"),
-        F.max(F.when(left, F.col("_up"))).alias("most_upstreams"),
-        F.min_by(F.when(left, F.col("_value")), F.when(left, F.struct("_best", "_value"))).alias("answer"),
-    )
-    status = F.when(F.col("values") == 0, "missing").when(F.col("values") == 1, "single").otherwise("conflict")
-    return out.withColumn("status", status)
-
-
-def grade_group(submitted: Column, accepted: Column, required: Column, scoring: Column) -> Column:
-    """Whether a submission meets an accepted list: ordered, as a set, as a multiset, or any_of; a required count must match
-    except for any_of."""
-    fold = lambda a: F.transform(a, normalize_answer)
-    s, a = fold(submitted), fold(accepted)
-    as_set = (F.size(F.array_distinct(s)) == F.size(s)) & (F.array_sort(s) == F.array_sort(F.array_distinct(a)))
-    fits = F.when(scoring == "ordered", s == a).when(scoring == "multiset", F.array_sort(s) == F.array_sort(a)).otherwise(as_set)
-    return F.when(scoring == "any_of", F.arrays_overlap(s, a)).when(required.isNotNull() & (F.size(s) != required), False).otherwise(fits)
+#: Classes of sources that count as the book itself once seen (fixed values).
+OFFICIAL = ("official_pdf", "official", "official_visual")
 
 
-def transcript_candidates(segments: DataFrame, questions: DataFrame, part: str, threshold: float = 0.9) -> DataFrame:
-    """Windows (part, question, seq, score): segments of the question's own part that hold its answer's tokens.
+def priority(source_class: Column, verified: Column, visual: Column, ocr: Column) -> Column:
+    """1 for decisions and books that were looked at, 2 for verified sources, 3 for others and for what was only read by a machine."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(source_class == "adjudication", 1).when(yes(visual) & source_class.isin(*OFFICIAL), 1).when(yes(ocr) & ~yes(visual), 3).when(yes(verified), 2).otherwise(3)
 
-    Segments meet questions by part and token, so only pairs with a common token are scored.
-    """
-    words = lambda c: F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda w: w != "")
-    s = segments.select(part, "seq", words("text").alias("found"))
-    q = questions.select(part, "question", words("answer").alias("needed"))
-    meet = s.select(part, "seq", F.explode(F.array_distinct("found")).alias("w")).join(q.select(part, "question", F.explode(F.array_distinct("needed")).alias("w")), [part, "w"]).select(part, "seq", "question").distinct()
-    scored = meet.join(s, [part, "seq"]).join(q, [part, "question"]).withColumn("score", F.round(overlap_share(F.col("needed"), F.col("found")), 4))
-    return scored.where(F.col("score") >= threshold).select(part, "question", "seq", "score")
-
-
-#: Costs of the window choice (fixed values).
-SKIP, CONTEXT, REVERSE, REVERSE_OVERLAP = 0.5, 0.6, 0.8, 0.2
-
-
-def _choose(rows: pd.DataFrame) -> pd.DataFrame:
-    nodes = [(n, g.sort_values("start_sec")) for n, g in rows.groupby("number", sort=True)]
-    starts = [np.concatenate([[np.nan], g["start_sec"].to_numpy(float)]) for _, g in nodes]
-    ends = [np.concatenate([[np.nan], g["end_sec"].to_numpy(float)]) for _, g in nodes]
-    costs = [np.concatenate([[SKIP], CONTEXT * (1 - g["context_score"].to_numpy(float))]) for _, g in nodes]
-
-    def move(i: int) -> np.ndarray:
-        """Costs of going from each option of node i - 1 to each of node i; skipped nodes cost nothing here."""
-        s0, e0, s1, e1 = starts[i - 1][:, None], ends[i - 1][:, None], starts[i][None], ends[i][None]
-        over = np.clip((np.fmin(e0, e1) - np.fmax(s0, s1)) / 10, 0, 1)
-        return np.nan_to_num(np.where(s1 < s0, REVERSE + REVERSE_OVERLAP * over, 0.0) * ~(np.isnan(s0) | np.isnan(s1)))
-
-    ahead, back = [costs[0]], []
-    for i in range(1, len(nodes)):
-        total = ahead[-1][:, None] + move(i)
-        back.append(total.argmin(0))
-        ahead.append(total.min(0) + costs[i])
-    behind = [costs[-1]]
-    for i in reversed(range(len(nodes) - 1)):
-        behind.append(costs[i] + (move(i + 1) + behind[-1][None]).min(1))
-    behind = behind[::-1]
-    pick = [int(ahead[-1].argmin())]
-    for b in reversed(back):
-        pick.append(int(b[pick[-1]]))
-    pick = pick[::-1]
-    best, out = float(ahead[-1].min()), []
-    for i, (n, _) in enumerate(nodes):
-        through = ahead[i] + behind[i] - costs[i]
-        other = [through[j] for j in range(1, len(through)) if j != pick[i]]
-        out.append((n, starts[i][pick[i]] if pick[i] else None, max(0.0, float(min(other)) - best) if other else None))
-    return pd.DataFrame(out, columns=["number", "start_sec", "margin"])
-
-
-def select_windows(candidates: DataFrame, part: str) -> DataFrame:
-    """(part, number, start_sec, margin): the cheapest choice of one window or none for each question in order.
-
-    Candidates are (part, number, start_sec, end_sec, context_score); going back in time costs, as does skipping. The
-    margin is what the best other window of the question would cost more; null without another. A part is one recording's
-    questions, so a group is small by nature.
-    """
-    kind = candidates.schema[part].dataType.simpleString()
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _choose(rows).assign(part=key[0])[["part", "number", "start_sec", "margin"]]
+def adjudicate(questions: DataFrame, candidates: DataFrame, decisions: DataFrame, key: list[str], number_word: bool = False, dates: bool = False) -> DataFrame:
+    """(key, status, rule, answer, label, conflicts, decision_state): the answer of every question and how sure it is.
 
-    return candidates.groupBy(part).applyInPandas(run, f"part {kind}, number long, start_sec double, margin double").withColumnRenamed("part", part)
+    Questions are (key, instruction, options array<struct<label, text>>, allowed_variants array<string>); candidates (key, position,
+    upstream, source_class, verified, visual_verified, ocr, edition_unverified, order_unverified, raw, allowed_variants) passed the gate;
+    decisions (key, action, from, to, book_value, equivalents, artifact_values) are one for a question at most.
+    Candidates whose values are equal, compared in order with the first of each value, or whose options are, stand together;
+    conflicts lists each value with its upstreams where more than one is left. Candidates of a question are few and are read in order.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(c, none)
+    rank = priority(F.col("source_class"), F.col("verified"), F.col("visual_verified"), F.col("ocr"))
+    fields = ["position", "upstream", rank.alias("priority"), F.coalesce("verified", F.lit(False)).alias("verified"), F.coalesce("edition_unverified", F.lit(False)).alias("edition_unverified"), F.coalesce("order_unverified", F.lit(False)).alias("order_unverified"), "raw", listed(F.col("allowed_variants")).alias("allowed")]
+    lists = candidates.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
+    d = decisions.select(*key, F.struct("action", "from", "to", "book_value", listed(F.col("equivalents")).alias("equivalents"), listed(F.col("artifact_values")).alias("artifacts")).alias("d"))
+    j = questions.join(lists, key, "left").join(d, key, "left").withColumn("all", F.coalesce("all", F.array().cast(lists.schema["all"].dataType)))
+    j = j.withColumn("options", F.coalesce("options", F.array().cast("array<struct<label:string,text:string>>")))
+    dec, options, family = F.col("d"), F.col("options"), F.col("family")
+    loosely = lambda x, y: F.coalesce(compare_answers(x, y, number_word=True, dates=True)["equal"], F.lit(False))
+    more = F.concat(listed(F.col("allowed_variants")), F.coalesce(F.array_compact(F.concat(F.array(dec["book_value"]), dec["equivalents"])), none))
+
+    def seen(c: Column) -> Column:
+        applied = F.coalesce((dec["action"] == "correct") & c["raw"].eqNullSafe(dec["from"]), F.lit(False))
+        confirmed = F.coalesce(dec["action"] != "correct", F.lit(False)) & (loosely(dec["book_value"], c["raw"]) | F.exists(F.coalesce(dec["equivalents"], none), lambda e: loosely(e, c["raw"])))
+        value = F.when(applied, dec["to"]).otherwise(c["raw"])
+        artifact = F.exists(F.coalesce(dec["artifacts"], none), lambda x: F.coalesce(compare_answers(x, c["raw"])["equal"], F.lit(False)))
+        folded = normalize_answer(value)
+        labels = F.transform(options, lambda o: normalize_answer(o["label"]))
+        hits = F.filter(options, lambda o: compare_answers(o["text"], value)["equal"])
+        label = F.when(folded == "", None).when(F.array_contains(labels, folded), folded).when(F.size(hits) == 1, normalize_answer(F.get(hits, 0)["label"]))
+        return F.struct(
+            c["upstream"].alias("upstream"), c["priority"].alias("priority"), c["verified"].alias("verified"), c["edition_unverified"].alias("edition_unverified"), c["order_unverified"].alias("order_unverified"),
+            value.alias("value"), label.alias("label"), applied.alias("applied"), confirmed.alias("confirmed"), artifact.alias("artifact"), (folded == "").alias("empty"), F.array_distinct(F.concat(c["allowed"], more)).alias("allowed"),
+        )
+
+    j = j.withColumn("family", choice_family(F.col("instruction"))).withColumn("all", F.transform("all", seen))
+    filled = F.filter("all", lambda c: ~c["empty"])
+    j = j.withColumn("filled", filled).withColumn("counted", F.when(F.forall("filled", lambda c: c["artifact"]), F.filter("filled", lambda _: F.lit(False))).otherwise(F.col("filled")))
+    same = lambda r, c: (r["label"].isNotNull() & (r["label"] == c["label"])) | F.coalesce(compare_answers(r["value"], c["value"], family, r["allowed"], c["allowed"], number_word, dates)["equal"], F.lit(False))
+
+    def stand(acc: Column, c: Column) -> Column:
+        """Groups of candidates: each joins the first whose first member has its value."""
+        at = F.array_position(F.transform(acc, lambda g: same(F.get(g, 0), c)), True)
+        joined = F.transform(acc, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(c))).otherwise(g))
+        return F.when(at > 0, joined).otherwise(F.concat(acc, F.array(F.array(c))))
+
+    j = j.withColumn("groups", F.aggregate("counted", F.transform("counted", lambda c: F.filter(F.array(c), lambda _: F.lit(False))), lambda acc, c: stand(F.filter(acc, lambda g: F.size(g) > 0), c)))
+    j = j.withColumn("groups", F.filter("groups", lambda g: F.size(g) > 0))
+    ranked = F.transform("groups", lambda g, i: F.struct(F.array_min(F.transform(g, lambda c: c["priority"])).alias("best"), i.alias("i")))
+    group = F.get("groups", F.array_min(ranked)["i"])
+    best = once(group, lambda g: F.get(g, F.array_min(F.transform(g, lambda c, i: F.struct(c["priority"].alias("p"), i.alias("i"))))["i"]))
+    j = j.withColumn("best", best).withColumn("fixed", F.get(F.filter("all", lambda c: c["applied"]), 0))
+    correct, some_confirmed = F.coalesce(dec["action"] == "correct", F.lit(False)), F.exists("all", lambda c: c["confirmed"]) & dec["book_value"].isNotNull()
+    b = F.col("best")
+    by_best = F.when((b["priority"] == 1) | b["applied"] | b["confirmed"], "official_verified").when(b["edition_unverified"], "unverified").when((b["priority"] == 2) | b["verified"], "source_verified").otherwise("identity_linked")
+    empty = F.size("filled") == 0
+    status = (
+        F.when(F.col("fixed").isNotNull() | some_confirmed, "official_verified")
+        .when(empty, F.when(F.exists("all", lambda c: c["order_unverified"]), "order_unverified").when(correct, "decision_stale").otherwise("missing"))
+        .when(F.size("groups") == 0, "missing").when(F.size("groups") > 1, "conflict").otherwise(by_best)
+    )
+    rule = F.when(F.col("fixed").isNotNull(), "decision_correction").when(some_confirmed, "decision_confirmed").when(status == "conflict", "conflict_unresolved").when(status == "missing", "missing_no_candidate").when(status.isin("order_unverified", "decision_stale"), status).otherwise("explicit_number")
+    answer = F.when(F.col("fixed").isNotNull(), F.col("fixed.value")).when(some_confirmed, dec["book_value"]).when(~empty, b["value"])
+    state = F.when(F.col("fixed").isNotNull(), "applied").when(F.exists("all", lambda c: c["confirmed"]), "confirmed").when(correct & (F.size("all") > 0), "stale").otherwise("none")
+    shown = F.transform("groups", lambda g: F.struct(F.coalesce(F.get(g, 0)["label"], normalize_choice(F.get(g, 0)["value"], family)).alias("value"), F.array_sort(F.array_distinct(F.transform(g, lambda c: c["upstream"]))).alias("upstreams"), F.array_min(F.transform(g, lambda c: c["priority"])).alias("priority")))
+    conflicts = F.when(status == "conflict", shown).otherwise(F.filter(shown, lambda _: F.lit(False)))
+    return j.select(*key, status.alias("status"), rule.alias("rule"), answer.alias("answer"), F.when(~empty & F.col("fixed").isNull(), b["label"]).alias("label"), conflicts.alias("conflicts"), state.alias("decision_state"))
+
+
+def adjudication_coverage(found: DataFrame, by: list[str]) -> DataFrame:
+    """Questions of each key by status, and how many have an answer."""
+    states = ("identity_linked", "source_verified", "official_verified", "conflict", "order_unverified", "unverified", "missing", "decision_stale")
+    return found.groupBy(*by).agg(F.count("*").alias("processed"), F.count_if(F.col("status") != "missing").alias("answered"), *[F.count_if(F.col("status") == s).alias(s) for s in states])
+
+
+def grade_group(submitted: Column, accepted: Column, required: Column, ordered: Column, reuse: Column, scoring: Column) -> Column:
+    """Struct (pass, reason) of a submission against several accepted lists (array<array<string>>).
+
+    `any_of` passes if one given answer occurs in any list. Else the number of answers must be the required one, and some
+    list must agree: place by place if ordered, as multisets if answers may be used again, else as sets without repeats.
+    Without a scoring the order decides."""
+    fold = lambda a: F.transform(a, normalize_answer)
+    none = F.array().cast("array<array<string>>")
+    ordered, reuse = F.coalesce(ordered, F.lit(False)), F.coalesce(reuse, F.lit(False))
+    any_of = F.coalesce(scoring, F.when(ordered, "per_slot").otherwise("exact_set")) == "any_of"
+
+    def judged(v: Column) -> Column:
+        s, sets = v["s"], v["sets"]
+        as_set = lambda a: (F.size(F.array_distinct(s)) == F.size(s)) & (F.array_sort(s) == F.array_sort(F.array_distinct(a)))
+        fits = F.exists(sets, lambda a: F.when(ordered, s == a).when(reuse, F.array_sort(s) == F.array_sort(a)).otherwise(as_set(a)))
+        hit = F.exists(sets, lambda a: F.arrays_overlap(s, a))
+        wrong = required.isNotNull() & (F.size(s) != required)
+        return F.when(any_of, F.when(hit, "any_of_hit").otherwise("any_of_miss")).when(wrong, "count_mismatch").when(~fits, "set_mismatch").when(ordered, "ordered_match").otherwise("set_match")
+
+    found = once(F.struct(fold(submitted).alias("s"), F.transform(F.coalesce(accepted, none), fold).alias("sets")), judged)
+    return once(found, lambda r: F.struct(r.isin("any_of_hit", "ordered_match", "set_match").alias("pass"), r.alias("reason")))
 
 
 def confidence(identity: Column, clock: Column, anchor: Column, word: Column, margin: Column) -> Column:

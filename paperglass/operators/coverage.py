@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Problems that make a scope a conflict (fixed values).
@@ -63,21 +63,55 @@ def manifest_problems(scopes: DataFrame) -> DataFrame:
 
 #: What each question type needs (fixed values).
 REQUIREMENTS = {
-    "single_choice": ("options",), "multiple_choice": ("options",), "table_choice": ("table_columns", "table_rows", "table_answers"),
-    "matching": ("left", "right"), "diagram_labels": ("asset", "labels"), "fill_blank": ("stem",), "short_answer": ("stem",), "essay": ("stem",),
+    "single_choice": ("options",), "multiple_choice": ("options",), "table_choice": ("table_columns", "table_rows", "table_answer_structure"),
+    "matching": ("matching_lists",), "diagram_labels": ("diagram_asset", "diagram_labels"),
+    "fill_blank": ("stem",), "short_answer": ("stem",), "essay": ("stem",), "speaking": ("stem",), "unknown": ("native_shape_known",),
 }
 
 
-def completeness(questions: DataFrame) -> DataFrame:
-    """(id, requirements, satisfied, percentage, status) of questions (id, question_type, has array<string>): complete,
-    partial or missing by what their type needs; unknown for other types, without a percentage."""
-    needs = F.create_map(*[x for t, r in REQUIREMENTS.items() for x in (F.lit(t), F.array(*[F.lit(v) for v in r]))])
-    need = F.element_at(needs, F.col("question_type"))
-    out = questions.select("id", need.alias("need"), F.size(F.array_intersect(need, "has")).alias("satisfied")).withColumn("requirements", F.size("need"))
-    status = F.when(F.col("need").isNull(), "unknown").when(F.col("satisfied") == F.col("requirements"), "complete").when(F.col("satisfied") == 0, "missing").otherwise("partial")
-    percentage = F.when(F.col("need").isNotNull(), F.round(100.0 * F.col("satisfied") / F.col("requirements"), 2))
-    known = F.col("need").isNotNull()
-    return out.select("id", F.when(known, F.col("requirements")).alias("requirements"), F.when(known, F.col("satisfied")).alias("satisfied"), percentage.alias("percentage"), status.alias("status"))
+def _status(known: Column) -> list[Column]:
+    done = F.col("satisfied") == F.col("requirements")
+    status = F.when(~known | (F.col("requirements") == 0), "unknown").when(done, "complete").when(F.col("satisfied") == 0, "missing").otherwise("partial")
+    return [F.when(known & (F.col("requirements") > 0), F.round(100.0 * F.col("satisfied") / F.col("requirements"), 2)).alias("percentage"), status.alias("status")]
+
+
+def completeness(questions: DataFrame, levels: int = 6) -> DataFrame:
+    """(id, parent_id, requirements, satisfied, percentage, status) of questions (id, parent_id, question_type, has
+    array<string>, assets array<struct<required, present>>, expected_children int).
+
+    A question needs what its type needs, each required asset, each of its parts to be complete, and the expected number of
+    parts where that is known. Unknown types stay unknown and have no percentage. Parts are followed down `levels` levels.
+    """
+    need = F.coalesce(F.element_at(F.create_map(*[x for t, r in REQUIREMENTS.items() for x in (F.lit(t), F.array(*[F.lit(v) for v in r]))]), F.col("question_type")), F.array(F.lit("native_shape_known")))
+    assets = F.coalesce(F.filter("assets", lambda a: a["required"]), F.filter(F.col("assets"), lambda a: F.lit(False)), F.array().cast(questions.schema["assets"].dataType))
+    own = questions.select(
+        "id", "parent_id", (~F.array_contains(need, "native_shape_known")).alias("known"), "expected_children",
+        (F.size(need) + F.size(assets)).alias("own_n"), (F.size(F.array_intersect(need, "has")) + F.size(F.filter(assets, lambda a: a["present"]))).alias("own_ok"),
+    )
+
+    def result(counts: DataFrame) -> DataFrame:
+        counted = F.col("expected_children").isNotNull()
+        n = F.col("own_n") + F.col("parts") + F.when(counted, 1).otherwise(0)
+        ok = F.col("own_ok") + F.col("good") + F.when(counted & (F.col("parts") == F.col("expected_children")), 1).otherwise(0)
+        filled = own.join(counts, "id", "left").fillna(0, ["parts", "good"]) if counts is not None else own.withColumn("parts", F.lit(0)).withColumn("good", F.lit(0))
+        return filled.withColumn("requirements", n.cast("long")).withColumn("satisfied", ok.cast("long")).select("id", "parent_id", "requirements", "satisfied", *_status(F.col("known")))
+
+    found = result(None)
+    for _ in range(levels):
+        parts = found.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("parts"), F.count_if(F.col("status") == "complete").alias("good"))
+        found = result(parts)
+    return found
+
+
+def container_completeness(results: DataFrame, containers: DataFrame) -> DataFrame:
+    """(container, requirements, satisfied, percentage, status) over the results (container, status) of its top questions;
+    containers are (container, expected int). Without a positive expected number the coverage is unknown."""
+    counts = results.groupBy("container").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "complete").alias("good"))
+    all_ = containers.join(counts, "container", "left").fillna(0, ["n", "good"])
+    counted = F.col("expected").isNotNull()
+    met = counted & (F.col("n") == F.col("expected"))
+    out = all_.withColumn("requirements", F.col("n") + F.when(counted, 1).otherwise(0)).withColumn("satisfied", F.col("good") + F.when(met, 1).otherwise(0))
+    return out.select("container", "requirements", "satisfied", *_status(F.coalesce(F.col("expected") > 0, F.lit(False))))
 
 
 def system_coverage(rows: DataFrame) -> DataFrame:
@@ -93,8 +127,48 @@ def quality_claims(rows: DataFrame, evidence_for: dict[str, tuple[str, ...]]) ->
     return rows.select("id", "claim", problem.alias("problem")).where("problem is not null")
 
 
+#: Labels of evidence that changes of quality may rest on, by group (fixed values).
+_SOURCES = ("copied_snapshot", "isolated_real_data", "full_source_validation", "deployed_target_validation")
+EVIDENCE = {
+    "static": ("static_inspection", "synthetic_fixture", *_SOURCES), "authoritative": _SOURCES, "counted": (*_SOURCES, "synthetic_fixture"),
+    "hash": ("copied_snapshot", "isolated_real_data", "full_source_validation"), "render": ("isolated_real_data", "full_source_validation"),
+}
+#: Permitted changes: dimension, before, after, group of evidence, what the context must hold (fixed values).
+TRANSITIONS = (
+    ("content", "unknown", "missing", "static", None), ("content", "unknown", "partial", "static", None), ("content", "unknown", "complete", "counted", "denominator_known"),
+    ("content", "missing", "partial", "static", None), ("content", "partial", "complete", "counted", "denominator_known"), ("content", "complete", "partial", "static", None), ("content", "partial", "missing", "static", None),
+    ("answer_presence", "unknown", "present", "static", "answer_value_present"), ("answer_presence", "unknown", "missing", "static", "missing_slot_marked"),
+    ("answer_presence", "present", "missing", "static", "missing_slot_marked"), ("answer_presence", "missing", "present", "authoritative", "answer_value_present"),
+    ("answer_verification", "unknown", "unverified", "static", None), ("answer_verification", "unverified", "source_verified", "authoritative", None),
+    ("answer_verification", "unverified", "conflicting", "static", "conflict_candidates_present"), ("answer_verification", "conflicting", "manual_adjudicated", "static", "manual_decision_present"),
+    ("answer_verification", "source_verified", "conflicting", "authoritative", "conflict_candidates_present"), ("answer_verification", "manual_adjudicated", "source_verified", "authoritative", None),
+    ("assets", "unknown", "external_only", "static", None), ("assets", "unknown", "missing", "static", "required_asset_missing"), ("assets", "unknown", "embedded", "hash", "asset_hash_present"),
+    ("assets", "external_only", "embedded", "hash", "asset_hash_present"), ("assets", "embedded", "missing", "static", "required_asset_missing"), ("assets", "unknown", "not_applicable", "static", "no_required_assets"),
+    ("audio_integrity", "unknown", "unverified", "static", None), ("audio_integrity", "unverified", "hash_verified", "hash", "asset_hash_present"),
+    ("audio_integrity", "hash_verified", "hash_mismatch", "hash", "hash_mismatch_observed"), ("audio_integrity", "unknown", "not_applicable", "static", "no_required_assets"),
+    ("audio_alignment", "unknown", "unverified", "static", None), ("audio_alignment", "unverified", "verified", "render", "alignment_evidence_present"),
+    ("audio_alignment", "verified", "unverified", "static", None), ("audio_alignment", "unknown", "not_applicable", "static", "no_required_assets"),
+    ("region_verification", "unknown", "unverified", "static", None), ("region_verification", "unverified", "verified", "render", "region_evidence_present"),
+    ("region_verification", "verified", "unverified", "static", None), ("region_verification", "unknown", "not_applicable", "static", "no_regions"),
+)
+#: Bases that never justify a change (fixed values).
+FORBIDDEN_BASIS = ("http_status_only", "two_unofficial_sources_agree", "filename_similarity", "title_similarity", "row_number", "hash_implies_alignment", "fixture_implies_real")
+
+
+def transition_table(spark: SparkSession) -> DataFrame:
+    """(dimension, before, after, evidence array, requires) of the permitted changes."""
+    rows = [(d, a, b, list(EVIDENCE[e]), r) for d, a, b, e, r in TRANSITIONS]
+    return spark.createDataFrame(rows, "dimension string, before string, after string, evidence array<string>, requires string")
+
+
 def transitions(rows: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Whether each change (id, before, after, basis) is listed (before, after, needs_basis) and has the basis it needs."""
-    j = rows.join(F.broadcast(allowed.limit(1000)), ["before", "after"], "left")
-    verdict = F.when(F.col("needs_basis").isNull(), "forbidden").when(F.col("needs_basis") & F.col("basis").isNull(), "basis_missing").otherwise("permitted")
-    return j.select("id", verdict.alias("verdict"))
+    """(id, allowed, reason) of changes (id, dimension, before, after, label, context array<string>, basis): against the table
+    of permitted changes, of any size, their evidence, what they require of the context, and bases that never count."""
+    j = rows.join(allowed, ["dimension", "before", "after"], "left")
+    reason = (
+        F.when(F.col("basis").isin(*FORBIDDEN_BASIS), "forbidden_basis").when(F.col("basis").isNotNull(), "unrecognised_basis")
+        .when(F.col("before") == F.col("after"), "no_change").when(F.col("evidence").isNull(), "not_in_table")
+        .when(~F.array_contains("evidence", F.col("label")), "evidence_not_accepted")
+        .when(F.col("requires").isNotNull() & ~F.coalesce(F.array_contains("context", F.col("requires")), F.lit(False)), "requirement_not_satisfied").otherwise("permitted")
+    )
+    return j.select("id", reason.isin("no_change", "permitted").alias("allowed"), reason.alias("reason"))

@@ -1,12 +1,10 @@
-"""Language-test listings: question filters, resolution of tests, alignment end to end, and explanation reviews."""
+"""Language-test listings: question filters, resolution of tests, and explanation reviews."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperglass.operators.answers import confidence, review_reasons, select_windows, transcript_candidates
-
 
 def filter_questions(rows: DataFrame, equal: dict[str, object], limit: int, offset: int, order: list[str]) -> DataFrame:
     """A page of the questions whose columns equal the given values, with the count of each skill among all of them."""
@@ -32,24 +30,6 @@ def resolve_tests(manifest: DataFrame, questions: DataFrame, answers: DataFrame,
     return out.select(*key, F.size(have).cast("long").alias("questions"), F.coalesce("answered", F.lit(0)).alias("answered"), F.coalesce("recordings", F.lit(0)).alias("recordings"), F.array_except(wanted, have).alias("missing"), F.array_except(have, wanted).alias("unexpected"))
 
 
-def align(segments: DataFrame, questions: DataFrame, clocks: DataFrame, part: str, identity_valid: Column) -> DataFrame:
-    """(part, number, start_sec, score, status, reasons): each question's window in its part's transcript.
-
-    Candidates are segments with the answer's tokens; windows are chosen in order; an alignment is aligned if nothing
-    speaks against it, needs_review otherwise, and unaligned without a window. Segments are (part, seq, start_sec, end_sec,
-    text), questions (part, number, answer), clocks (part, clock_valid).
-    """
-    found = transcript_candidates(segments, questions.withColumnRenamed("number", "question"), part)
-    windows = found.join(segments.select(part, "seq", "start_sec", "end_sec"), [part, "seq"]).select(part, F.col("question").cast("long").alias("number"), "start_sec", "end_sec", F.col("score").alias("context_score"))
-    chosen = select_windows(windows, part)
-    best = windows.groupBy(part, "number", "start_sec").agg(F.max("context_score").alias("anchor"))
-    j = questions.select(part, F.col("number").cast("long").alias("number")).join(chosen, [part, "number"], "left").join(best, [part, "number", "start_sec"], "left").join(clocks, part, "left").withColumn("_id", identity_valid)
-    clock, anchor = F.coalesce("clock_valid", F.lit(False)), F.coalesce("anchor", F.lit(0.0))
-    reasons = review_reasons(F.col("_id"), clock, anchor, F.col("margin"))
-    status = F.when(F.col("start_sec").isNull(), "unaligned").when(F.size(reasons) == 0, "aligned").otherwise("needs_review")
-    return j.select(part, "number", "start_sec", F.round(confidence(F.col("_id"), clock, anchor, F.lit(None).cast("double"), F.col("margin")), 4).alias("score"), status.alias("status"), reasons.alias("reasons"))
-
-
 def review_explanations(explanations: DataFrame, tasks: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(explanations, tasks, audit) after decisions (id, status, reviewer): legal ones change the status, close open
     stale-source tasks and leave an audit row."""

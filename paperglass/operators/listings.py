@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperglass.functions import papers as P
+from paperglass.functions import text as X
+
 
 def materials(items: DataFrame, board: str | None = None, subject: str | None = None, kind: str | None = None, candidate_facing: bool | None = None) -> DataFrame:
     """Materials (subjects array, versions array) by board, one of their subjects, kind and audience, with counts."""
@@ -187,23 +191,72 @@ def assembled(parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
     return out
 
 
+def _repaired(rows: pd.DataFrame) -> pd.DataFrame:
+    rows, seen, out = rows.sort_values("position"), set(), []
+    for code, topic in zip(rows["code"], rows["topic"], strict=True):
+        new = "".join(code.split()).replace("–", "-")
+        major, _, minor = new.partition(".")
+        if topic and minor and major != topic:
+            new = f"{topic}.{minor}"
+        if new in seen:
+            base, _, minor = new.partition(".")
+            free = int(minor) + 1 if minor.isdigit() else 2
+            while f"{base}.{free}" in seen:
+                free += 1
+            new = f"{base}.{free}"
+        seen.add(new)
+        out.append(new)
+    return rows.assign(repaired=out)[["unit", "position", "code", "repaired"]]
+
+
 def code_repairs(points: DataFrame) -> DataFrame:
-    """Repeated codes of a unit moved to the next free minor numbers after its highest, in reading order.
+    """(unit, position, code, repaired) of points (unit string, topic string, code string, position long), in reading order.
+
+    A code whose major number is not its topic's takes that of the topic; one that an earlier code of the unit has moves to
+    the next minor number that none has yet. What is free depends on all repairs before, so a unit, the chapters of one
+    specification, is walked in order in one group.
+    """
+    rows = points.select("unit", "topic", "code", "position").where("code is not null")
+    return rows.groupBy("unit").applyInPandas(_repaired, "unit string, position long, code string, repaired string")
+
+
+#: Fewer characters are no transcript; words a second of a recording that fit its transcript (fixed values).
+MIN_CHARS, SPEED = 200, (1.0, 4.5)
+
+
+def transcript_choice(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The transcript of each part, and how the others speak for or against it; and the transcripts that were refused.
 
-    Points are (unit, topic, major int, minor int, position); a major that differs from the topic's is set to it first.
+    Rows are (key, source, text, identity_ok boolean, duration_sec double). Empty texts, pages of errors and advertisements,
+    texts of another part and short ones are refused. Of the others the first is taken of those that do not break off, then of
+    the longest. The part is ok, in review where a head or tail differs or another text goes on, partial where it breaks
+    off, missing without any; an ok part whose speed does not fit its recording is reviewed.
     """
-    fixed = points.withColumn("major", F.coalesce("topic", "major"))
-    top = Window.partitionBy("unit", "major")
-    n = F.row_number().over(Window.partitionBy("unit", "major", "minor").orderBy("position"))
-    marked = fixed.withColumn("_top", F.max("minor").over(top)).withColumn("_again", n > 1)
-    bump = F.sum(F.when(F.col("_again"), 1).otherwise(0)).over(top.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("_bump", bump).withColumn("minor", F.when(F.col("_again"), F.col("_top") + F.col("_bump")).otherwise(F.col("minor")).cast("int")).drop("_top", "_again", "_bump")
-
-
-def transcript_choice(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The transcript of each part: not cut off before cut off, then the longest, then by source; and how many others there are."""
-    best = F.max_by(F.struct("source", "text"), F.struct(~F.col("truncated"), F.length("text"), "source"))
-    return rows.groupBy(*key).agg(best.alias("r"), (F.count("*") - 1).alias("others")).select(*key, "r.source", "r.text", "others")
+    q = X.text_quality(F.col("text"))
+    refused = (
+        F.when(q["chars"] == 0, "empty").when(q["html_like"], "html_error_page").when(q["ad_like"], "advertisement_scaffold")
+        .when(~F.coalesce("identity_ok", F.lit(True)), "identity_mismatch").when(q["chars"] < MIN_CHARS, "too_short")
+    )
+    judged = rows.select(*key, "source", "text", "duration_sec", q["chars"].alias("chars"), q["words"].alias("n_words"), q["tail_ellipsis"].alias("cut"), refused.alias("rejected"))
+    usable = judged.where("rejected is null").withColumn("words", P.transcript_words(F.col("text")))
+    order = Window.partitionBy(*key).orderBy("cut", F.desc("chars"), "source")
+    ranked = usable.withColumn("rank", F.row_number().over(order))
+    chosen = ranked.where("rank = 1").select(*key, "source", "text", "cut", "n_words", "words")
+    others = ranked.where("rank > 1").select(*key, F.col("words").alias("w"))
+    a, b = F.col("words"), F.col("w")
+    tail, head = P.tail_relation(a, b), P.head_relation(a, b)
+    seen = chosen.join(others, key).groupBy(*key).agg(
+        F.count("*").alias("others"), F.bool_or(tail.isin("differ", "extended_by") | (head == "differ")).alias("against"),
+        F.bool_or(P.holds(b, P.tail_words(a), back=3)).alias("tails"), F.bool_or(P.holds(b, P.head_words(a), front=3, least=8)).alias("heads"),
+    )
+    length = judged.groupBy(*key).agg(F.max("duration_sec").alias("duration_sec"))
+    j = length.join(chosen.drop("words"), key, "left").join(seen, key, "left")
+    speed = F.round(F.col("n_words") / F.when(F.col("duration_sec") > 0, F.col("duration_sec")), 2)
+    status = F.when(F.col("source").isNull(), "missing").when(F.coalesce("against", F.lit(False)), "review").when(F.col("cut"), "partial").otherwise("ok")
+    slow = (status == "ok") & ~F.coalesce(speed.between(*SPEED), F.lit(True))
+    basis = F.when(status == "ok", F.when(F.col("tails"), "cross_source_agreement").when(F.col("heads"), "cross_source_prefix_agreement").otherwise("single_source_signals"))
+    parts = j.select(*key, "source", "text", F.coalesce("others", F.lit(0)).alias("others"), F.when(slow, "review").otherwise(status).alias("status"), basis.alias("complete_basis"), speed.alias("words_per_sec"))
+    return parts, judged.where("rejected is not null").select(*key, "source", "rejected")
 
 
 def audio_variants(probes: DataFrame) -> DataFrame:

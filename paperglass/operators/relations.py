@@ -78,8 +78,16 @@ def resolve_answers(questions: DataFrame, entries: DataFrame, official: DataFram
     return out.select("id", mode.alias("mode"), path.alias("source_path"), F.coalesce("own", "above.text", "below").alias("answer"))
 
 
-#: Lower-case roman numerals to twenty, in order (fixed values).
-ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split()
+def _roman(n: int) -> str:
+    out = ""
+    for value, sign in ((50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out += sign * (n // value)
+        n %= value
+    return out
+
+
+#: Lower-case roman numerals by value; sub-labels beyond them sort by their letters behind all numerals.
+ROMAN = [_roman(n) for n in range(1, 90)]
 
 
 def path_key(path: Column) -> Column:
@@ -90,7 +98,7 @@ def path_key(path: Column) -> Column:
     def part(p: Column, i: Column) -> Column:
         roman = F.array_position(order, p)
         number = F.when(p.rlike(r"^\d+$"), p.cast("int")).when((i >= 2) & (roman > 0), roman.cast("int"))
-        return F.struct(F.coalesce(number, F.lit(0)).alias("n"), p.alias("s"))
+        return F.struct(F.coalesce(number, F.when(i >= 2, len(ROMAN) + 1).otherwise(0)).alias("n"), p.alias("s"))
 
     return F.transform(parts, part)
 
@@ -125,13 +133,25 @@ def pairing(files: DataFrame, key: list[str], role: str, first: str, second: str
     return files.groupBy(*key).agg(*n).withColumn("status", state)
 
 
+#: Ranges up to which they are broadcast.
+SHORT = 1_000
+
+
 def range_lookup(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, name: str) -> DataFrame:
-    """Rows with the name of the closed range that holds the value; null outside all. `ranges` is a short fixed table, as
-    its size check asserts; a longer one has to be joined by a bucket of the value."""
-    short = ranges.limit(1001)
-    if short.count() > 1000:
-        raise ValueError("more than 1000 ranges: join by a bucket of the value")
-    return rows.join(F.broadcast(ranges), F.col(value).between(F.col(low), F.col(high)), "left").drop(low, high)
+    """Rows with the name of the closed range that holds the value; null outside all. Ranges do not overlap.
+
+    A short table of ranges is broadcast. Of a longer one each range is put into the buckets of the value that it touches,
+    as many buckets as ranges, and rows meet it there.
+    """
+    if ranges.limit(SHORT + 1).count() <= SHORT:
+        return rows.join(F.broadcast(ranges), F.col(value).between(F.col(low), F.col(high)), "left").drop(low, high)
+    span = ranges.agg(F.min(low).alias("lo"), F.max(high).alias("hi"), F.count("*").alias("n")).first()
+    width = max(1, -(-(span["hi"] - span["lo"] + 1) // span["n"]))
+    place = lambda c: F.floor((c - span["lo"]) / width)
+    held = ranges.select(name, low, high, F.explode(F.sequence(place(F.col(low)), place(F.col(high)))).alias("_b"))
+    keyed = rows.withColumn("_b", F.when(F.col(value).between(span["lo"], span["hi"]), place(F.col(value))))
+    inside = F.col(value).between(F.col(low), F.col(high)) & (keyed["_b"] == held["_b"])
+    return keyed.join(held, inside, "left").drop(low, high, "_b")
 
 
 def symmetric_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -162,17 +182,24 @@ def ancestor_nodes(nodes: DataFrame, levels: int = 8) -> DataFrame:
     return out
 
 
-def apply_overrides(rows: DataFrame, overrides: DataFrame, field: str, version: str) -> DataFrame:
-    """`field` of rows (id, field) replaced by active overrides (target_id, value, source_value, applies_to array).
+def apply_overrides(rows: DataFrame, overrides: DataFrame, field: str, version: str, target_type: str = "question") -> DataFrame:
+    """`field` of rows (id, field) replaced by active overrides (id, target_type, target_id, field_path, value, source_value,
+    applies_to array, active) of this type and field, with `overridden` and `conflict`.
 
-    An override applies to `*` or to a listed version, and only if its baseline still is the current value; else the row
-    keeps its value and is marked as a conflict.
+    Overrides of one target count in the order of their ids, each against what the one before has left. One applies if its
+    versions are missing, hold `*` or the version, and its baseline is the value then; else it is a conflict and the value stays.
     """
-    own = overrides.where("active").select(F.col("target_id").alias("id"), "value", "source_value", (F.array_contains("applies_to", "*") | F.array_contains("applies_to", version)).alias("_applies"))
-    joined = rows.join(own, "id", "left")
-    fits = F.coalesce("_applies", F.lit(False))
-    same = F.col("source_value").eqNullSafe(F.col(field))
-    return joined.select("id", F.when(fits & same, F.col("value")).otherwise(F.col(field)).alias(field), (fits & ~same).alias("conflict"))
+    own = overrides.where(F.col("active") & (F.col("target_type") == target_type) & (F.col("field_path") == field))
+    applies = F.col("applies_to").isNull() | (F.size("applies_to") == 0) | F.array_contains("applies_to", "*") | F.array_contains("applies_to", version)
+    lists = own.groupBy(F.col("target_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("n"), "value", "source_value", applies.alias("applies")))).alias("_own"))
+    start = F.struct(F.col(field).alias("value"), F.lit(False).alias("overridden"), F.lit(False).alias("conflict"))
+
+    def step(acc: Column, o: Column) -> Column:
+        fits = o["applies"] & o["source_value"].eqNullSafe(acc["value"])
+        return F.struct(F.when(fits, o["value"]).otherwise(acc["value"]).alias("value"), (acc["overridden"] | fits).alias("overridden"), (acc["conflict"] | ~fits).alias("conflict"))
+
+    done = F.aggregate(F.coalesce("_own", F.array().cast(lists.schema["_own"].dataType)), start, step)
+    return rows.join(lists, "id", "left").withColumn("_done", done).select("id", F.col("_done.value").alias(field), "_done.overridden", "_done.conflict")
 
 
 def reattach(lost: DataFrame, questions: DataFrame, key: list[str]) -> DataFrame:

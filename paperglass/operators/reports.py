@@ -75,12 +75,22 @@ def marks_rollup(questions: DataFrame) -> DataFrame:
     return joined.select("id", "declared", "children", status.alias("status"))
 
 
-def paper_tree(questions: DataFrame) -> DataFrame:
-    """(paper_id, tree): the roots of each paper with their children as an array, in display order."""
-    own = F.struct("display_order", "id", "number_path")
-    children = questions.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(own)).alias("children"))
-    roots = questions.where("parent_id is null").join(children, "id", "left")
-    return roots.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("display_order", "id", "number_path", "children"))).alias("tree"))
+def paper_tree(questions: DataFrame, levels: int = 4) -> DataFrame:
+    """(paper_id, tree): the roots of each paper, each with its children and theirs, down `levels` levels below the roots, in
+    display order. Questions deeper than that raise an error when the tree is read, so none is lost without a word."""
+    own = ["display_order", "id", "number_path"]
+    nodes = questions.select("paper_id", "parent_id", *own)
+    below = None
+    for _ in range(levels):
+        held = nodes if below is None else nodes.join(below, "id", "left")
+        fields = own if below is None else [*own, "children"]
+        below = held.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("children"))
+    depth = F.size(F.split(F.col("number_path"), r"\(")) - 1
+    fits = F.when(F.max(depth) > levels, F.raise_error(F.lit(f"a question is more than {levels} levels deep"))).otherwise(F.lit(True))
+    roots = nodes.where("parent_id is null").join(below, "id", "left")
+    trees = roots.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(*own, "children"))).alias("tree"))
+    checked = nodes.groupBy("paper_id").agg(fits.alias("fits"))
+    return trees.join(checked, "paper_id").where("fits").select("paper_id", "tree")
 
 
 def snapshot(questions: DataFrame, entries: DataFrame, assets: DataFrame) -> DataFrame:
@@ -102,18 +112,23 @@ TOLERANCES = {"questions": 0.05, "roots": 0.05, "marks_sum": 0.05, "assets": 0.1
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "paper_id") -> DataFrame:
-    """(key, field, before, after, delta, ratio, regression): fields that differ between two snapshots of a document."""
+    """(key, field, before, after, delta, ratio, regression, reason): fields that differ between two snapshots of a document.
+
+    A document that one side lacks has zeros there. It is a regression if a value falls beyond its tolerance, if links or
+    questions fall to zero, or if repeated paths grow."""
     fields = [*TOLERANCES, "duplicate_paths"]
 
     def long(df: DataFrame, name: str) -> DataFrame:
         return df.unpivot([key], fields, "field", name)
 
-    both = long(before, "before").join(long(after, "after"), [key, "field"]).where("before <> after")
+    both = long(before, "before").join(long(after, "after"), [key, "field"], "full_outer").fillna(0, ["before", "after"]).where("before <> after")
     tolerance = F.element_at(F.create_map(*[F.lit(x) for kv in TOLERANCES.items() for x in kv]), F.col("field"))
     fell = (F.col("before") > 0) & (F.col("after") < F.col("before") * (1 - tolerance))
-    worse = F.when(F.col("field") == "duplicate_paths", F.col("after") > F.col("before")).otherwise(F.coalesce(fell, F.lit(False)))
+    gone = F.col("field").isin("entries_linked", "questions") & (F.col("before") > 0) & (F.col("after") == 0)
+    grew = (F.col("field") == "duplicate_paths") & (F.col("after") > F.col("before"))
+    reason = F.when(gone, F.concat(F.col("field"), F.lit("_to_zero"))).when(fell, "dropped").when(grew, "duplicates_up")
     base = F.greatest(F.abs("before"), F.lit(1))
-    return both.select(key, "field", "before", "after", (F.col("after") - F.col("before")).alias("delta"), F.round((F.col("after") - F.col("before")) / base, 4).alias("ratio"), worse.alias("regression"))
+    return both.select(key, "field", "before", "after", (F.col("after") - F.col("before")).alias("delta"), F.round((F.col("after") - F.col("before")) / base, 4).alias("ratio"), reason.isNotNull().alias("regression"), reason.alias("reason"))
 
 
 def agreement(a: DataFrame, b: DataFrame, group: str) -> DataFrame:

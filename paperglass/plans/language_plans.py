@@ -14,30 +14,6 @@ from paperglass.operators import listings as L
 from paperglass.plans.registry import query
 from paperglass.plans.roles import Roles
 
-_SIGNS = {"first": {r"(?i)\bthe\b": 1.0, r"(?i)\bwith\b": 0.5}, "second": {r"(?i)\bder\b": 1.5}, "third": {r"(?i)\bles\b": 1.5, r"(?i)\bdans\b": 0.5}}
-
-
-@query("""
-WITH s AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\\bwith\\b') THEN 0.5 ELSE 0 END AS a,
-  CASE WHEN regexp_matches(text, '(?i)\\bder\\b') THEN 1.5 ELSE 0 END AS b, CASE WHEN regexp_matches(text, '(?i)\\bles\\b') THEN 1.5 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\\bdans\\b') THEN 0.5 ELSE 0 END AS c FROM documents)
-SELECT doc_id, CASE WHEN c > 0 AND c >= a AND c >= b THEN 'third' WHEN b > 0 AND b >= a THEN 'second' WHEN a > 0 THEN 'first' END AS type,
-  CASE WHEN a + b + c > 0 THEN CAST(round(greatest(a, b, c) / (a + b + c), 4) AS DOUBLE) END AS confidence FROM s
-""", with_roles=False)
-def x12_content_type(r: Roles):
-    t = P.content_type(F.col("text"), _SIGNS)
-    return r.table("documents").select("doc_id", t["type"].alias("type"), t["confidence"].alias("confidence"))
-
-
-@query("""
-SELECT id, coalesce(a, b) AS type, CASE WHEN a = b THEN 0.9 WHEN b IS NULL AND a IS NOT NULL THEN 0.7 WHEN a IS NULL AND b IS NOT NULL THEN 0.9 WHEN a IS NOT NULL THEN 0.35 ELSE 0.0 END AS confidence,
-  CASE WHEN a IS NULL AND b IS NULL THEN 'unknown' WHEN b IS NULL THEN 'label_only' WHEN a IS NULL THEN 'content_only' WHEN a = b THEN 'agree' ELSE 'conflict' END AS outcome
-FROM (SELECT id, CASE WHEN id % 4 <> 0 THEN doc_type END AS a, CASE WHEN id % 5 <> 0 THEN CASE WHEN id % 7 = 0 THEN 'examiner_report' ELSE doc_type END END AS b FROM paper)
-""")
-def x13_reconcile_type(r: Roles):
-    a = F.when(F.col("id") % 4 != 0, F.col("doc_type"))
-    b = F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 7 == 0, "examiner_report").otherwise(F.col("doc_type")))
-    kind, conf, outcome = P.reconcile_type(a, F.lit(0.7), b, F.lit(0.9))
-    return r.papers().select("id", kind.alias("type"), conf.alias("confidence"), outcome.alias("outcome"))
 
 
 @query("""
@@ -70,43 +46,12 @@ def x18_unit_code(r: Roles):
     return r.table("part").select("p_partkey", P.unit_code(attrs, F.concat(F.lit("WBI"), F.col("p_size").cast("string"), F.lit("/01"))).alias("unit"))
 
 
-@query("SELECT p_partkey, CAST(1 + p_size % 2 AS BIGINT) AS n_m, CAST(1 AS BIGINT) AS n_a, p_size % 5 = 0 AS ecf FROM part", with_roles=False)
-def x19_mark_codes(r: Roles):
-    text = F.concat(F.lit("M1 for method "), F.when(F.col("p_size") % 2 == 1, "M2 ").otherwise(""), F.lit("A1 answer"), F.when(F.col("p_size") % 5 == 0, " ecf").otherwise(""))
-    c = X.mark_codes(text)
-    return r.table("part").select("p_partkey", c["n_m"].alias("n_m"), c["n_a"].alias("n_a"), c["ecf"].alias("ecf"))
-
-
-@query("SELECT p_partkey, lower(p_name) AS answer FROM part", with_roles=False)
-def x21_normalize_answer(r: Roles):
-    return r.table("part").select("p_partkey", X.normalize_answer(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ."))).alias("answer")).select("p_partkey", F.trim("answer").alias("answer"))
-
-
-@query()
-def x22_expand_variants(r: Roles):
-    return r.table("part").select("p_partkey", X.variants(F.concat(F.lit("(the) "), "p_name", F.lit(" / "), "p_type")).alias("variants"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size <= 12 THEN CAST(p_size AS VARCHAR) ELSE CAST(1000 + p_size AS VARCHAR) END AS form FROM part", with_roles=False)
-def x23_number_forms(r: Roles):
-    words = F.array(*[F.lit(w) for w in X.NUMBER_WORDS])
-    text = F.when(F.col("p_size") <= 12, F.get(words, F.col("p_size"))).otherwise(F.concat(F.lit("1,0"), F.col("p_size").cast("string")))
-    return r.table("part").select("p_partkey", X.number_form(text).alias("form"))
-
-
 @query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'ms' ELSE 's' END AS unit FROM events GROUP BY user_id", with_roles=False)
 def x27_clock_units(r: Roles):
     t = (F.col("event_id") % 50 + 50.0) * F.when(F.col("user_id") % 2 == 0, 1000).otherwise(1)
     return P.clock_scale(r.table("events").select("user_id", t.alias("t"), F.lit(100.0).alias("d")), ["user_id"], "t", "d").select("user_id", "unit")
 
 
-@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'inside' ELSE 'different' END AS relation FROM benchmark", with_roles=False)
-def x31_head_tail(r: Roles):
-    k = F.col("item_id") % 3
-    other = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("before this "), "text", F.lit(" and after"))).otherwise("nothing of it")
-    return r.table("benchmark").select("item_id", P.head_tail(F.col("text"), other).alias("relation"))
-
-
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'fill_blank' WHEN 2 THEN 'true_false_not_given' ELSE 'matching' END AS kind, p_size % 4 = 0 AND p_partkey % 2 = 0 OR p_size % 4 = 3 AND p_partkey % 2 = 0 AS conflict FROM part", with_roles=False)
 def x33_question_types(r: Roles):
     m = F.col("p_size") % 4
@@ -116,11 +61,6 @@ def x33_question_types(r: Roles):
     return r.table("part").select("p_partkey", kind.alias("kind"), conflict.alias("conflict"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 'R' WHEN contains(p_name, 'ring') THEN 'G' END AS region FROM part", with_roles=False)
-def x34_regions(r: Roles):
-    return r.table("part").select("p_partkey", F.when(F.contains("p_name", F.lit("red")), "R").otherwise(P.region_of(F.col("p_name"), {"ring": "G"})).alias("region"))
-
-
 @query("SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), 2, '0') AS number FROM part", with_roles=False)
 def x35_paper_numbers(r: Roles):
     return r.table("part").select("p_partkey", X.paper_number(F.concat(F.lit("Paper "), F.col("p_size").cast("string"))).alias("number"))
@@ -132,13 +72,6 @@ def x36_quality_claims(r: Roles):
     return C.quality_claims(rows, {"BUILDING": ("book",), "MACHINERY": ("scan", "ocr")}).select(F.col("id").alias("c_custkey"), "claim", "problem")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'permitted' ELSE 'basis_missing' END WHEN o_orderstatus = 'O' THEN 'permitted' ELSE 'forbidden' END AS verdict FROM orders", with_roles=False)
-def x37_transitions(r: Roles):
-    rows = r.table("orders").select(F.col("o_orderkey").alias("id"), F.lit("raw").alias("before"), F.col("o_orderstatus").alias("after"), F.when(F.col("o_orderkey") % 2 == 0, "note").alias("basis"))
-    allowed = r.spark.createDataFrame([("raw", "F", True), ("raw", "O", False)], "before string, after string, needs_basis boolean")
-    return C.transitions(rows, allowed).select(F.col("id").alias("o_orderkey"), "verdict")
-
-
 @query("SELECT event_id AS id, user_id FROM events WHERE event_type = 'error' ORDER BY user_id, event_id LIMIT 50", with_roles=False)
 def f15_review_queue(r: Roles):
     t = r.table("events").select(F.col("event_id").alias("id"), "user_id", F.col("user_id").alias("priority"), F.when(F.col("event_type") == "error", "open").otherwise("done").alias("status"))
@@ -163,24 +96,6 @@ def f32_specification_pick(r: Roles):
     return L.specification_pick(p, "p_brand", "title", "url", "https://site.example/").select("p_brand", "p_partkey", "url")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'book_mismatch' WHEN o_orderkey % 5 = 0 THEN 'skill_mismatch' END AS rejected FROM orders", with_roles=False)
-def j18_identity_gate(r: Roles):
-    k = F.col("o_orderkey")
-    rows = r.table("orders").select("o_orderkey", F.lit(1).alias("book"), F.lit(1).alias("test"), F.lit("r").alias("skill"), F.lit(None).cast("string").alias("variant"), F.when(k % 3 == 0, 2).otherwise(1).alias("want_book"), F.lit(1).alias("want_test"), F.when(k % 5 == 0, "l").otherwise("r").alias("want_skill"), F.lit("A").alias("want_variant"))
-    return A.identity_gate(rows).select("o_orderkey", "rejected")
-
-
-@query("""
-WITH s AS (SELECT conv_id, turn AS seq, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS found FROM conversations),
-q AS (SELECT conv_id, turn AS question, list_distinct(list_filter(regexp_split_to_array(lower(split_part(text, '.', 1)), '[^a-z0-9]+'), lambda w: w <> '')) AS needed FROM conversations),
-p AS (SELECT s.conv_id, question, seq, round(len(list_filter(needed, lambda w: list_contains(found, w))) / len(needed), 4) AS score FROM s JOIN q USING (conv_id) WHERE len(needed) > 0)
-SELECT conv_id, question, seq, score FROM p WHERE score >= 0.9
-""", with_roles=False)
-def j19_transcript_candidates(r: Roles):
-    c = r.table("conversations")
-    return A.transcript_candidates(c.select("conv_id", F.col("turn").alias("seq"), "text"), c.select("conv_id", F.col("turn").alias("question"), F.substring_index("text", ".", 1).alias("answer")), "conv_id")
-
-
 @query("SELECT 'm' || c_nationkey AS scope, c_custkey AS public_id, CASE WHEN c_custkey % 4 = 0 THEN 'manifest_id_not_published' ELSE 'manifest_id_wrong_scope' END AS code FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 6 = 1", with_roles=False)
 def j30_scope_problems(r: Roles):
     c = r.table("customer").select(F.concat(F.lit("m"), F.col("c_nationkey").cast("string")).alias("scope"), F.col("c_mktsegment").alias("system"), F.lit("k").alias("kind"), F.col("c_custkey").alias("public_id"))
@@ -200,28 +115,6 @@ def j27_resolve_tests(r: Roles):
     return out.select("paper_id", "questions", "answered", F.col("missing").cast("array<bigint>").alias("missing"))
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'aligned' WHEN 'P' THEN 'needs_review' ELSE 'unaligned' END AS status FROM orders) GROUP BY 1", with_roles=False)
-def a30_alignment_counts(r: Roles):
-    s = F.when(F.col("o_orderstatus") == "F", "aligned").when(F.col("o_orderstatus") == "P", "needs_review").otherwise("unaligned")
-    return r.table("orders").select(s.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS pass FROM part", with_roles=False)
-def a28_group_grading(r: Roles):
-    m = F.col("p_size") % 4
-    given = F.when(m == 1, F.array(F.lit("b"), F.lit("b"))).otherwise(F.array(F.lit("B "), F.lit("a")))
-    scoring = F.when(m == 0, "set").when(m == 1, "set").when(m == 2, "any_of").otherwise("ordered")
-    return r.table("part").select("p_partkey", A.grade_group(given, F.array(F.lit("a"), F.lit("b")), F.lit(2), scoring).alias("pass"))
-
-
-@query()
-def g9_align_questions(r: Roles):
-    c = r.table("conversations").select("conv_id", F.col("turn").alias("seq"), (F.col("turn") * 20.0).alias("start_sec"), (F.col("turn") * 20.0 + 15).alias("end_sec"), "text")
-    q = c.select("conv_id", F.col("seq").alias("number"), F.substring_index("text", ".", 1).alias("answer"))
-    clocks = c.select("conv_id").distinct().withColumn("clock_valid", F.col("conv_id") % 5 != 0)
-    return N.align(c, q, clocks, "conv_id", F.col("conv_id") % 7 != 0)
-
-
 @query("SELECT id, before, CASE WHEN id % 3 = 0 THEN 'approved' ELSE 'rejected' END AS after FROM (SELECT o_orderkey AS id, o_orderstatus AS before FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0)", with_roles=False)
 def g11_explanation_review(r: Roles):
     k = F.col("id")

@@ -150,12 +150,6 @@ def j28_assembled_sets(r: Roles):
     return L.assembled({"c": c, "s": s}, ["k"]).select("k", F.col("c.n").alias("customers"), F.col("s.n").alias("suppliers"))
 
 
-@query("SELECT user_id, arg_max(event_type, (event_type <> 'error', length(props), event_type)) AS source, count(*) - 1 AS others FROM (SELECT DISTINCT user_id, event_type, props FROM events) GROUP BY 1", with_roles=False)
-def w17_transcript_choice(r: Roles):
-    e = r.table("events").select("user_id", F.col("event_type").alias("source"), F.col("props").alias("text"), (F.col("event_type") == "error").alias("truncated")).distinct()
-    return L.transcript_choice(e, ["user_id"]).select("user_id", "source", "others")
-
-
 @query("""
 SELECT user_id AS identity, props AS sha256, count(*) AS probes, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY min(ts), props) AS INTEGER) AS variant FROM events WHERE event_type <> 'error' GROUP BY 1, 2
 """, with_roles=False)
@@ -186,11 +180,6 @@ def j12_question_bundle(r: Roles):
     return J.bundle(r.questions(), {"topics": r.links(), "difficulties": r.difficulty()}).select("id", F.size("topics").cast("long").alias("topics"), F.size("difficulties").cast("long").alias("difficulties"))
 
 
-@query("SELECT paper_id, count(*) FILTER (parent_id IS NULL) AS roots FROM question GROUP BY 1 HAVING count(*) FILTER (parent_id IS NULL) > 0")
-def a36_paper_tree(r: Roles):
-    return R.paper_tree(r.questions()).select("paper_id", F.size("tree").cast("long").alias("roots"))
-
-
 @query("""
 , a AS (SELECT question_id AS id, min(code) AS code_a FROM link WHERE source = 'auto' GROUP BY 1), c AS (SELECT question_id AS id, list(code) AS codes FROM link WHERE source = 'auto' GROUP BY 1)
 SELECT CAST(id % 10 AS INTEGER) AS "group", count(*) AS questions FROM a GROUP BY 1

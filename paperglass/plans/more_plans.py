@@ -121,12 +121,6 @@ def x20_scaffold(r: Roles):
     return G.scaffold(e).select("question_id", "n_points")
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'tf' WHEN 1 THEN 'yn' WHEN 2 THEN 'shared' END AS family FROM part", with_roles=False)
-def x24_choice_families(r: Roles):
-    m = F.col("p_size") % 4
-    return r.table("part").select("p_partkey", X.choice_family(F.when(m == 0, "true").when(m == 1, "n").when(m == 2, "ng").otherwise("maybe")).alias("family"))
-
-
 @query("SELECT doc_id, round(len(list_filter(['the', 'with', 'der'], lambda w: list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), w))) / 3, 4) AS share FROM documents", with_roles=False)
 def x26_token_share(r: Roles):
     need = F.array(F.lit("the"), F.lit("with"), F.lit("der"))
@@ -137,13 +131,3 @@ def x26_token_share(r: Roles):
 def x29_confidence(r: Roles):
     margin = F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 10) / 10)
     return r.table("events").select("event_id", F.round(A.confidence(F.col("user_id") % 5 != 0, F.lit(True), F.col("value") / 50, F.lit(None).cast("double"), margin), 6).alias("score"))
-
-
-@query("""
-WITH p AS (SELECT p_brand AS unit, CAST(p_size % 3 AS INTEGER) AS major, CAST(p_size % 5 AS INTEGER) AS minor, p_partkey AS position FROM part),
-n AS (SELECT *, row_number() OVER (PARTITION BY unit, major, minor ORDER BY position) > 1 AS again, max(minor) OVER (PARTITION BY unit, major) AS top FROM p)
-SELECT unit, major, position, CAST(CASE WHEN again THEN top + sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY unit, major ORDER BY position ROWS UNBOUNDED PRECEDING) ELSE minor END AS INTEGER) AS minor FROM n
-""", with_roles=False)
-def w16_code_repairs(r: Roles):
-    p = r.table("part").select(F.col("p_brand").alias("unit"), (F.col("p_size") % 3).cast("int").alias("topic"), F.lit(9).alias("major"), (F.col("p_size") % 5).cast("int").alias("minor"), F.col("p_partkey").alias("position"))
-    return L.code_repairs(p).select("unit", "major", "position", "minor")

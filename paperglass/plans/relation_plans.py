@@ -109,21 +109,6 @@ def j24_ancestor_nodes(r: Roles):
     return J.ancestor_nodes(r.nodes())
 
 
-@query("""
-, o AS (SELECT id, CASE WHEN id % 14 = 0 THEN '99' ELSE '7' END AS value, CASE WHEN id % 21 = 0 THEN '1' ELSE CAST(marks AS VARCHAR) END AS source_value, id % 28 <> 0 AS fits FROM question WHERE id % 7 = 0)
-SELECT q.id, CASE WHEN fits AND source_value IS NOT DISTINCT FROM CAST(marks AS VARCHAR) THEN value ELSE CAST(marks AS VARCHAR) END AS marks,
-  coalesce(fits, false) AND source_value IS DISTINCT FROM CAST(marks AS VARCHAR) AS conflict
-FROM question q LEFT JOIN o ON o.id = q.id
-""")
-def j9_apply_overrides(r: Roles):
-    q = r.questions().select("id", F.col("marks").cast("string").alias("marks"))
-    o = q.where("id % 7 = 0").select(
-        F.col("id").alias("target_id"), F.when(F.col("id") % 14 == 0, "99").otherwise("7").alias("value"), F.when(F.col("id") % 21 == 0, "1").otherwise(F.col("marks")).alias("source_value"),
-        F.when(F.col("id") % 28 == 0, F.array(F.lit("v9"))).when(F.col("id") % 2 == 0, F.array(F.lit("*"))).otherwise(F.array(F.lit("v1"), F.lit("v2"))).alias("applies_to"), F.lit(True).alias("active"),
-    )
-    return J.apply_overrides(q, o, "marks", "v2")
-
-
 @query("""
 , k AS (SELECT paper_id, display_order % 20 AS slot, min(id) AS question_id FROM question GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT e.id, question_id, CASE WHEN question_id IS NULL THEN 'orphaned' ELSE 'attached' END AS status

@@ -85,14 +85,6 @@ def a11_snapshot(r: Roles):
     return R.snapshot(r.questions(), entries, r.assets())
 
 
-@query()
-def a12_snapshot_diff(r: Roles):
-    entries = r.entries().withColumn("question_id", F.when(F.col("id") % 2 == 0, F.col("id")))
-    before = R.snapshot(r.questions(), entries, r.assets())
-    after = R.snapshot(r.questions().where("id % 13 <> 0"), entries.where("id % 5 <> 0"), r.assets())
-    return R.snapshot_diff(before, after)
-
-
 @query("""
 SELECT subject_code, count(*) FILTER (year = 2015) AS "2015", count(*) FILTER (year = 2018) AS "2018", count(*) FILTER (year = 2021) AS "2021" FROM paper GROUP BY 1
 """)
@@ -240,53 +232,12 @@ def a21_published_coverage(r: Roles):
     return C.published_coverage(entries, scopes)
 
 
-@query("""
-, need AS (SELECT id, CASE id % 4 WHEN 0 THEN ['options'] WHEN 1 THEN ['table_columns', 'table_rows', 'table_answers'] WHEN 2 THEN ['left', 'right'] END AS need,
-  CASE WHEN id % 3 = 0 THEN ['options', 'left', 'table_rows'] WHEN id % 3 = 1 THEN ['right', 'left'] ELSE [] END AS has FROM question)
-SELECT id, CAST(len(need) AS INTEGER) AS requirements, CAST(len(list_intersect(need, has)) AS INTEGER) AS satisfied, round(100.0 * len(list_intersect(need, has)) / len(need), 2) AS percentage,
-  CASE WHEN need IS NULL THEN 'unknown' WHEN len(list_intersect(need, has)) = len(need) THEN 'complete' WHEN len(list_intersect(need, has)) = 0 THEN 'missing' ELSE 'partial' END AS status FROM need
-""")
-def a22_completeness(r: Roles):
-    k = F.col("id")
-    kind = F.when(k % 4 == 0, "single_choice").when(k % 4 == 1, "table_choice").when(k % 4 == 2, "matching").otherwise("mystery")
-    has = F.when(k % 3 == 0, F.array(F.lit("options"), F.lit("left"), F.lit("table_rows"))).when(k % 3 == 1, F.array(F.lit("right"), F.lit("left"))).otherwise(F.array().cast("array<string>"))
-    return C.completeness(r.questions().select("id", kind.alias("question_type"), has.alias("has")))
-
-
 @query("SELECT c_mktsegment AS system, count(*) AS total, count(*) FILTER (c_custkey % 4 = 0) AS complete, count(*) FILTER (c_custkey % 4 = 1) AS partial, count(*) FILTER (c_custkey % 4 = 2) AS missing, count(*) FILTER (c_custkey % 4 = 3) AS unknown FROM customer GROUP BY 1", with_roles=False)
 def a23_system_coverage(r: Roles):
     s = F.element_at(F.array(*[F.lit(x) for x in ("complete", "partial", "missing", "unknown")]), (F.col("c_custkey") % 4 + 1).cast("int"))
     return C.system_coverage(r.table("customer").select(F.col("c_mktsegment").alias("system"), s.alias("status")))
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN 'fixed' ELSE o_orderstatus END AS value,
-  CASE WHEN o_orderkey % 50 = 7 THEN 'applied' WHEN o_orderkey % 50 = 8 THEN CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'unconfirmed' END WHEN o_orderkey % 50 = 9 THEN 'stale' ELSE 'none' END AS decision_state FROM orders
-""", with_roles=False)
-def j17_guarded_correction(r: Roles):
-    o = r.table("orders").select("o_orderkey", F.col("o_orderstatus").alias("value"))
-    m = F.col("o_orderkey") % 50
-    d = o.where(m.isin(7, 8, 9)).select("o_orderkey", F.when(m == 8, "confirm").otherwise("correct").alias("action"), F.when(m == 7, F.col("value")).otherwise("?").alias("from"), F.lit("fixed").alias("to"), F.lit("F").alias("book_value"))
-    return A.guarded_correction(o, d, ["o_orderkey"])
-
-
-@query("""
-, c AS (SELECT l_orderkey AS question, lower(l_returnflag) AS form, l_returnflag AS value, l_suppkey % 3 AS upstream, l_linenumber AS priority FROM lineitem),
-v AS (SELECT question, form, min(priority) AS best, min_by(value, (priority, value)) AS value, count(DISTINCT upstream) AS up FROM c GROUP BY 1, 2)
-SELECT question, count(*) AS values, max(up) AS most_upstreams, min_by(value, (best, value)) AS answer, CASE WHEN count(*) = 1 THEN 'single' ELSE 'conflict' END AS status FROM v GROUP BY 1
-""")
-def a29_adjudicate(r: Roles):
-    c = r.table("lineitem").select(F.col("l_orderkey").alias("question"), F.col("l_returnflag").alias("value"), (F.col("l_suppkey") % 3).alias("upstream"), F.col("l_linenumber").alias("priority"))
-    return A.adjudicate(c, ["question"])
-
-
-@query()
-def g5_select_windows(r: Roles):
-    c = r.table("conversations").select("conv_id", F.col("turn").alias("number"), (F.col("turn") * 15.0 + F.length("text") % 40).alias("start_sec"), (F.col("turn") * 15.0 + F.length("text") % 40 + 10).alias("end_sec"), ((F.length("text") % 10) / 10).alias("context_score"))
-    more = c.select("conv_id", "number", (F.col("start_sec") + 7).alias("start_sec"), (F.col("end_sec") + 9).alias("end_sec"), (1 - F.col("context_score")).alias("context_score"))
-    return A.select_windows(c.unionByName(more), "conv_id")
-
-
 @query("""
 , f AS (SELECT user_id, regr_slope(value, event_id) AS slope, regr_intercept(value, event_id) AS "offset", count(*) AS n FROM events GROUP BY 1)
 SELECT user_id, round(slope, 9) AS slope, n, coalesce(max(abs(value - slope * event_id - "offset")) <= 120 AND slope BETWEEN -0.0005 AND 0.0005, false) AS valid

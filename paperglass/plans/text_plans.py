@@ -65,28 +65,6 @@ def x32_occurrences(r: Roles):
     return r.table("pages").select("page_id", X.occurrences(F.col("html"), "the").alias("hits"))
 
 
-@query()
-def x38_redact(r: Roles):
-    return r.table("documents").select("doc_id", X.redact(F.col("text")).alias("redacted"))
-
-
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS words, regexp_matches(text, '\\.\\.\\.|…') AS ellipsis, regexp_matches(text, '<[a-zA-Z/][^>]*>') AS has_html FROM documents", with_roles=False)
-def x30_text_quality(r: Roles):
-    q = X.text_quality(F.col("text"))
-    return r.table("documents").select("doc_id", *[q[k].alias(k) for k in ("chars", "words", "ellipsis", "has_html")])
-
-
-@query("""
-SELECT p_partkey, CASE WHEN a = b THEN 'exact' WHEN lower(a) = lower(b) THEN 'normalized' ELSE 'different' END AS reason
-FROM (SELECT p_partkey, p_name AS a, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN upper(p_name) || '.' ELSE p_brand END AS b,
-  p_partkey % 3 AS m FROM part) WHERE m <> 1 UNION ALL SELECT p_partkey, 'normalized' FROM part WHERE p_partkey % 3 = 1
-""", with_roles=False)
-def x25_compare_answers(r: Roles):
-    m = F.col("p_partkey") % 3
-    b = F.when(m == 0, F.col("p_name")).when(m == 1, F.concat(F.upper("p_name"), F.lit("."))).otherwise(F.col("p_brand"))
-    return r.table("part").select("p_partkey", X.compare_answers(F.col("p_name"), b).alias("reason"))
-
-
 @query()
 def g1_similar_questions(r: Roles):
     return Y.similar_pairs(r.table("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("stem_text")), min_score=0.3)
