@@ -25,7 +25,7 @@ def _pattern() -> str:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    return chat_format.format_chats(chat_format.raw_transcripts(table(spark, sf_dir, "conversations")))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

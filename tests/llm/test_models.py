@@ -45,19 +45,28 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     assert topk.top_k(v.where("false"), v, 5).count() == 0 and topk.top_k(v, v.where("false"), 5).count() == 0
 
 
-def test_all_leaves_give_the_exact_answer(spark):
+@pytest.mark.parametrize("cell", [16, 16_384])
+def test_all_leaves_give_the_exact_answer(spark, monkeypatch, cell):
+    """Ties of small whole components, repeated rows, and leaves over several cells."""
+    monkeypatch.setattr(ann_tree, "CELL", cell)
     rows, df = vectors(spark)
+    rows = [*rows, *[(2000 + k % 3, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0]) for k in range(60)]]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
     v = valid(df, "vec_id", "embedding", nonzero=True)
     got = sorted(tuple(r) for r in ann_tree.nearest(v.where("id % 20 = 0"), v, 5, target=1.0).collect())
     own = usable(rows, False)
     queries = {i: min(y for j, y in own if j == i) for i, _ in own if i % 20 == 0}
-    expected = plain_best(own, queries, 5, inner)
-    assert len(got) == len(expected) and len(set(got) & set(expected)) >= 0.95 * len(expected)
-    scores = {(q, i): {inner(queries[q], y) for j, y in own if j == i} for q, _, i, _ in got}
-    assert all(s in scores[q, i] for q, _, i, s in got)
+    assert got == plain_best(own, queries, 5, inner)
     assert ann_tree.nearest(v.where("false"), v.where("false")).count() == 0
 
 
+def test_few_rows_are_all_found(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(6)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted(tuple(r) for r in ann_tree.nearest(v, v, 20).collect())
+    assert got == plain_best(rows, dict(rows), 20, inner)
+
+
 def test_recall_on_the_tables(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
@@ -135,32 +144,44 @@ def plain_viterbi(chain, seen):
     return out[::-1], float(best.max())
 
 
-def test_chunks_decode_like_one_pass(spark, monkeypatch):
-    monkeypatch.setattr(chat_format, "CHUNK", 2)
-    rows = spark.read.parquet(f"{SF}/conversations.parquet")
-    narrow = rows.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
-    chain = chat_format.fit(narrow)
+@pytest.mark.parametrize("cut", [3, 20_000])
+def test_cuts_decode_like_one_pass(spark, monkeypatch, cut):
+    """Conversations in one task, over several tasks, and cut within a task decode as in one pass."""
+    monkeypatch.setattr(chat_format, "CUT", cut)
+    rows = chat_format.raw_transcripts(spark.read.parquet(f"{SF}/conversations.parquet")).repartition(7)
+    rows = rows.withColumn("conv_id", F.when(F.col("conv_id") % 3 == 0, 9).otherwise(F.col("conv_id"))).withColumn("turn", F.when(F.col("conv_id") == 9, F.xxhash64("text") % 1000).otherwise(F.col("turn")))
+    role = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2)
+    chain = chat_format.fit(rows.select(F.col("conv_id").alias("conv"), "turn", role.alias("role"), "text"))
     got = chat_format.format_chats(rows, chain=chain).toPandas()
-    for conv, part in rows.toPandas().groupby("conv_id"):
-        seen = np.concatenate([chat_format.symbols(t) for t in part.sort_values("turn")["text"]])
+    for conv, part in rows.withColumn("h", F.xxhash64("text")).toPandas().drop_duplicates(["conv_id", "turn", "text"]).groupby("conv_id"):
+        part = part.sort_values(["turn", "h"])
+        seen = np.concatenate([chat_format.symbols(t) for t in part["text"]])
         states, _ = plain_viterbi(chain, seen)
         own = got[got["conv_id"] == conv].sort_values(["turn", "part"])
-        roles = [r for r, n in zip(own["role"], own["n_lines"], strict=True) for _ in range(n)]
-        assert roles == [chat_format.ROLES[s // 2] for s in states]
+        if part["turn"].is_unique:
+            roles = [r for r, n in zip(own["role"], own["n_lines"], strict=True) for _ in range(n)]
+            assert roles == [chat_format.ROLES[s // 2] for s in states]
+            assert own["opens"].sum() == sum(s % 2 == 0 or k == 0 or states[k - 1] // 2 != s // 2 for k, s in enumerate(states))
+        assert own["n_lines"].sum() == len(states)
 
 
-def test_roles_are_recovered(spark):
+def test_roles_are_recovered_from_raw_transcripts(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet")
-    got = chat_format.format_chats(rows).where("part = 0").select("conv_id", "turn", F.col("role").alias("found"))
+    got = QUERIES["op1_chat_format"](spark, SF).where("part = 0").select("conv_id", "turn", F.col("role").alias("found"))
     assert rows.join(got, ["conv_id", "turn"]).select(F.avg(F.when(F.col("role") == F.col("found"), 1.0).otherwise(0.0)).alias("a")).first()["a"] > 0.9
+    raw = chat_format.raw_transcripts(rows)
+    marked = raw.where(F.col("text").rlike("^(?:User|Human|Q|<.im_start|###)"))
+    assert marked.count() > 0.3 * rows.count()
 
 
 def test_markers_split_a_raw_transcript(spark):
     raw = "System: be brief\nUser: hello there\nhow are you?\nAssistant: fine\nUser: ok"
-    df = spark.createDataFrame([(1, 0, "user", raw, 1), (1, 0, "user", raw, 1), (2, 0, None, None, 1), (None, 1, "user", "x", 1)], "conv_id long, turn long, role string, text string, part int")
-    got = chat_format.format_chats(df, role_col=None).orderBy("conv_id", "part").collect()
+    rows = [(1, 0, "user", raw, 1), (1, 0, "user", raw, 1), (2, 0, None, None, 1), (None, 1, "user", "x", 1), (3, None, "user", "x", 1), (4, 0, "tool", "User: a\n" + "long line\n" * 50_000, 1), (5, 1, "user", "User: b", 1), (5, 1, "user", "User: a", 1), (5, 1, "user", "", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")
+    got = chat_format.format_chats(df, role_col=None).orderBy("conv_id", "turn", "part").collect()
     assert [r["role"] for r in got if r["conv_id"] == 1] == ["system", "user", "assistant", "user"]
-    assert got[1]["rendered"] == "<|user|>\nhello there\nhow are you?\n<|end|>"
+    assert got[1]["rendered"] == "<|user|>\nhello there\nhow are you?"
+    assert sum(r["n_lines"] for r in got if r["conv_id"] == 4) == 50_002 and {r["conv_id"] for r in got} == {1, 2, 4, 5}
     assert chat_format.format_chats(df.where("false")).count() == 0
 
 
