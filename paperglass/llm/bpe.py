@@ -2,14 +2,14 @@
 
 Pieces of text are bucketed by byte length, each bucket is one padded matrix of token ids, and in each round every row
 merges its leftmost pair of least rank. Pair ranks come from an open-addressing hash table in numpy; finished rows are
-compacted away. Pieces beyond the last bucket go through a priority queue, which gives the same ids in n log n steps.
+compacted away. Pieces beyond the last bucket are rows of their own width, which merge all places of their least pair at
+once, as far as no pair that arises would come before the next of them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -65,10 +65,6 @@ class PairTable:
             open_ = open_[(got != keys[open_]) & (got != np.uint64(2**64 - 1))]
         return slot
 
-    def one(self, left: int, right: int) -> tuple[int, int]:
-        slot = self.find(np.array([left]), np.array([right]))[0]
-        return int(self.rank[slot]), int(self.merged[slot])
-
 
 class Vocabulary:
     """Token bytes, whole-piece ids, single-byte ids and the pair table of one vocabulary file."""
@@ -109,7 +105,7 @@ class Vocabulary:
             own = np.flatnonzero((bucket == k) & (lengths > 0))
             if k == len(BUCKETS):
                 for i in own:
-                    ids.append(self._by_queue(pieces[i]))
+                    ids.append(self._by_row(pieces[i]))
                     rows.append(np.array([i]))
                     sizes.append(np.array([len(ids[-1])]))
             else:
@@ -174,36 +170,41 @@ class Vocabulary:
                 rank[real, where], at[real, where] = self.pairs.rank[found], found
             rank[line, n - 1] = NONE
 
-    def _by_queue(self, piece: bytes) -> np.ndarray:
-        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        found = self.pairs.find(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(r, i, ids[i], ids[i + 1], m) for i, (r, m) in enumerate(zip(self.pairs.rank[found].tolist(), self.pairs.merged[found].tolist(), strict=True)) if r != NONE]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], tuple[int, int]] = {}
-
-        def push(i: int) -> None:
-            j = after[i] if i >= 0 else n
-            if i >= 0 and j < n:
-                pair = (ids[i], ids[j])
-                if pair not in known:
-                    known[pair] = self.pairs.one(*pair)
-                if known[pair][0] != NONE:
-                    heapq.heappush(heap, (known[pair][0], i, *pair, known[pair][1]))
-
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = merged, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(before[i])
-            push(i)
-        return np.array([t for t in ids if t >= 0], dtype=np.int32)
+    def _by_row(self, piece: bytes) -> np.ndarray:
+        if piece in self.whole:
+            return np.array([self.whole[piece]], np.int32)
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        none = np.full(1, NONE)
+        at = self.pairs.find(ids[:-1], ids[1:])
+        rank, at = np.concatenate([self.pairs.rank[at], none]), np.concatenate([at, [-1]])
+
+        def rank_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            real = (left >= 0) & (right >= 0)
+            out = np.full(len(left), NONE)
+            out[real] = self.pairs.rank[self.pairs.find(left[real], right[real])]
+            return out
+
+        while (least := rank.min()) != NONE:
+            own = np.flatnonzero(rank == least)
+            opens = np.concatenate([[True], np.diff(own) > 1])  # of places that overlap every other one merges
+            own = own[(own - own[opens][np.cumsum(opens) - 1]) % 2 == 0]
+            new = self.pairs.merged[at[own]]
+            padded = np.concatenate([[-1], ids, [-1, -1]])
+            left = np.where(np.concatenate([[False], np.diff(own) == 2]), np.concatenate([[-1], new[:-1]]), padded[own])
+            early = np.flatnonzero((rank_of(left, new) <= least) | (rank_of(new, padded[own + 3]) <= least))
+            if len(early):
+                own, new = own[: early[0] + 1], new[: early[0] + 1]
+            ids[own] = new
+            keep = np.ones(len(ids), bool)
+            keep[own + 1] = False
+            ids, rank, at = ids[keep], rank[keep], at[keep]
+            place = own - np.arange(len(own))
+            redo = np.unique(np.concatenate([place - 1, place]))
+            redo = redo[redo >= 0]
+            rank[-1], redo = NONE, redo[redo + 1 < len(ids)]
+            at[redo] = self.pairs.find(ids[redo], ids[redo + 1])
+            rank[redo] = self.pairs.rank[at[redo]]
+        return ids
 
 
 def printable_bytes() -> dict[int, str]:
@@ -251,6 +252,28 @@ def unsettled(text: str) -> bool:
     return _UNSETTLED[0].search(text) is not None
 
 
+class Settled:
+    """Stand-ins for characters that this Python's Unicode tables do not assign: a letter, digit or sign of the class that
+    the library gives them. The library tells by whether it keeps a character in one piece with a letter, digit or sign."""
+
+    def __init__(self, pattern: str):
+        import tiktoken
+
+        ranks = {bytes([b]): b for b in range(256)}
+        for sign in "x1!":
+            for lead in range(0xC2, 0xF5):
+                ranks[sign.encode() + bytes([lead])] = len(ranks)
+        self.library = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[str, str] = {}
+
+    def __call__(self, text: str) -> str:
+        for c in set(text):
+            if c not in self.known:
+                free = unicodedata.category(c) == "Cn"
+                self.known[c] = next((sign for sign in "x1!" if self.library.encode_ordinary(sign + c)[0] > 255), c) if free else c
+        return "".join(map(self.known.__getitem__, text))
+
+
 def ragged(store: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs store[start : start + size], end to end."""
     ends = np.cumsum(sizes)
@@ -287,7 +310,7 @@ class TextEncoder:
     BASE = 0x9E3779B97F4A7C15 | 1
 
     def __init__(self, vocab: Vocabulary, pattern: str):
-        self.vocab, self.split = vocab, regex.compile(pattern).findall
+        self.vocab, self.split, self.pattern, self.stand_in = vocab, regex.compile(pattern).findall, pattern, None
         self.powers = self.inverse = np.ones(1, np.uint64)
         self._clear()
 
@@ -405,16 +428,35 @@ class TextEncoder:
         if len(odd):
             parts = [flat[a:b] for a, b in pairwise(bounds.tolist())]
             for i in odd.tolist():
-                found = self.split(texts[i])
-                pieces = list(dict.fromkeys(found))
-                own, cut = self.vocab.encode([p.encode() for p in pieces])
-                number = {p: k for k, p in enumerate(pieces)}
-                order = np.array([number[p] for p in found], dtype=np.int64)
-                parts[i] = ragged(own, cut[:-1][order], (cut[1:] - cut[:-1])[order])
+                parts[i] = self._whole(texts[i], texts[i])
             flat, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return flat, bounds
 
 
+    def _whole(self, text: str, shown: str) -> np.ndarray:
+        """The ids of a text that is split as `shown`, of the same length, is."""
+        ends = np.cumsum([len(p) for p in self.split(shown)]).tolist()
+        found = [text[a:b] for a, b in pairwise([0, *ends])]
+        pieces = list(dict.fromkeys(found))
+        own, cut = self.vocab.encode([p.encode() for p in pieces])
+        number = {p: k for k, p in enumerate(pieces)}
+        order = np.array([number[p] for p in found], dtype=np.int64)
+        return ragged(own, cut[:-1][order], (cut[1:] - cut[:-1])[order])
+
+    def settled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As a call, but texts with unassigned characters are split by the classes that the library gives these."""
+        odd = [i for i, t in enumerate(texts) if unsettled(t)]
+        if not odd:
+            return self(texts)
+        self.stand_in = self.stand_in or Settled(self.pattern)
+        skip = set(odd)
+        flat, bounds = self(["" if i in skip else t for i, t in enumerate(texts)])
+        parts = [flat[a:b] for a, b in pairwise(bounds.tolist())]
+        for i in odd:
+            parts[i] = self._whole(texts[i], self.stand_in(texts[i]))
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
 class Shown:
     """Byte strings of ids, joined by gathering."""
 
@@ -431,19 +473,12 @@ class Shown:
 
 def _digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
         vocab = vocabulary(path)
-        encoder, library = TextEncoder(vocab, pattern), None
+        encoder = TextEncoder(vocab, pattern)
         ids_shown, bytes_shown = Shown([b",%d" % i for i in range(vocab.n_ids)]), Shown([vocab.bytes_of.get(i, b"") for i in range(vocab.n_ids)])
         for batch in batches:
             for lo, hi, texts in text_slices(batch, "text"):
-                odd = {i for i, t in enumerate(texts) if unsettled(t)}
-                ids, bounds = encoder(["" if i in odd else t for i, t in enumerate(texts)] if odd else texts)
-                if odd:
-                    library = library or tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocab.whole, special_tokens={})
-                    parts = [np.array(library.encode_ordinary(texts[i]), np.int32) if i in odd else ids[a:b] for i, (a, b) in enumerate(pairwise(bounds.tolist()))]
-                    ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+                ids, bounds = encoder.settled(texts)
                 ids_hash = [hashlib.sha256(x[1:]).hexdigest() for x in ids_shown.join(ids, bounds)]
                 text_hash = [hashlib.sha256(x).hexdigest() for x in bytes_shown.join(ids, bounds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(ids_hash), pa.array(text_hash)], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -455,8 +490,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     """Encodes and decodes every whole text: (id, n_tokens, ids_sha256, decoded_sha256), a row for each input row.
 
     A null text counts as empty: no tokens and the digests of the empty string. Repeated rows and null ids give a row
-    each; other columns are ignored, whatever their names. Texts with characters unknown to this Python's Unicode tables
-    are split by the library, as their letter class depends on the version.
+    each; other columns are ignored, whatever their names. Texts of any length are encoded whole. Characters unknown to this
+    Python's Unicode tables count as letters, digits or signs as in the library.
     """
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     out = narrow.mapInArrow(_digests(path, pattern), "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -468,7 +503,7 @@ def _ids(path: str, pattern: str):
         encoder = TextEncoder(vocabulary(path), pattern)
         for batch in batches:
             for lo, hi, texts in text_slices(batch, "text"):
-                ids, bounds = encoder(texts)
+                ids, bounds = encoder.settled(texts)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["_id", "ids"])
 

@@ -4,8 +4,10 @@ The vocabulary of a score-ordered BPE is compiled into a deterministic transduce
 longest suffix that may still grow into a token, the last token and the relative count at each of its positions; a
 transition is annotated with the tokens it emits, which may be negative where a new character merges earlier tokens.
 Transitions are compiled when first needed and kept in a numpy hash table. Texts run in chunks, all chunks in step. A
-place that no token spans resets the state, so behind its first reset a chunk's state map is constant; maps of the parts
-before it compose from chunk to chunk, and prefix sums of the emitted counts give the documents' totals.
+place that no token spans resets the state, so behind its first reset a chunk's state map is constant. Before it, a chunk
+has a map from the states that can enter it to an exit state: it is run from each of them, which are the exits of the maps
+before it, until all exits are known as entries. The maps compose by a parallel prefix scan, in steps that
+double, to the state that each chunk is really entered with; its head then emits its counts, all heads in step.
 """
 
 from __future__ import annotations
@@ -163,10 +165,11 @@ class Transducer:
             left[winner] = False
             keys, to, emits = keys[left], to[left], emits[left]
 
-    def _run(self, begin: np.ndarray, end: np.ndarray, state: np.ndarray, symbol: np.ndarray, reset: np.ndarray, states: np.ndarray, emitted: np.ndarray) -> None:
-        """Moves all lanes in step from begin to end, from their entry states; writes states and counts by position."""
+    def _run(self, begin: np.ndarray, end: np.ndarray, state: np.ndarray, symbol: np.ndarray, reset: np.ndarray, states: np.ndarray | None = None, emitted: np.ndarray | None = None) -> np.ndarray:
+        """Moves all lanes in step from begin to end, from their entry states, and returns their exit states; writes states
+        and counts by position, if asked for."""
         order = np.argsort(begin - end, kind="stable")
-        begin, length, state = begin[order], (end - begin)[order], state[order]
+        begin, length, state = begin[order], (end - begin)[order], state[order].astype(np.int32)
         longest = int(length.max(initial=0))
         live = len(length) - np.searchsorted(length[::-1], np.arange(longest), side="right")
         for k in range(longest):
@@ -182,8 +185,44 @@ class Transducer:
                 slot = self._slots(keys)
             known = c > 0
             s = np.where(known, self.to[slot], 0)
-            states[at], state[:n] = s, s
-            emitted[at[known]] = self.emits[slot[known]]
+            state[:n] = s
+            if states is not None:
+                states[at] = s
+                emitted[at[known]] = self.emits[slot[known]]
+        out = np.empty_like(state)
+        out[order] = state
+        return out
+
+    def _entries(self, begin: np.ndarray, end: np.ndarray, constant: np.ndarray, states: np.ndarray, symbol: np.ndarray, reset: np.ndarray) -> np.ndarray:
+        """The state that each chunk is entered with. A chunk without a reset has a map, as pairs (chunk, entry) with an exit:
+        of the exit before it, or of a guess, and then of every exit of the maps before it that is no entry yet."""
+        before = np.concatenate([[0], states[end[:-1] - 1]])  # right where the chunk before has a reset
+        open_ = np.flatnonzero(~constant)
+        if not len(open_):
+            return before
+        follows = ~constant[open_ - 1]  # chunk 0 begins with a reset
+        j, e = open_, np.where(follows, 0, before[open_]).astype(np.int64)
+        keys, exits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while len(j):
+            x = self._run(begin[j], end[j], e, symbol, reset).astype(np.int64)
+            keys, exits = np.concatenate([keys, (j << 32) | e]), np.concatenate([exits, x])
+            on = j + 1 < len(begin)
+            on[on] = ~constant[j[on] + 1]
+            new = np.setdiff1d(((j[on] + 1) << 32) | x[on], keys)
+            j, e = new >> 32, new & 0xFFFFFFFF
+        order = np.argsort(keys)
+        keys, exits = keys[order], exits[order]
+        onward = np.minimum(np.searchsorted(keys, (((keys >> 32) + 1) << 32) | exits), len(keys) - 1)  # the next chunk's pair
+        start = np.maximum.accumulate(np.where(follows, 0, open_))
+        at = np.searchsorted(keys, (start << 32) | before[start])
+        steps = open_ - start
+        while steps.any():  # maps of 1, 2, 4, ... chunks
+            odd = (steps & 1).astype(bool)
+            at[odd] = onward[at[odd]]
+            onward, steps = onward[onward], steps >> 1
+        inside = open_[open_ + 1 < len(begin)] + 1
+        before[inside] = exits[at[: len(inside)]]
+        return before
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
@@ -213,14 +252,9 @@ class Transducer:
         first = np.where((first >= begin) & (first < end), first, end)
         # behind its first reset a chunk's map is constant
         self._run(first, end, np.zeros(len(begin), np.int32), symbol, reset, states, emitted)
-        settled = first < end
-        todo = np.flatnonzero(first > begin)
-        while len(todo):  # before it, the map is applied to the exit state of the chunk before; chunk 0 begins with a reset
-            ready = settled[todo - 1]
-            now = todo[ready]
-            self._run(begin[now], first[now], states[begin[now] - 1].copy(), symbol, reset, states, emitted)
-            settled[now] = True
-            todo = todo[~ready]
+        entry = self._entries(begin, end, first < end, states, symbol, reset)
+        heads = np.flatnonzero(first > begin)
+        self._run(begin[heads], first[heads], entry[heads], symbol, reset, states, emitted)
         upto = np.concatenate([[0], np.cumsum(emitted, dtype=np.int64)])
         out = upto[text_at + length] - upto[text_at]
         return out + self._space_runs(symbol, text_at, length, places, states, total)

@@ -66,13 +66,57 @@ def test_round_trip(spark):
     assert got == sorted((r["doc_id"], (r["text"] or "").encode()) for r in docs.collect())
 
 
-def test_matrix_and_queue_agree():
-    vocab = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    pieces = [t.encode() for t in texts() if t]
-    flat, bounds = vocab.encode(pieces)
+def plain_merges(vocab, piece):
+    """The leftmost pair of least rank, one at a time."""
+    if piece in vocab.whole:
+        return [vocab.whole[piece]]
+    ids = vocab.byte_ids[list(piece)].tolist()
+    while len(ids) > 1:
+        slot = vocab.pairs.find(np.array(ids[:-1]), np.array(ids[1:]))
+        rank = vocab.pairs.rank[slot]
+        k = int(rank.argmin())
+        if rank[k] == bpe.NONE:
+            break
+        ids[k : k + 2] = [int(vocab.pairs.merged[slot[k]])]
+    return ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"])
+def test_long_pieces_merge_like_short_ones(name):
+    vocab = bpe.vocabulary(public_tokenizers.path(name))
+    rng = random.Random(6)
+    alphabets = ["ab", "a", "the in", "=-", "漢字かな", "etaoinshr", "0123456789", "é à"]
+    pieces = ["".join(rng.choice(x) for _ in range(rng.randint(257, 700))).encode() for x in alphabets for _ in range(4)] + [b"a" * 1000, b"=" * 999, b"ab" * 400, b"aab" * 300]
+    flat, bounds = vocab.encode([*pieces, b"short"])
     for k, p in enumerate(pieces):
-        if p not in vocab.whole:
-            assert flat[bounds[k] : bounds[k + 1]].tolist() == vocab._by_queue(p).tolist()
+        assert flat[bounds[k] : bounds[k + 1]].tolist() == plain_merges(vocab, p), p
+
+
+def test_unassigned_characters_like_the_library(spark, libraries):
+    rng = random.Random(7)
+    odd = [chr(c) for c in (0x0378, 0x1C89, 0x10D40, 0x10D4A, 0x1CCF0, 0x1E5D0, 0x1E5F1, 0x2FFFF, 0xE0FFF, 0x16D70, 0x1FAE9, 0x0C5C, 0x20C1)]
+    rows = [(k, "".join(rng.choice([*odd, "a", "1", "!", " ", "\n", "s", "'", "é"]) for _ in range(rng.randint(1, 40)))) for k in range(400)]
+    got = bpe.encode_digests(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: r["ids_sha256"] for r in got} == {k: digest(",".join(map(str, libraries[0].encode_ordinary(t))).encode()) for k, t in rows}
+
+
+def test_very_long_texts(spark, libraries):
+    """Long runs without a place to cut, long words and long plain texts, through Spark."""
+    long = ["a" * 60_000, "ab" * 20_000, "漢字" * 15_000, "thethe" * 9_000, "some plain words, and more. " * 20_000, "x" * 5_000 + " " * 5_000 + "yz" * 3_000, "\u0301" * 3_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert counts == {k: len(libraries[2].encode(t)) for k, t in enumerate(long)}
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    assert got == {k: digest(",".join(map(str, libraries[0].encode_ordinary(t))).encode()) for k, t in enumerate(long)}
+
+
+def test_maps_compose_over_chunks(libraries, monkeypatch):
+    """Short chunks, most of them without a reset: entries come from composed maps."""
+    monkeypatch.setattr(token_count, "CHUNK", 3)
+    machine = token_count.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    made = ["".join(rng.choice(x) for _ in range(rng.randint(0, 90))) for x in ("ab", "the in", "etaoinshr", "漢字かな", "a", "ing er") for _ in range(60)]
+    assert machine.counts(made).tolist() == [len(libraries[2].encode(t)) for t in made]
 
 
 def test_counts_like_the_library(spark, libraries):
