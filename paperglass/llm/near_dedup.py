@@ -70,8 +70,8 @@ def middles(members: DataFrame) -> DataFrame:
 def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b, near, m, n, plus, minus) of pairs (a, b): whether the Jaccard similarity is enough, the sizes of both sets and
     what only a and only b holds. A partner b of many pairs is dealt over as many parts as its pairs need."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))
-    asked = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    parts = by_size(checkpointed(pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))))
+    asked = by_size(checkpointed(pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))))
     left = asked.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     right = parts.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y")
     both = left.join(right, ["b", "part"]).select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.array_except("x", "y").alias("plus"), F.array_except("y", "x").alias("minus"))
@@ -127,7 +127,9 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
     members = written(kinds.join(loose, "node").select("node", "root", "first", "prints"), "members")
     rows = by_size(members.select(F.col("first._id").alias("_id"), F.col("first._h").alias("_h"), "node"))
     texts = narrow.join(rows, ["_id", "_h"]).select("node", "text")
-    sets = written(texts.mapInArrow(_shingles(words), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    sets = written(texts.mapInArrow(_shingles(words), "node long, set array<long>"), "sets")
+    if sets.groupBy("node").count().where("count > 1").take(1):  # rows that repeat in several tasks
+        sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
     first = _to_middle(members, sets, similarity)
     free = written(members.join(first.where("not near").select(F.col("a").alias("node")), "node", "left_semi"), "free")
     second = _to_middle(free, sets, similarity).where("near").select("a", "b")
