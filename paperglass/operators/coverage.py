@@ -13,30 +13,49 @@ CONTRADICTIONS = (
 
 
 def published_coverage(entries: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Coverage of each manifest scope (id, system, kind, expected) over entries (system, kind, bucket), whose bucket is
-    excluded, unknown, partial or verified.
+    """Coverage of each manifest scope (id, system, kind, expected, exclusions array<string>, partial array<string>) over entries
+    (public_id, system, kind, content, quality, identity_ok, claim_ok): a row for each scope with its counts, problems and status.
 
-    A scope without an expected number is unknown and has no percentage; an overfilled one or one with more exclusions
-    than expected is a conflict.
+    Copies of an id count once; copies that differ are a problem. The manifest's exclusions and partial ids come first, then an
+    unresolved identity is unknown, and the others are verified, partial or unknown by their quality. A scope without an expected number is
+    unknown and has no percentage; one with a contradiction is a conflict.
     """
-    buckets = ("excluded", "unknown", "partial", "verified")
-    counts = entries.groupBy("system", "kind").agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in buckets])
-    out = scopes.join(counts, ["system", "kind"], "left").fillna(0, list(buckets))
-    observed = sum((F.col(b) for b in buckets[1:]), F.col("excluded"))
-    out = out.withColumn("observed", observed)
-    accountable = F.col("expected") - F.col("excluded")
-    conflict = (F.col("observed") > F.col("expected")) | (accountable < 0)
+    key = ["system", "kind"]
+    counted = entries.groupBy(*key, "public_id").agg(
+        F.min(F.struct("content", "quality", "identity_ok", "claim_ok")).alias("e"), F.count("*").alias("copies"), F.count_distinct("content").alias("contents"), F.bool_and("claim_ok").alias("claims"), F.bool_and("identity_ok").alias("known")
+    ).select(*key, "public_id", "copies", "contents", "claims", "known", F.col("e.quality").alias("quality"))
+    named = scopes.select("id", *key, F.explode_outer(F.array_distinct(F.concat("exclusions", "partial"))).alias("public_id"), "exclusions", "partial")
+    listed = named.where("public_id is not null").select("id", *key, "public_id", F.array_contains("exclusions", F.col("public_id")).alias("excluded"), F.array_contains("partial", F.col("public_id")).alias("halved"))
+    inside = scopes.select("id", *key).join(counted, key).join(listed.drop(*key), ["id", "public_id"], "left")
+    bucket = (
+        F.when(F.coalesce("excluded", F.lit(False)), "excluded").when(F.coalesce("halved", F.lit(False)), "partial").when(~F.col("known"), "unknown")
+        .when(F.col("quality") == "verified", "verified").when(F.col("quality") == "partial", "partial").otherwise("unknown")
+    )
+    counts = inside.withColumn("b", bucket).groupBy("id").agg(
+        *[F.count_if(F.col("b") == n).alias(n) for n in ("excluded", "unknown", "partial", "verified")],
+        F.array_compact(F.array(
+            F.when(F.bool_or(~F.col("known")), "identity_unresolved"), F.when(F.bool_or(~F.col("claims")), "quality_claim_invalid"),
+            F.when(F.bool_or((F.col("copies") > 1) & (F.col("contents") > 1)), "duplicate_public_id"), F.when(F.bool_or((F.col("copies") > 1) & (F.col("contents") == 1)), "duplicate_public_id_identical"),
+        )).alias("of_entries"),
+    )
+    missing = scope_problems(listed.select(F.col("id").alias("scope"), *key, "public_id"), entries).groupBy(F.col("scope").alias("id")).agg(F.collect_set("code").alias("of_references"))
+    none = F.array().cast("array<string>")
+    twice = (F.size("exclusions") > F.size(F.array_distinct("exclusions"))) | (F.size("partial") > F.size(F.array_distinct("partial")))
+    own = scopes.select("id", "expected", F.array_compact(F.array(F.when(twice, "manifest_duplicate_reference"), F.when(F.arrays_overlap("exclusions", "partial"), "manifest_exclusion_partial_overlap"))).alias("of_manifest"))
+    out = own.join(counts, "id", "left").fillna(0, ["excluded", "unknown", "partial", "verified"]).join(missing, "id", "left")
+    observed = F.col("excluded") + F.col("unknown") + F.col("partial") + F.col("verified")
+    out = out.withColumn("observed", observed).withColumn("overfilled", F.coalesce(F.greatest(F.col("observed") - F.col("expected"), F.lit(0)), F.lit(0)))
+    of_counts = F.array_compact(F.array(F.when(F.col("overfilled") > 0, "expected_below_published"), F.when(F.col("expected") < F.col("excluded"), "expected_below_exclusions")))
+    problems = F.array_sort(F.array_distinct(F.concat("of_manifest", F.coalesce("of_entries", none), F.coalesce("of_references", none), of_counts)))
+    out = out.withColumn("problems", problems).withColumn("accountable", F.greatest(F.col("expected") - F.col("excluded"), F.lit(0)))
+    conflict = F.arrays_overlap("problems", F.array(*[F.lit(c) for c in CONTRADICTIONS]))
     status = (
-        F.when(F.col("expected").isNull(), "unknown")
-        .when(conflict, "conflict")
-        .when((accountable <= 0) | (F.col("observed") < F.col("expected")) | (F.col("unknown") > 0) | (F.col("partial") > 0) | (F.col("verified") != accountable), "partial")
-        .otherwise("complete")
-    )
-    percentage = F.when(F.col("expected").isNotNull() & ~conflict & (accountable > 0), F.round(100.0 * F.col("verified") / accountable, 2))
-    return out.select(
-        "id", "expected", *buckets, "observed", F.greatest(F.col("expected") - F.col("observed"), F.lit(0)).alias("unmet"),
-        F.coalesce(F.greatest(F.col("observed") - F.col("expected"), F.lit(0)), F.lit(0)).alias("overfilled"), percentage.alias("percentage"), status.alias("status"),
+        F.when(F.col("expected").isNull(), "unknown").when(conflict, "conflict")
+        .when((F.col("accountable") <= 0) | (F.col("observed") < F.col("expected")) | (F.col("unknown") > 0) | (F.col("partial") > 0) | (F.col("verified") != F.col("accountable")), "partial").otherwise("complete")
     )
+    percentage = F.when(F.col("expected").isNotNull() & ~conflict & (F.col("accountable") > 0), F.round(100.0 * F.col("verified") / F.col("accountable"), 2))
+    unmet = F.when(F.col("expected").isNotNull(), F.greatest(F.col("expected") - F.col("observed"), F.lit(0)))
+    return out.select("id", "expected", "excluded", "unknown", "partial", "verified", "observed", unmet.alias("unmet"), "overfilled", percentage.alias("percentage"), status.alias("status"), "problems")
 
 
 def scope_problems(references: DataFrame, entries: DataFrame) -> DataFrame:

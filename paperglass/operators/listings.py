@@ -33,6 +33,60 @@ def timetable(events: DataFrame, subject: str | None = None, date: str | None =
     return events
 
 
+def timetable_page(events: DataFrame, limit: int, offset: int, **filters: str | None) -> DataFrame:
+    """A page of timetable() in the order of date, session, code and event, each row with the total of all pages."""
+    from paperglass.operators.search import page
+
+    found = timetable(events, **filters)
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return page(found, [F.asc("date"), F.asc("session"), F.asc("subject_code"), F.asc("event")], limit, offset).crossJoin(F.broadcast(total))
+
+
+def date_windows(windows: DataFrame, board: str | None = None, season: str | None = None) -> DataFrame:
+    """Date windows (board, season, component, start, end) of a board and season; a window may be open on either side and never ends before
+    it starts."""
+    for name, value in (("board", board), ("season", season)):
+        if value is not None:
+            windows = windows.where(F.col(name) == F.lit(value))
+    return windows.where(F.col("start").isNull() | F.col("end").isNull() | (F.col("end") >= F.col("start")))
+
+
+def explanation_queue(explanations: DataFrame, status: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the explanations (id, question_id, review_status) of a status, oldest first, each row with the total of the status."""
+    from paperglass.operators.search import page
+
+    found = explanations.where(F.col("review_status") == status)
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return page(found, [F.asc("id")], limit, offset).crossJoin(F.broadcast(total))
+
+
+def trace_sources(edges: DataFrame, subject_type: str, subject_id: int) -> DataFrame:
+    """The provenance edges of one subject in the order of their ids."""
+    return edges.where((F.col("subject_type") == subject_type) & (F.col("subject_id") == subject_id)).orderBy("id")
+
+
+def practice_list(rows: DataFrame, limit: int, offset: int, section: str | None = None, batch: int | None = None, free: bool | None = None, locked: bool | None = None) -> DataFrame:
+    """A page of practice items (id, section, batch, free, locked) in the order of their ids."""
+    from paperglass.operators.search import page
+
+    for name, value in (("section", section), ("batch", batch), ("free", free), ("locked", locked)):
+        if value is not None:
+            rows = rows.where(F.col(name) == F.lit(value))
+    return page(rows, [F.asc("id")], limit, offset)
+
+
+def set_counts(sources: dict[str, DataFrame], sections: list[str]) -> DataFrame:
+    """(set, source, a count for each section, total) over sources of items (set, section); the total also counts sections off the list."""
+    union = reduce(DataFrame.unionByName, [df.select("set", "section").withColumn("source", F.lit(name)) for name, df in sources.items()])
+    return union.groupBy("set", "source").agg(*[F.count_if(F.col("section") == s).alias(s) for s in sections], F.count("*").alias("total"))
+
+
+def regions_by_year(rows: DataFrame, regions: str, years: list[int]) -> DataFrame:
+    """(region, a count for each year, total): rows with an array of regions count once for each of them; the total holds all years."""
+    each = rows.select("year", F.explode(F.array_distinct(regions)).alias("region"))
+    return each.groupBy("region").agg(*[F.count_if(F.col("year") == y).alias(str(y)) for y in years], F.count("*").alias("total"))
+
+
 def seasons(lists: dict[str, DataFrame], family: str) -> DataFrame:
     """Counts of seasons by family and state, from a frame for each state."""
     union = reduce(DataFrame.unionByName, [df.select(family).withColumn("state", F.lit(s)) for s, df in lists.items()])

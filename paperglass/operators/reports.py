@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperglass.operators.relations import ancestor_nodes
+from paperglass.operators.relations import ancestor_nodes, code_key
 
 
 def question_facts(questions: DataFrame, links: DataFrame, assets: DataFrame) -> DataFrame:
@@ -67,6 +67,34 @@ def topic_tree(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("id", "code", "parent_id", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("subtree", F.lit(0)).alias("subtree"))
 
 
+def tag_overview(nodes: DataFrame, links: DataFrame, board: str, subject: str | None = None, include_zero: bool = True) -> DataFrame:
+    """topic_tree() of one board's nodes (id, code, parent_id, board, subject), in the natural order of their codes.
+
+    A node has the subject of its nearest ancestor that has one, itself first; with a subject only its nodes are left. Without zeros,
+    nodes whose subtree has no question go. Nodes of other boards and of none are not part of any tree.
+    """
+    own = nodes.where(F.col("board") == board)
+    above = ancestor_nodes(own.select("id", "parent_id")).join(own.select(F.col("id").alias("ancestor_id"), "subject"), "ancestor_id").where("subject is not null")
+    inherited = above.groupBy("id").agg(F.min_by("subject", "distance").alias("subject"))
+    out = topic_tree(own.select("id", "code", "parent_id"), links.join(own.select(F.col("id").alias("node_id")), "node_id", "left_semi")).join(inherited, "id", "left")
+    if subject is not None:
+        out = out.where(F.col("subject") == subject)
+    if not include_zero:
+        out = out.where("subtree > 0")
+    return out.withColumn("sort_code", code_key(F.col("code"))).orderBy("sort_code", "id")
+
+
+def nested_topics(tree: DataFrame, levels: int = 8) -> DataFrame:
+    """(id, tree): each root of a topic_tree() with its children and theirs, down `levels` levels, in the natural order of codes."""
+    fields = ["sort_code", "id", "code", "direct", "subtree"]
+    nodes, below = tree.withColumn("sort_code", code_key(F.col("code"))), None
+    for _ in range(levels):
+        held = nodes if below is None else nodes.join(below, "id", "left")
+        own = fields if below is None else [*fields, "children"]
+        below = held.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("children"))
+    return nodes.where("parent_id is null").join(below, "id", "left").select("id", F.struct(*fields, "children").alias("tree"))
+
+
 def marks_rollup(questions: DataFrame) -> DataFrame:
     """(id, declared, children, status): a parent's marks against its children's sum; ambiguous where a child has none."""
     sums = questions.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sum("marks").cast("long").alias("children"), F.count_if(F.col("marks").isNull()).alias("_open"))
@@ -75,6 +103,27 @@ def marks_rollup(questions: DataFrame) -> DataFrame:
     return joined.select("id", "declared", "children", status.alias("status"))
 
 
+def paper_totals(questions: DataFrame, declared: DataFrame) -> DataFrame:
+    """(paper_id, total, declared, status): the marks of a paper's questions (id, paper_id, parent_id, marks) against its declared total.
+
+    A question counts its own marks, else those of its parts, level by level; it is ambiguous if it has neither, if only some of its parts have
+    marks, or if its own marks differ from its parts' sum. A paper's total is known only without ambiguous questions.
+    """
+    nodes = questions.select("id", "paper_id", "parent_id", "marks")
+    known = nodes.select("id", "paper_id", "parent_id", "marks", F.col("marks").cast("long").alias("value"), F.col("marks").isNull().alias("doubt"))
+    for _ in range(3):
+        parts = known.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sum("value").alias("_sum"), F.bool_or("doubt").alias("_doubt"))
+        j = nodes.join(parts, "id", "left")
+        has = F.col("_doubt").isNotNull()
+        value = F.coalesce(F.col("marks").cast("long"), F.col("_sum"))
+        doubt = F.when(has, F.col("_doubt") | (F.col("marks").isNotNull() & (F.col("marks") != F.col("_sum")))).otherwise(F.col("marks").isNull())
+        known = j.select("id", "paper_id", "parent_id", "marks", value.alias("value"), doubt.alias("doubt"))
+    total = known.where("parent_id is null").groupBy("paper_id").agg(F.sum("value").alias("_total"), F.bool_or("doubt").alias("_doubt"))
+    out = total.withColumn("total", F.when(~F.col("_doubt"), F.col("_total"))).join(declared.select("paper_id", "declared"), "paper_id", "left")
+    status = F.when(F.col("_doubt"), "ambiguous").when(F.col("declared").isNull(), "undeclared").when(F.col("declared") == F.col("total"), "equal").otherwise("different")
+    return out.select("paper_id", "total", "declared", status.alias("status"))
+
+
 def paper_tree(questions: DataFrame, levels: int = 4) -> DataFrame:
     """(paper_id, tree): the roots of each paper, each with its children and theirs, down `levels` levels below the roots, in
     display order. Questions deeper than that raise an error when the tree is read, so none is lost without a word."""

@@ -39,6 +39,24 @@ def top_scores(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def assign_topics(candidates: DataFrame, existing: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, counts) of automatic assignments after a run.
+
+    Candidates are (id, key, confidence), existing rows (question_id, code, source, confidence, reviewed), nodes (code). Questions that a person
+    has tagged are left out; reviewed automatic rows are frozen and keep their question as it is; other automatic rows
+    are replaced, and candidates whose topic does not exist are refused. Counts are by outcome.
+    """
+    manual = existing.where("source = 'manual'").select(F.col("question_id").alias("id")).distinct().withColumn("_manual", F.lit(True))
+    frozen = existing.where("source = 'auto' and reviewed").select(F.col("question_id").alias("id")).distinct().withColumn("_frozen", F.lit(True))
+    known = nodes.select(F.col("code").alias("key")).distinct().withColumn("_known", F.lit(True))
+    j = candidates.join(manual, "id", "left").join(frozen, "id", "left").join(known, "key", "left")
+    outcome = F.when(F.col("_manual"), "skipped_manual").when(F.col("_frozen"), "frozen_reviewed").when(F.col("_known").isNull(), "unknown_topic").otherwise("assigned")
+    judged = j.withColumn("outcome", outcome)
+    new = judged.where("outcome = 'assigned'").select(F.col("id").alias("question_id"), F.col("key").alias("code"), F.lit("auto").alias("source"), "confidence", F.lit(False).alias("reviewed"))
+    stays = existing.where("source <> 'auto' or reviewed")
+    return stays.unionByName(new), judged.groupBy("outcome").agg(F.count_distinct("id").alias("questions"), F.count("*").alias("rows"))
+
+
 def keyword_weight(keyword: Column) -> Column:
     n = F.length(keyword)
     return F.when(n >= 14, 3.0).when(n >= 9, 2.2).when(n >= 6, 1.5).otherwise(1.0)

@@ -17,12 +17,6 @@ def f20_materials(r: Roles):
     return L.materials(items, subject="Brand#2").select("id", F.col("n_versions").cast("long"), F.col("n_subjects").cast("long"))
 
 
-@query("SELECT o_orderkey, c_mktsegment AS subject_code FROM orders JOIN customer ON o_custkey = c_custkey WHERE starts_with(c_mktsegment, 'MACH') AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'", with_roles=False)
-def f21_timetable_events(r: Roles):
-    e = r.table("orders").join(r.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("subject_code"), F.col("o_orderstatus").alias("session"), F.col("o_orderpriority").alias("level"))
-    return L.timetable(e, subject="MACH", session="F", level="1-URGENT").select("o_orderkey", "subject_code")
-
-
 @query("SELECT o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'available' WHEN 'P' THEN 'cancelled' ELSE 'unobtainable' END AS state, count(*) AS n FROM orders GROUP BY 1, 2", with_roles=False)
 def f23_seasons(r: Roles):
     o = r.table("orders")

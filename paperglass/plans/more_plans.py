@@ -16,45 +16,11 @@ from paperglass.plans.roles import Roles
 from paperglass.sources import tables as S
 
 
-@query("SELECT c_nationkey AS \"set\", count(*) FILTER (c_mktsegment = 'BUILDING') AS \"BUILDING\", count(*) FILTER (c_mktsegment = 'MACHINERY') AS \"MACHINERY\" FROM customer GROUP BY 1", with_roles=False)
-def a31_items_by_set(r: Roles):
-    return R.pivot_counts(r.table("customer").withColumnRenamed("c_nationkey", "set"), "set", "c_mktsegment", ["BUILDING", "MACHINERY"])
-
-
 @query("SELECT board, count(*) AS total, count(*) FILTER (year < 2018) AS old, count(*) FILTER (level IS NULL) AS unlevelled FROM paper GROUP BY 1")
 def a35_board_health(r: Roles):
     return R.counts_by_state(r.papers(), ["board"], {"old": F.col("year") < 2018, "unlevelled": F.col("level").isNull()})
 
 
-@query("SELECT user_id AS scope, CASE WHEN bool_or(event_type = 'error') THEN 'blocked' WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'running' END AS stage FROM events GROUP BY 1", with_roles=False)
-def a32_job_stages(r: Roles):
-    stage = F.when(F.bool_or(F.col("event_type") == "error"), "blocked").when(F.bool_or(F.col("event_type") == "purchase"), "done").otherwise("running")
-    return r.table("events").groupBy(F.col("user_id").alias("scope")).agg(stage.alias("stage"))
-
-
-@query("SELECT status, count(*) AS total FROM (SELECT o_orderstatus AS status FROM orders) GROUP BY 1", with_roles=False)
-def f18_explanation_queue(r: Roles):
-    return r.table("orders").select(F.col("o_orderstatus").alias("status")).groupBy("status").agg(F.count("*").alias("total"))
-
-
-@query("SELECT p_partkey FROM part WHERE p_type = 'PROMO' AND p_size % 2 = 0 ORDER BY p_partkey LIMIT 15 OFFSET 3", with_roles=False)
-def f27_practice_list(r: Roles):
-    from paperglass.operators.search import page
-
-    return page(r.table("part").where("p_type = 'PROMO' and p_size % 2 = 0"), [F.asc("p_partkey")], 15, 3).select("p_partkey")
-
-
-@query("SELECT event_id, event_type FROM events WHERE user_id = 9 ORDER BY event_id", with_roles=False)
-def f31_trace_sources(r: Roles):
-    return r.table("events").where("user_id = 9").orderBy("event_id").select("event_id", "event_type")
-
-
-@query("SELECT c_custkey, strftime(o_orderdate, '%Y-%m-%d') AS start FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND c_mktsegment = 'BUILDING'", with_roles=False)
-def f22_date_windows(r: Roles):
-    j = r.table("orders").where("o_orderstatus = 'P'").join(r.table("customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"))
-    return j.select("c_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("start"))
-
-
 @query("""
 , lost AS (SELECT id, paper_id, number_path FROM entry WHERE id % 5 = 0)
 SELECT l.id, q.id AS question_id FROM lost l LEFT JOIN question q ON q.paper_id = l.paper_id AND q.number_path = CASE WHEN l.number_path LIKE '%(i)' THEN left(l.number_path, -3) ELSE l.number_path END
@@ -72,17 +38,6 @@ def j11_answer_gaps(r: Roles):
     return found.where("mode <> 'exact'").select("id", F.lit("gap").alias("kind"))
 
 
-@query("""
-SELECT coalesce(o.u, n.u) AS url, CASE WHEN o.u IS NULL THEN 'created' WHEN n.u IS NULL THEN 'kept' WHEN o.s <> n.s THEN 'updated' ELSE 'same' END AS action
-FROM (SELECT user_id AS u, max(event_type) AS s FROM events WHERE event_id % 3 = 0 GROUP BY 1) o FULL JOIN (SELECT user_id AS u, max(event_type) AS s FROM events WHERE event_id % 7 = 1 GROUP BY 1) n ON o.u = n.u
-""", with_roles=False)
-def s14_merge_candidates(r: Roles):
-    def side(rule):
-        return r.table("events").where(rule).groupBy(F.col("user_id").alias("url")).agg(F.max("event_type").alias("state"))
-
-    return J.merge(side("event_id % 3 = 0"), side("event_id % 7 = 1"), ["url"], ["state"]).select("url", "action")
-
-
 @query("""
 SELECT s_suppkey AS target_id, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE 'old' END AS value, CASE WHEN s_suppkey % 3 = 0 THEN 'first' WHEN s_suppkey % 2 = 0 THEN s_name END AS source_value
 FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 2 = 0

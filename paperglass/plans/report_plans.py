@@ -54,19 +54,6 @@ def a6_board_status(r: Roles):
     return R.counts_by_state(r.papers(), ["board"], {"without_level": F.col("level").isNull(), "schemes": F.col("doc_type") == "mark_scheme"})
 
 
-@query("""
-SELECT subject_code, count(*) AS total, count(*) FILTER (marks IS NOT NULL) AS with_marks, count(*) FILTER (parent_id IS NULL) AS roots,
-  count(*) FILTER (q.id IN (SELECT question_id FROM link WHERE source = 'manual')) AS tagged
-FROM question q JOIN paper p ON p.id = q.paper_id GROUP BY 1
-""")
-def a7_subject_report(r: Roles):
-    from paperglass.operators.search import star
-
-    tagged = r.links().where("source = 'manual'").select(F.col("question_id").alias("id")).distinct().withColumn("_t", F.lit(True))
-    rows = star(r.questions(), r.papers()).join(tagged, "id", "left")
-    return R.counts_by_state(rows, ["subject_code"], {"with_marks": F.col("marks").isNotNull(), "roots": F.col("parent_id").isNull(), "tagged": F.col("_t").isNotNull()})
-
-
 @query("SELECT p_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM (SELECT 'x' AS p_type, props FROM events) GROUP BY 1, 2", with_roles=False)
 def a8_points_from_json(r: Roles):
     return r.table("events").select(F.lit("x").alias("p_type"), F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("p_type", "k").agg(F.count("*").alias("n"))
@@ -85,13 +72,6 @@ def a11_snapshot(r: Roles):
     return R.snapshot(r.questions(), entries, r.assets())
 
 
-@query("""
-SELECT subject_code, count(*) FILTER (year = 2015) AS "2015", count(*) FILTER (year = 2018) AS "2018", count(*) FILTER (year = 2021) AS "2021" FROM paper GROUP BY 1
-""")
-def a15_region_by_year(r: Roles):
-    return R.pivot_counts(r.papers(), "subject_code", "year", [2015, 2018, 2021])
-
-
 @query("SELECT mode, board, subject_code, count(*) AS n FROM (SELECT CASE WHEN q.id IN (SELECT question_id FROM official) THEN 'official' ELSE 'none' END AS mode, board, subject_code FROM question q JOIN paper p ON p.id = q.paper_id) GROUP BY GROUPING SETS ((mode), (board, mode), (subject_code, mode))")
 def a20_answer_sources(r: Roles):
     from paperglass.operators.search import star
@@ -211,27 +191,6 @@ def f19_generated_view(r: Roles):
     return G.generated_view(e, tasks)
 
 
-_SCOPE = """
-WITH entries AS (SELECT 'S' || CAST(c_nationkey % 5 AS VARCHAR) AS system, c_mktsegment AS kind, CASE c_custkey % 9 WHEN 0 THEN 'excluded' WHEN 1 THEN 'unknown' WHEN 2 THEN 'partial' ELSE 'verified' END AS bucket FROM customer),
-scope AS (SELECT system || ':' || kind AS id, system, kind, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 4 = 1 THEN n WHEN n % 4 = 2 THEN n + 5 ELSE n - 3 END AS expected FROM (SELECT system, kind, count(*) AS n FROM entries GROUP BY 1, 2)),
-c AS (SELECT system, kind, count(*) FILTER (bucket = 'excluded') AS excluded, count(*) FILTER (bucket = 'unknown') AS unknown, count(*) FILTER (bucket = 'partial') AS partial, count(*) FILTER (bucket = 'verified') AS verified, count(*) AS observed FROM entries GROUP BY 1, 2)
-SELECT id, expected, excluded, unknown, partial, verified, observed, greatest(expected - observed, 0) AS unmet, coalesce(greatest(observed - expected, 0), 0) AS overfilled,
-  CASE WHEN expected IS NOT NULL AND observed <= expected AND expected > excluded THEN round(100.0 * verified / (expected - excluded), 2) END AS percentage,
-  CASE WHEN expected IS NULL THEN 'unknown' WHEN observed > expected OR expected < excluded THEN 'conflict'
-    WHEN expected <= excluded OR observed < expected OR unknown > 0 OR partial > 0 OR verified <> expected - excluded THEN 'partial' ELSE 'complete' END AS status
-FROM scope JOIN c USING (system, kind)
-"""
-
-
-@query(_SCOPE, with_roles=False)
-def a21_published_coverage(r: Roles):
-    m = F.col("c_custkey") % 9
-    entries = r.table("customer").select(F.concat(F.lit("S"), (F.col("c_nationkey") % 5).cast("string")).alias("system"), F.col("c_mktsegment").alias("kind"), F.when(m == 0, "excluded").when(m == 1, "unknown").when(m == 2, "partial").otherwise("verified").alias("bucket"))
-    n = F.col("n")
-    scopes = entries.groupBy("system", "kind").agg(F.count("*").alias("n")).select(F.concat_ws(":", "system", "kind").alias("id"), "system", "kind", F.when(n % 4 == 0, None).when(n % 4 == 1, n).when(n % 4 == 2, n + 5).otherwise(n - 3).alias("expected"))
-    return C.published_coverage(entries, scopes)
-
-
 @query("SELECT c_mktsegment AS system, count(*) AS total, count(*) FILTER (c_custkey % 4 = 0) AS complete, count(*) FILTER (c_custkey % 4 = 1) AS partial, count(*) FILTER (c_custkey % 4 = 2) AS missing, count(*) FILTER (c_custkey % 4 = 3) AS unknown FROM customer GROUP BY 1", with_roles=False)
 def a23_system_coverage(r: Roles):
     s = F.element_at(F.array(*[F.lit(x) for x in ("complete", "partial", "missing", "unknown")]), (F.col("c_custkey") % 4 + 1).cast("int"))

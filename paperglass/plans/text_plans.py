@@ -160,20 +160,6 @@ def s11_season_index(r: Roles):
     return S.season_index(j.select(F.col("r_name").alias("board"), F.year("o_orderdate").cast("string").alias("key"), F.to_date("o_orderdate").alias("date"), F.col("c_mktsegment").alias("subject_code")))
 
 
-@query("""
-WITH s AS (SELECT event_type AS url, props AS sha256, ts FROM events), l AS (SELECT url, max_by(sha256, ts) AS sha256 FROM s WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1),
-o AS (SELECT url, max_by(sha256, ts) AS sha, count(*) AS no FROM s WHERE ts < TIMESTAMP '2024-01-15' AND url <> 'error' GROUP BY 1)
-SELECT url, l.sha256, CASE WHEN no IS NULL THEN 'new' WHEN l.sha256 = sha THEN 'unchanged' ELSE 'changed' END AS action,
-  CAST(CASE WHEN l.sha256 = sha THEN no ELSE coalesce(no, 0) + 1 END AS INTEGER) AS revision_no FROM l LEFT JOIN o USING (url)
-""", with_roles=False)
-def st1_crawl_merge(r: Roles):
-    from paperglass.streaming.crawl import classify
-
-    e = r.table("events").select(F.col("event_type").alias("url"), F.col("props").alias("sha256"), F.col("ts").alias("seen_at"))
-    old = e.where("seen_at < timestamp '2024-01-15' and url <> 'error'").groupBy("url").agg(F.max_by("sha256", "seen_at").alias("sha256"), F.count("*").cast("int").alias("revision_no"))
-    return classify(e.where("seen_at >= timestamp '2024-01-15'"), old).select("url", "sha256", "action", "revision_no")
-
-
 @query("""
 WITH o AS (SELECT user_id AS scope, date_trunc('day', ts) AS native_at, ts AS observed_at, props AS payload FROM events),
 t AS (SELECT scope, max(native_at) AS native_at FROM o GROUP BY 1)

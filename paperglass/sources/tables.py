@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,28 +56,78 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_decisions(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(decisions, problems) of a folder of JSON lines without `*applied.jsonl`: a bad line is a problem with its file."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    lines = lines.where((F.trim("value") != "") & ~F.endswith("file", F.lit("applied.jsonl")))
-    parsed = lines.select("file", "value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    """(decisions, problems) of a folder of JSON lines without `*applied.jsonl`: a bad line is a problem with its file and line.
+
+    Files of decisions are written by hand and short: each is read whole, so that its lines have numbers."""
+    files = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = files.where(~F.endswith("file", F.lit("applied.jsonl"))).select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "value")).where("trim(value) <> ''")
+    parsed = lines.select("file", (F.col("at") + 1).alias("line"), "value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
     bad = F.col("d").isNull() | F.col("d._corrupt").isNotNull()
-    return parsed.where(~bad).select("file", "d.*").drop("_corrupt"), parsed.where(bad).select("file", "value")
+    return parsed.where(~bad).select("file", "line", "d.*").drop("_corrupt"), parsed.where(bad).select("file", "line", "value")
+
+
+_SEASON = (
+    "board string, key string, events array<struct<date:date,session:string,subject_code:string,paper_code:string,duration_minutes:int>>, "
+    "date_windows array<struct<component:string,start:date,end:date>>, unparsed_rows array<struct<page:int,text:string>>"
+)
+
+
+def _season_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_SEASON).option("multiLine", True).json(path).where("key is not null")
 
 
 def season_scan(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each event of the season files (one JSON object each, with `events`)."""
-    schema = "board string, key string, events array<struct<date:date,session:string,subject_code:string,paper_code:string,duration_minutes:int>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path).select("board", "key", F.explode("events").alias("e")).select("board", "key", "e.*")
+    """One row for each event of the season files (one JSON object each)."""
+    return _season_files(spark, path).select("board", "key", F.explode("events").alias("e")).select("board", "key", "e.*")
+
+
+def season_windows(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each date window of the season files."""
+    return _season_files(spark, path).select("board", "key", F.explode("date_windows").alias("w")).select("board", F.col("key").alias("season"), "w.*")
+
+
+def season_unparsed(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each row of the season files that their parser could not read."""
+    return _season_files(spark, path).select("board", "key", F.explode("unparsed_rows").alias("u")).select("board", "key", "u.*")
+
+
+def season_list(spark: SparkSession, index_path: str) -> DataFrame:
+    """(board, key, state, reason) of an index of seasons: one JSON object with lists of available, cancelled and unobtainable ones."""
+    schema = "board string, available array<struct<key:string,reason:string>>, cancelled array<struct<key:string,reason:string>>, unobtainable array<struct<key:string,reason:string>>"
+    index = spark.read.schema(schema).option("multiLine", True).json(index_path)
+    out = None
+    for state in ("available", "cancelled", "unobtainable"):
+        part = index.select("board", F.explode(state).alias("s")).select("board", "s.key", F.lit(state).alias("state"), "s.reason")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="paperglass-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_CATALOG = "items array<struct<id:string,board:string,title:string,kind:string,candidate_facing:boolean,subjects:array<string>,versions:array<struct<label:string,url:string,sha256:string,bytes:long,pages:int>>>>"
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """One row for each item of a catalog file, with its versions as an array."""
-    schema = "items array<struct<id:string,board:string,title:string,kind:string,candidate_facing:boolean,subjects:array<string>,versions:array<struct<label:string,url:string,sha256:string,bytes:long,pages:int>>>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("items").alias("i")).select("i.*")
+    return spark.read.schema(_CATALOG).option("multiLine", True).json(path).select(F.explode("items").alias("i")).select("i.*")
+
+
+def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As read_catalog, of catalogs that are one line each."""
+    return spark.read.schema(_CATALOG).json(path).select(F.explode("items").alias("i")).select("i.*")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path)
+    """Rows of CSV files with a header line; quotes within quoted fields are doubled."""
+    return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 def inventory(tree: DataFrame, years: tuple[int, int]) -> DataFrame:

@@ -229,10 +229,15 @@ def test_code_repairs_take_the_next_free_number(spark):
 
 
 def test_unknown_denominator_has_no_percentage(spark):
-    e = spark.createDataFrame([("s", "k", "verified")], "system string, kind string, bucket string")
-    s = spark.createDataFrame([("a", "s", "k", None)], "id string, system string, kind string, expected int")
-    row = coverage.published_coverage(e, s).first()
-    assert row["status"] == "unknown" and row["percentage"] is None
+    e = spark.createDataFrame([("x", "s", "k", 1, "verified", True, True), ("x", "s", "k", 1, "verified", True, True)], "public_id string, system string, kind string, content int, quality string, identity_ok boolean, claim_ok boolean")
+    rows = [("a", "s", "k", None, [], []), ("b", "s", "k", 1, [], []), ("c", "s", "k", 0, [], []), ("d", "s", "k", 1, ["x", "x"], ["x"]), ("e", "t", "k", 2, [], [])]
+    s = spark.createDataFrame(rows, "id string, system string, kind string, expected int, exclusions array<string>, partial array<string>")
+    got = {r["id"]: r for r in coverage.published_coverage(e, s).collect()}
+    assert got["a"]["status"] == "unknown" and got["a"]["percentage"] is None
+    assert got["b"]["status"] == "complete" and got["b"]["percentage"] == 100.0 and got["b"]["problems"] == ["duplicate_public_id_identical"]
+    assert got["c"]["status"] == "conflict" and got["c"]["problems"] == ["duplicate_public_id_identical", "expected_below_published"] and got["c"]["overfilled"] == 1
+    assert got["d"]["status"] == "conflict" and set(got["d"]["problems"]) >= {"manifest_duplicate_reference", "manifest_exclusion_partial_overlap"}
+    assert got["e"]["status"] == "partial" and got["e"]["unmet"] == 2 and got["e"]["observed"] == 0
 
 
 def test_freshness_conflict(spark):
@@ -242,17 +247,48 @@ def test_freshness_conflict(spark):
     assert got == {("s", 5): "superseded", ("s", 6): "conflict", ("s", 7): "conflict", ("t", 1): "superseded", ("t", 0): "current"}
 
 
-def test_crawl_stream(spark, tmp_path):
-    from paperglass.streaming.crawl import crawl_stream
+def test_crawl_stream(spark, tmp_path, monkeypatch):
+    """The state over many micro-batches, with whole states in between, is that of one batch after the other."""
+    from paperglass.streaming import crawl
 
-    schema = "url string, sha256 string, seen_at timestamp"
+    monkeypatch.setattr(crawl, "COMPACT", 2)
+    schema = "url string, source string, status string, sha256 string, bytes long, seen_at timestamp"
     source = tmp_path / "in"
-    for k, rows in enumerate([[("u", "a"), ("v", "b")], [("u", "a"), ("v", "c")]]):
-        spark.createDataFrame([(u, s) for u, s in rows], "url string, sha256 string").withColumn("seen_at", F.lit(f"2024-01-0{k + 1}").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(source))
-        crawl_stream(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "state"), str(tmp_path / "log"), str(tmp_path / "check")).awaitTermination()
-    state = {r["url"]: (r["sha256"], r["revision_no"]) for r in spark.read.parquet(str(tmp_path / "state/1")).collect()}
-    assert state == {"u": ("a", 1), "v": ("c", 2)}
-    assert {(r["batch"], r["action"]): r["count"] for r in spark.read.parquet(str(tmp_path / "log")).collect()} == {(0, "new"): 2, (1, "unchanged"): 1, (1, "changed"): 1}
+    batches = [[("u", "fetched", "a"), ("v", "fetched", "b")], [("u", "fetched", "a"), ("v", "fetched", "c")], [("w", "listed", None), ("u", "error", None)], [("w", "fetched", "d"), ("v", "gated", None)], [("u", "fetched", "e")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(u, "s", st, sha, 10) for u, st, sha in rows], "url string, source string, status string, sha256 string, bytes long").withColumn("seen_at", F.lit(f"2024-01-0{k + 1}").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(source))
+        crawl.crawl_stream(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "state"), str(tmp_path / "log"), str(tmp_path / "check")).awaitTermination()
+    state = {r["url"]: (r["sha256"], r["revision_no"], r["status"]) for r in crawl.read_state(spark, str(tmp_path / "state"), 5).collect()}
+    assert state == {"u": ("e", 2, "seen"), "v": ("c", 2, "skipped"), "w": ("d", 1, "seen")}
+    log = {(r["batch"], r["action"]): r["count"] for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert log == {(0, "new"): 2, (1, "unchanged"): 1, (1, "changed"): 1, (2, "new"): 1, (2, "error"): 1, (3, "new"): 1, (3, "skipped"): 1, (4, "changed"): 1}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["delta=2", "delta=3", "delta=4", "full=2", "full=4"]
+
+
+def test_missing_urls_of_complete_sources(spark):
+    from paperglass.streaming.crawl import classify, empty_runs, run_counters
+
+    state = spark.createDataFrame([("a", "s", "x", 1, "seen", None), ("b", "t", "x", 1, "seen", None), ("c", "s", "x", 1, "missing", None)], "url string, source string, sha256 string, revision_no int, status string, seen_at timestamp")
+    batch = spark.createDataFrame([("d", "s", "fetched", "y", 7)], "url string, source string, status string, sha256 string, bytes long").withColumn("seen_at", F.current_timestamp())
+    moved = classify(batch, state, spark.createDataFrame([("s",)], "source string"))
+    assert {r["url"]: r["action"] for r in moved.collect()} == {"a": "missing", "d": "new"}
+    assert run_counters(moved).first().asDict() == {"total": 2, "new": 1, "seen": 0, "unchanged": 0, "changed": 0, "missing": 1, "skipped": 0, "error": 0, "new_revisions": 1, "bytes": 7}
+    runs = spark.createDataFrame([("k", 1, 0), ("k", 2, 5), ("k", 3, 0), ("k", 4, 0), ("m", 1, 0)], "source string, run_no int, discovered int")
+    assert {r["source"]: r["empty_runs"] for r in empty_runs(runs, ["source"]).collect()} == {"k": 2, "m": 1}
+
+
+def test_checkpoint_stream_in_any_order(spark, tmp_path):
+    from paperglass.streaming import crawl
+
+    schema = "scope long, native_at timestamp, observed_at timestamp, payload string"
+    batches = [[(1, 5, 1, "new"), (2, 3, 1, "p"), (3, None, 1, "q")], [(1, 4, 9, "late"), (2, 3, 2, "r"), (3, None, 2, "s")]]
+    day = lambda d: None if d is None else f"2024-02-{d:02d}"
+    for rows in batches:
+        df = spark.createDataFrame([(s, day(n), day(o), p) for s, n, o, p in rows], "scope long, native_at string, observed_at string, payload string")
+        df.select("scope", F.col("native_at").cast("timestamp"), F.col("observed_at").cast("timestamp"), "payload").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        crawl.checkpoint_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+    got = {r["scope"]: (r["payload"], r["state"]) for r in crawl.read_checkpoints(spark, str(tmp_path / "table")).collect()}
+    assert got == {1: ("new", "current"), 2: ("r", "conflict"), 3: ("s", "current")}
 
 
 def test_strict_decisions(spark, tmp_path):
@@ -261,10 +297,24 @@ def test_strict_decisions(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"question_id": 1, "decision": "keep"}\n\n{bad\n')
     (tmp_path / "b.applied.jsonl").write_text('{"question_id": 2, "decision": "drop"}\n')
     good, bad = read_decisions(spark, str(tmp_path), "question_id int, decision string")
-    assert [r["question_id"] for r in good.collect()] == [1] and [r["file"] for r in bad.collect()] == ["a.jsonl"]
+    assert [r["question_id"] for r in good.collect()] == [1] and [(r["file"], r["line"]) for r in bad.collect()] == [("a.jsonl", 3)]
     assert read_jsonl(spark, str(tmp_path / "a.jsonl"), "question_id int, decision string").count() == 1
 
 
+def test_text_helpers(spark):
+    assert one(spark, "First the Word\nthen a word", lambda c: X.snippet(c, "word", 6)) == "t the Word then "
+    assert one(spark, "nothing", lambda c: X.snippet(c, "word")) is None
+    assert one(spark, "Ｆｕｌｌ　ﬁve² ½", X.compatible) == "Full five2 1⁄2"
+    assert len(one(spark, "a", X.short_hash)) == 12
+
+
+def test_reverted_overrides(spark):
+    old = spark.createDataFrame([("q", 1, "marks", "9", None, "me", True), ("q", 2, "marks", "8", "3", "me", True)], "target_type string, target_id int, field string, value string, source_value string, author string, active boolean")
+    table, restored = listings.revert_overrides(old, old.where("target_id = 1"))
+    assert {r["target_id"]: r["active"] for r in table.collect()} == {1: False, 2: True}
+    assert [(r["target_id"], r["value"]) for r in restored.collect()] == [(1, None)]
+
+
 def test_keyword_topics_of_phrases_and_signs(spark):
     from paperglass.operators.tagging import keyword_topics
 
