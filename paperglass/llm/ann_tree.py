@@ -228,7 +228,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, target: float = TA
     queries = one_query(queries)
     n_q = max(1, -(-queries.count() // QUERIES))
     files = filed.join(places, "leaf").select((F.col("first") + F.pmod(F.xxhash64("n"), F.col("parts"))).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), "leaf", "id", "v")
-    asked = queries.repartition("id").mapInArrow(_walked(tree, visits, first, parts), "cell long, leaves array<int>, id long, v array<double>")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given is kept, however small the frame
+    asked = queries.repartition(tasks, "id").mapInArrow(_walked(tree, visits, first, parts), "cell long, leaves array<int>, id long, v array<double>")
     asked = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int"))
     found = asked.groupBy("cell", "q").cogroup(files.groupBy("cell", "q")).applyInArrow(_scored(k), "query_id long, vec_id long, score double")
     return best(found, k)

@@ -90,7 +90,8 @@ def labelled_sample(texts: DataFrame) -> DataFrame:
     found = texts.where(hit).select(F.explode(values).alias("token"))
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)
-    keys = spark.range(GENERATED).select(F.explode(F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)))).alias("token"))
+    mixed = F.base64(F.unhex(digest))
+    keys = spark.range(GENERATED).select(F.explode(F.array(mixed, F.lower(mixed), F.upper(mixed), F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)))).alias("token"))
     return found.unionByName(keys).distinct().withColumn("random", F.lit(1)).unionByName(words.distinct().withColumn("random", F.lit(0)))
 
 

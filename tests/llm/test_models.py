@@ -115,6 +115,54 @@ def test_gradients_by_differences():
         assert (up - down) / 0.02 == pytest.approx(float(g[name].reshape(-1)[i]), rel=0.08, abs=2e-3), name
 
 
+def plain_score(model, text):
+    """The highest window's probability, window by window, word by word and letter by letter."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def gru(inputs, w, u, b):
+        n = len(u)
+        h, out = np.zeros(n), []
+        for x in inputs:
+            xs, hu = x @ w + b, h @ u
+            z, r = sig(xs[:n] + hu[:n]), sig(xs[n : 2 * n] + hu[n : 2 * n])
+            new = np.tanh(xs[2 * n :] + r * hu[2 * n :])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    def vector(word):
+        codes = [p["char"][ord(c) % 509 + 1] for c in word]
+        ends = [gru(c, p[f"cw{s}"], p[f"cu{s}"], p[f"cb{s}"])[-1] for s, c in (("f", codes), ("b", codes[::-1]))]
+        return np.concatenate([p["embed"][toxicity.bucket(word)], p["stem"][toxicity.bucket(word[: toxicity.STEM])], *ends])
+
+    words = toxicity.words_of(text)
+    vectors = {w: vector(w) for w in set(words)}
+    best = -np.inf
+    for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        x = [vectors[w] for w in words[start : start + toxicity.WINDOW]]
+        pooled = np.zeros(2 * toxicity.H_WORD)
+        if x:
+            f, b = gru(x, p["wf"], p["uf"], p["bf"]), gru(x[::-1], p["wb"], p["ub"], p["bb"])[::-1]
+            h = np.concatenate([np.array(f), np.array(b)], 1)
+            a = np.exp(np.tanh(h @ p["aw"] + p["ab"]) @ p["av"])
+            pooled = (a / a.sum()) @ h
+        best = max(best, pooled @ p["ow"] + p["ob"][0])
+    return sig(best)
+
+
+def test_scores_by_brute_force():
+    """Texts of no, few, 64, 65 and many words, long words, and repeated ones, batched and one by one."""
+    model = toxicity.Model(seed=3)
+    rng = np.random.default_rng(4)
+    model.p = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in model.p.items()}
+    vocabulary = ["".join(rng.choice(list("abcdeé漢x1"), rng.integers(1, 12))) for _ in range(80)]
+    texts = ["", "!!", "one", "Ab " * 64, "q" * 60, *(" ".join(rng.choice(vocabulary, n)) for n in (3, 47, 48, 49, 63, 64, 65, 112, 113, 400))]
+    expected = [plain_score(model, t) for t in texts]
+    assert toxicity.Scorer(model).scores(texts) == pytest.approx(expected, abs=2e-5)
+    assert [toxicity.Scorer(model).scores([t])[0] for t in texts] == pytest.approx(expected, abs=2e-5)
+
+
 def test_toxicity_is_learnt(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.toxicity(docs, labels).toPandas().merge(labels.toPandas()).query("held_out")
@@ -185,6 +233,30 @@ def test_markers_split_a_raw_transcript(spark):
     assert chat_format.format_chats(df.where("false")).count() == 0
 
 
+def test_a_repeated_id_adds_one_text_to_the_sample(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(300)] + [(None, "x"), (1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, toxic int")
+    texts, y, _ = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 10, 10)
+    assert len(texts) == len(set(texts)) <= 3 and len(y) == len(texts)
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null texts and ids, repeated rows, one id with two texts, and columns whose names the stages use themselves."""
+    import corpus_pipeline
+
+    rows = [(1, "plain words of one text"), (1, "plain words of one text"), (1, "other words altogether here"), (None, "no id"), (None, None), (2, None), (3, ""), (4, "key password = abcdefghijklmnop end")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, spans string, base string, _score double, _h long, _KEY int, stays boolean, node long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "sp", "ba", 0.5, 7, 8, True, 9) for i, t in rows], schema)
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.schema.names == docs.schema.names and [f.dataType for f in kept.schema] == [f.dataType for f in docs.schema]
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in kept.collect()), key=repr)
+    clean = "key [SECRET] end"
+    assert got == sorted([(1, "plain words of one text", 23), (1, "other words altogether here", 27), (None, "no id", 5), (None, None, 0), (2, None, 0), (4, clean, len(clean))], key=repr)
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).count() == 6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

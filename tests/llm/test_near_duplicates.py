@@ -294,3 +294,42 @@ def test_secrets_by_brute_force(spark):
     red = {r["doc_id"]: r["t"] for r in scanned.select("doc_id", secret_scan.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert red[2] == "[SECRET]\" é" and red[1] == SECRETS[1] and red[7] == "[SECRET]"
     assert secret_scan.digests(secret_scan.scan(docs.where("false"))).count() == 0
+
+
+def test_added_spans_by_brute_force(spark):
+    """Ratios of the fitted models recomputed in Python, and precision and recall on generated keys and ordinary names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = secret_scan.fit(secret_scan.labelled_sample(docs.select(F.coalesce("text", F.lit("")).alias("text"))))
+    code = {c: k + 1 for k, c in enumerate(secret_scan.ALPHABET)}
+
+    def ratio(token):
+        codes = [0, *[code[c] for c in token], 0]
+        return sum(model[a * secret_scan.SIZE + b] for a, b in zip(codes[:-1], codes[1:], strict=True))
+
+    rng = random.Random(21)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    keys = ["".join(rng.choice(a) for _ in range(rng.randint(24, 44))) for a in alphabets for _ in range(60)]
+    words = sorted({w for r in docs.collect() for w in re.findall(r"[A-Za-z]{3,12}", r["text"] or "")})
+    names = ["_".join(rng.sample(words, 4)) for _ in range(60)] + ["-".join(rng.sample(words, 4)).lower() for _ in range(60)] + ["".join(w.capitalize() for w in rng.sample(words, 5)) for _ in range(60)]
+    names = [n for n in names if len(n) >= 20]
+    rows = [(k, f"see {t} here") for k, t in enumerate([*keys, *names])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["k"], s["end"]) for s in r["spans"]] for r in secret_scan.scan(table, model=model).select("doc_id", "spans").collect()}
+    caught = 0
+    for k, t in enumerate([*keys, *names]):
+        if plain_spans(rows[k][1]):
+            caught += k < len(keys)
+            continue
+        expected = [(4, 3, 4 + len(t))] if ratio(t) > secret_scan.LOG_RATIO else []
+        assert abs(ratio(t) - secret_scan.LOG_RATIO) < 1e-3 or found[k] == expected
+        caught += k < len(keys) and bool(found[k])
+    false = sum(bool(found[k]) for k in range(len(keys), len(rows)))
+    print("recall", caught / len(keys), "false positives", false / len(names))
+    assert caught / len(keys) >= 0.9 and caught / (caught + false) >= 0.95
+
+
+def test_secrets_of_very_long_texts(spark):
+    text = "plain words " * 200_000 + "token: abcdefghijkl99 " + "deadbeef" * 5_000
+    docs = spark.createDataFrame([(1, text), (2, "token=" * 5_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secret_scan.digests(secret_scan.scan(docs, model=[0.0] * secret_scan.SIZE**2)).collect()}
+    assert (got[1]["n_assign"], got[1]["n_hex"]) == (1, 1) and got[2]["n_assign"] == sum(s[1] == 0 for s in plain_spans("token=" * 5_000))
