@@ -114,7 +114,7 @@ m AS (SELECT conv_id, seq, seq + 1 AS number FROM s WHERE seq % 3 = 0 AND EXISTS
 h AS (SELECT q.conv_id, number, seq, a, b FROM q JOIN s USING (conv_id) WHERE number % 4 <> 3 AND len(phrase) BETWEEN 1 AND 9 AND regexp_matches(' ' || array_to_string(words, ' ') || ' ', ' ' || array_to_string(phrase, ' (?:.* )?') || ' ')),
 w AS (SELECT m.conv_id, m.number, a AS start_sec, b AS end_sec, 'transcript_qn_marker' AS source, 0.55 AS context_score FROM m JOIN s USING (conv_id, seq) WHERE NOT (a < 1.5 AND EXISTS (SELECT 1 FROM h WHERE h.conv_id = m.conv_id AND h.number = m.number AND h.seq = m.seq))
   UNION ALL SELECT h.conv_id, h.number, greatest(0, a - 2), b + 2, CASE WHEN m.seq IS NULL THEN 'answer_occurrence' ELSE 'answer_in_marker_window' END, CASE WHEN m.seq IS NULL THEN 0.55 ELSE 0.85 END FROM h LEFT JOIN m ON m.conv_id = h.conv_id AND m.number = h.number AND m.seq = h.seq)
-SELECT conv_id, number, count(*) AS n_windows, min(start_sec) AS first_start FROM w WHERE number % 4 <> 3 AND (conv_id, number) IN (SELECT (conv_id, number) FROM q WHERE len(phrase) BETWEEN 1 AND 9) GROUP BY 1, 2
+SELECT conv_id, number, count(*) AS n_windows, CAST(min(start_sec) AS DOUBLE) AS first_start FROM w WHERE number % 4 <> 3 AND (conv_id, number) IN (SELECT (conv_id, number) FROM q WHERE len(phrase) BETWEEN 1 AND 9) GROUP BY 1, 2
 """, with_roles=False)
 def j19_transcript_candidates(r: Roles):
     """Windows of the questions with short answers, those of markers and answers; at the start of a recording they coincide."""

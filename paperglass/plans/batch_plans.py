@@ -30,7 +30,7 @@ p AS (SELECT p_partkey, {_STAGES}[1 + p_partkey % 6] AS stage, CASE WHEN p_size
 v AS (SELECT l_orderkey AS key, l_linenumber AS question, l_quantity > 30 AS issue FROM lineitem),
 k AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'cleaned' WHEN event_id % 5 = 1 THEN 'cleanup_pending' WHEN event_id % 5 = 2 THEN 'cleanup_failed' ELSE 'scratch_sweep' END AS stage, user_id AS key, event_id % 3 AS deleted, event_id % 100 AS freed FROM events),
 i AS (SELECT DISTINCT s_suppkey * 2 AS code FROM supplier)
-SELECT 'cells' AS section, 'requested' AS name, count(*) FILTER (requested) AS value FROM c UNION ALL SELECT 'cells', 'inferred', count(*) FILTER (NOT requested) FROM c
+SELECT section, name, CAST(value AS BIGINT) AS value FROM (SELECT 'cells' AS section, 'requested' AS name, count(*) FILTER (requested) AS value FROM c UNION ALL SELECT 'cells', 'inferred', count(*) FILTER (NOT requested) FROM c
 UNION ALL SELECT 'cells', 'unqueried', greatest((SELECT sum(cells_total) FROM s) - (SELECT count(*) FROM c), 0) UNION ALL SELECT 'cells', 'not_fully_scanned', count(*) FROM s WHERE status = 'open'
 UNION ALL SELECT 'cell_status', status, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'stage', stage, count(*) FROM p GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM p GROUP BY 2
 UNION ALL SELECT 'papers', 'downloaded', count(*) FROM p WHERE stage IN ('downloaded', 'validation_partial', 'imported_verified', 'cleaned') UNION ALL SELECT 'papers', 'not_cleaned', count(*) FROM p WHERE stage <> 'cleaned'
@@ -39,7 +39,7 @@ UNION ALL SELECT 'cleanup', 'cleaned_papers', count(DISTINCT key) FROM k WHERE s
 UNION ALL SELECT 'cleanup', 'sweep_files', sum(deleted) FROM k WHERE stage = 'scratch_sweep' UNION ALL SELECT 'cleanup', 'total_freed_bytes', sum(freed) FROM k WHERE stage IN ('cleaned', 'scratch_sweep')
 UNION ALL SELECT 'coverage', 'declared_with_index', count(*) FROM s WHERE declared AND code IN (SELECT code FROM i) UNION ALL SELECT 'coverage', 'declared_without_index', count(*) FROM s WHERE declared AND code NOT IN (SELECT code FROM i)
 UNION ALL SELECT 'coverage', 'subjects_with_index', count(*) FROM i UNION ALL SELECT 'coverage', 'subjects_without_index', count(*) FROM s WHERE code NOT IN (SELECT code FROM i)
-UNION ALL SELECT 'errors', 'download_errors', count(*) FROM events WHERE event_type = 'error' AND event_id % 2 = 0 UNION ALL SELECT 'error_kind', CASE WHEN event_id % 2 = 0 THEN 'download_failed' ELSE 'unclassified' END, count(*) FROM events WHERE event_type = 'error' GROUP BY 2
+UNION ALL SELECT 'errors', 'download_errors', count(*) FROM events WHERE event_type = 'error' AND event_id % 2 = 0 UNION ALL SELECT 'error_kind', CASE WHEN event_id % 2 = 0 THEN 'download_failed' ELSE 'unclassified' END, count(*) FROM events WHERE event_type = 'error' GROUP BY 2)
 """, with_roles=False)
 def a14_batch_summary(r: Roles):
     k, e = F.col("c_custkey"), F.col("event_id")
