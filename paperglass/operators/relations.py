@@ -23,6 +23,26 @@ def unique_match(left: DataFrame, right: DataFrame, on: list[str], id_col: str,
     return left.join(renamed, same, "left").drop(*[f"_r_{c}" for c in on])
 
 
+#: Fields in which a mark scheme and its paper agree, null with null (fixed values).
+PAPER_FIELDS = ("board", "qualification", "subject_code", "series", "year", "component", "variant", "level", "paper_code")
+
+
+def matching_papers(documents: DataFrame, papers: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, paper_document_id) of the mark schemes among documents (id, doc_type, current_revision_id, PAPER_FIELDS): the one paper that
+    agrees in all fields, null with null; null if there is none or several.
+
+    A specimen mark scheme looks for specimen papers, others for question papers. A paper (document_id, parse_run_id) counts only if its run (id,
+    document_revision_id, status) was completed and read the document's current revision.
+    """
+    done = papers.join(runs.select(F.col("id").alias("parse_run_id"), F.col("document_revision_id").alias("_rev"), "status"), "parse_run_id").where("status = 'completed'")
+    parsed = done.select(F.col("document_id").alias("id"), "_rev")
+    read = documents.join(parsed, "id").where(F.col("_rev") == F.col("current_revision_id")).select("id", F.col("doc_type").alias("family"), *PAPER_FIELDS)
+    schemes = documents.where(F.col("doc_type").isin("mark_scheme", "specimen_mark_scheme"))
+    family = F.when(F.col("doc_type") == "specimen_mark_scheme", "specimen_paper").otherwise("question_paper")
+    wanted = schemes.select(F.col("id").alias("scheme"), family.alias("family"), *PAPER_FIELDS)
+    return unique_match(wanted, read, ["family", *PAPER_FIELDS], "id", "paper_document_id").select(F.col("scheme").alias("id"), "paper_document_id")
+
+
 def ancestors(path: str | Column) -> Column:
     """The paths above `1(a)(i)`, nearest first: `1(a)`, `1`."""
     path = F.col(path) if isinstance(path, str) else path
@@ -78,6 +98,27 @@ def resolve_answers(questions: DataFrame, entries: DataFrame, official: DataFram
     return out.select("id", mode.alias("mode"), path.alias("source_path"), F.coalesce("own", "above.text", "below").alias("answer"))
 
 
+def tree_answers(questions: DataFrame, default_mode: str = "exact") -> DataFrame:
+    """(id, mode, method, source_id, answer, problem) of a tree of questions (id, parent_id, position, answer, answer_mode).
+
+    A question's own answer always counts. Else its mode, or the default where it has none, decides: ancestor takes that of the
+    nearest ancestor with one, descendants those of its direct parts in their order, exact and none nothing. An unknown mode is a
+    problem and resolves nothing; a question without an answer is one too, except in mode none.
+    """
+    modes = ("exact", "ancestor", "descendants", "none")
+    given = F.coalesce("answer_mode", F.lit(default_mode))
+    q = questions.withColumn("mode", F.when(given.isin(*modes), given).otherwise("none")).withColumn("bad", ~given.isin(*modes))
+    have = q.where("answer is not null").select(F.col("id").alias("ancestor_id"), F.col("answer").alias("_up"))
+    up = ancestor_nodes(q.select("id", "parent_id")).where("distance > 0").join(have, "ancestor_id").groupBy("id").agg(F.min_by(F.struct(F.col("ancestor_id").alias("source_id"), F.col("_up").alias("answer")), "distance").alias("up"))
+    down = q.where("parent_id is not null and answer is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "id", "answer"))).alias("parts"))
+    j = q.join(up, "id", "left").join(down, "id", "left")
+    method = F.when(F.col("answer").isNotNull(), "exact").when((F.col("mode") == "ancestor") & F.col("up").isNotNull(), "ancestor").when((F.col("mode") == "descendants") & F.col("parts").isNotNull(), "descendants").otherwise("none")
+    answer = F.when(method == "exact", F.array("answer")).when(method == "ancestor", F.array("up.answer")).when(method == "descendants", F.transform("parts", lambda p: p["answer"]))
+    problem = F.when(F.col("bad"), "unresolved_answer_mode").when((method == "none") & (F.col("mode") != "none"), "missing_answer")
+    source = F.when(method == "exact", F.col("id")).when(method == "ancestor", F.col("up.source_id"))
+    return j.select("id", "mode", method.alias("method"), source.alias("source_id"), answer.alias("answer"), problem.alias("problem"))
+
+
 def _roman(n: int) -> str:
     out = ""
     for value, sign in ((50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperglass.operators import batches as B
 from paperglass.operators import coverage as C
 from paperglass.operators import listings as L
+from paperglass.operators import relations as J
 from paperglass.operators import reports as R
 from paperglass.operators import tagging as T
 from paperglass.plans.registry import query
@@ -310,3 +311,64 @@ _YEARS = list(range(2015, 2025))
 def a15_region_by_year(r: Roles):
     """Papers of a country count for it and for the part of the world that it lies in."""
     return L.regions_by_year(r.papers().withColumn("regions", F.array("board", "qualification", "board")), "regions", _YEARS)
+
+
+_RESOLVED = """
+, good AS (SELECT paper_id, number_path, min_by(text, id) AS text FROM entry WHERE trim(text) <> '' GROUP BY 1, 2),
+own AS (SELECT q.id, q.paper_id, q.number_path, coalesce(o.content, g.text) AS own FROM question q LEFT JOIN good g USING (paper_id, number_path) LEFT JOIN official o ON o.question_id = q.id),
+up AS (SELECT o.id, g.number_path AS path, g.text FROM own o JOIN good g ON g.paper_id = o.paper_id AND g.number_path = regexp_replace(o.number_path, '\\([^()]*\\)$', '')
+  WHERE o.own IS NULL AND contains(o.number_path, '(')),
+down AS (SELECT o.id, string_agg(substr(g.number_path, length(o.number_path) + 1) || ' ' || g.text, chr(10) || chr(10) ORDER BY g.number_path) AS below
+  FROM own o JOIN good g ON g.paper_id = o.paper_id AND starts_with(g.number_path, o.number_path || '(') WHERE o.own IS NULL GROUP BY 1)
+"""
+
+
+@query(_RESOLVED + """, m AS (SELECT o.id, CASE WHEN own IS NOT NULL THEN 'exact' WHEN up.text IS NOT NULL THEN 'ancestor' WHEN below IS NOT NULL THEN 'descendants' ELSE 'none' END AS mode FROM own o LEFT JOIN up USING (id) LEFT JOIN down USING (id))
+SELECT mode, board, subject_code, count(*) AS n FROM m JOIN question q USING (id) JOIN paper p ON p.id = q.paper_id GROUP BY GROUPING SETS ((mode), (board, mode), (subject_code, mode))
+""")
+def a20_answer_sources(r: Roles):
+    """Modes of all answers, by board and by subject."""
+    q = r.questions()
+    modes = J.resolve_answers(q.select("id", "paper_id", "number_path"), r.entries(), r.official()).select("id", "mode")
+    papers = r.papers().select(F.col("id").alias("paper_id"), "board", "subject_code")
+    rows = modes.join(q.select("id", "paper_id"), "id").join(papers, "paper_id").select("mode", "board", "subject_code")
+    return R.distribution(rows, "mode", [[], ["board"], ["subject_code"]])
+
+
+@query("""
+, d AS (SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'specimen_mark_scheme' ELSE 'mark_scheme' END WHEN id % 4 = 0 THEN 'specimen_paper' ELSE 'question_paper' END AS t, subject_code AS s, year AS y, level AS l, id % 7 <> 3 AS parsed FROM paper),
+p AS (SELECT t, s, y, l, count(*) AS n, min(id) AS m FROM d WHERE parsed AND t IN ('question_paper', 'specimen_paper') GROUP BY 1, 2, 3, 4)
+SELECT d.id, CASE WHEN n = 1 THEN m END AS paper_document_id FROM d LEFT JOIN p ON p.t = CASE WHEN d.t = 'mark_scheme' THEN 'question_paper' ELSE 'specimen_paper' END AND p.s = d.s AND p.y = d.y AND p.l IS NOT DISTINCT FROM d.l WHERE d.t LIKE '%mark_scheme'
+""")
+def j5_matching_papers(r: Roles):
+    """Schemes with one paper, several or none; papers whose current revision was never completed do not count."""
+    k = F.col("id")
+    kind = F.when(k % 3 == 0, F.when(k % 2 == 0, "specimen_mark_scheme").otherwise("mark_scheme")).otherwise(F.when(k % 4 == 0, "specimen_paper").otherwise("question_paper"))
+    none = F.lit(None).cast("string")
+    docs = r.papers().select("id", kind.alias("doc_type"), (k * 10).alias("current_revision_id"), F.lit("b").alias("board"), none.alias("qualification"), "subject_code", none.alias("series"), "year", none.alias("component"), none.alias("variant"), "level", none.alias("paper_code"))
+    papers = docs.select(k.alias("document_id"), k.alias("parse_run_id"))
+    runs = docs.select("id", F.when(k % 14 == 3, k * 10 - 1).otherwise(k * 10).alias("document_revision_id"), F.when(k % 14 == 10, "failed").otherwise("completed").alias("status"))
+    return J.matching_papers(docs, papers, runs)
+
+
+@query("""
+, q AS (SELECT id, parent_id, display_order AS position, CASE WHEN id % 3 = 0 THEN 'a' || id END AS answer, [NULL, 'exact', 'ancestor', 'descendants', 'none', 'odd'][1 + id % 6] AS given FROM question),
+m AS (SELECT *, CASE WHEN given IS NULL THEN 'ancestor' WHEN given = 'odd' THEN 'none' ELSE given END AS mode FROM q),
+k AS (SELECT parent_id AS id, list(answer ORDER BY position) AS parts FROM q WHERE answer IS NOT NULL AND parent_id IS NOT NULL GROUP BY 1),
+x AS (SELECT m.*, u.answer AS up, parts FROM m LEFT JOIN q u ON u.id = m.parent_id LEFT JOIN k ON k.id = m.id),
+y AS (SELECT *, CASE WHEN answer IS NOT NULL THEN 'exact' WHEN mode = 'ancestor' AND up IS NOT NULL THEN 'ancestor' WHEN mode = 'descendants' AND parts IS NOT NULL THEN 'descendants' ELSE 'none' END AS method FROM x)
+SELECT id, mode, method, CASE method WHEN 'exact' THEN id WHEN 'ancestor' THEN parent_id END AS source_id, CASE method WHEN 'exact' THEN [answer] WHEN 'ancestor' THEN [up] WHEN 'descendants' THEN parts END AS answer,
+  CASE WHEN given = 'odd' THEN 'unresolved_answer_mode' WHEN method = 'none' AND mode <> 'none' THEN 'missing_answer' END AS problem FROM y
+""")
+def j11_tree_answers(r: Roles):
+    mode = _pick("id", [None, "exact", "ancestor", "descendants", "none", "odd"]).cast("string")
+    q = r.questions().select("id", "parent_id", F.col("display_order").alias("position"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("a"), F.col("id").cast("string"))).alias("answer"), mode.alias("answer_mode"))
+    return J.tree_answers(q, "ancestor")
+
+
+@query("SELECT s_suppkey AS target_id, s_suppkey % 3 <> 0 AS active, CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN s_name END END AS restored FROM supplier", with_roles=False)
+def s15_revert_overrides(r: Roles):
+    """Reverted overrides stay, inactive; what they give back may be null."""
+    s = r.table("supplier").select(F.lit("question").alias("target_type"), F.col("s_suppkey").alias("target_id"), F.lit("marks").alias("field"), F.lit("9").alias("value"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("source_value"), F.lit("me").alias("author"), F.lit(True).alias("active"))
+    table, back = L.revert_overrides(s, s.where("target_id % 3 = 0"))
+    return table.select("target_id", "active").join(back.select("target_id", F.col("value").alias("restored")), "target_id", "left")

@@ -72,15 +72,6 @@ def a11_snapshot(r: Roles):
     return R.snapshot(r.questions(), entries, r.assets())
 
 
-@query("SELECT mode, board, subject_code, count(*) AS n FROM (SELECT CASE WHEN q.id IN (SELECT question_id FROM official) THEN 'official' ELSE 'none' END AS mode, board, subject_code FROM question q JOIN paper p ON p.id = q.paper_id) GROUP BY GROUPING SETS ((mode), (board, mode), (subject_code, mode))")
-def a20_answer_sources(r: Roles):
-    from paperglass.operators.search import star
-
-    own = r.official().select(F.col("question_id").alias("id")).distinct().withColumn("_o", F.lit("official"))
-    rows = star(r.questions(), r.papers()).join(own, "id", "left").select(F.coalesce("_o", F.lit("none")).alias("mode"), "board", "subject_code")
-    return R.distribution(rows, "mode", [[], ["board"], ["subject_code"]])
-
-
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY ROLLUP (event_type)", with_roles=False)
 def a24_entity_counts(r: Roles):
     return r.table("events").rollup("event_type").agg(F.count("*").alias("n"))
