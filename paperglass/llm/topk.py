@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperglass.llm.common import written
 from paperglass.llm.vectors import best, matrix, one_query, top
 
 #: Rows of a block of candidates and of queries.
@@ -66,12 +67,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, integers: bool = Tr
     With no queries or no candidates there are no rows. Integer sums wrap at 64 bits.
     """
     cells = queries.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    candidates = written(candidates.select("id", "v", F.monotonically_increasing_id().alias("n")), "candidates")  # repeated rows are dealt like others
     n_c = max(1, -(-candidates.count() // CANDIDATES), int(cells) // 4)
     queries = one_query(queries)
     n_q = max(1, -(-queries.count() // QUERIES))
     all_c, all_q = F.sequence(F.lit(0), F.lit(n_c - 1)), F.sequence(F.lit(0), F.lit(n_q - 1))
     q = queries.select(F.explode(all_c).alias("c"), F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int").alias("q"), "id", "v")
-    c = candidates.select(F.pmod(F.xxhash64("id", "v"), F.lit(n_c)).cast("int").alias("c"), F.explode(all_q).alias("q"), "id", "v")
+    c = candidates.select(F.pmod(F.xxhash64("n"), F.lit(n_c)).cast("int").alias("c"), F.explode(all_q).alias("q"), "id", "v")
     dtype = np.int64 if integers else np.float64
     out = q.groupBy("c", "q").cogroup(c.groupBy("c", "q")).applyInArrow(cell(k, dtype), f"query_id long, vec_id long, score {'long' if integers else 'double'}")
     return best(out, k)
