@@ -23,7 +23,10 @@ def x2_slugify(r: Roles):
     return r.table("part").select("p_partkey", X.slugify(F.concat_ws(" ", "p_brand", "p_name")).alias("slug"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT p_partkey, sha256('brand=' || p_brand || '|key=' || p_partkey) AS h FROM part)
+SELECT p_partkey, 'pt_' || array_to_string(list_transform(range(32), lambda i: substr('abcdefghijklmnopqrstuvwxyz234567', 1 + CAST((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), '') AS public_id FROM c
+""", with_roles=False)
 def x3_public_ids(r: Roles):
     return r.table("part").select("p_partkey", X.public_id("pt_", {"brand": F.col("p_brand"), "key": F.col("p_partkey")}).alias("public_id"))
 
@@ -45,7 +48,10 @@ def x6_char_ngrams(r: Roles):
     return r.table("benchmark").select("item_id", F.explode(X.char_ngrams(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("tf"))
 
 
-@query()
+_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
+
+
+@query(f"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains({_STOP}, w))) AS n_words FROM documents", with_roles=False)
 def x8_topic_words(r: Roles):
     return r.table("documents").select("doc_id", F.size(X.topic_words(F.col("text"))).alias("n_words"))
 
@@ -65,7 +71,16 @@ def x32_occurrences(r: Roles):
     return r.table("pages").select("page_id", X.occurrences(F.col("html"), "the").alias("hits"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT item_id AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+(?:\\.[0-9]+)?', '#', 'g'), '[^a-z0-9# ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM benchmark),
+g AS (SELECT id, substr(t, CAST(i AS INTEGER), 3) AS gram, count(*) AS tf FROM t, unnest(range(1, greatest(length(t) - 1, 2))) AS x(i) WHERE length(t) >= 25 GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT id) AS n FROM g), d AS (SELECT gram, count(*) AS df FROM g GROUP BY 1),
+w AS (SELECT id, gram, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM g JOIN d USING (gram) CROSS JOIN n), l AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1),
+p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.gram = b.gram AND a.id < b.id WHERE a.df BETWEEN 2 AND 400 GROUP BY 1, 2),
+c AS (SELECT a, b, s / (x.l * y.l) AS score FROM p JOIN l x ON x.id = a JOIN l y ON y.id = b WHERE s / (x.l * y.l) >= 0.3),
+r AS (SELECT a, b, score, row_number() OVER (PARTITION BY me ORDER BY score DESC, other) AS k FROM (SELECT a, b, score, a AS me, b AS other FROM c UNION ALL SELECT a, b, score, b, a FROM c))
+SELECT DISTINCT a AS lo, b AS hi, round(score, 4) AS score FROM r WHERE k <= 5
+""", with_roles=False)
 def g1_similar_questions(r: Roles):
     return Y.similar_pairs(r.table("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("stem_text")), min_score=0.3)
 
