@@ -166,15 +166,19 @@ def tagged_questions(questions: DataFrame, papers: DataFrame, links: DataFrame,
     return some.crossJoin(F.broadcast(total)).select("id", "year", "paper_id", "confidence", excerpt("stem_text").alias("excerpt"), "total")
 
 
+def _seeded(key: str, seed: int) -> Column:
+    return F.sha1(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def sample_questions(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in the order of a seeded hash of the key, over all rows."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(_seeded(key, seed), key).limit(n)
 
 
 def sample_until_marks(rows: DataFrame, key: str, marks: str, target: int, seed: int) -> DataFrame:
     """Rows in the order of a seeded hash until their marks reach the target. Every row taken with positive marks brings at
     least one, so the first `target` such rows are enough and the running sum is over a bounded frame."""
-    first = rows.where(F.col(marks) > 0).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(target)
+    first = rows.where(F.col(marks) > 0).withColumn("_h", _seeded(key, seed)).orderBy("_h", key).limit(target)
     before = F.coalesce(F.sum(marks).over(Window.orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return first.withColumn("_before", before).where(F.col("_before") < target).drop("_before", "_h")
 

@@ -153,12 +153,14 @@ def t1_keyset_page(r: Roles):
     return S.keyset_page(r.table("customer").select("c_name", "c_custkey"), "c_name", "Customer#000000099", 50)
 
 
-@query()
+@query("SELECT id, paper_id, marks FROM question ORDER BY sha1(CAST(id AS VARCHAR) || ':7'), id LIMIT 25")
 def t4_seeded_sample(r: Roles):
     return S.sample_questions(r.questions(), "id", 25, seed=7).select("id", "paper_id", "marks")
 
 
-@query()
+@query("""
+SELECT id, marks FROM (SELECT id, marks, sum(marks) OVER (ORDER BY sha1(CAST(id AS VARCHAR) || ':7'), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM question WHERE marks > 0) WHERE coalesce(before, 0) < 100
+""")
 def t5_sample_until_marks(r: Roles):
     return S.sample_until_marks(r.questions(), "id", "marks", 100, seed=7).select("id", "marks")
 
