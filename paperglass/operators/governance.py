@@ -17,6 +17,14 @@ def provenance_edges(subjects: dict[str, DataFrame], revisions: DataFrame) -> Da
     return out
 
 
+def rebuilt_edges(old: DataFrame, new: DataFrame, board: str | None = None) -> DataFrame:
+    """Stored edges (subject_type, subject_id, revision_id, board) after a rebuild, whole or of one board: the edges of that scope are
+    replaced by the new ones of it, those of other boards stay. Rebuilding again gives the same edges."""
+    if board is None:
+        return new.distinct()
+    return old.where(~F.col("board").eqNullSafe(F.lit(board))).unionByName(new.where(F.col("board") == board).distinct())
+
+
 def findings_to_tasks(findings: DataFrame, tasks: DataFrame) -> DataFrame:
     """New review tasks: errors and critical findings, one for each subject and rule that has no open task."""
     wanted = findings.where(F.col("severity").isin("error", "critical")).select("subject_type", "subject_id", "rule_code").distinct()

@@ -170,6 +170,18 @@ def j4_provenance_edges(r: Roles):
     return G.provenance_edges({"question": of(r.questions()), "entry": of(r.entries())}, revisions)
 
 
+@query("""
+, n AS (SELECT 'question' AS subject_type, q.id AS subject_id, p.id * 10 AS revision_id, board FROM question q JOIN paper p ON p.id = q.paper_id)
+SELECT * FROM n WHERE board = 'ASIA' UNION ALL SELECT subject_type, subject_id, revision_id - 1, board FROM n WHERE board <> 'ASIA' AND subject_id % 2 = 0
+""")
+def j4_rebuilt_edges(r: Roles):
+    """The edges of one board are new, the others as they were stored."""
+    p = r.papers().select(F.col("id").alias("paper_id"), "board")
+    new = r.questions().join(p, "paper_id").select(F.lit("question").alias("subject_type"), F.col("id").alias("subject_id"), (F.col("paper_id") * 10).alias("revision_id"), "board")
+    old = new.where("subject_id % 2 = 0").withColumn("revision_id", F.col("revision_id") - 1)
+    return G.rebuilt_edges(old, new, "ASIA")
+
+
 @query("SELECT count(*) AS scanned, count(*) FILTER (id IN (SELECT id FROM entry) OR id IN (SELECT question_id FROM official)) AS generated, count(*) FILTER (id NOT IN (SELECT id FROM entry) AND id NOT IN (SELECT question_id FROM official)) AS skipped FROM question")
 def a39_explanation_batch(r: Roles):
     return G.explanation_batch(r.questions(), r.entries().withColumn("question_id", F.col("id")), r.official())
