@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperglass.llm import ann_tree, bpe, chat_format, license_scan, packing, secret_scan, simhash, token_count, topk, toxicity
+from paperglass.llm import ann_tree, bpe, chat_format, license_scan, merkle, packing, phrases, piece_bpe, secret_scan, simhash, token_count, topk, toxicity
 from paperglass.llm.common import table
 from paperglass.llm.vectors import valid
 
@@ -71,9 +71,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("long") + 1).otherwise(F.col("n_chars"))
+    return merkle.audit(table(spark, sf_dir, "documents"), presented={"n_chars": altered})
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, first=2000)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), _vocabulary_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_ann_tree, op4_token_counts, op5_simhash, op6_secret_scan, op7_packing, op8_byte_bpe, op9_exact_top_k, op10_toxicity)
-}
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_license_scan, op3_ann_tree, op4_token_counts, op5_simhash, op6_secret_scan, op7_packing, op8_byte_bpe, op9_exact_top_k, op10_toxicity,
+        op11_merkle_manifest, op12_phrase_mining, op13_sentencepiece,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_top_k": """
@@ -89,5 +106,62 @@ WITH parts AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores
 ) WHERE rank <= 5
+""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree,
+    sha256(concat_ws('', p1, p2, p3, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), p5)) AS d,
+    sha256(concat_ws('', p1, p2, p3, coalesce(strlen(held::VARCHAR) || ':' || held, '-'), p5)) AS other
+  FROM (
+    SELECT doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS p1, coalesce(strlen(source) || ':' || source, '-') AS p2,
+      coalesce(strlen(lang) || ':' || lang, '-') AS p3, coalesce(strlen(text) || ':' || text, '-') AS p5,
+      n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS held
+    FROM (SELECT *, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+            lambda c, x: list_reduce([xor(c, x)] || range(8), lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc FROM documents)
+  )
+), node AS (
+  SELECT tree, 0 AS level, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, d FROM leaf
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY tree, level, i // 2, n
+), subroot AS (SELECT tree, d FROM node WHERE n = 1
+), high AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, d FROM subroot
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 2, n
+), low_fold AS (
+  SELECT doc_id, tree, 0 AS level, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, other AS acc, '' AS proof FROM leaf
+  UNION ALL
+  SELECT doc_id, f.tree, f.level + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN s.d IS NULL THEN acc WHEN f.i % 2 = 1 THEN s.d || acc ELSE acc || s.d END), proof || coalesce(s.d, '')
+  FROM low_fold f LEFT JOIN node s ON s.tree = f.tree AND s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1
+), high_fold AS (
+  SELECT doc_id, 0 AS level, t.i, t.n, acc, proof FROM low_fold f JOIN (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM subroot) t ON t.tree = f.tree WHERE f.n = 1
+  UNION ALL
+  SELECT doc_id, f.level + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN s.d IS NULL THEN acc WHEN f.i % 2 = 1 THEN s.d || acc ELSE acc || s.d END), proof || coalesce(s.d, '')
+  FROM high_fold f LEFT JOIN high s ON s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1
+)
+SELECT f.doc_id, l.d AS leaf, s.d AS subroot, r.d AS root, sha256(f.proof) AS proof_sha256, f.acc AS folded_root, f.acc = r.d AS verified
+FROM high_fold f JOIN leaf l ON l.doc_id = f.doc_id JOIN subroot s ON s.tree = l.tree JOIN high r ON r.n = 1 WHERE f.n = 1
+""",
+    "op12_phrase_mining": """
+WITH words AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM documents)
+), total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), phrase AS (
+  SELECT lang, p, len(p) AS words, count(*) AS f
+  FROM (SELECT lang, w[i : i + k - 1] AS p FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words) AS b, range(1, 6) AS s(k) WHERE i + k - 1 <= len(w))
+  GROUP BY lang, p HAVING count(*) >= 100
+), kept AS (
+  SELECT * FROM phrase c WHERE words > 1 AND NOT EXISTS (
+    SELECT 1 FROM phrase b WHERE b.lang = c.lang AND b.words > c.words AND 100 * b.f >= 100 * c.f
+      AND len(list_filter(range(1, b.words - c.words + 2), lambda i: b.p[i : i + c.words - 1] = c.p)) > 0)
+), scored AS (
+  SELECT c.lang, c.p, c.f AS a, l.f AS l, r.f AS r, n, k, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM kept) c JOIN total t ON t.lang = c.lang
+    JOIN phrase l ON l.lang = c.lang AND l.p = c.p[1 : k] JOIN phrase r ON r.lang = c.lang AND r.p = c.p[k + 1 :]
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM best
+) WHERE rank <= 2000
 """,
 }
