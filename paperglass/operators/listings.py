@@ -329,11 +329,3 @@ def catalog(parts: dict[str, DataFrame]) -> DataFrame:
         part = df.select(F.concat(F.lit(f"{kind}:"), F.col(df.columns[0]).cast("string")).alias("public_id"), F.lit(kind).alias("kind"), identity.alias("identity_fields"))
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def payload_shape(rows: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, path, kind) of the top-level fields of JSON payloads, without their values."""
-    fields = F.from_json(payload, "map<string,string>")
-    value = F.trim("value")
-    kind = F.when(value.isNull(), "null").when(value.rlike(r"^\{"), "object").when(value.rlike(r"^\["), "array").when(value.rlike(r"^-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?$"), "number").when(value.isin("true", "false"), "boolean").otherwise("string")
-    return rows.select(key, F.explode(fields).alias("path", "value")).select(key, "path", kind.alias("kind"))

@@ -157,11 +157,6 @@ def s18_catalog_build(r: Roles):
     return L.catalog({"supplier": r.table("supplier").select("s_suppkey", "s_name"), "nation": r.table("nation").select("n_nationkey", "n_name")}).select("public_id", "kind")
 
 
-@query("SELECT event_id, 'k' AS path, 'number' AS kind FROM events WHERE props LIKE '{\"k\": %}'", with_roles=False)
-def x39_payload_shape(r: Roles):
-    return L.payload_shape(r.table("events"), "event_id", "props")
-
-
 @query("SELECT id, other FROM (SELECT id, parent_id AS other FROM question WHERE parent_id IS NOT NULL UNION ALL SELECT parent_id, id FROM question WHERE parent_id IS NOT NULL)")
 def j13_symmetric_pairs(r: Roles):
     return J.symmetric_pairs(r.questions().where("parent_id is not null").select(F.col("id").alias("a"), F.col("parent_id").alias("b")))
