@@ -372,3 +372,48 @@ def s15_revert_overrides(r: Roles):
     s = r.table("supplier").select(F.lit("question").alias("target_type"), F.col("s_suppkey").alias("target_id"), F.lit("marks").alias("field"), F.lit("9").alias("value"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("source_value"), F.lit("me").alias("author"), F.lit(True).alias("active"))
     table, back = L.revert_overrides(s, s.where("target_id % 3 = 0"))
     return table.select("target_id", "active").join(back.select("target_id", F.col("value").alias("restored")), "target_id", "left")
+
+
+_RUNS = """
+WITH e AS (SELECT user_id AS url, user_id % 6 AS source, CAST(date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) AS BIGINT) AS run_no, event_id, ts,
+  CASE event_id % 11 WHEN 0 THEN 'error' WHEN 1 THEN 'gated' WHEN 2 THEN 'listed' ELSE 'fetched' END AS status, event_type AS sha FROM events),
+ended AS (SELECT DISTINCT source, run_no FROM e WHERE event_id % 20 = 0),
+o AS (SELECT source, run_no, url, max_by((status, sha), (ts, status, sha)) AS r FROM e JOIN ended USING (source, run_no) GROUP BY 1, 2, 3),
+p AS (SELECT source, run_no, url, r[1] AS status, CASE WHEN r[1] = 'fetched' THEN r[2] END AS sha FROM o),
+f AS (SELECT *, row_number() OVER w > 1 AS known, lead(run_no) OVER w AS next_run, last_value(sha IGNORE NULLS) OVER (PARTITION BY url ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM p WINDOW w AS (PARTITION BY url ORDER BY run_no)),
+g AS (SELECT *, CASE WHEN status = 'gated' THEN 'skipped' WHEN status = 'error' THEN 'error' WHEN status = 'listed' THEN CASE WHEN known THEN 'seen' ELSE 'new' END WHEN had IS NULL THEN 'new' WHEN sha = had THEN 'unchanged' ELSE 'changed' END AS action FROM f),
+h AS (SELECT *, CAST(count(*) FILTER (status = 'fetched' AND action IN ('new', 'changed')) OVER (PARTITION BY url ORDER BY run_no) AS INTEGER) AS revision_no FROM g),
+gone AS (SELECT h.source, min(x.run_no) AS run_no, url, h.revision_no FROM h JOIN ended x ON x.source = h.source AND x.run_no > h.run_no AND x.run_no % 3 <> 0 GROUP BY h.source, url, h.run_no, h.next_run, h.revision_no HAVING min(x.run_no) < coalesce(h.next_run, 1000000)),
+a AS (SELECT source, run_no, url, action, revision_no FROM h UNION ALL SELECT source, run_no, url, 'missing', revision_no FROM gone)
+"""
+
+
+def _run_actions(r: Roles):
+    """The stream over all events, ended: its rows are what the stream has written."""
+    from paperglass.sources.tables import work_folder
+    from paperglass.streaming import crawl_runs
+
+    r.spark.conf.set("spark.sql.streaming.stateStore.providerClass", crawl_runs.PROVIDER)
+    place, run = work_folder(r.spark), F.datediff(F.to_date("ts"), F.lit("2023-12-31")).cast("long")
+    stored = r.table("events")
+    rows = r.spark.readStream.schema(stored.schema).parquet(f"{r.dir}/event[s].parquet")  # a pattern: a plain path must be a folder
+    k = F.col("event_id") % 11
+    source, none = (F.col("user_id") % 6).cast("string").alias("source"), F.lit(None)
+    met = F.struct(F.lit("url").alias("kind"), F.col("user_id").cast("string").alias("url"), F.when(k == 0, "error").when(k == 1, "gated").when(k == 2, "listed").otherwise("fetched").alias("status"), F.col("event_type").alias("sha256"), F.lit(10).cast("long").alias("bytes"), F.col("ts").cast("timestamp").alias("at"), none.cast("boolean").alias("complete"))
+    over = F.struct(F.lit("end").alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("status"), none.cast("string").alias("sha256"), none.cast("long").alias("bytes"), F.date_add(F.to_date("ts"), 1).cast("timestamp").alias("at"), (run % 3 != 0).alias("complete"))
+    events = rows.select(source, run.alias("run_no"), F.explode(F.when(F.col("event_id") % 20 == 0, F.array(met, over)).otherwise(F.array(met))).alias("x")).select("source", "run_no", "x.*")
+    started = crawl_runs.run_actions(events, "0 seconds", buckets=4).writeStream.format("parquet").option("path", f"{place}/actions").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return r.spark.read.schema(crawl_runs.ACTIONS).parquet(f"{place}/actions")
+
+
+@query(_RUNS + "SELECT CAST(source AS VARCHAR) AS source, run_no, CAST(url AS VARCHAR) AS url, action, revision_no FROM a", with_roles=False)
+def st1_crawl_runs(r: Roles):
+    return _run_actions(r).select("source", "run_no", "url", "action", "revision_no")
+
+
+@query(_RUNS + "SELECT CAST(source AS VARCHAR) AS source, run_no, count(*) AS total, " + ", ".join(f"count(*) FILTER (action = '{x}') AS \"{x}\"" for x in ("new", "seen", "unchanged", "changed", "missing", "skipped", "error")) + " FROM a GROUP BY 1, 2", with_roles=False)
+def st1_totals_by_run(r: Roles):
+    from paperglass.streaming.crawl_runs import run_totals
+
+    return run_totals(_run_actions(r)).drop("new_revisions", "bytes")

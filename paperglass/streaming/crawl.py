@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-STATE = "url string, source string, sha256 string, revision_no int, status string, seen_at timestamp"
-#: Micro-batches after which the deltas of the state are put together.
-COMPACT = 16
-
-
 def classify(batch: DataFrame, state: DataFrame, complete_sources: DataFrame | None = None) -> DataFrame:
     """(url, source, sha256, revision_no, seen_at, action): what a run's outcomes (url, source, status, sha256, bytes, seen_at) mean
     against the state (url, source, sha256, revision_no, status).
@@ -50,55 +45,6 @@ def empty_runs(runs: DataFrame, key: list[str]) -> DataFrame:
     return runs.join(last, key).groupBy(*key).agg(F.count_if(F.col("_last").isNull() | (F.col("run_no") > F.col("_last"))).alias("empty_runs"))
 
 
-def read_state(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """The state before a micro-batch: the last full one and the deltas after it, the newest row of each url."""
-    full = number // COMPACT * COMPACT
-    parts = [(f"{path}/full={full}", full - 1)] if full else []
-    parts += [(f"{path}/delta={k}", k) for k in range(full, number)]
-    rows = spark.createDataFrame([], f"{STATE}, _n long")
-    for folder, k in parts:
-        rows = rows.unionByName(spark.read.schema(STATE).parquet(folder).withColumn("_n", F.lit(k).cast("long")))
-    names = [c.split()[0] for c in STATE.split(", ")]
-    return rows.groupBy("url").agg(F.max_by(F.struct(*names[1:]), "_n").alias("r")).select("url", "r.*")
-
-
-def _remove(spark: SparkSession, folders: list[str]) -> None:
-    for folder in folders:
-        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def crawl_stream(fetches: DataFrame, state_path: str, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Merges a stream of outcomes, batch by batch.
-
-    A batch writes the rows that it has moved as a delta, and every COMPACT batches the state is written whole, and what it
-    replaces is removed one such period later. A batch that runs again writes the same again. Actions are logged by batch.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        moved = classify(batch, read_state(spark, state_path, number)).persist()
-        status = F.when(F.col("action").isin("error", "skipped"), F.col("action")).otherwise("seen")
-        moved.select("url", "source", "sha256", "revision_no", status.alias("status"), "seen_at").write.mode("overwrite").parquet(f"{state_path}/delta={number}")
-        moved.groupBy("action").count().write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        moved.unpersist()
-        if (number + 1) % COMPACT == 0:
-            end = number + 1
-            deltas = [k for k in range(end - COMPACT, end)]
-            rows = [spark.read.schema(STATE).parquet(f"{state_path}/delta={k}").withColumn("_n", F.lit(k).cast("long")) for k in deltas]
-            if end > COMPACT:
-                rows.append(spark.read.schema(STATE).parquet(f"{state_path}/full={end - COMPACT}").withColumn("_n", F.lit(-1).cast("long")))
-            union = rows[0]
-            for r in rows[1:]:
-                union = union.unionByName(r)
-            names = [c.split()[0] for c in STATE.split(", ")]
-            union.groupBy("url").agg(F.max_by(F.struct(*names[1:]), "_n").alias("r")).select("url", "r.*").write.mode("overwrite").parquet(f"{state_path}/full={end}")
-            past = end - COMPACT
-            _remove(spark, [f"{state_path}/full={past - COMPACT}", *(f"{state_path}/delta={k}" for k in range(max(0, past - COMPACT), past))])
-
-    return fetches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def latest_checkpoints(observations: DataFrame) -> DataFrame:
     """The newest observation of each scope by native time, then observed time, and whether its native time holds several
     payloads. Runs on a batch or, in complete or update mode, on a stream: state is one row for each scope and instant."""

@@ -247,24 +247,6 @@ def test_freshness_conflict(spark):
     assert got == {("s", 5): "superseded", ("s", 6): "conflict", ("s", 7): "conflict", ("t", 1): "superseded", ("t", 0): "current"}
 
 
-def test_crawl_stream(spark, tmp_path, monkeypatch):
-    """The state over many micro-batches, with whole states in between, is that of one batch after the other."""
-    from paperglass.streaming import crawl
-
-    monkeypatch.setattr(crawl, "COMPACT", 2)
-    schema = "url string, source string, status string, sha256 string, bytes long, seen_at timestamp"
-    source = tmp_path / "in"
-    batches = [[("u", "fetched", "a"), ("v", "fetched", "b")], [("u", "fetched", "a"), ("v", "fetched", "c")], [("w", "listed", None), ("u", "error", None)], [("w", "fetched", "d"), ("v", "gated", None)], [("u", "fetched", "e")]]
-    for k, rows in enumerate(batches):
-        spark.createDataFrame([(u, "s", st, sha, 10) for u, st, sha in rows], "url string, source string, status string, sha256 string, bytes long").withColumn("seen_at", F.lit(f"2024-01-0{k + 1}").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(source))
-        crawl.crawl_stream(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "state"), str(tmp_path / "log"), str(tmp_path / "check")).awaitTermination()
-    state = {r["url"]: (r["sha256"], r["revision_no"], r["status"]) for r in crawl.read_state(spark, str(tmp_path / "state"), 5).collect()}
-    assert state == {"u": ("e", 2, "seen"), "v": ("c", 2, "skipped"), "w": ("d", 1, "seen")}
-    log = {(r["batch"], r["action"]): r["count"] for r in spark.read.parquet(str(tmp_path / "log")).collect()}
-    assert log == {(0, "new"): 2, (1, "unchanged"): 1, (1, "changed"): 1, (2, "new"): 1, (2, "error"): 1, (3, "new"): 1, (3, "skipped"): 1, (4, "changed"): 1}
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["delta=2", "delta=3", "delta=4", "full=2", "full=4"]
-
-
 def test_missing_urls_of_complete_sources(spark):
     from paperglass.streaming.crawl import classify, empty_runs, run_counters
 
