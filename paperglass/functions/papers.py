@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperglass.functions.phrase_match import first_by_order
+
 #: Signs of document types on their first pages, with weights; of equal sums the first type counts (fixed values).
 TYPE_SIGNS = {
     "mark_scheme": {
@@ -157,11 +159,8 @@ def head_relation(a: Column, b: Column) -> Column:
 
 
 def region_of(text: Column, aliases: dict[str, str]) -> Column:
-    """The region whose alias occurs in the text, the longest alias first; null without one."""
-    out = F.lit(None).cast("string")
-    for alias, region in sorted(aliases.items(), key=lambda kv: (len(kv[0]), kv[0])):
-        out = F.when(F.contains(text, F.lit(alias)), region).otherwise(out)
-    return out
+    """The region whose alias occurs in the text, the longest alias first; null without one. One pass over the text."""
+    return first_by_order(text, sorted(aliases.items(), key=lambda kv: (len(kv[0]), kv[0]), reverse=True))
 
 
 #: Instructions and their question types, the first match counts (fixed values).

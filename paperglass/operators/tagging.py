@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperglass.functions.phrase_match import phrases_in, stands_alone
 from paperglass.functions.text import topic_words
 
 K1, B = 1.2, 0.75
@@ -67,16 +68,16 @@ def keyword_topics(questions: DataFrame, keywords: DataFrame, min_confidence: fl
     (code, keyword) that occur between non-alphanumeric signs.
 
     Keywords of letters and digits meet the text's distinct lower-case words in an equi-join; those with spaces, hyphens or
-    other signs are looked for in the text as they stand. Keywords are a fixed small table.
+    other signs are looked for in the text as they stand, all in one pass, and meet their weights by join.
     """
     weighted = keywords.select("code", F.lower("keyword").alias("keyword"), keyword_weight(F.col("keyword")).alias("w")).distinct()
     single = F.col("keyword").rlike("^[a-z0-9]+$")
     words = questions.select("id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))).alias("keyword"))
     by_word = words.join(weighted.where(single), "keyword").select("id", "code", "w")
-    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col("keyword"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    phrases = weighted.where(~single & (F.col("keyword") != "")).select("code", "keyword", "w", F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")).alias("pattern"))
-    lowered = questions.select("id", F.lower("text").alias("_text"))
-    by_phrase = lowered.join(F.broadcast(phrases), F.contains("_text", "keyword") & F.rlike("_text", F.col("pattern"))).select("id", "code", "w")
+    phrases = weighted.where(~single)
+    lowered = questions.select("id", F.lower("text").alias("text"))
+    met = phrases_in(lowered, phrases.select(F.col("keyword").alias("phrase")), stands_alone).withColumnRenamed("phrase", "keyword").distinct()
+    by_phrase = met.join(phrases, "keyword").select("id", "code", "w")
     totals = by_word.unionByName(by_phrase).groupBy("id", "code").agg(F.sum("w").alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "code")
     ranked = totals.withColumn("rank", F.row_number().over(w)).withColumn("best", F.first("score").over(w)).where("rank <= 2")
