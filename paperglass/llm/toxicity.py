@@ -187,6 +187,11 @@ class Model:
         return dxf, dxb
 
 
+def by_length(words: set[str]) -> list[str]:
+    """Words from short to long, those of one length in order: the same in every process."""
+    return sorted(words, key=lambda w: (len(w), w))
+
+
 class Scorer:
     """Window and document scores of texts, with the words' projected inputs kept in a table."""
 
@@ -202,9 +207,9 @@ class Scorer:
     def _learn(self, lists: list[list[str]]) -> None:
         if len(self.number) > WORDS:
             self._clear()
-        new = list(set().union(*lists).difference(self.number))
+        new = by_length(set().union(*lists).difference(self.number))
         for lo in range(0, len(new), 8192):
-            part = sorted(new[lo : lo + 8192], key=len)
+            part = new[lo : lo + 8192]
             at = len(self.number)
             self.number.update(zip(part, range(at, at + len(part)), strict=True))
             while at + len(part) > len(self.table[0]):
@@ -247,7 +252,8 @@ class Scorer:
 
 
 def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Model:
-    """A model of labelled texts. Embeddings start from the words' shrunken log odds; without both classes the model is untrained."""
+    """A model of labelled texts. Embeddings start from the words' shrunken log odds; without both classes the model is untrained.
+    The rate falls from round to round, and the model is the mean over the last one."""
     model, rng = Model(), np.random.default_rng(seed)
     if len(set(labels.tolist())) < 2:
         return model
@@ -260,7 +266,8 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int =
         odds = np.log((hits[1] + 1.5) / (n[1] + 3)) - np.log((hits[0] + 1.5 * n[0] / n[1]) / (n[0] + 3 * n[0] / n[1]))
         model.p[name][:, 0] = np.clip(odds, -4, 4) * (hits.sum(0) > 2)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
-    step = 0
+    step, taken = 0, 0
+    mean = {k: np.zeros_like(v) for k, v in model.p.items()}
     for turn in range(rounds):
         if turn:
             doc, start, size, logit = Scorer(model).windows(lists)
@@ -281,7 +288,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int =
             if not len(own):
                 continue
             cut = [lists[doc[k]][start[k] : start[k] + size[k]] for k in own]
-            kinds = sorted(set().union(*cut), key=len)
+            kinds = by_length(set().union(*cut))
             number = {w: i for i, w in enumerate(kinds)}
             s = size[own]
             steps = np.arange(int(s.max()))
@@ -310,7 +317,14 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int =
                 m, q = moment[k]
                 m += (g[k] - m) * f32(0.1)
                 q += (g[k] * g[k] - q) * f32(0.01)
-                v -= f32(rate) * (m / f32(1 - 0.9**step)) / (np.sqrt(q / f32(1 - 0.99**step)) + f32(1e-6))
+                v -= f32(rate * (1 - turn / rounds)) * (m / f32(1 - 0.9**step)) / (np.sqrt(q / f32(1 - 0.99**step)) + f32(1e-6))
+            if turn + 1 == rounds:
+                taken += 1
+                for k, v in model.p.items():
+                    mean[k] += v
+    # the mean of the last round's steps: single steps of a small batch move the scores of rare words by much
+    if taken:
+        model.p = {k: v / f32(taken) for k, v in mean.items()}
     return model
 
 
@@ -354,13 +368,12 @@ def _appended(model: Model, at: int, name: str):
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positive: int = POSITIVE, negative: int = NEGATIVE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores under the threshold; fitted as in toxicity()."""
+    """The rows of `docs`, all columns, whose text scores under the threshold; fitted as in toxicity(). Columns may have any names."""
     model = fit(*training_sample(docs, labels, id_col, text_col, label_col, positive, negative))
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(_appended(model, docs.columns.index(text_col), name), schema).where(F.col(name) < threshold).drop(name)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = plain.mapInArrow(_appended(model, docs.columns.index(text_col), "score"), schema).where(F.col("score") < threshold)
+    return kept.drop("score").toDF(*docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positive: int = POSITIVE, negative: int = NEGATIVE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", model: Model | None = None) -> DataFrame:

@@ -240,12 +240,36 @@ def test_a_repeated_id_adds_one_text_to_the_sample(spark):
     assert len(texts) == len(set(texts)) <= 3 and len(y) == len(texts)
 
 
-def test_stages_on_awkward_rows(spark):
+FIT_TWICE = """
+import hashlib, numpy as np
+from paperglass.llm import toxicity
+rng = np.random.default_rng(1)
+words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(300)]
+texts = [" ".join(rng.choice(words[: 150 + 150 * (k % 2)], 90)) for k in range(60)]
+model = toxicity.fit(texts, np.arange(60) % 2, np.ones(60, np.float32), rounds=2)
+print(hashlib.sha256(toxicity.Scorer(model).scores(texts).tobytes()).hexdigest())
+"""
+
+
+def test_scores_are_the_same_in_every_process():
+    import os
+    import subprocess
+    import sys
+
+    run = lambda seed: subprocess.run([sys.executable, "-c", FIT_TWICE], env={**os.environ, "PYTHONHASHSEED": seed, "PYTHONPATH": os.getcwd()}, capture_output=True, text=True, check=True).stdout
+    assert len(run("1")) == 65 and len({run(seed) for seed in ("1", "2", "3")}) == 1
+
+
+OWN_NAMES = ("spans string, base string, _score double, _h long, _KEY int, stays boolean, node long", "_SPANS string, `a.b` string, _SCORE double, Score long, c0 int, _STAYS boolean, B long", "C1 string, kept string, score double, _ID long, `_score.x` int, Digest boolean, component_id long")
+
+
+@pytest.mark.parametrize("own", OWN_NAMES)
+def test_stages_on_awkward_rows(spark, own):
     """Null texts and ids, repeated rows, one id with two texts, and columns whose names the stages use themselves."""
     import corpus_pipeline
 
     rows = [(1, "plain words of one text"), (1, "plain words of one text"), (1, "other words altogether here"), (None, "no id"), (None, None), (2, None), (3, ""), (4, "key password = abcdefghijklmnop end")]
-    schema = "doc_id long, text string, lang string, source string, n_chars int, spans string, base string, _score double, _h long, _KEY int, stays boolean, node long"
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + own
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "sp", "ba", 0.5, 7, 8, True, 9) for i, t in rows], schema)
     kept = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
