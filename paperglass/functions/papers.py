@@ -109,10 +109,23 @@ def unit_code(attrs: Column, paper_code: Column) -> Column:
     return F.coalesce(F.get_json_object(attrs, "$.unit_code"), F.nullif(F.regexp_extract(paper_code, r"^([A-Z]{2,4}\d{2})", 1), F.lit("")))
 
 
-def clock_scale(times: DataFrame, key: list[str], time: str, duration: str) -> DataFrame:
-    """Whether each key's times are seconds or milliseconds, by their greatest against the duration."""
-    top = times.groupBy(*key).agg(F.max(time).alias("top"), F.max(duration).alias("length"))
-    return top.withColumn("unit", F.when(F.col("top") <= F.col("length") * 1.5, "s").when(F.col("top") <= F.col("length") * 1500, "ms").otherwise("unknown"))
+def clock_units(times: DataFrame, key: list[str], time: str, duration: str) -> DataFrame:
+    """(key, top, unit, confidence, reason): whether each key's times are seconds or milliseconds, by their greatest against the duration.
+
+    Milliseconds need a span of a quarter of the recording; shorter ones stay seconds, so that the bounds tell of them. Without a duration
+    only the size speaks, which may be `ambiguous`; what fits neither is `invalid`. Without times the unit is null.
+    """
+    top, length = F.col("top"), F.col("length")
+    seen = times.groupBy(*key).agg(F.max(F.when(~F.isnan(F.col(time).cast("double")), F.col(time))).alias("top"), F.max(duration).alias("length"))
+    high = length * 1.2 + 5
+
+    def told(unit, confidence, reason):
+        return F.struct(F.lit(unit).cast("string").alias("unit"), F.lit(confidence).cast("double").alias("confidence"), F.lit(reason).alias("reason"))
+
+    sized = F.when(top > 7200, told("ms", 0.6, "magnitude_heuristic")).when(top > 3600, told("ambiguous", 0.3, "magnitude_ambiguous")).otherwise(told("sec", 0.4, "magnitude_heuristic_weak"))
+    rescued = F.when(top / 1000 >= length * 0.25, told("ms", 0.95, "fits_duration_as_ms")).otherwise(told("sec", 0.5, "ms_span_implausible_keep_sec"))
+    told_by = F.when(top.isNull(), told(None, 0.0, "no_values")).when(length.isNull() | (length <= 0), sized).when(top <= high, told("sec", 0.95, "fits_duration_as_sec")).when(top / 1000 <= high, rescued).otherwise(told("invalid", 0.9, "exceeds_duration_both_scales"))
+    return seen.select(*key, "top", told_by.alias("x")).select(*key, "top", "x.*")
 
 
 def transcript_words(text: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperglass.functions.papers import transcript_words
+from paperglass.functions.papers import clock_units, transcript_words
 
 #: Longest window of a segment, that of the last one, and what an answer's window has on both sides, in seconds (fixed values).
 LONGEST, LAST, PAD = 30.0, 12.0, 2.0
@@ -174,14 +174,22 @@ def select_windows(windows: DataFrame, part: str, anchors: DataFrame | None = No
     return narrow.groupBy(part).applyInPandas(run, f"part {kind}, node long, start_sec double, end_sec double, margin double").withColumnRenamed("part", part)
 
 
+def in_seconds(segments: DataFrame, recordings: DataFrame, part: str) -> DataFrame:
+    """Segments (part, start_sec, ...) with start_sec in seconds and the `unit` it was found in, by clock_units against the recording."""
+    lengths = recordings.groupBy(part).agg(F.max("duration_sec").alias("_length"))
+    units = clock_units(segments.select(part, "start_sec").join(lengths, part, "left"), [part], "start_sec", "_length").select(part, "unit")
+    return segments.join(units, part, "left").withColumn("start_sec", F.when(F.col("unit") == "ms", F.col("start_sec") / 1000).otherwise(F.col("start_sec")))
+
+
 def valid_clocks(segments: DataFrame, recordings: DataFrame, part: str, slack: float = 0.001, edge: float = 2.0) -> DataFrame:
-    """(part, clock_valid): whether the times of a part's segments, in their order, do not fall by over `slack` and lie in the
-    recording (part, duration_sec), give or take `edge` seconds; a part without times is not valid."""
+    """(part, clock_valid, unit): whether the times of a part's segments, in their order and in seconds, do not fall by over `slack` and lie in the
+    recording (part, duration_sec), give or take `edge` seconds; a part without times or without a sure unit is not valid."""
     before = F.lag("start_sec").over(Window.partitionBy(part).orderBy("seq"))
-    timed = segments.where("start_sec is not null").withColumn("falls", F.coalesce(F.col("start_sec") < before - slack, F.lit(False)))
-    seen = timed.groupBy(part).agg(F.bool_or("falls").alias("falls"), F.min("start_sec").alias("lo"), F.max("start_sec").alias("hi"))
-    inside = ~F.col("falls") & (F.col("lo") >= -edge) & (F.col("duration_sec").isNull() | (F.col("hi") <= F.col("duration_sec") + edge))
-    return recordings.join(seen, part, "left").select(part, F.coalesce(inside, F.lit(False)).alias("clock_valid"))
+    timed = in_seconds(segments, recordings, part).where("start_sec is not null").withColumn("falls", F.coalesce(F.col("start_sec") < before - slack, F.lit(False)))
+    seen = timed.groupBy(part).agg(F.bool_or("falls").alias("falls"), F.min("start_sec").alias("lo"), F.max("start_sec").alias("hi"), F.first("unit").alias("unit"))
+    open_end = F.col("duration_sec").isNull() | (F.col("duration_sec") <= 0)
+    inside = ~F.col("falls") & F.col("unit").isin("sec", "ms") & (open_end | ((F.col("lo") >= -edge) & (F.col("hi") <= F.col("duration_sec") + edge)))
+    return recordings.join(seen, part, "left").select(part, F.coalesce(inside, F.lit(False)).alias("clock_valid"), "unit")
 
 
 #: What an alignment needs to be sure of (fixed values).
@@ -198,7 +206,8 @@ def align(segments: DataFrame, questions: DataFrame, recordings: DataFrame, part
     independent label (verified: part, number, start_sec, end_sec) by half of the shorter one; else a sure choice is to be
     reviewed, another unverified with reasons.
     """
-    clock = valid_clocks(segments, recordings, part)
+    clock = valid_clocks(segments, recordings, part).drop("unit")
+    segments = in_seconds(segments, recordings, part).drop("unit")
     parts = recordings.select(part, F.coalesce("identity_verified", F.lit(False)).alias("identity"), F.coalesce("section_only", F.lit(False)).alias("section")).join(clock, part)
     q = questions.select(part, F.col("number").cast("long").alias("number"), "group_id", "prompt", "answer_variants").join(parts, part, "left").withColumn("identity", F.coalesce("identity", F.lit(False)))
     group = F.coalesce(F.col("group_id").cast("string"), F.concat(F.lit("q:"), F.col("number").cast("string")))

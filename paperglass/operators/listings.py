@@ -124,10 +124,14 @@ def revert_overrides(overrides: DataFrame, reverted: DataFrame) -> tuple[DataFra
     return j.withColumn("active", F.col("active") & F.col("_r").isNull()).drop("_r"), j.where("_r and active").select(*key, F.col("source_value").alias("value"))
 
 
-def classifications(rows: DataFrame, limit: int = 100) -> DataFrame:
-    """Classifications newest first, with the number of conflicting types of their document."""
-    kinds = rows.groupBy("document_id").agg((F.count_distinct("doc_type") - 1).alias("conflicts"))
-    return rows.join(kinds, "document_id").orderBy(F.desc("id")).limit(limit)
+def classifications(rows: DataFrame, document_id: int | None = None, method: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest classifications (id, document_id, method, ...) of a document or method, if one is given; `conflicts` is how many of the
+    page were made by the method `conflict`."""
+    kept = rows if document_id is None else rows.where(F.col("document_id") == document_id)
+    if method:
+        kept = kept.where(F.col("method") == method)
+    page = kept.orderBy(F.desc("id")).limit(limit)
+    return page.withColumn("conflicts", F.count_if(F.coalesce(F.col("method") == "conflict", F.lit(False))).over(Window.partitionBy(F.lit(1))))  # one page is one task
 
 
 def grouped_files(rows: DataFrame, key: list[str], url: str, title: str) -> DataFrame:

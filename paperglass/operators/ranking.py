@@ -63,21 +63,6 @@ def numbering_problems(rows: DataFrame, key: str, number: str) -> DataFrame:
     return distinct.withColumn("rule", rule).where("rule is not null").select(key, number, "rule")
 
 
-def segment_bounds(rows: DataFrame, key: list[str], start: str, cap: float = 30.0, default: float = 12.0, least: float = 1.0) -> DataFrame:
-    """A segment ends where the next starts, but within `cap`; the last takes `default`, and all at least `least`."""
-    after = F.lead(start).over(Window.partitionBy(*key).orderBy(start))
-    length = F.when(after.isNull(), default).otherwise(F.least(after - F.col(start), F.lit(cap)))
-    return rows.withColumn("end_sec", F.col(start) + F.greatest(length, F.lit(least)))
-
-
-def clock_check(rows: DataFrame, key: list[str], order: str, time: str, duration: str, slack: float = 0.001, margin: float = 2.0) -> DataFrame:
-    """Whether each key's times never fall by more than the slack and stay inside the duration and its margin."""
-    prev = F.lag(time).over(Window.partitionBy(*key).orderBy(order))
-    fine = (prev.isNull()) | (F.col(time) >= prev - slack)
-    inside = F.col(time).between(F.lit(-margin), F.col(duration) + margin)
-    return rows.withColumn("_m", fine).withColumn("_i", inside).groupBy(*key).agg(F.bool_and("_m").alias("monotone"), F.bool_and("_i").alias("inside"))
-
-
 def interval_check(rows: DataFrame, key: str, start: str, end: str, parts: int = 4) -> DataFrame:
     """Whether a key has so many parts, none of which overlap or end before they start."""
     prev = F.lag(end).over(Window.partitionBy(key).orderBy(start, end))

@@ -59,8 +59,10 @@ def root_path(path: str | Column) -> Column:
 
 
 def same_question(path_a: Column, path_b: Column) -> Column:
-    """Whether one path is a plain prefix of the other."""
-    return F.startswith(path_a, path_b) | F.startswith(path_b, path_a)
+    """Whether two paths of one paper belong to one question: equal, one a plain prefix of the other, or of the same leading number."""
+    root = lambda p: F.regexp_extract(p, r"^\s*(\d+)", 1)
+    named = (path_a != "") & (path_b != "")
+    return F.coalesce(named & (F.startswith(path_a, path_b) | F.startswith(path_b, path_a) | ((root(path_a) != "") & (root(path_a) == root(path_b)))), F.lit(False))
 
 
 def link_entries(entries: DataFrame, questions: DataFrame) -> DataFrame:

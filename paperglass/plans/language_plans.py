@@ -46,10 +46,19 @@ def x18_unit_code(r: Roles):
     return r.table("part").select("p_partkey", P.unit_code(attrs, F.concat(F.lit("WBI"), F.col("p_size").cast("string"), F.lit("/01"))).alias("unit"))
 
 
-@query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'ms' ELSE 's' END AS unit FROM events GROUP BY user_id", with_roles=False)
+@query("""
+WITH e AS (SELECT user_id, (event_id % 50 + 50.0) * CASE user_id % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 60 END AS t, CASE user_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 10.0 WHEN 2 THEN 600.0 ELSE 100.0 END AS d FROM events),
+m AS (SELECT user_id, max(t) AS top, max(d) AS d FROM e GROUP BY 1)
+SELECT user_id, CASE WHEN d IS NULL THEN CASE WHEN top > 7200 THEN 'ms' WHEN top > 3600 THEN 'ambiguous' ELSE 'sec' END WHEN top <= d * 1.2 + 5 THEN 'sec'
+  WHEN top / 1000 <= d * 1.2 + 5 THEN CASE WHEN top / 1000 >= d * 0.25 THEN 'ms' ELSE 'sec' END ELSE 'invalid' END AS unit,
+  CAST(CASE WHEN d IS NULL THEN CASE WHEN top > 7200 THEN 0.6 WHEN top > 3600 THEN 0.3 ELSE 0.4 END WHEN top <= d * 1.2 + 5 THEN 0.95
+  WHEN top / 1000 <= d * 1.2 + 5 THEN CASE WHEN top / 1000 >= d * 0.25 THEN 0.95 ELSE 0.5 END ELSE 0.9 END AS DOUBLE) AS confidence FROM m
+""", with_roles=False)
 def x27_clock_units(r: Roles):
-    t = (F.col("event_id") % 50 + 50.0) * F.when(F.col("user_id") % 2 == 0, 1000).otherwise(1)
-    return P.clock_scale(r.table("events").select("user_id", t.alias("t"), F.lit(100.0).alias("d")), ["user_id"], "t", "d").select("user_id", "unit")
+    u = F.col("user_id")
+    t = (F.col("event_id") % 50 + 50.0) * F.when(u % 4 == 0, 1000).when(u % 4 == 1, 1).when(u % 4 == 2, 2).otherwise(60)
+    d = F.when(u % 7 == 1, 10.0).when(u % 7 == 2, 600.0).when(u % 7 != 0, 100.0)
+    return P.clock_units(r.table("events").select("user_id", t.alias("t"), d.alias("d")), ["user_id"], "t", "d").select("user_id", "unit", "confidence")
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'fill_blank' WHEN 2 THEN 'true_false_not_given' ELSE 'matching' END AS kind, p_size % 4 = 0 AND p_partkey % 2 = 0 OR p_size % 4 = 3 AND p_partkey % 2 = 0 AS conflict FROM part", with_roles=False)

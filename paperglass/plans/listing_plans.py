@@ -29,9 +29,22 @@ def f16_list_overrides(r: Roles):
     return L.list_overrides(o, "user", 7, only_conflicts=True, only_active=True).select("event_id", "user_id")
 
 
-@query("SELECT event_id AS id, user_id AS document_id, conflicts FROM events JOIN (SELECT user_id, count(DISTINCT event_type) - 1 AS conflicts FROM events GROUP BY 1) USING (user_id) ORDER BY event_id DESC LIMIT 100", with_roles=False)
+_CLASSES = "SELECT event_id AS id, user_id AS document_id, CASE WHEN event_type = 'error' THEN 'conflict' ELSE event_type END AS method FROM events"
+
+
+def _classes(r: Roles):
+    t = F.col("event_type")
+    return r.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("document_id"), F.when(t == "error", "conflict").otherwise(t).alias("method"))
+
+
+@query(f"WITH p AS ({_CLASSES} ORDER BY id DESC LIMIT 100) SELECT *, (SELECT count(*) FROM p WHERE method = 'conflict') AS conflicts FROM p", with_roles=False)
 def f17_classifications(r: Roles):
-    return L.classifications(r.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("document_id"), F.col("event_type").alias("doc_type"))).select("id", "document_id", "conflicts")
+    return L.classifications(_classes(r), limit=100)
+
+
+@query(f"WITH p AS (SELECT * FROM ({_CLASSES}) WHERE document_id = 7 AND method = 'conflict' ORDER BY id DESC LIMIT 50) SELECT *, (SELECT count(*) FROM p WHERE method = 'conflict') AS conflicts FROM p", with_roles=False)
+def f17_conflicts_of_document(r: Roles):
+    return L.classifications(_classes(r), document_id=7, method="conflict")
 
 
 @query("""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperglass.operators import alignment as A
 from paperglass.operators import governance as G
 from paperglass.operators import ranking as W
 from paperglass.operators import relations as J
@@ -181,20 +182,28 @@ def w9_numbering_problems(r: Roles):
 
 
 @query("""
-SELECT conv_id, turn, start + greatest(CASE WHEN nxt IS NULL THEN 12.0 ELSE least(nxt - start, 30.0) END, 1.0) AS end_sec
-FROM (SELECT *, lead(start) OVER (PARTITION BY conv_id ORDER BY start) AS nxt FROM (SELECT conv_id, turn, CAST(turn * turn * 4 AS DOUBLE) AS start FROM conversations))
+SELECT conv_id, turn, CASE WHEN e <= start THEN start + 1 ELSE e END AS end_sec
+FROM (SELECT *, CASE WHEN nxt IS NULL THEN start + 12.0 ELSE least(nxt, start + 30.0) END AS e
+  FROM (SELECT *, lead(start) OVER (PARTITION BY conv_id ORDER BY start, turn) AS nxt FROM (SELECT conv_id, turn, CAST(floor(turn * turn / 3) * 2.5 AS DOUBLE) AS start FROM conversations)))
 """, with_roles=False)
 def w10_segment_bounds(r: Roles):
-    c = r.table("conversations").select("conv_id", "turn", (F.col("turn") * F.col("turn") * 4).cast("double").alias("start"))
-    return W.segment_bounds(c, ["conv_id"], "start").select("conv_id", "turn", "end_sec")
+    c = r.table("conversations").select("conv_id", "turn", F.col("turn").alias("seq"), (F.floor(F.col("turn") * F.col("turn") / 3) * 2.5).cast("double").alias("start_sec"))
+    return A.segment_bounds(c, "conv_id").select("conv_id", "turn", "end_sec")
 
 
 @query("""
-SELECT user_id, bool_and(prev IS NULL OR value >= prev - 0.001) AS monotone, bool_and(value BETWEEN -2.0 AND 42.0) AS inside
-FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) GROUP BY 1
+WITH e AS (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN value * 1000 ELSE value END AS t, CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 10.0 ELSE 400.0 END AS d FROM events WHERE user_id % 5 <> 1 OR event_id % 2 = 0),
+u AS (SELECT user_id, max(t) AS top, max(d) AS d FROM e GROUP BY 1),
+n AS (SELECT *, CASE WHEN d IS NULL THEN CASE WHEN top > 7200 THEN 'ms' WHEN top > 3600 THEN 'ambiguous' ELSE 'sec' END WHEN top <= d * 1.2 + 5 THEN 'sec' WHEN top / 1000 <= d * 1.2 + 5 THEN CASE WHEN top / 1000 >= d * 0.25 THEN 'ms' ELSE 'sec' END ELSE 'invalid' END AS unit FROM u),
+s AS (SELECT user_id, event_id, CASE WHEN unit = 'ms' THEN t / 1000 ELSE t END AS t, n.d, unit FROM e JOIN n USING (user_id)),
+l AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM s)
+SELECT user_id, unit, bool_and(prev IS NULL OR t >= prev - 0.001) AND unit IN ('sec', 'ms') AND (max(d) IS NULL OR min(t) >= -2 AND max(t) <= max(d) + 2) AS clock_valid FROM l GROUP BY user_id, unit
 """, with_roles=False)
 def w12_clock_check(r: Roles):
-    return W.clock_check(r.table("events").withColumn("duration", F.lit(40.0)), ["user_id"], "event_id", "value", "duration")
+    u = F.col("user_id")
+    e = r.table("events").where("user_id % 5 <> 1 or event_id % 2 = 0").select("user_id", F.col("event_id").alias("seq"), F.when(u % 3 == 0, F.col("value") * 1000).otherwise(F.col("value")).alias("start_sec"))
+    lengths = e.select("user_id").distinct().withColumn("duration_sec", F.when(u % 4 == 1, 10.0).when(u % 4 != 0, 400.0))
+    return A.valid_clocks(e, lengths, "user_id").select("user_id", "unit", "clock_valid")
 
 
 @query("""

@@ -85,6 +85,45 @@ def g1_similar_questions(r: Roles):
     return Y.similar_pairs(r.table("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("stem_text")), min_score=0.3)
 
 
+_TREE = """
+WITH base AS (SELECT item_id AS id, item_id // 8 AS paper, item_id % 8 AS k, text FROM benchmark),
+q AS (SELECT b.id, b.paper, CAST(1 + b.k // 4 AS VARCHAR) || CASE b.k % 4 WHEN 0 THEN '' ELSE '(' || chr(CAST(96 + b.k % 4 AS INTEGER)) || ')' END AS path, CASE WHEN b.k % 4 = 0 THEN b.text ELSE r.text || ' ' || b.text END AS text
+  FROM base b LEFT JOIN base r ON r.id = b.id - b.k % 4),
+t AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+(?:\\.[0-9]+)?', '#', 'g'), '[^a-z0-9# ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM q WHERE text IS NOT NULL),
+g AS (SELECT id, substr(t, CAST(i AS INTEGER), 3) AS gram, count(*) AS tf FROM t, unnest(range(1, greatest(length(t) - 1, 2))) AS x(i) WHERE length(t) >= 25 GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT id) AS n FROM g), d AS (SELECT gram, count(*) AS df FROM g GROUP BY 1),
+w AS (SELECT id, gram, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM g JOIN d USING (gram) CROSS JOIN n), l AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1),
+p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.gram = b.gram AND a.id < b.id WHERE a.df BETWEEN 2 AND 400 GROUP BY 1, 2),
+c AS (SELECT a, b, s / (x.l * y.l) AS score FROM p JOIN l x ON x.id = a JOIN l y ON y.id = b JOIN q qa ON qa.id = a JOIN q qb ON qb.id = b
+  WHERE s / (x.l * y.l) >= 0.25 AND NOT (qa.paper = qb.paper AND regexp_extract(qa.path, '^[0-9]+') = regexp_extract(qb.path, '^[0-9]+'))),
+r AS (SELECT a, b, score, row_number() OVER (PARTITION BY me ORDER BY score DESC, other) AS k FROM (SELECT a, b, score, a AS me, b AS other FROM c UNION ALL SELECT a, b, score, b, a FROM c)),
+found AS (SELECT DISTINCT a AS lo, b AS hi, round(score, 4) AS score FROM r WHERE k <= 5)
+"""
+
+
+def _tree(r: Roles):
+    """Items as questions of papers, two roots of three parts each; a part's text holds its root's."""
+    b, k = r.table("benchmark"), F.col("item_id") % 8
+    label = F.concat(F.lit("("), F.char(96 + k % 4), F.lit(")"))
+    root = b.select(F.col("item_id").alias("root"), F.col("text").alias("above"))
+    q = b.select(F.col("item_id").alias("id"), F.floor(F.col("item_id") / 8).alias("paper"), F.concat((1 + F.floor(k / 4)).cast("string"), F.when(k % 4 == 0, "").otherwise(label)).alias("path"), (k % 4).alias("part"), (F.col("item_id") - k % 4).alias("root"), "text")
+    return q.join(root, "root", "left").withColumn("stem_text", F.when(F.col("part") == 0, F.col("text")).otherwise(F.concat("above", F.lit(" "), "text"))).where("stem_text is not null")
+
+
+@query(_TREE + "SELECT * FROM found", with_roles=False)
+def g1_similar_without_parts(r: Roles):
+    return Y.similar_pairs(_tree(r), min_score=0.25, paper_col="paper", path_col="path")
+
+
+@query(_TREE + "SELECT * FROM found WHERE (lo % 3 = 0 OR hi % 3 = 0) AND lo % 2 <> 0", with_roles=False)
+def g1_similar_for_targets(r: Roles):
+    """Pairs with a lower id that is even are there already; only those of every third question are asked for."""
+    q = _tree(r)
+    every = q.select("id")
+    existing = Y.similar_pairs(q, min_score=0.25, paper_col="paper", path_col="path").where("lo % 2 = 0")
+    return Y.similar_pairs(q, min_score=0.25, paper_col="paper", path_col="path", targets=every.where("id % 3 = 0"), existing=existing)
+
+
 def _points(r: Roles):
     return r.table("benchmark").select(F.col("item_id").cast("string").alias("key"), F.col("text").alias("name"), F.substring_index("text", ".", 1).alias("head"))
 

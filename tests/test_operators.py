@@ -309,3 +309,49 @@ def test_keyword_topics_of_phrases_and_signs(spark):
         weight = 3.0 if len(k) >= 14 else 2.2 if len(k) >= 9 else 1.5 if len(k) >= 6 else 1.0
         got = {r["id"]: r["score"] for r in keyword_topics(questions, table).collect()}
         assert got == {i: weight for i, t in enumerate(texts) if t and pattern.search(t)}, k
+
+
+def test_parts_of_one_question_are_not_similar(spark):
+    from paperglass.operators.similarity import similar_pairs
+
+    text = "find the value of the gradient of the curve at the point where it meets the axis"
+    rows = [(1, 7, "10", text), (2, 7, "10(a)", text + " and state it"), (3, 7, "10(b)", text), (4, 7, "2", text), (5, 8, "10", text), (6, 7, "", text), (7, None, "10", text), (8, 9, "2", "sketch the graph of the inverse function and label its asymptotes")]
+    q = spark.createDataFrame(rows, "id int, paper int, path string, stem_text string")
+    got = {(r["lo"], r["hi"]) for r in similar_pairs(q, paper_col="paper", path_col="path", top_k=9).collect()}
+    alike = {(a, b) for a in range(1, 8) for b in range(a + 1, 8)}
+    assert got == alike - {(1, 2), (1, 3), (2, 3)}
+    assert {(r["lo"], r["hi"]) for r in similar_pairs(q, top_k=9).collect()} == alike
+    one = {(r["lo"], r["hi"]) for r in similar_pairs(q.where("id in (1, 2, 3, 4)"), paper_col="paper", path_col="path", top_k=1).collect()}
+    assert one == {(1, 4), (2, 4), (3, 4)}  # parts take no place
+    asked = similar_pairs(q, paper_col="paper", path_col="path", top_k=9, targets=spark.createDataFrame([(4,)], "id int"), existing=spark.createDataFrame([(4, 5)], "lo int, hi int"))
+    assert {(r["lo"], r["hi"]) for r in asked.collect()} == {p for p in got if 4 in p} - {(4, 5)}
+
+
+def test_clock_units(spark):
+    from paperglass.functions.papers import clock_units
+    from paperglass.operators.alignment import in_seconds, valid_clocks
+
+    cases = {
+        "sec": ([1.0, 119.0], 100.0, "fits_duration_as_sec"), "ms": ([0.0, 90_000.0], 100.0, "fits_duration_as_ms"), "short": ([0.0, 20_000.0], 100.0, "ms_span_implausible_keep_sec"),
+        "bad": ([0.0, 400_000.0], 100.0, "exceeds_duration_both_scales"), "big": ([8000.0], None, "magnitude_heuristic"), "mid": ([4000.0], 0.0, "magnitude_ambiguous"), "low": ([5.0], None, "magnitude_heuristic_weak"), "none": ([None], 100.0, "no_values"),
+    }
+    rows = [(k, n, t, d) for k, (ts, d, _) in cases.items() for n, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "part string, seq int, start_sec double, duration_sec double")
+    assert {r["part"]: r["reason"] for r in clock_units(df, ["part"], "start_sec", "duration_sec").collect()} == {k: c[2] for k, c in cases.items()}
+    recordings = df.groupBy("part").agg(F.max("duration_sec").alias("duration_sec"))
+    segments = df.drop("duration_sec")
+    valid = {r["part"] for r in valid_clocks(segments, recordings, "part").where("clock_valid").collect()}
+    assert valid == {"ms", "big", "low"}  # 119 s are past the end of 100 s, whatever the unit
+    scaled = {(r["part"], r["seq"]): r["start_sec"] for r in in_seconds(segments, recordings, "part").collect()}
+    assert scaled["ms", 1] == 90.0 and scaled["sec", 1] == 119.0 and scaled["big", 0] == 8.0
+
+
+def test_classifications_by_document_and_method(spark):
+    from paperglass.operators.listings import classifications
+
+    df = spark.createDataFrame([(1, 5, "conflict"), (2, 5, "label"), (3, 6, "conflict"), (4, 5, "conflict"), (5, 5, None)], "id int, document_id int, method string")
+    ids = lambda rows: [(r["id"], r["conflicts"]) for r in sorted(rows.collect(), key=lambda r: -r["id"])]
+    assert ids(classifications(df)) == [(5, 3), (4, 3), (3, 3), (2, 3), (1, 3)]
+    assert ids(classifications(df, document_id=5, limit=3)) == [(5, 1), (4, 1), (2, 1)]
+    assert ids(classifications(df, method="label")) == [(2, 0)]
+    assert ids(classifications(df, document_id=99)) == []
