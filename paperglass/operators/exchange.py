@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperglass.sources.tables import work_folder
+
 #: Levels of parts below a question that are read; deeper ones are a problem row of their question.
 DEPTH = 8
 SYSTEMS = ("cie", "edexcel", "ielts", "toefl")
@@ -347,7 +349,8 @@ def normalised(raw: DataFrame, name: str) -> DataFrame:
     and nothing else. Members of another type than the mapping asks for count as absent; members at the top that the
     mapping does not name are a problem row each. A question without an id is a problem row and gives no question. `native` is the
     container's native identity as JSON. Answers of parts may be inherited from the nearest ancestor that states one, or derived
-    from the parts, as the file's mode says, and are marked so.
+    from the parts, as the file's mode says, and are marked so. Regions and problems write the containers to the shared folder
+    first, the others are lazy.
     """
     docs = files(raw.select("source_id", "system", "payload"))
     if name == "courses":
@@ -356,6 +359,8 @@ def normalised(raw: DataFrame, name: str) -> DataFrame:
     key = ["source_id", "system", "native"]
     if name == "containers":
         return containers.select(*key, "kind", "revision", F.size("documents").alias("documents"))
+    if name in ("regions", "problems"):  # several branches go on from them: once parsed, once planned
+        containers = _written(containers)
     every = _questions(containers)
     questions = every.where("native_id is not null")
     if name == "questions":
@@ -373,6 +378,13 @@ def normalised(raw: DataFrame, name: str) -> DataFrame:
     raise ValueError(f"no canonical table is called {name}")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the folder that the driver and all executors share."""
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _assets(containers: DataFrame, questions: DataFrame) -> DataFrame:
     key = ["source_id", "system", "native"]
     document = F.col("d")
