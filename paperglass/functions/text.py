@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def once(value: Column, body) -> Column:
@@ -45,6 +46,26 @@ def content_hash(fields: dict[str, Column]) -> Column:
     return F.sha2(canonical(fields), 256)
 
 
+def _in_order(value: Column, kind: T.DataType) -> Column:
+    """A value whose structs have their fields and whose maps their keys in name order, at any depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_in_order(value.getField(f.name), f.dataType).alias(f.name) for f in fields])) if fields else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _in_order(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        pairs = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), F.to_json(F.struct(_in_order(e["value"], kind.valueType).alias("v")), {"ignoreNullFields": "false"}).alias("value"))))
+        return F.transform(pairs, lambda e: F.array(e["key"], e["value"]))
+    return value
+
+
+def sorted_json(fields: dict[str, Column], schema: T.StructType) -> Column:
+    """JSON of fields in name order with nested names in order too and nulls kept; equal for equal values. A map is a list of its
+    pairs by key, each value wrapped, since its own JSON would keep the order of its keys."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+    return F.to_json(F.struct(*[_in_order(fields[n], kinds[n]).alias(n) for n in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
 def near_normal(text: Column) -> Column:
     """Lower case, thousands joined, numbers as #, other signs as blanks, blanks collapsed."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<![\d.])(\d{1,3}) (?=\d{3}(?!\d))", "$1")

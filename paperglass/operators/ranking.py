@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,53 @@ def numbering_problems(rows: DataFrame, key: str, number: str) -> DataFrame:
     return distinct.withColumn("rule", rule).where("rule is not null").select(key, number, "rule")
 
 
+def tree_findings(questions: DataFrame) -> DataFrame:
+    """(paper_id, id, rule, severity, detail) of question trees (id, paper_id, parent_id, number_path, depth, display_order).
+
+    Numbers on top in their displayed order: `top_level_number_not_integer` (a warning), `numbering_gap` where the next one is not
+    one more (errors; numbers that are no integers are passed over) and `numbering_not_start_at_one`. Over all levels:
+    `duplicate_number_paths` (an error for each path, detail: how often), `depth_skip` where a part lies more than one level below
+    its parent (a warning) and `parent_missing` where its paper has no such parent (an error). A null number counts as no integer.
+    """
+    top = questions.where("parent_id is null").withColumn("_n", F.when(F.rlike("number_path", F.lit(r"^\d{1,9}$")), F.col("number_path").cast("int")))
+    w = Window.partitionBy("paper_id").orderBy("display_order", "id")
+    ints = top.where("_n is not null").withColumn("_prev", F.lag("_n").over(w))
+
+    def found(rows: DataFrame, rule: str, severity: str, detail=None) -> DataFrame:
+        own = F.col("id") if "id" in rows.columns else F.lit(None).cast(questions.schema["id"].dataType)
+        return rows.select("paper_id", own.alias("id"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+
+    parts = questions.where("parent_id is not null").alias("c")
+    above = questions.select(F.col("id").alias("_up"), F.col("paper_id").alias("_paper"), F.col("depth").alias("_depth"))
+    joined = parts.join(above, (F.col("parent_id") == F.col("_up")) & (F.col("paper_id") == F.col("_paper")), "left")
+    twice = questions.where("number_path is not null").groupBy("paper_id", "number_path").agg(F.count("*").alias("n")).where("n > 1")
+    step = lambda a, b: F.concat(a.cast("string"), F.lit(" -> "), b.cast("string"))
+    rows = [
+        found(top.where("_n is null"), "top_level_number_not_integer", "warning", F.col("number_path")),
+        found(ints.where("_n <> _prev + 1"), "numbering_gap", "error", step(F.col("_prev"), F.col("_n"))),
+        found(ints.where("_prev is null and _n <> 1"), "numbering_not_start_at_one", "error", F.col("_n")),
+        found(twice, "duplicate_number_paths", "error", F.concat_ws(" x", "number_path", F.col("n").cast("string"))),
+        found(joined.where("depth > _depth + 1"), "depth_skip", "warning", step(F.col("_depth"), F.col("depth"))),
+        found(joined.where("_up is null"), "parent_missing", "error", F.col("parent_id")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def overlapping_intervals(rows: DataFrame, key: str, part: str, start: str, end: str) -> DataFrame:
+    """(key, part, start, end, cluster, reaches, size) of the closed intervals of a key that meet another one.
+
+    Intervals in the order of their starts belong to one cluster as long as each begins at or before the greatest end so far, so
+    nested, equal and touching ones are found however far apart in that order. `reaches` is that greatest end. Intervals that end
+    before they start, or lack a bound, take no part.
+    """
+    good = rows.where(F.col(end) >= F.col(start)).select(key, part, start, end)
+    w = Window.partitionBy(key).orderBy(start, end, part)
+    far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = good.withColumn("_new", F.when(far.isNull() | (F.col(start) > far), 1).otherwise(0)).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    size = opened.groupBy(key, "cluster").agg(F.count("*").alias("size"), F.max(end).alias("reaches")).where("size > 1")
+    return opened.drop("_new").join(size, [key, "cluster"])
+
+
 def interval_check(rows: DataFrame, key: str, start: str, end: str, parts: int = 4) -> DataFrame:
     """Whether a key has so many parts, none of which overlap or end before they start."""
     prev = F.lag(end).over(Window.partitionBy(key).orderBy(start, end))

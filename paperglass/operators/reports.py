@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperglass.operators.relations import ancestor_nodes, code_key
+from paperglass.operators.relations import ancestor_nodes, ancestors, code_key
 
 
 def question_facts(questions: DataFrame, links: DataFrame, assets: DataFrame) -> DataFrame:
@@ -32,6 +32,42 @@ def counts_by_state(rows: DataFrame, key: list[str], states: dict[str, Column])
     return rows.groupBy(*key).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in states.items()])
 
 
+def board_status(boards: DataFrame, documents: DataFrame, papers: DataFrame, questions: DataFrame, findings: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row a board: documents, papers, questions, failed, open_errors, open_reviews, and the shares parsed_ratio,
+    questions_per_paper and healthy.
+
+    Documents: (id, board, status), failed where the status is `failed`, parsed where it is `parsed`. Papers (id, document_id),
+    questions (paper_id), findings (document_id, severity, status): open errors are open ones of severity error or critical.
+    Reviews (document_id, status). Each table is counted by document before it meets the next, so no count multiplies another. A
+    board without documents has zeros; its shares, as all shares of nothing, are null, not zero. A board is healthy if it has
+    documents, none failed and no open error; without documents that is unknown (null). A document of a board that is not listed
+    is left out, as are rows that name no document.
+    """
+    per_paper = questions.groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("questions"))
+    per_doc = papers.join(per_paper, "id", "left").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("papers"), F.sum("questions").alias("questions"))
+    bad = findings.where((F.col("status") == "open") & F.col("severity").isin("error", "critical")).groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("open_errors"))
+    waiting = reviews.where(F.col("status") == "open").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("open_reviews"))
+    docs = documents.select("id", "board", F.coalesce("status", F.lit("")).alias("status")).join(per_doc, "id", "left").join(bad, "id", "left").join(waiting, "id", "left")
+    counts = ["papers", "questions", "open_errors", "open_reviews"]
+    by_board = docs.groupBy("board").agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "parsed").alias("parsed"), *[F.sum(c).alias(c) for c in counts])
+    out = boards.select("board").join(by_board, "board", "left").fillna(0, ["documents", "failed", "parsed", *counts])
+    share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 4)
+    healthy = F.when(F.col("documents") > 0, (F.col("failed") == 0) & (F.col("open_errors") == 0))
+    return out.select("board", "documents", "papers", "questions", "failed", "open_errors", "open_reviews", share("parsed", "documents").alias("parsed_ratio"), share("questions", "papers").alias("questions_per_paper"), healthy.alias("healthy"))
+
+
+def entry_findings(entries: DataFrame) -> DataFrame:
+    """(paper_id, number_path, rule, n) of mark-scheme entries (paper_id, number_path, marks): ms_duplicate_numbers (n entries of one
+    number), ms_parent_child_marks_ambiguous (n entries below it have marks beside its own), ms_marks_missing (n without marks)."""
+    by_path = entries.groupBy("paper_id", "number_path").agg(F.count("*").alias("n"), F.count("marks").alias("marked"))
+    marked = by_path.where("marked > 0")
+    below = marked.select("paper_id", F.explode(ancestors("number_path")).alias("number_path"), "marked").groupBy("paper_id", "number_path").agg(F.sum("marked").alias("below"))
+    both = marked.select("paper_id", "number_path").join(below, ["paper_id", "number_path"])
+    out = by_path.where("n > 1").select("paper_id", "number_path", F.lit("ms_duplicate_numbers").alias("rule"), "n")
+    out = out.unionByName(both.select("paper_id", "number_path", F.lit("ms_parent_child_marks_ambiguous").alias("rule"), F.col("below").alias("n")))
+    return out.unionByName(by_path.where("n > marked").select("paper_id", "number_path", F.lit("ms_marks_missing").alias("rule"), (F.col("n") - F.col("marked")).alias("n")))
+
+
 def pivot_counts(rows: DataFrame, key: str, column: str, values: list) -> DataFrame:
     return rows.groupBy(key).pivot(column, values).count().fillna(0)
 

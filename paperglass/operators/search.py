@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperglass.operators.relations import resolve_answers
+
 
 @dataclass(frozen=True)
 class PaperFilter:
@@ -154,16 +156,49 @@ def excerpt(text: str, length: int = 200) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), 1, length)
 
 
-def tagged_questions(questions: DataFrame, papers: DataFrame, links: DataFrame, code: str, board: str | None = None, min_confidence: float | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page of the questions of a topic, highest confidence of their links with it, their excerpt and the total."""
+def tagged_questions(
+    questions: DataFrame, papers: DataFrame, links: DataFrame, code: str, board: str | None = None, min_confidence: float | None = None, limit: int = 20, offset: int = 0, subject_code: str | None = None,
+    year_from: int | None = None, session: str | None = None, paper_code: str | None = None, nodes: DataFrame | None = None, entries: DataFrame | None = None, official: DataFrame | None = None,
+) -> DataFrame:
+    """A page of the questions of a topic, with their excerpt and the total over all pages.
+
+    A question with several links to the topic has the confidence (and source and assigned_by, where links hold them) of the surest
+    one, ties to the greater source. With `nodes` (code, name, board) only nodes of the board, or of any if none is given, count
+    and taxonomy_name is added: a topic of that code of another board brings no question in. Links then name nodes by node_id (nodes: id
+    too), or by code, which counts for the node of the question's board. With `entries` and `official` the
+    answer of each question of the page is resolved (answer_mode, answer). An unknown topic has no rows. year_from keeps no
+    question without a year.
+    """
+    own = [c for c in ("source", "assigned_by") if c in links.columns]
+    if "node_id" in links.columns:
+        links = links.drop("code", "board").join(nodes.where(F.col("code") == code).select(F.col("id").alias("node_id"), "code", "board"), "node_id")
+    of_node = ["board"] if "node_id" in links.columns else []
     links = links.where(F.col("code") == code)
     if min_confidence is not None:
         links = links.where(F.col("confidence") >= min_confidence)
-    best = links.groupBy(F.col("question_id").alias("id")).agg(F.max("confidence").alias("confidence"))
-    rows = search_papers(star(questions, papers), PaperFilter(board=board)).join(best, "id")
+    best = links.groupBy(F.col("question_id").alias("id"), *of_node).agg(F.max(F.struct("confidence", *own)).alias("_link")).select("id", *of_node, "_link.*")
+    rows = search_papers(star(questions, papers), PaperFilter(board=board))
+    for name, value in (("subject_code", subject_code), ("session", session), ("paper_code", paper_code)):
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    if year_from is not None:
+        rows = rows.where(F.col("year") >= year_from)
+    rows = rows.join(best, ["id", *of_node])
+    named = []
+    if nodes is not None:
+        node = nodes.where(F.col("code") == code).groupBy("board").agg(F.min("name").alias("taxonomy_name"))
+        rows, named = rows.join(node, "board"), ["taxonomy_name"]
     total = rows.agg(F.count("*").alias("total"))
-    some = page(rows, question_order(), limit, offset)
-    return some.crossJoin(F.broadcast(total)).select("id", "year", "paper_id", "confidence", excerpt("stem_text").alias("excerpt"), "total")
+    some = page(rows, question_order(), limit, offset).crossJoin(F.broadcast(total))
+    out = some.select("id", "year", "paper_id", "confidence", excerpt("stem_text").alias("excerpt"), "total")
+    if nodes is not None or entries is not None:
+        more = [c for c in ("number_path", "marks", "board", "subject_code", "session", "paper_code") if c in some.columns]
+        out = some.select("id", "year", "paper_id", "confidence", excerpt("stem_text").alias("excerpt"), "total", *more, F.lit(code).alias("taxonomy_code"), *own, *named)
+    if entries is not None:
+        asked = out.select("id", "paper_id", "number_path")
+        answers = resolve_answers(asked, entries.join(asked.select("paper_id").distinct(), "paper_id", "left_semi"), official)
+        out = out.join(answers.select("id", F.col("mode").alias("answer_mode"), "answer"), "id", "left")
+    return out
 
 
 def _seeded(key: str, seed: int) -> Column:
