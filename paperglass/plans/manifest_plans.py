@@ -10,6 +10,7 @@ from paperglass.operators import ranking as W
 from paperglass.operators import reports as R
 from paperglass.operators import revision as V
 from paperglass.operators import search as S
+from paperglass.operators import trust as T
 from paperglass.plans import relation_plans  # noqa: F401  its SQL of answers is used
 from paperglass.plans.registry import ORACLE_SQL, query
 from paperglass.plans.roles import Roles
@@ -295,3 +296,45 @@ def f10_tagged_with_answers(r: Roles):
     nodes = r.nodes().select("code").crossJoin(boards).withColumn("name", F.concat("code", F.lit(" of "), "board"))
     links = r.links().withColumn("assigned_by", F.when(F.col("source") == "manual", "agent"))
     return S.tagged_questions(r.questions(), r.papers(), links, "T8", min_confidence=0.1, limit=15, year_from=2017, session="june", nodes=nodes, entries=r.entries(), official=r.official())
+
+
+_ENTRY = """
+WITH e AS (SELECT o_orderkey AS id, ['question', 'answer', 'tag', 'widget'][1 + o_custkey % 4] AS kind, CASE WHEN o_orderkey % 31 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN '__unknown__' ELSE 'v' END AS val,
+  ['complete', 'partial', 'missing', NULL][1 + o_orderkey % 4] AS content, ['present', 'missing', NULL][1 + o_orderkey % 3] AS presence, ['source_verified', 'manual_adjudicated', 'unverified', NULL, NULL][1 + o_orderkey % 5] AS verification,
+  o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' AS authority, o_orderpriority LIKE '3%' AS rumour, o_orderpriority NOT LIKE '5%' AS evidence, o_orderstatus = 'F' AS chosen FROM orders),
+p AS (SELECT *, kind IN ('question', 'answer') AS bears, coalesce(verification IN ('source_verified', 'manual_adjudicated'), false) AS verified, content IS NOT NULL OR presence IS NOT NULL OR verification IS NOT NULL AS said,
+  CASE WHEN val IS NULL THEN 'identity_none_value:' WHEN val = '' THEN 'identity_empty_value:' WHEN val = '__unknown__' THEN 'identity_unknown_encoding:' END AS odd FROM e),
+c AS (SELECT *, concat_ws('; ', CASE WHEN rumour THEN 'unknown_evidence_label:rumour' END, CASE WHEN NOT bears AND (verified OR presence IS NOT NULL) THEN 'answer_axis_not_applicable' END, CASE WHEN content = 'complete' AND NOT evidence THEN 'content_claim_without_evidence' END,
+  CASE WHEN bears AND verification = 'source_verified' AND NOT authority THEN 'verification_without_authoritative_evidence' END, CASE WHEN bears AND verification = 'manual_adjudicated' AND NOT chosen THEN 'verification_without_manual_decision' END,
+  CASE WHEN bears AND verified AND (presence = 'missing' OR content = 'missing') THEN 'quality_claim_contradiction' END) AS claims,
+  CASE kind WHEN 'tag' THEN concat_ws('; ', odd || 'scheme', 'identity_missing_key:version') WHEN 'widget' THEN coalesce(odd || 'scheme', '') WHEN 'question' THEN 'identity_missing_key:system; identity_missing_key:container_native_identity; identity_missing_key:native_id; identity_missing_key:number_path; identity_missing_key:parent_native_id'
+  ELSE 'identity_missing_key:system; identity_missing_key:question_native_id; identity_missing_key:source; identity_missing_key:native_answer_key' END AS identity FROM p)
+"""
+
+
+def _entries(r: Roles):
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    pick = lambda by, values: F.get(F.array(*[F.lit(v) for v in values]), by.cast("int"))
+    value = F.when(k % 31 != 0, F.when(k % 7 == 0, "").when(k % 11 == 0, "__unknown__").otherwise("v"))
+    claims = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in (("content", pick(k % 4, ["complete", "partial", "missing", None])), ("answer_presence", pick(k % 3, ["present", "missing", None])), ("answer_verification", pick(k % 5, ["source_verified", "manual_adjudicated", "unverified", None, None])))]))
+    label = F.when(F.startswith(p, F.lit("1")), "copied_snapshot").when(F.startswith(p, F.lit("2")), "full_source_validation").when(F.startswith(p, F.lit("3")), "rumour").when(~F.startswith(p, F.lit("5")), "static_inspection")
+    return r.table("orders").select(
+        k.alias("public_id"), pick(F.col("o_custkey") % 4, ["question", "answer", "tag", "widget"]).alias("kind"), F.map_from_entries(F.array(F.struct(F.lit("scheme"), value), F.struct(F.lit("code"), F.lit("c")))).alias("identity_fields"),
+        F.map_filter(claims, lambda _, v: v.isNotNull()).alias("quality_summary"), F.array_compact(F.array(label)).alias("evidence_labels"), F.when(F.col("o_orderstatus") == "F", "B").otherwise(" ").alias("selected_value"),
+    )
+
+
+@query(
+    _ENTRY
+    + """SELECT id AS public_id, identity, claims, CASE WHEN claims <> '' THEN 'partial' WHEN NOT said THEN 'unknown' WHEN content = 'complete' AND (verified OR NOT bears) THEN 'verified' ELSE 'partial' END AS state,
+  CASE WHEN claims <> '' THEN claims WHEN NOT said THEN 'no_quality_information' ELSE concat_ws('; ', CASE WHEN coalesce(content, '') <> 'complete' THEN 'content_not_complete' END, CASE WHEN bears AND NOT verified THEN 'answers_not_verified' END) END AS reasons FROM c""",
+    with_roles=False,
+)
+def x36_entry_quality(r: Roles):
+    joined = lambda c: F.array_join(c, "; ")
+    return T.entry_quality(_entries(r)).select("public_id", joined("identity_problems").alias("identity"), joined("claim_problems").alias("claims"), "state", joined("reasons").alias("reasons"))
+
+
+@query(_ENTRY + "SELECT id AS public_id, 'identity_unresolved' AS code, identity AS detail FROM c WHERE identity <> '' UNION ALL SELECT id, 'quality_claim_invalid', claims FROM c WHERE claims <> ''", with_roles=False)
+def x36_problem_records(r: Roles):
+    return T.problem_records(T.entry_quality(_entries(r)))
