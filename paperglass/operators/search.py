@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperglass.operators.relations import resolve_answers
 
@@ -265,6 +266,53 @@ def catalog_filter(entries: DataFrame, equal: dict[str, str], allowed: tuple[str
     return entries
 
 
+def _flat(value: Column, kind: T.DataType) -> Column:
+    """The texts of a value of any depth, blank between them; null is empty."""
+    if isinstance(kind, T.StructType):
+        return F.concat_ws(" ", *[_flat(value.getField(f.name), f.dataType) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda v: _flat(v, kind.elementType)), " ")
+    if isinstance(kind, T.MapType):
+        return F.array_join(F.transform(F.map_values(value), lambda v: _flat(v, kind.valueType)), " ")
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def row_filter(rows: DataFrame, wanted: dict[str, object], query: str | None = None) -> DataFrame:
+    """Rows whose columns have all the wanted values, as text: a list by membership, any other column by equality.
+
+    A column that the rows lack matches nothing, and neither does a null. The query is a literal part, without regard to case and with
+    its blanks collapsed, of all values of a row at any depth; an empty one is no filter. Columns may have any names.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    for name, value in wanted.items():
+        text = F.lit(str(value).lower() if isinstance(value, bool) else str(value))
+        if name not in kinds:
+            return rows.where(F.lit(False))
+        column = rows[f"`{name}`"]
+        rows = rows.where(F.array_contains(F.transform(column, lambda v: v.cast("string")), text) if isinstance(kinds[name], T.ArrayType) else column.cast("string") == text)
+    words = " ".join((query or "").split()).lower()
+    if words:
+        every = F.concat_ws(" ", *[_flat(rows[f"`{n}`"], k) for n, k in kinds.items()])
+        rows = rows.where(F.contains(F.lower(every), F.lit(words)))
+    return rows
+
+
+def season_availability(asked: DataFrame, seasons: DataFrame, cancelled: DataFrame, unobtainable: DataFrame) -> DataFrame:
+    """Asked seasons (key) with their state, reason and evidence.
+
+    `available` if the index lists the key; else `cancelled` if the season is, whatever its paper set (a key without its `|R`);
+    else `unobtainable` if the key is; else `not_listed`. Cancelled (key, reason), unobtainable (key, reason, evidence); of several
+    lines for one key the least reason counts. A null key is not listed.
+    """
+    have = seasons.select("key").distinct().withColumn("_have", F.lit(True))
+    off = cancelled.groupBy(F.col("key").alias("_base")).agg(F.min(F.struct("reason")).alias("_off"))
+    lost = unobtainable.groupBy("key").agg(F.min(F.struct("reason", "evidence")).alias("_lost"))
+    rows = asked.withColumn("_base", F.regexp_replace("key", r"\|R$", "")).join(have, "key", "left").join(off, "_base", "left").join(lost, "key", "left")
+    state = F.when(F.col("_have"), "available").when(F.col("_off").isNotNull(), "cancelled").when(F.col("_lost").isNotNull(), "unobtainable").otherwise("not_listed")
+    reason = F.when(state == "cancelled", F.col("_off.reason")).when(state == "unobtainable", F.col("_lost.reason"))
+    return rows.select(*asked.columns, state.alias("state"), reason.alias("reason"), F.when(state == "unobtainable", F.col("_lost.evidence")).alias("evidence"))
+
+
 def subject_search(subjects: DataFrame, query: str, aliases: dict[str, str]) -> DataFrame:
     """Subjects (code, title) whose code is the query, or in whose title all its words occur, after alias translation."""
     words = [w for w in aliases.get(query.lower(), query.lower()).split() if w]

@@ -187,3 +187,31 @@ def t6_search_hits(r: Roles):
 
     hits = r.table("pages").select("page_id", occurrences(F.col("html"), "class").alias("hits")).where("hits > 0")
     return hits.orderBy(F.desc("hits"), "page_id").limit(20)
+
+
+@query("""
+SELECT p_partkey FROM part WHERE ('promo' = lower(p_type) OR p_brand = 'Brand#3') AND p_size IN (7, 8, 9, 10) AND (contains(lower(p_name), 'red wid') OR contains(p_partkey::VARCHAR || ' ' || lower(p_brand), '2 brand#3'))
+""", with_roles=False)
+def f25_row_filter(r: Roles):
+    p = r.table("part")
+    tags = F.array(F.lower("p_type"), F.when(F.col("p_brand") == "Brand#3", "promo"))
+    rows = p.select(tags.alias("tags"), F.sequence(F.col("p_size"), F.col("p_size") + 3).alias("sizes"), F.struct(F.array("p_name").alias("names"), F.struct("p_partkey", "p_brand").alias("own")).alias("of.it"))
+    wanted = {"tags": "promo", "sizes": 10}
+    first = S.row_filter(rows, wanted, " RED  wid").unionByName(S.row_filter(rows, wanted, "2 brand#3")).select(F.col("`of.it`.own.p_partkey").alias("p_partkey"))
+    return first.distinct().unionByName(S.row_filter(rows, {"none": 1}).select(F.col("`of.it`.own.p_partkey").alias("p_partkey")))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS id, 'fam' || o_custkey % 3 || '|' || strftime(o_orderdate, '%Y-%m') AS base, CASE WHEN o_orderkey % 4 = 0 THEN '|R' ELSE '' END AS r FROM orders),
+have AS (SELECT DISTINCT 'fam' || l_suppkey % 3 || '|' || strftime(l_shipdate, '%Y-%m') AS key FROM lineitem WHERE l_orderkey % 40 = 0), off AS (SELECT DISTINCT base FROM a WHERE id % 60 = 0), lost AS (SELECT base || r AS key, min(id % 10) AS n FROM a WHERE id % 13 = 0 GROUP BY 1)
+SELECT id, a.base || r AS key, CASE WHEN have.key IS NOT NULL THEN 'available' WHEN off.base IS NOT NULL THEN 'cancelled' WHEN lost.key IS NOT NULL THEN 'unobtainable' ELSE 'not_listed' END AS state,
+  CASE WHEN have.key IS NOT NULL THEN NULL WHEN off.base IS NOT NULL THEN 'no exams' WHEN lost.key IS NOT NULL THEN 'lost ' || n END AS reason, CASE WHEN have.key IS NULL AND off.base IS NULL AND lost.key IS NOT NULL THEN 'page' END AS evidence
+FROM a LEFT JOIN have ON have.key = a.base || a.r LEFT JOIN off ON off.base = a.base LEFT JOIN lost ON lost.key = a.base || a.r
+""", with_roles=False)
+def f24_season_reasons(r: Roles):
+    season = lambda family, day: F.concat(F.lit("fam"), (F.col(family) % 3).cast("string"), F.lit("|"), F.date_format(day, "yyyy-MM"))
+    o = r.table("orders").select(F.col("o_orderkey").alias("id"), season("o_custkey", "o_orderdate").alias("base"))
+    asked = o.select("id", F.concat("base", F.when(F.col("id") % 4 == 0, "|R").otherwise("")).alias("key"))
+    seasons = r.table("lineitem").where("l_orderkey % 40 = 0").select(season("l_suppkey", "l_shipdate").alias("key"))
+    lost = asked.where("id % 13 = 0").select("key", F.concat(F.lit("lost "), (F.col("id") % 10).cast("string")).alias("reason"), F.lit("page").alias("evidence"))
+    return S.season_availability(asked, seasons, o.where("id % 60 = 0").select(F.col("base").alias("key"), F.lit("no exams").alias("reason")), lost)
