@@ -251,17 +251,20 @@ def assembled(parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
 
 def _repaired(rows: pd.DataFrame) -> pd.DataFrame:
     rows, seen, out = rows.sort_values("position"), set(), []
-    for code, topic in zip(rows["code"], rows["topic"], strict=True):
-        new = "".join(code.split()).replace("–", "-")
-        major, _, minor = new.partition(".")
-        if topic and minor and major != topic:
-            new = f"{topic}.{minor}"
+    after: dict[int, int] = {}  # a number that is taken, and the least one after it that may be free
+
+    def free(base: str, k: int) -> int:
+        passed = []
+        while f"{base}.{k}" in seen:
+            passed.append(k)
+            k = after.get(k, k + 1)
+        after.update(dict.fromkeys(passed, k))
+        return k
+
+    for new, base in zip(rows["new"], rows["base"], strict=True):
         if new in seen:
-            base, _, minor = new.partition(".")
-            free = int(minor) + 1 if minor.isdigit() else 2
-            while f"{base}.{free}" in seen:
-                free += 1
-            new = f"{base}.{free}"
+            minor = new[len(base) + 1 :]
+            new = f"{base}.{free(base, int(minor) + 1 if minor.isdigit() else 2)}"
         seen.add(new)
         out.append(new)
     return rows.assign(repaired=out)[["unit", "position", "code", "repaired"]]
@@ -271,11 +274,17 @@ def code_repairs(points: DataFrame) -> DataFrame:
     """(unit, position, code, repaired) of points (unit string, topic string, code string, position long), in reading order.
 
     A code whose major number is not its topic's takes that of the topic; one that an earlier code of the unit has moves to
-    the next minor number that none has yet. What is free depends on all repairs before, so a unit, the chapters of one
-    specification, is walked in order in one group.
+    the next minor number that none has yet. What is free depends on all repairs before, but only on those of the same major
+    number, so the points of a unit and major number are walked in order in one group; a taken number names the next that may be free.
     """
-    rows = points.select("unit", "topic", "code", "position").where("code is not null")
-    return rows.groupBy("unit").applyInPandas(_repaired, "unit string, position long, code string, repaired string")
+    # white space as str.split() has it
+    new = F.replace(F.regexp_replace("code", r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", ""), F.lit("–"), F.lit("-"))
+    major, minor = F.substring_index("new", ".", 1), F.when(F.instr("new", ".") > 0, F.expr("substring(new, instr(new, '.') + 1)")).otherwise("")
+    moved = (F.col("topic") != "") & (minor != "") & (major != F.col("topic"))
+    rows = points.select("unit", "topic", "code", "position").where("code is not null").withColumn("new", new)
+    rows = rows.withColumn("new", F.when(moved, F.concat("topic", F.lit("."), minor)).otherwise(F.col("new")))
+    rows = rows.select("unit", "code", "position", "new", F.substring_index("new", ".", 1).alias("base"))
+    return rows.groupBy("unit", "base").applyInPandas(_repaired, "unit string, position long, code string, repaired string")
 
 
 #: Fewer characters are no transcript; words a second of a recording that fit its transcript (fixed values).

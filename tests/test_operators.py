@@ -228,6 +228,32 @@ def test_code_repairs_take_the_next_free_number(spark):
     assert [r["repaired"] for r in got] == ["1.1", "1.2", "1.5", "1.6", "1.3", "1.x", "1.4", "1.9"]
 
 
+def test_code_repairs_of_many_equal_codes(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    codes = ["1.1", "1.02", "1.2", "2.1", "2", "2.x", "2.3.4", "x", "", "1 – 2", "\u20031.7", "1.7"]
+    rows = [(rng.choice("uv"), rng.choice(["1", "2", "", None]), rng.choice(codes), k) for k in range(600)]
+    schema = "unit string, topic string, code string, position long"
+    expected, seen = [], set()
+    for unit, topic, code, at in rows:
+        new = "".join(code.split()).replace("–", "-")
+        major, _, minor = new.partition(".")
+        new = f"{topic}.{minor}" if topic and minor and major != topic else new
+        if (unit, new) in seen:
+            base, _, minor = new.partition(".")
+            new = next(x for x in (f"{base}.{n}" for n in range(int(minor) + 1 if minor.isdigit() else 2, 9999)) if (unit, x) not in seen)
+        seen.add((unit, new))
+        expected.append((at, new))
+    got = listings.code_repairs(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["position"], r["repaired"]) for r in got) == expected
+    many = spark.range(40000).selectExpr("'u' unit", "'1' topic", "'1.1' code", "id position")
+    began = time.time()
+    assert listings.code_repairs(many).where("repaired <> concat('1.', position + 1)").count() == 0
+    assert time.time() - began < 30  # some minutes where every repair looks at all numbers again
+
+
 def test_unknown_denominator_has_no_percentage(spark):
     e = spark.createDataFrame([("x", "s", "k", 1, "verified", True, True), ("x", "s", "k", 1, "verified", True, True)], "public_id string, system string, kind string, content int, quality string, identity_ok boolean, claim_ok boolean")
     rows = [("a", "s", "k", None, [], []), ("b", "s", "k", 1, [], []), ("c", "s", "k", 0, [], []), ("d", "s", "k", 1, ["x", "x"], ["x"]), ("e", "t", "k", 2, [], [])]
