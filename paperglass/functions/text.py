@@ -36,10 +36,9 @@ def canonical(fields: dict[str, Column]) -> Column:
 
 def public_id(prefix: str, fields: dict[str, Column]) -> Column:
     """A prefix and the first 20 bytes of the canonical string's sha256 in lower-case base32."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.sha2(canonical(fields), 256), 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)])
-    letters = "abcdefghijklmnopqrstuvwxyz234567"
-    digits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(letters), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.concat(F.lit(prefix), F.array_join(digits, ""))
+    # conv writes the digits of base 32 as 0-9 and A-V; ten digits of base 16 are eight of base 32
+    digits = once(F.sha2(canonical(fields), 256), lambda h: F.concat(*[F.lpad(F.conv(F.substring(h, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)]))
+    return F.concat(F.lit(prefix), F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567"))
 
 
 def content_hash(fields: dict[str, Column]) -> Column:
