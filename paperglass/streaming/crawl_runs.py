@@ -43,51 +43,99 @@ def _text(v) -> str | None:
     return None if v is None or v != v else str(v)
 
 
+def _keep_later(met: dict[str, tuple], url: str, new: tuple) -> bool:
+    """Keeps the later of two outcomes (status, sha256, bytes, at) of a url; whether it is the url's first."""
+    old = met.get(url)
+    if old is None or (old[3], old[0] or "", old[1] or "") < (new[3], new[0] or "", new[1] or ""):
+        met[url] = new
+    return old is None
+
+
+#: Outcomes of one key that are held before they go to its state (fixed value).
+HELD = 100_000
+
+
 class Runs(StatefulProcessor):
-    """State of one source and bucket: waiting outcomes by run, ends of runs, and the urls that are known."""
+    """State of one source and bucket: waiting outcomes by run, ends of runs, and the urls that are known.
+
+    Outcomes of a run wait in parts, one for each time that what arrived was put away, so a batch calls the state for runs and not for
+    rows, and closing a run reads its own parts. All runs that a batch can close are closed together, in the order of
+    their ends: what is known of the key is read once and each url that has changed is written once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "run_no long, url string", "status string, sha256 string, bytes long, at long")
+        self.parts = handle.getMapState("parts", "run_no long", "n int")
+        self.waiting = handle.getMapState("waiting", "run_no long, part int", "url array<string>, status array<string>, sha256 array<string>, bytes array<long>, at array<long>")
         self.ends = handle.getMapState("ends", "run_no long", "ended long, complete boolean")
         self.known = handle.getMapState("known", "url string", "sha256 string, revision_no int, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends: dict[int, tuple[int, bool]] = {}
+        held: dict[int, dict[str, tuple]] = {}
+        n = 0
         for part in rows:
-            for r in part.itertuples(index=False):
-                at = int(r.at.value // 1000) if r.at == r.at else 0
-                if r.kind == "end":
-                    if not self.ends.containsKey((r.run_no,)):
-                        self.handle.registerTimer(at // 1000)
-                    self.ends.updateValue((r.run_no,), (at // 1000, bool(r.complete)))
-                elif _text(r.url) is not None:
-                    new = (_text(r.status), _text(r.sha256), None if r.bytes != r.bytes or r.bytes is None else int(r.bytes), at)
-                    if self.waiting.containsKey((r.run_no, r.url)):
-                        old = self.waiting.getValue((r.run_no, r.url))
-                        if (old[3], old[0] or "", old[1] or "") >= (new[3], new[0] or "", new[1] or ""):
-                            continue
-                    self.waiting.updateValue((r.run_no, r.url), new)
+            at = part["at"].astype("datetime64[us]").astype("int64").where(part["at"].notna(), 0)
+            for run, kind, url, status, sha, size, t, complete in zip(part["run_no"], part["kind"], part["url"], part["status"], part["sha256"], part["bytes"], at, part["complete"], strict=True):
+                if kind == "end":
+                    ends[int(run)] = (int(t) // 1000, bool(complete))
+                elif _text(url) is not None:
+                    new = (_text(status), _text(sha), None if size is None or size != size else int(size), int(t))
+                    n += _keep_later(held.setdefault(int(run), {}), str(url), new)
+            if n >= HELD:
+                self._put_away(held)
+                held, n = {}, 0
+        self._put_away(held)
+        for run, end in ends.items():
+            if not self.ends.containsKey((run,)):
+                self.handle.registerTimer(end[0])
+            self.ends.updateValue((run,), end)
         yield pd.DataFrame(columns=NAMES)
 
+    def _put_away(self, held: dict[int, dict[str, tuple]]) -> None:
+        for run, urls in held.items():
+            n = self.parts.getValue((run,))[0] if self.parts.containsKey((run,)) else 0
+            self.waiting.updateValue((run, n), (list(urls), *map(list, zip(*urls.values(), strict=True))))
+            self.parts.updateValue((run,), (n + 1,))
+
+    def _take(self, run: int) -> dict[str, tuple]:
+        met: dict[str, tuple] = {}
+        if self.parts.containsKey((run,)):
+            for n in range(self.parts.getValue((run,))[0]):
+                for url, *new in zip(*self.waiting.getValue((run, n)), strict=True):
+                    _keep_later(met, url, tuple(new))
+                self.waiting.removeKey((run, n))
+            self.parts.removeKey((run,))
+        return met
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((v[0], k[0], v[1]) for k, v in self.ends.iterator() if v[0] <= until)
-        out: list[tuple] = []
+        until, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        due = sorted((v[0], k[0], v[1]) for k, v in self.ends.iterator() if v[0] <= until or v[0] < passed)
+        if not due:  # closed with an earlier one
+            return
+        known = {k[0]: tuple(v) for k, v in self.known.iterator()}
+        live = {url for url, v in known.items() if v[2] != "missing"}
+        changed: set[str] = set()
         for _, run, complete in due:
-            met = {k[1]: v for k, v in self.waiting.iterator() if k[0] == run}
+            met, out = self._take(run), []
             for url, (status, sha, size, _) in sorted(met.items()):
-                was = tuple(self.known.getValue((url,))) if self.known.containsKey((url,)) else None
-                action, sha, number, state = outcome(was, status, sha)
-                self.known.updateValue((url,), (sha, number, state))
-                self.waiting.removeKey((run, url))
+                action, sha, number, state = outcome(known.get(url), status, sha)
+                known[url] = (sha, number, state)
                 out.append((key[0], run, url, action, sha, number, size if status == "fetched" else None))
+            changed.update(met)
+            live.update(met)
             if complete:
-                gone = [(k[0], v) for k, v in self.known.iterator() if k[0] not in met and v[2] != "missing"]
-                for url, v in sorted(gone, key=lambda x: x[0]):
-                    self.known.updateValue((url,), (v[0], v[1], "missing"))
-                    out.append((key[0], run, url, "missing", v[0], v[1], None))
+                gone = sorted(live - met.keys())
+                for url in gone:
+                    sha, number, _ = known[url]
+                    known[url] = (sha, number, "missing")
+                    out.append((key[0], run, url, "missing", sha, number, None))
+                changed.update(gone)
+                live = set(met)
             self.ends.removeKey((run,))
-        yield pd.DataFrame(out, columns=NAMES).astype({"run_no": "int64", "revision_no": "int32", "bytes": "Int64"})
+            yield pd.DataFrame(out, columns=NAMES).astype({"run_no": "int64", "revision_no": "int32", "bytes": "Int64"})
+        for url in changed:
+            self.known.updateValue((url,), known[url])
 
     def close(self) -> None:
         pass

@@ -60,3 +60,58 @@ def test_any_order_replays_and_restarts(spark, tmp_path, seed):
     totals = {(r["source"], r["run_no"]): r for r in C.run_totals(actions).collect()}
     assert sum(r["total"] for r in totals.values()) == len(got)
     assert sum(r["missing"] for r in totals.values()) == sum("'missing'" in x for x in got) > 0
+
+
+class Counted(dict):
+    """A map state in memory that counts its calls."""
+
+    calls = 0
+
+    def _count(self, value=None):
+        Counted.calls += 1
+        return value
+
+    def containsKey(self, k):
+        return self._count(k in self)
+
+    def getValue(self, k):
+        return self._count(self.get(k))
+
+    def updateValue(self, k, v):
+        self._count()
+        self[k] = v
+
+    def removeKey(self, k):
+        self._count(self.pop(k, None))
+
+    def iterator(self):
+        Counted.calls += len(self)
+        return iter(list(self.items()))
+
+
+def test_state_calls_follow_runs_and_urls_not_rows(monkeypatch):
+    from types import SimpleNamespace as N
+
+    import pandas as pd
+
+    monkeypatch.setattr(C, "HELD", 700, raising=False)
+    Counted.calls, timers = 0, []
+    runs = C.Runs()
+    runs.init(N(getMapState=lambda *_: Counted(), registerTimer=timers.append))
+    rng = random.Random(4)
+    outcomes, ends = [], []
+    for run in range(30):
+        began = START + dt.timedelta(days=run)
+        outcomes += [("s", run, "url", f"u{rng.randrange(60)}", rng.choice(["fetched", "listed", "error", "gated"]), rng.choice("abc"), rng.choice([5, None]), began + dt.timedelta(seconds=k), None) for k in range(200)]
+        ends += [("s", run, "end", None, None, None, None, began + dt.timedelta(hours=1), run % 3 == 0)] * 20
+    rows = [*outcomes, *ends]
+    rng.shuffle(rows)
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in C.EVENTS.split(", ")])
+    list(runs.handleInputRows(("s", 0), iter([frame[k : k + 500] for k in range(0, len(frame), 500)]), None))
+    assert sorted(timers) == sorted({int(e[7].replace(tzinfo=dt.timezone.utc).timestamp()) * 1000 for e in ends})
+    out = []
+    for t in sorted(timers):
+        out += list(runs.handleExpiredTimer(("s", 0), N(getCurrentWatermarkInMs=lambda: max(timers)), N(getExpiryTimeInMs=lambda t=t: t)))
+    got = pd.concat(out)[["source", "run_no", "url", "action", "sha256", "revision_no"]].itertuples(index=False, name=None)
+    assert sorted(map(repr, got)) == one_after_the_other(outcomes, sorted(set(ends)))
+    assert Counted.calls < len(rows)
