@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperglass.functions.phrase_match import first_by_order
+from paperglass.functions.text import once
 
 #: Signs of document types on their first pages, with weights; of equal sums the first type counts (fixed values).
 TYPE_SIGNS = {
@@ -43,23 +44,26 @@ def content_type(text: Column) -> Column:
     1.5, at most 1, times its share of the two highest sums. A text that cannot be read has an error, one without a sign
     neither type nor error."""
     part = F.substring(F.coalesce(text, F.lit("")), 1, SCAN_CHARS)
-    flat = F.regexp_replace(part, r"\s+", " ")
-    control = F.length(F.regexp_replace(part, r"[^\x00-\x08\x0b-\x1f\x7f]", "")) / F.greatest(F.length(part), F.lit(1))
-    poor = (F.size(F.regexp_extract_all(flat, F.lit("[A-Za-z]{3,}"), F.lit(0))) < 5) | (control > 0.10)
-    scores = F.array(*[
-        F.struct(reduce(lambda a, b: a + b, [F.when(flat.rlike(f"(?i){p}"), w).otherwise(0.0) for p, w in own.items()]).alias("score"), F.lit(-k).alias("k"), F.lit(kind).alias("type"))
-        for k, (kind, own) in enumerate(TYPE_SIGNS.items())
-    ])
-
-    def judged(found: Column) -> Column:
-        best, runner = F.get(found, 0), F.get(found, 1)["score"]
-        sure = F.least(F.lit(1.0), best["score"] / 1.5) * best["score"] / (best["score"] + runner)
-        none = F.lit(None)
+
+    def scored(page: Column) -> Column:
+        flat, part = page["flat"], page["part"]
+        control = F.length(F.regexp_replace(part, r"[^\x00-\x08\x0b-\x1f\x7f]", "")) / F.greatest(F.length(part), F.lit(1))
+        poor = (F.size(F.regexp_extract_all(flat, F.lit("[A-Za-z]{3,}"), F.lit(0))) < 5) | (control > 0.10)
         error = F.when(poor, F.when(F.trim(flat) == "", "no_text_layer").otherwise("text_layer_unreadable"))
+        scores = F.array(*[
+            F.struct(reduce(lambda a, b: a + b, [F.when(flat.rlike(f"(?i){p}"), w).otherwise(0.0) for p, w in own.items()]).alias("score"), F.lit(-k).alias("k"), F.lit(kind).alias("type"))
+            for k, (kind, own) in enumerate(TYPE_SIGNS.items())
+        ])
+        return F.struct(F.reverse(F.array_sort(scores)).alias("found"), error.alias("error"))
+
+    def judged(page: Column) -> Column:
+        best, runner, error = F.get(page["found"], 0), F.get(page["found"], 1)["score"], page["error"]
+        sure = F.least(F.lit(1.0), best["score"] / 1.5) * best["score"] / (best["score"] + runner)
         some = error.isNull() & (best["score"] > 0)
-        return F.struct(F.when(some, best["type"]).alias("type"), F.when(some, F.round(best["score"], 4)).otherwise(none).alias("score"), F.when(some, F.round(sure, 4)).otherwise(0.0).alias("confidence"), error.alias("error"))
+        return F.struct(F.when(some, best["type"]).alias("type"), F.when(some, F.round(best["score"], 4)).otherwise(F.lit(None)).alias("score"), F.when(some, F.round(sure, 4)).otherwise(0.0).alias("confidence"), error.alias("error"))
 
-    return F.transform(F.array(F.reverse(F.array_sort(scores))), judged)[0]
+    flat = once(part, lambda p: F.struct(p.alias("part"), F.regexp_replace(p, r"\s+", " ").alias("flat")))
+    return once(once(flat, scored), judged)
 
 
 #: Types that are a special form of another (fixed values).

@@ -44,8 +44,7 @@ SELECT p_partkey, CASE WHEN NOT poor AND b > 0 THEN {first} END AS type, CASE WH
 @query(_types_sql(), with_roles=False)
 def x12_content_type(r: Roles):
     page = F.concat(_case(_PHRASES, "p_partkey"), _case(_ENDS, "p_size"))
-    t = P.content_type(page)
-    return r.table("part").select("p_partkey", t["type"].alias("type"), t["confidence"].alias("confidence"), t["error"].alias("error"))
+    return r.table("part").select("p_partkey", P.content_type(page).alias("t")).select("p_partkey", "t.type", "t.confidence", "t.error")
 
 
 @query("""

@@ -235,6 +235,18 @@ def test_public_ids_of_many_rows(spark):
         assert r["p"] == "p_" + base64.b32encode(hashlib.sha256(f"a=é|b={r['id']}".encode()).digest()[:20]).decode().lower()
 
 
+def test_content_type_of_many_rows(spark):
+    import time
+
+    from paperglass.functions import papers
+
+    page = F.concat(F.lit("Mark Scheme\nMaximum Mark: "), F.col("id").cast("string"), F.lit(" partial marks for the candidate"))
+    began = time.time()
+    got = spark.range(100000).select(papers.content_type(page).alias("t")).select("t.*").distinct().collect()
+    assert [(r["type"], r["score"], r["error"]) for r in got] == [("mark_scheme", 2.1, None)]
+    assert time.time() - began < 30  # some minutes where every sign folds the page's white space again
+
+
 def test_code_repairs_take_the_next_free_number(spark):
     rows = [("u", "1", c, k) for k, c in enumerate(["1.1", "1.1", "1.5", "2.5", "1.2", "1.x", "1.x", " 1 . 9 "])]
     got = listings.code_repairs(spark.createDataFrame(rows, "unit string, topic string, code string, position long")).orderBy("position").collect()
