@@ -84,8 +84,8 @@ def shared_content(rows: DataFrame, content: str, owner: str) -> DataFrame:
 
 def native_id_conflicts(rows: DataFrame, key: list[str], content: Column) -> DataFrame:
     """Repeated ids: `identical` if all hold one content, else `different`."""
-    g = rows.withColumn("_c", content).groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("_c").alias("kinds")).where("n > 1")
-    return g.withColumn("verdict", F.when(F.col("kinds") == 1, "identical").otherwise("different")).drop("kinds")
+    g = rows.withColumn("_c", content).groupBy(*key).agg(F.count("*").alias("n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("n > 1")
+    return g.withColumn("verdict", F.when(F.col("_lo") == F.col("_hi"), "identical").otherwise("different")).drop("_lo", "_hi")
 
 
 def inconsistent_titles(rows: DataFrame, label: str, title: str, ruled: DataFrame) -> DataFrame:

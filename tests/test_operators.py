@@ -247,6 +247,13 @@ def test_content_type_of_many_rows(spark):
     assert time.time() - began < 30  # some minutes where every sign folds the page's white space again
 
 
+def test_native_id_conflicts_in_one_aggregate(spark):
+    rows = [("a", 1), ("a", 1), ("a", None), ("b", 1), ("b", 2), ("c", None), ("c", None), ("d", 1)]
+    found = reports.native_id_conflicts(spark.createDataFrame(rows, "k string, c int"), ["k"], F.col("c"))
+    assert {(r["k"], r["n"], r["verdict"]) for r in found.collect()} == {("a", 3, "identical"), ("b", 2, "different"), ("c", 2, "different")}
+    assert found._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2  # four with distinct contents, which hold each of them
+
+
 def test_code_repairs_take_the_next_free_number(spark):
     rows = [("u", "1", c, k) for k, c in enumerate(["1.1", "1.1", "1.5", "2.5", "1.2", "1.x", "1.x", " 1 . 9 "])]
     got = listings.code_repairs(spark.createDataFrame(rows, "unit string, topic string, code string, position long")).orderBy("position").collect()
