@@ -3,9 +3,10 @@
 Copies of one normalised text are collapsed to a kind. Kinds have several fingerprints of their distinct words; those that
 agree under a covering mask and differ in few bits are candidates, and candidates form groups. Each kind of a group is
 compared with the one in the group's middle, which settles copies of one text without comparing them with each other; what
-is left has a second middle. Kinds that differ too much from the first middle m are compared with those that differ from m
-in the same shingles: with D(x) the shingles that only one of x and m holds, u and x differ in |D(u)| + |D(x)| - 2|D(u) & D(x)|
-shingles, which for a similar pair bounds the overlap of D(u) and D(x) from below, so a prefix of each of them must meet.
+is left has a second middle. Kinds that differ too much from the first middle are compared with those that differ in the same
+shingles from the set m of what over half of the group hold: with D(x) the shingles that only one of x and m holds, u and x differ in
+|D(u)| + |D(x)| - 2|D(u) & D(x)| shingles, which for a similar pair bounds the overlap of D(u) and D(x) from below, so a
+prefix of each of them, the rarest first, must meet.
 Links of enough similarity make components. Only narrow rows are shuffled, besides the shingle hashes of candidates.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperglass.llm.common import by_size, checkpointed, free_name, text_slices, written
@@ -78,29 +79,62 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.withColumn("near", F.col("m") - F.size("plus") >= similarity * (F.col("n") + F.size("plus")))
 
 
-def left_over(first: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes of one centre and other labels that may be similar, at least one of them not near the centre:
-    prefixes of what they do not share with the centre meet. `first` is compared() with the centres.
+def typical(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, centre, label, m, plus, minus) with plus and minus against what over half of the centre's nodes hold, in place of
+    the centre's own set, and with `t`: size less what a pair may differ in for each of its shingles.
 
-    What a node adds to the centre comes first in its prefix, then what it lacks. Nodes that meet in what they lack only
-    have no addition in common, which bounds their similarity by sizes alone."""
+    An element that many nodes add or lack is so no longer one that they have in common against the reference."""
     c = (1 - similarity) / (1 + similarity)
-    both = F.concat(F.array_sort("plus"), F.array_sort("minus"))
-    size = F.size("plus") + F.size("minus")
-    overlap_x = F.floor((size + c * (F.col("n") - F.col("m"))) / 2 - 1e-9) + 1
-    overlap_u = F.ceil((size - c * (F.col("n") + F.col("m"))) / 2 - 1e-9)
-    reach_u, reach_x = size - F.greatest(F.lit(1), overlap_u) + 1, size - F.greatest(F.lit(1), overlap_x) + 1
-    rows = first.join(label, F.col("a") == F.col("node")).select("a", F.col("b").alias("centre"), "near", "label", "m", F.size("plus").alias("adds"), F.size("minus").alias("lacks"), both.alias("both"), reach_u.alias("reach_u"), reach_x.alias("reach_x"))
-    rows = checkpointed(rows.join(rows.where("not near").select("centre").distinct(), "centre", "left_semi"))
-    reach = F.greatest(F.lit(0), F.when(F.col("near"), F.col("reach_x")).otherwise(F.greatest("reach_u", "reach_x"))).cast("int")
-    prefix = rows.withColumn("both", F.slice("both", F.lit(1), reach)).select("*", F.posexplode("both").alias("at", "e")).drop("both")
-    mixed = prefix.groupBy("centre", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("centre", "e")
-    live = prefix.join(mixed, ["centre", "e"], "left_semi")
-    u = live.where("not near and at < reach_u").select("centre", "e", *(F.col(k).alias(f"u_{k}") for k in ("a", "label", "m", "adds", "lacks")))
-    x = live.where("at < reach_x").select("centre", "e", "at", "a", "label", "m", "adds", "lacks")
-    by_sizes = F.col("u_adds") + F.col("adds") + F.abs(F.col("u_lacks") - F.col("lacks")) <= c * (F.col("u_m") + F.col("m")) + 1e-9
-    met = u.join(x, ["centre", "e"]).where((F.col("u_label") != F.col("label")) & ((F.col("at") < F.col("adds")) | by_sizes))
-    return met.select(F.greatest("u_a", "a").alias("a"), F.least("u_a", "a").alias("b")).distinct()
+    sizes = by_size(checkpointed(rows.groupBy("centre").agg(F.count("*").alias("of"))))
+    held = lambda side: rows.select("centre", F.explode(side).alias("e")).groupBy("centre", "e").agg(F.count("*").alias("df")).join(sizes, "centre").where("2 * df > of").groupBy("centre").agg(F.collect_list("e").alias(f"most_{side}"))
+    most = by_size(checkpointed(held("plus").join(held("minus"), "centre", "full")))
+    none = F.array().cast("array<long>")
+    added, gone = F.coalesce("most_plus", none), F.coalesce("most_minus", none)
+    plus = F.concat(F.array_except("plus", added), F.array_except(gone, "minus"))
+    minus = F.concat(F.array_except("minus", gone), F.array_except(added, "plus"))
+    moved = rows.join(most, "centre", "left").select("a", "centre", "near", "label", "m", plus.alias("plus"), minus.alias("minus"))
+    return written(moved.withColumn("t", F.size("plus") + F.size("minus") - c * F.col("m")), "typical")
+
+
+def left_over(first: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of one centre and other labels that may be similar. `first` is compared() with the centres.
+
+    Nodes are described by what they add to and lack of a typical set of their group. With c = (1 - similarity) / (1 + similarity),
+    u and x are similar if they have (t(u) + t(x)) / 2 differences in common, t = size - c * m. Where that is not above zero
+    they are similar without any, and so are both with the node of least t, which stands for them all. Every other similar
+    pair has a first common difference, additions before lacks and each by falling rarity, in a prefix of both. Of common
+    additions there are (w(u) + w(x)) / 2 at least, w = adds - c * m, so the node of lesser w needs only a short prefix. Pairs
+    without a common addition meet in what they lack, which bounds their similarity by sizes alone.
+    """
+    c, eps = (1 - similarity) / (1 + similarity), 1e-9
+    rows = first.join(label, F.col("a") == F.col("node")).select("a", F.col("b").alias("centre"), "near", "label", "m", "plus", "minus")
+    open_ = by_size(checkpointed(rows.where("not near").select("centre").distinct()))
+    rows = typical(written(rows.join(open_, "centre", "left_semi"), "open"), similarity)
+    least = by_size(checkpointed(rows.groupBy("centre").agg(F.min(F.struct("t", "a")).alias("l")).where("l.t <= 0").select("centre", F.col("l.t").alias("least_t"), F.col("l.a").alias("star"))))
+    surely = F.coalesce(F.col("t") + F.col("least_t") <= -1e-6, F.lit(False))
+    starred = rows.drop("plus", "minus").join(least, "centre").where(F.col("t") + F.col("least_t") <= eps)
+    to_star = starred.where("a <> star").select(F.greatest("a", "star").alias("a"), F.least("a", "star").alias("b"))
+    one = by_size(checkpointed(starred.where(surely).groupBy("centre").agg(F.min(F.when(F.col("near"), F.col("label"))).alias("near_label"), F.min("label").alias("any_label")).select("centre", F.coalesce("near_label", "any_label").alias("one"))))
+    named = rows.join(least, "centre", "left").join(one, "centre", "left").withColumn("label", F.when(surely, F.col("one")).otherwise(F.col("label")))
+    narrow = ["a", "centre", "label", "m", F.size("plus").alias("adds"), F.size("minus").alias("lacks"), "t"]
+    each = named.select(*narrow, "plus", F.posexplode(F.concat("plus", "minus")).alias("at", "e")).withColumn("lack", F.col("at") >= F.col("adds")).drop("at", "plus")
+    mixed = each.groupBy("centre", "e").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("centre", "e", "df")
+    shared = each.join(mixed, ["centre", "e"])
+    # what no two labels share stands first in every order, so places are counted from the end
+    left = F.row_number().over(Window.partitionBy("a", "lack").orderBy(F.desc("df"), "e")) - 1
+    size, w, others = F.when(F.col("lack"), F.col("lacks")).otherwise(F.col("adds")), F.col("adds") - c * F.col("m"), c / similarity * F.col("m")
+    weight = F.when(F.col("lack"), F.col("t")).otherwise(w)
+    placed = shared.withColumn("left", left).withColumn("weight", weight).where(~F.col("lack") | (w <= others + eps))
+    x = placed.where(F.col("left") >= F.greatest(F.lit(1), F.ceil(F.col("weight") - eps)) - 1)
+    u = placed.where(F.col("left") >= F.greatest(F.lit(1), F.ceil((F.col("weight") - others) / 2 - eps)) - 1)
+    u = u.select("centre", "lack", "e", *(F.col(k).alias(f"u_{k}") for k in ("a", "label", "m", "adds", "lacks", "t", "left", "weight")))
+    more = F.least("u_left", "left") + 1
+    enough = (F.col("u_t") + F.col("t")) / 2 - eps
+    by_sizes = F.col("u_adds") + F.col("adds") + F.abs(F.col("u_lacks") - F.col("lacks")) <= c * (F.col("u_m") + F.col("m")) + eps
+    may = F.when(F.col("lack"), by_sizes & (more >= enough)).otherwise(more + F.least("u_lacks", "lacks") >= enough)
+    alike = F.least("u_m", "m") >= similarity * F.greatest("u_m", "m") - eps
+    met = u.join(x, ["centre", "lack", "e"]).where((F.col("u_label") != F.col("label")) & (F.struct("u_weight", "u_a") > F.struct("weight", "a")) & alike & may)
+    return met.select(F.greatest("u_a", "a").alias("a"), F.least("u_a", "a").alias("b")).unionByName(to_star).distinct()
 
 
 def _to_middle(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -204,6 +204,37 @@ def test_one_of_each_without_broadcast(spark, monkeypatch):
     assert got == plain_groups([(k % 31, t) for k, t in enumerate(texts)])
 
 
+def test_left_over_pairs_by_brute_force(spark):
+    """Copies of one text with changes of their own, compared with one of them: what they have in common against it does not make candidates."""
+    rng = random.Random(4)
+    base, fresh = list(range(200)), iter(range(1000, 10**6))
+
+    def changed(of, n):
+        gone = set(rng.sample(sorted(of), n))
+        return (set(of) - gone) | {next(fresh) for _ in range(n)}
+
+    sets = [changed(base, 30)] + [changed(base, rng.choice([5, 15, 30, 45])) for _ in range(100)] + [set(base) - set(rng.sample(base, rng.randint(10, 60))) for _ in range(10)]
+    sets += [changed(sets[k], 8) for k in range(40, 60)] + [set(base)]
+    centre = sets[0]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    rows = [(k, 0, jaccard(s, centre) >= 0.8, len(s), len(centre), sorted(s - centre), sorted(centre - s)) for k, s in enumerate(sets) if k]
+    first = spark.createDataFrame(rows, "a long, b long, near boolean, m int, n int, plus array<long>, minus array<long>")
+    label = first.select(F.col("a").alias("node"), F.when(F.col("near"), F.lit(0)).otherwise(F.col("a")).cast("long").alias("label"))
+    got = {(r["a"], r["b"]) for r in near_dedup.left_over(first, label, 0.8).collect()}
+
+    def parts(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    similar = {(a, b) for a in range(len(sets)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8}
+    of_centre = {p for p in similar if p[1] == 0}
+    assert parts((got & similar) | of_centre) == parts(similar)
+    assert all(a > b for a, b in got) and len(got) < 4 * len(sets)
+
+
 def test_equal_fingerprints_are_linked_without_pairs(spark):
     """Many texts of the same words in other orders: equal fingerprints, which no bucket meets; none is similar to another beyond its group."""
     rng = random.Random(8)
