@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperglass.functions.papers import clock_units, transcript_words
+from paperglass.sources.tables import written
 
 #: Longest window of a segment, that of the last one, and what an answer's window has on both sides, in seconds (fixed values).
 LONGEST, LAST, PAD = 30.0, 12.0, 2.0
@@ -76,9 +77,10 @@ def candidates(segments: DataFrame, questions: DataFrame, part: str) -> DataFram
     Segments are (part, seq, start_sec, text, q array<int> of marked questions), questions (part, number, prompt,
     answer_variants array<string>). A window comes from a segment that marks the question, from one that holds the words of
     an answer, wider on both sides, or, for questions without either, from the first segment with most words of the prompt.
-    Windows of a question that nearly coincide are one, that of the higher score.
+    Windows of a question that nearly coincide are one, that of the higher score. Steps that several branches go on from are
+    written to the shared folder, so that each is computed and planned once.
     """
-    bounds = segment_bounds(segments, part).withColumn("words", transcript_words(F.col("text")))
+    bounds = written(segment_bounds(segments, part).select(part, "seq", "start_sec", "end_sec", "q", transcript_words(F.col("text")).alias("words")))
     known = questions.select(part, F.col("number").cast("long").alias("number"))
     marks = bounds.select(part, "seq", F.explode(F.col("q").cast("array<bigint>")).alias("number")).distinct().join(known, [part, "number"]).withColumn("marked", F.lit(True))
     none = F.lit(None).cast("double")
@@ -92,7 +94,7 @@ def candidates(segments: DataFrame, questions: DataFrame, part: str) -> DataFram
         part, "number", F.greatest(F.lit(0.0), F.col("start_sec") - PAD).alias("start_sec"), (F.col("end_sec") + PAD).alias("end_sec"),
         F.when(marked, "answer_in_marker_window").otherwise("answer_occurrence").alias("source"), F.when(marked, BOTH).otherwise(ANSWER).alias("context_score"), "answer_score",
     )
-    strong = of_marks.unionByName(of_answers)
+    strong = written(of_marks.unionByName(of_answers))
     rest = questions.select(part, F.col("number").cast("long").alias("number"), F.array_distinct(stem_words(F.col("prompt"))).alias("phrase")).where("size(phrase) > 0").join(strong.select(part, "number").distinct(), [part, "number"], "left_anti")
     share = F.size(F.array_intersect("phrase", "words")) / F.size("phrase")
     heard = _meet(rest, bounds.select(part, "seq", "words", "start_sec", "end_sec"), part, LEAST_STEM).withColumn("score", share).where(F.col("score") >= LEAST_STEM)
@@ -211,14 +213,14 @@ def align(segments: DataFrame, questions: DataFrame, recordings: DataFrame, part
     parts = recordings.select(part, F.coalesce("identity_verified", F.lit(False)).alias("identity"), F.coalesce("section_only", F.lit(False)).alias("section")).join(clock, part)
     q = questions.select(part, F.col("number").cast("long").alias("number"), "group_id", "prompt", "answer_variants").join(parts, part, "left").withColumn("identity", F.coalesce("identity", F.lit(False)))
     group = F.coalesce(F.col("group_id").cast("string"), F.concat(F.lit("q:"), F.col("number").cast("string")))
-    q = q.withColumn("node", F.min("number").over(Window.partitionBy(part, group)))
+    q = written(q.withColumn("node", F.min("number").over(Window.partitionBy(part, group))))
     usable = q.where("identity and clock_valid")
-    own = candidates(segments.join(usable.select(part).distinct(), part, "left_semi"), usable, part)
+    own = written(candidates(segments.join(usable.select(part).distinct(), part, "left_semi"), usable, part))
     of_node = own.join(usable.select(part, "number", "node"), [part, "number"])
     seconds = [F.round("start_sec").alias("a"), F.round("end_sec").alias("b")]
     shared = of_node.groupBy(part, "node", *seconds).agg(F.count_distinct("number").alias("k"), F.max_by(F.struct("start_sec", "end_sec", "source", "context_score", "answer_score"), F.struct("context_score", -F.col("start_sec"))).alias("w")).where("k >= 2")
     of_group = shared.select(part, "node", "w.start_sec", "w.end_sec", F.concat("w.source", F.lit("+group_window")).alias("source"), F.least(F.lit(1.0), F.col("w.context_score") + 0.1 * (F.col("k") - 1)).alias("context_score"), "w.answer_score", F.lit(True).alias("shared"))
-    windows = merged_windows(of_node.drop("number").withColumn("shared", F.lit(False)).unionByName(of_group), [part, "node"])
+    windows = written(merged_windows(of_node.drop("number").withColumn("shared", F.lit(False)).unionByName(of_group), [part, "node"]))
     nodes = usable.select(part, "node").distinct()
     choice = select_windows(nodes.join(windows, [part, "node"], "left").withColumn("required", F.lit(True)), part, anchors)
     detail = windows.select(part, "node", "start_sec", "end_sec", "source", "context_score", "answer_score", "shared").dropDuplicates([part, "node", "start_sec", "end_sec"])

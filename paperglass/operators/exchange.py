@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperglass.sources.tables import work_folder
+from paperglass.sources.tables import written
 
 #: Levels of parts below a question that are read; deeper ones are a problem row of their question.
 DEPTH = 8
@@ -360,7 +360,7 @@ def normalised(raw: DataFrame, name: str) -> DataFrame:
     if name == "containers":
         return containers.select(*key, "kind", "revision", F.size("documents").alias("documents"))
     if name in ("regions", "problems"):  # several branches go on from them: once parsed, once planned
-        containers = _written(containers)
+        containers = written(containers)
     every = _questions(containers)
     questions = every.where("native_id is not null")
     if name == "questions":
@@ -378,13 +378,6 @@ def normalised(raw: DataFrame, name: str) -> DataFrame:
     raise ValueError(f"no canonical table is called {name}")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the folder that the driver and all executors share."""
-    folder = work_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def _assets(containers: DataFrame, questions: DataFrame) -> DataFrame:
     key = ["source_id", "system", "native"]
     document = F.col("d")

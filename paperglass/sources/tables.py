@@ -112,6 +112,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the folder that the driver and all executors share: computed once and planned once."""
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 _CATALOG = "items array<struct<id:string,board:string,title:string,kind:string,candidate_facing:boolean,subjects:array<string>,versions:array<struct<label:string,url:string,sha256:string,bytes:long,pages:int>>>>"
 
 
