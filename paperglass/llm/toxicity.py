@@ -2,7 +2,7 @@
 
 A word's input is its hashed embedding, that of its first letters and the end states of a character network over all. A second network reads
 overlapping windows of words in both directions, attention pools its states, and a document scores its highest window.
-The networks are trained in numpy on a bounded sample of labelled documents, window by window: of each document that
+The networks are trained in numpy on a bounded sample of labelled documents, in one task, window by window: of each document that
 window counts which scores highest so far.
 """
 
@@ -257,7 +257,8 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int =
     model, rng = Model(), np.random.default_rng(seed)
     if len(set(labels.tolist())) < 2:
         return model
-    lists = [words_of(t) for t in texts]
+    one: dict[str, str] = {}  # equal words share one object
+    lists = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
     n = np.bincount(labels, minlength=2)
     for name, cut in (("embed", LETTERS), ("stem", STEM)):
         hits = np.zeros((2, BUCKETS))
@@ -338,9 +339,8 @@ def _scored(model: Model):
     return run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positive: int, negative: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most so many labelled documents of each class, those with the least hash of the id, one
-    text for each id; weights restore the classes' shares. Rows without id, text or label are left out."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positive: int, negative: int) -> tuple[DataFrame, dict[int, int]]:
+    """(_id, y, text) of the sample, at most positive + negative rows, and how many labelled ids each class has."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and _id is not null")
     known = known.groupBy("_id").agg(F.max("y").alias("y")).where(F.crc32(F.col("_id").cast("string")) % 4 != 2)
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -349,12 +349,45 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
         some = part if some is None else some.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null")
-    one = texts.join(F.broadcast(some), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))  # of an id with several texts the least
-    rows = one.orderBy("_id").collect()  # at most positive + negative rows
-    y = np.array([r["y"] for r in rows], np.int64)
+    return texts.join(F.broadcast(some), "_id").groupBy("_id", "y").agg(F.min("text").alias("text")), share  # of an id with several texts the least
+
+
+def _weights(y: np.ndarray, share: dict[int, int]) -> np.ndarray:
     got = np.maximum(1, np.bincount(y, minlength=2))
     weight = np.array([share.get(k, 0) / got[k] for k in (0, 1)]) / max(1, sum(share.values())) * got.sum()
-    return [r["text"] for r in rows], y, weight[y].astype(f32)
+    return weight[y].astype(f32)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positive: int, negative: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of at most so many labelled documents of each class, those with the least hash of the id, one
+    text for each id; weights restore the classes' shares. Rows without id, text or label are left out."""
+    one, share = _labelled(docs, labels, id_col, text_col, label_col, positive, negative)
+    rows = one.orderBy("_id").collect()  # at most positive + negative rows
+    y = np.array([r["y"] for r in rows], np.int64)
+    return [r["text"] for r in rows], y, _weights(y, share)
+
+
+def _fit_task(share: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            y += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        labels = np.array(y, np.int64)
+        p = fit(texts, labels, _weights(labels, share)).p
+        yield pa.RecordBatch.from_arrays([pa.array(list(p)), pa.array([list(v.shape) for v in p.values()], pa.list_(pa.int64())), pa.array([v.astype(f32).tobytes() for v in p.values()], pa.binary())], names=["name", "shape", "data"])
+
+    return run
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positive: int, negative: int) -> Model:
+    """The model of training_sample(), fitted in one task: the driver holds neither texts nor the training's arrays, only the weights."""
+    one, share = _labelled(docs, labels, id_col, text_col, label_col, positive, negative)
+    own = one.repartition(1).sortWithinPartitions("_id").select("y", "text")
+    model = Model()
+    for r in own.mapInArrow(_fit_task(share), "name string, shape array<long>, data binary").collect():
+        model.p[r["name"]] = np.frombuffer(bytes(r["data"]), f32).reshape(r["shape"]).copy()
+    return model
 
 
 def _appended(model: Model, at: int, name: str):
@@ -369,7 +402,7 @@ def _appended(model: Model, at: int, name: str):
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positive: int = POSITIVE, negative: int = NEGATIVE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of `docs`, all columns, whose text scores under the threshold; fitted as in toxicity(). Columns may have any names."""
-    model = fit(*training_sample(docs, labels, id_col, text_col, label_col, positive, negative))
+    model = fitted(docs, labels, id_col, text_col, label_col, positive, negative)
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
     kept = plain.mapInArrow(_appended(model, docs.columns.index(text_col), "score"), schema).where(F.col("score") < threshold)
@@ -384,7 +417,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positiv
     score. A null id is not held out. Without labels of both classes all scores are those of the untrained network.
     """
     if model is None:
-        model = fit(*training_sample(docs, labels, id_col, text_col, label_col, positive, negative))
+        model = fitted(docs, labels, id_col, text_col, label_col, positive, negative)
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     scored = narrow.mapInArrow(_scored(model), "_id long, score double")
     held_out = F.coalesce(F.crc32(F.col("_id").cast("string")) % 4 == 2, F.lit(False))

@@ -1,5 +1,7 @@
 """Searches, toxicity, chat formatting and the pipeline."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +242,26 @@ def test_a_repeated_id_adds_one_text_to_the_sample(spark):
     assert len(texts) == len(set(texts)) <= 3 and len(y) == len(texts)
 
 
+def test_the_driver_does_not_train(spark, monkeypatch):
+    """Texts and training stay in a task: the driver collects weights only, and they are those of a fit of the sample."""
+    words = [["good", "kind", "mild", "calm"], ["foul", "vile", "nasty", "rude"]]
+    rows = [(k, " ".join(words[k % 2][(k // 2 + j) % 4] for j in range(5))) for k in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    names = ("doc_id", "text", "toxic", 20, 20)
+    expected = toxicity.fit(*toxicity.training_sample(docs, labels, *names)).p
+    real, driver = toxicity.fit, os.getpid()
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return real(*args)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    monkeypatch.setattr(toxicity, "training_sample", None)
+    got = toxicity.fitted(docs, labels, *names).p
+    assert list(got) == list(expected) and all(np.array_equal(got[k], expected[k]) and got[k].shape == expected[k].shape for k in got)
+    assert toxicity.without_toxic(docs, labels).count() <= 60 and toxicity.toxicity(docs, labels).count() == 60
+
+
 FIT_TWICE = """
 import hashlib, numpy as np
 from paperglass.llm import toxicity
