@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Levels that are walked; a list or object below them is a path of the kind `deeper`.
 DEPTH = 24
+#: What may stand at a path, in order.
+KINDS = ["bool", "deeper", "dict", "empty list", "float", "int", "list", "malformed", "none", "str"]
 NODES = "array<struct<path:string,parent:string,v:variant>>"
 
 
@@ -50,15 +54,19 @@ def payload_paths(rows: DataFrame, key: str, payload: str, depth: int = DEPTH) -
     the kind `deeper` besides its own. Rows of one key are merged.
     """
     root = F.array(F.struct(F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.col("v"))).cast(NODES)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array(root).cast(f"array<{NODES}>"), lambda found, _: F.concat(found, F.array(F.flatten(F.transform(F.element_at(found, -1), _below)))).cast(f"array<{NODES}>"))
-    seen = F.transform(
-        F.flatten(F.transform(walk, lambda level, at: F.transform(level, lambda n: F.struct(n["path"].alias("path"), n["parent"].alias("parent"), n["v"].alias("v"), at.alias("at"))))),
-        lambda n: F.struct(n["path"].alias("path"), n["parent"].alias("parent"), _kind(n["v"]).alias("kind"), ((n["at"] == depth) & (F.size(_below(n)) > 0)).alias("more")),
-    )
-    bad = F.array(F.struct(F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("malformed").alias("kind"), F.lit(False).alias("more")))
+    last = lambda found: F.element_at(found, -1)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array(root).cast(f"array<{NODES}>"), lambda found, _: F.when(F.size(last(found)) == 0, found).otherwise(F.concat(found, F.array(F.flatten(F.transform(last(found), _below))))))
     held = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{payload}`").alias("text")).where("text is not null").withColumn("v", F.try_parse_json("text"))
-    found = held.select("key", F.inline(F.when(F.col("v").isNull(), bad).otherwise(seen))).select("key", "path", "parent", F.explode(F.when(F.col("more"), F.array("kind", F.lit("deeper"))).otherwise(F.array("kind"))).alias("kind"))
-    return found.groupBy("key", "path").agg(F.first("parent").alias("parent"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    # what a node is, is told outside of the walk, where each row is compiled; a parent is a beginning of its path
+    nodes = held.select("key", F.posexplode(walk).alias("at", "level")).select("key", "at", F.inline("level"))
+    kind = F.when(F.col("v").isNull(), "malformed").otherwise(_kind(F.col("v")))
+    found = nodes.select("key", "path", F.length("parent").alias("up"), "at", "v", kind.alias("kind"))
+    bit = reduce(lambda out, k: out.when(F.col("kind") == k, 1 << KINDS.index(k)), KINDS, F.when(F.lit(False), 0))
+    more = (F.col("at") == depth) & (F.size(_below(F.struct("path", "v"))) > 0)
+    found = found.select("key", "path", "up", bit.bitwiseOR(F.when(more, 1 << KINDS.index("deeper")).otherwise(0)).alias("bits"))
+    each = found.groupBy("key", "path").agg(F.max("up").alias("up"), F.bit_or("bits").alias("bits"))
+    kinds = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << n) > 0, k) for n, k in enumerate(KINDS)]))
+    return each.select("key", "path", F.when(F.col("up").isNotNull(), F.substring("path", F.lit(1), F.col("up"))).alias("parent"), kinds.alias("kinds"))
 
 
 def fingerprints(paths: DataFrame) -> DataFrame:
@@ -75,5 +83,9 @@ def shape_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.select("key", "path", F.col("parent").alias("p1"), F.col("kinds").alias("before")).join(after.select("key", "path", F.col("parent").alias("p2"), F.col("kinds").alias("after")), ["key", "path"], "full")
     change = F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull(), "added").when(F.col("before") != F.col("after"), "kind")
     found = both.select("key", "path", F.coalesce("p1", "p2").alias("parent"), change.alias("change"), "before", "after").where("change is not null")
-    above = found.where("change <> 'kind'").select("key", F.col("path").alias("parent"), "change")
-    return found.join(above, ["key", "parent", "change"], "left_anti").select("key", "path", "change", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
+    # at each removed or added path its own row meets those of its members, which then are not told; both are read once
+    gone = F.col("change") != "kind"
+    place = F.when(gone, F.array(F.struct(F.col("path").alias("at"), F.lit(True).alias("own")), F.struct(F.col("parent").alias("at"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("at"), F.lit(False).alias("own"))))
+    met = found.withColumn("place", F.explode(place)).select("key", "path", "change", "before", "after", "place.*")
+    told = met.withColumn("below", F.bool_or("own").over(Window.partitionBy("key", "change", "at"))).where("not own and (at is null or not below)")
+    return told.select("key", "path", "change", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))

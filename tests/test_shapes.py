@@ -68,3 +68,16 @@ def test_changes(spark):
     ]
     marks = {r["key"]: r["fingerprint"] for r in H.fingerprints(before).collect()}, {r["key"]: r["fingerprint"] for r in H.fingerprints(after).collect()}
     assert [marks[0][k] == marks[1][k] for k in range(4)] == [False, False, True, False]
+
+
+def test_changes_read_each_payload_once(spark):
+    """The payloads of either side are walked once, and members of removed and added paths are left out at any depth."""
+    rows = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id long, payload string")
+    before = rows('{"a": {"b": {"c": 1}}, "d": 1}', '{"x": []}', "[1")
+    after = rows('{"d": "s", "e": [{"f": 1}]}', '{"x": [[1, null]]}')
+    found = H.shape_changes(H.payload_paths(before, "id", "payload"), H.payload_paths(after, "id", "payload"))
+    assert sorted(tuple(r) for r in found.fillna("").collect()) == [
+        (0, "$.a", "removed", "dict", ""), (0, "$.d", "kind", "int", "str"), (0, "$.e", "added", "", "list"),
+        (1, "$.x", "kind", "empty list", "list"), (1, "$.x[]", "added", "", "list"), (2, "$", "removed", "malformed", ""),
+    ]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") <= 2
