@@ -86,10 +86,10 @@ def phrases_in(texts: DataFrame, phrases: DataFrame, whole: Callable[[str, int,
     and phrases meet nothing.
     """
     known = phrases.select("phrase").where("phrase <> ''").distinct()
-    blocks = -(-known.count() // (BLOCK * 3 // 4)) or 1  # blocks by hash differ a little in size
+    blocks = -(-known.count() // (BLOCK * 3 // 4))  # blocks by hash differ a little in size
     narrow = texts.select("id", "text")
     schema = f"id {narrow.schema['id'].dataType.simpleString()}, phrase string"
-    out = None
+    out = None if blocks else narrow.select("id", F.lit(None).cast("string").alias("phrase")).where("false")  # no pass for no phrase
     for b in range(blocks):
         own = sorted(r["phrase"] for r in known.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect())
         part = narrow.mapInArrow(_marked(own, whole), schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperglass.functions import phrase_match as M
 from paperglass.functions import regions as G
+from paperglass.operators import tagging
 
 
 def test_spans_like_brute_force():
@@ -63,3 +64,12 @@ def test_regions_by_hand(spark):
     assert got["江苏卷 数学"][1] == "江苏" and got["内蒙古"][1] == "内蒙古"
     members = frame.limit(1).select(G.group_members(F.lit("ii卷")).alias("m")).first()["m"]
     assert len(members) == 17 and len(G.NAMES) == 31 and sum(map(len, G.GROUPS.values())) == 34
+
+
+def test_no_phrase_takes_no_pass(spark):
+    """Without phrases no text goes through Python; keywords of one word each have none."""
+    texts = spark.createDataFrame([(1, "a simple test"), (2, None)], "id long, text string")
+    none = M.phrases_in(texts, spark.createDataFrame([("",)], "phrase string"))
+    assert none.collect() == [] and none.columns == ["id", "phrase"] and none.schema["id"].dataType.simpleString() == "bigint"
+    topics = tagging.keyword_topics(texts, spark.createDataFrame([("A", "simple")], "code string, keyword string"))
+    assert "MapInArrow" not in topics._jdf.queryExecution().toString() and [r["code"] for r in topics.collect()] == ["A"]
