@@ -169,11 +169,11 @@ def paper_tree(questions: DataFrame, levels: int = 4) -> DataFrame:
     for _ in range(levels):
         held = nodes if below is None else nodes.join(below, "id", "left")
         fields = own if below is None else [*own, "children"]
-        below = held.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("children"))
-    depth = F.size(F.split(F.col("number_path"), r"\(")) - 1
+        below = held.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("children"))
+    depth = F.length("number_path") - F.length(F.replace(F.col("number_path"), F.lit("("), F.lit("")))
     fits = F.when(F.max(depth) > levels, F.raise_error(F.lit(f"a question is more than {levels} levels deep"))).otherwise(F.lit(True))
     roots = nodes.where("parent_id is null").join(below, "id", "left")
-    trees = roots.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(*own, "children"))).alias("tree"))
+    trees = roots.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct(*own, "children"))).alias("tree"))
     checked = nodes.groupBy("paper_id").agg(fits.alias("fits"))
     return trees.join(checked, "paper_id").where("fits").select("paper_id", "tree")
 

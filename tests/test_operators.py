@@ -413,3 +413,15 @@ def test_classifications_by_document_and_method(spark):
     assert ids(classifications(df, document_id=5, limit=3)) == [(5, 1), (4, 1), (2, 1)]
     assert ids(classifications(df, method="label")) == [(2, 0)]
     assert ids(classifications(df, document_id=99)) == []
+
+
+def test_trees_sort_children_by_their_fields(spark):
+    """In display order, those without one first, then by id; sorted natively, not by a comparing lambda."""
+    rows = [(1, 10, None, 0, "1"), (1, 12, 10, 2, "1(b)"), (1, 11, 10, 2, "1(b)"), (1, 13, 10, None, "1"), (1, 14, 10, 1, None), (1, 20, 14, 0, "1(a)(i)")]
+    tree = reports.paper_tree(spark.createDataFrame(rows, "paper_id long, id long, parent_id long, display_order int, number_path string"), 2)
+    (root,) = tree.collect()[0]["tree"]
+    assert [c["id"] for c in root["children"]] == [13, 14, 11, 12] and [c["id"] for c in root["children"][1]["children"]] == [20]
+    assert "lambdafunction" not in tree._jdf.queryExecution().optimizedPlan().toString()
+    deep = spark.createDataFrame([*rows, (1, 21, 20, 0, "1(a)(i)(x)")], "paper_id long, id long, parent_id long, display_order int, number_path string")
+    with pytest.raises(Exception, match="levels deep"):
+        reports.paper_tree(deep, 2).collect()
