@@ -192,23 +192,33 @@ def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
 ONE, TO, LONGER = _compatible()
 
 
+def _compatible_form(t: Column) -> Column:
+    out = F.translate(t, ONE, TO)
+    for sign, form in LONGER:
+        out = F.replace(out, F.lit(sign), F.lit(form))
+    return F.when(t.rlike("[^\\x00-\\x7F]"), out).otherwise(t)
+
+
 def compatible(text: Column) -> Column:
     """Characters in their compatibility form: full width, superscripts, ligatures, fractions, unusual blanks.
 
     Letters and their combining marks are not composed; texts hold composed letters."""
-    def folded(t: Column) -> Column:
-        out = F.translate(t, ONE, TO)
-        for sign, form in LONGER:
-            out = F.replace(out, F.lit(sign), F.lit(form))
-        return F.when(t.rlike("[^\\x00-\\x7F]"), out).otherwise(t)
+    return once(text, _compatible_form)
+
 
-    return once(text, folded)
+def _straight(compatible_text: Column) -> Column:
+    t = F.translate(compatible_text, "‘’‚‛“”„‟–—", "'" * 4 + '"' * 4 + "--")
+    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
 
 
 def normalize_answer(text: Column) -> Column:
     """Compatibility forms, straight quotes and dashes, blanks collapsed, lower case; null counts as empty."""
-    t = F.translate(compatible(F.coalesce(text, F.lit(""))), "‘’‚‛“”„‟–—", "'" * 4 + '"' * 4 + "--")
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    return _straight(compatible(F.coalesce(text, F.lit(""))))
+
+
+def normalize_answer_column(name: str) -> Column:
+    """normalize_answer of a column by name, without lambdas, so that Spark compiles all of it."""
+    return _straight(_compatible_form(F.coalesce(name, F.lit(""))))
 
 
 #: Number words and choice families (fixed values).
@@ -257,36 +267,60 @@ def choice_family(text: Column) -> Column:
     return F.when(s.rlike(r"\b(?:TRUE|FALSE)\b"), "tfng").when(s.rlike(r"\b(?:YES|NO)\b"), "ynng")
 
 
+def in_family(folded: Column, family: Column) -> Column:
+    """A normalised answer, given as such, in a family's own words where it is one of its choices."""
+    named = F.element_at(F.create_map(*[x for f, c in CHOICES.items() for x in (F.lit(f), literal_map(c))]), family)
+    return F.coalesce(F.element_at(named, folded), folded)
+
+
 def normalize_choice(text: Column, family: Column) -> Column:
     """A normalised answer, in a family's own words where it is one of its choices."""
-    named = F.element_at(F.create_map(*[x for f, c in CHOICES.items() for x in (F.lit(f), literal_map(c))]), family)
-    return once(normalize_answer(text), lambda s: F.coalesce(F.element_at(named, s), s))
+    return once(normalize_answer(text), lambda s: in_family(s, family))
+
+
+def _variant(a: Column, b: Column) -> Column:
+    """Whether two texts that are not equal once normalised share a reading; those without parentheses and slashes have only their own."""
+    several = lambda c: F.coalesce(F.contains(c, F.lit(")")) | F.contains(c, F.lit(" / ")), F.lit(False))
+    forms = F.transform(F.array(a, b), lambda c: F.transform(variants(F.coalesce(c, F.lit(""))), normalize_answer))
+    return F.when(several(a) | several(b), once(forms, lambda v: F.arrays_overlap(v[0], v[1]))).otherwise(F.lit(False))
+
+
+#: Reasons for which two answers are equal.
+EQUAL = ("exact", "variant", "allowed_variant", "number_word", "date_variant")
+
+
+def _rules(a: Column, b: Column, x: Column, y: Column, allowed: Column | None, number_word: bool, dates: bool) -> list[tuple[Column, str]]:
+    """Conditions with their reasons, the first that holds counts, for texts a and b with normalised choices x and y."""
+    one = lambda c: c.rlike("^[a-z]$")
+    rules = [((x == "") | (y == ""), "empty"), (x == y, "exact"), (one(x) != one(y), "single_letter_mismatch"), (_variant(a, b), "variant")]
+    if allowed is not None:
+        rules.append((allowed, "allowed_variant"))
+    if number_word:
+        rules.append((_number(x) == _number(y), "number_word"))
+    if dates:
+        rules.append((_date(x) == _date(y), "date_variant"))
+    return rules
+
+
+def answers_equal(a: Column, b: Column, x: Column, y: Column, allowed: Column | None = None, number_word: bool = False, dates: bool = False) -> Column:
+    """compare_answers' `equal` for texts whose normalised choices x and y are known; `allowed` says whether one is listed for the other."""
+    rules = _rules(a, b, x, y, allowed, number_word, dates)
+    return reduce(lambda w, r: w.when(r[0], r[1] in EQUAL), rules, F.when(F.lit(False), False)).otherwise(False)
 
 
 def compare_answers(a: Column, b: Column, family: Column | None = None, allowed_a: Column | None = None, allowed_b: Column | None = None, number_word: bool = False, dates: bool = False) -> Column:
     """Struct (equal, reason) of a strict comparison, the first that holds: empty, exact, single_letter_mismatch, variant,
     allowed_variant, number_word, date_variant, mismatch. Numbers as words and dates count only if asked for."""
     family = F.lit(None).cast("string") if family is None else family
-    forms = lambda c: F.transform(variants(F.coalesce(c, F.lit(""))), normalize_answer)
     none = F.array().cast("array<string>")
-    listed = lambda c: none if c is None else F.transform(F.coalesce(c, none), normalize_answer)
-    one = lambda c: c.rlike("^[a-z]$")
+    listed = lambda c, v: F.lit(False) if c is None else F.array_contains(F.transform(F.coalesce(c, none), normalize_answer), v)
 
     def judged(v: Column) -> Column:
-        x, y = v["x"], v["y"]
-        reason = (
-            F.when((x == "") | (y == ""), "empty").when(x == y, "exact").when(one(x) != one(y), "single_letter_mismatch")
-            .when(F.arrays_overlap(forms(v["a"]), forms(v["b"])), "variant")
-            .when(F.array_contains(listed(allowed_a), y) | F.array_contains(listed(allowed_b), x), "allowed_variant")
-        )
-        if number_word:
-            reason = reason.when(_number(x) == _number(y), "number_word")
-        if dates:
-            reason = reason.when(_date(x) == _date(y), "date_variant")
-        return reason.otherwise("mismatch")
+        allowed = None if allowed_a is None and allowed_b is None else listed(allowed_a, v["y"]) | listed(allowed_b, v["x"])
+        return reduce(lambda w, r: w.when(*r), _rules(v["a"], v["b"], v["x"], v["y"], allowed, number_word, dates), F.when(F.lit(False), "")).otherwise("mismatch")
 
     found = once(F.struct(normalize_choice(a, family).alias("x"), normalize_choice(b, family).alias("y"), a.alias("a"), b.alias("b")), judged)
-    return once(found, lambda r: F.struct(r.isin("exact", "variant", "allowed_variant", "number_word", "date_variant").alias("equal"), r.alias("reason")))
+    return once(found, lambda r: F.struct(r.isin(*EQUAL).alias("equal"), r.alias("reason")))
 
 
 def variants(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperglass.functions.text import choice_family, compare_answers, normalize_answer, normalize_choice, once
+from paperglass.functions.text import answers_equal, choice_family, compare_answers, in_family, normalize_answer, normalize_answer_column, once
 
 
 def identity_gate(candidates: DataFrame) -> DataFrame:
@@ -57,34 +57,45 @@ def adjudicate(questions: DataFrame, candidates: DataFrame, decisions: DataFrame
     """
     none = F.array().cast("array<string>")
     listed = lambda c: F.coalesce(c, none)
+    folded = lambda c: F.transform(listed(c), normalize_answer)
+    texts = lambda c: F.transform(c, lambda t: F.struct(t.alias("text"), normalize_answer(t).alias("folded")))
     rank = priority(F.col("source_class"), F.col("verified"), F.col("visual_verified"), F.col("ocr"))
-    fields = ["position", "upstream", rank.alias("priority"), F.coalesce("verified", F.lit(False)).alias("verified"), F.coalesce("edition_unverified", F.lit(False)).alias("edition_unverified"), F.coalesce("order_unverified", F.lit(False)).alias("order_unverified"), "raw", listed(F.col("allowed_variants")).alias("allowed")]
-    lists = candidates.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
-    d = decisions.select(*key, F.struct("action", "from", "to", "book_value", listed(F.col("equivalents")).alias("equivalents"), listed(F.col("artifact_values")).alias("artifacts")).alias("d"))
-    j = questions.join(lists, key, "left").join(d, key, "left").withColumn("all", F.coalesce("all", F.array().cast(lists.schema["all"].dataType)))
-    j = j.withColumn("options", F.coalesce("options", F.array().cast("array<struct<label:string,text:string>>")))
+    # every text is normalised once, before it is compared; what orders the candidates comes first
+    fields = ["position", "upstream", rank.alias("priority"), F.coalesce("verified", F.lit(False)).alias("verified"), F.coalesce("edition_unverified", F.lit(False)).alias("edition_unverified"), F.coalesce("order_unverified", F.lit(False)).alias("order_unverified"), "raw", listed(F.col("allowed_variants")).alias("allowed"), "folded", folded(F.col("allowed_variants")).alias("accepted")]
+    # dealt by key before they are grouped, so that the texts are normalised by compiled code and not within the aggregate
+    dealt = candidates.withColumn("folded", normalize_answer_column("raw")).select(*key, F.struct(*fields).alias("c")).repartition(*key)
+    lists = dealt.groupBy(*key).agg(F.sort_array(F.collect_list("c")).alias("all"))
+    official = texts(F.concat(F.array("book_value"), listed(F.col("equivalents"))))
+    d = decisions.withColumn("to_folded", normalize_answer_column("to")).select(*key, F.struct("action", "from", "to", "to_folded", "book_value", official.alias("official"), texts(listed(F.col("artifact_values"))).alias("artifacts")).alias("d"))
+    options = F.transform("options", lambda o: F.struct(normalize_answer(o["label"]).alias("label"), o["text"].alias("text"), normalize_answer(o["text"]).alias("folded")))
+    asked = questions.select(*key, choice_family(F.col("instruction")).alias("family"), F.coalesce(options, F.array()).alias("options"), folded(F.col("allowed_variants")).alias("accepted"))
+    j = asked.join(lists, key, "left").join(d, key, "left").withColumn("all", F.coalesce("all", F.array().cast(lists.schema["all"].dataType)))
     dec, options, family = F.col("d"), F.col("options"), F.col("family")
-    loosely = lambda x, y: F.coalesce(compare_answers(x, y, number_word=True, dates=True)["equal"], F.lit(False))
-    more = F.concat(listed(F.col("allowed_variants")), F.coalesce(F.array_compact(F.concat(F.array(dec["book_value"]), dec["equivalents"])), none))
+    j = j.withColumn("more", F.concat("accepted", listed(F.transform(dec["official"], lambda o: o["folded"]))))
+    among = lambda c, held, **how: F.coalesce(F.exists(held, lambda x: answers_equal(x["text"], c["raw"], x["folded"], c["folded"], **how)), F.lit(False))
 
-    def seen(c: Column) -> Column:
+    def ruled(c: Column) -> Column:
+        """A candidate as the decision leaves it."""
         applied = F.coalesce((dec["action"] == "correct") & c["raw"].eqNullSafe(dec["from"]), F.lit(False))
-        confirmed = F.coalesce(dec["action"] != "correct", F.lit(False)) & (loosely(dec["book_value"], c["raw"]) | F.exists(F.coalesce(dec["equivalents"], none), lambda e: loosely(e, c["raw"])))
-        value = F.when(applied, dec["to"]).otherwise(c["raw"])
-        artifact = F.exists(F.coalesce(dec["artifacts"], none), lambda x: F.coalesce(compare_answers(x, c["raw"])["equal"], F.lit(False)))
-        folded = normalize_answer(value)
-        labels = F.transform(options, lambda o: normalize_answer(o["label"]))
-        hits = F.filter(options, lambda o: compare_answers(o["text"], value)["equal"])
-        label = F.when(folded == "", None).when(F.array_contains(labels, folded), folded).when(F.size(hits) == 1, normalize_answer(F.get(hits, 0)["label"]))
-        return F.struct(
-            c["upstream"].alias("upstream"), c["priority"].alias("priority"), c["verified"].alias("verified"), c["edition_unverified"].alias("edition_unverified"), c["order_unverified"].alias("order_unverified"),
-            value.alias("value"), label.alias("label"), applied.alias("applied"), confirmed.alias("confirmed"), artifact.alias("artifact"), (folded == "").alias("empty"), F.array_distinct(F.concat(c["allowed"], more)).alias("allowed"),
-        )
-
-    j = j.withColumn("family", choice_family(F.col("instruction"))).withColumn("all", F.transform("all", seen))
+        confirmed = F.coalesce(dec["action"] != "correct", F.lit(False)) & among(c, dec["official"], number_word=True, dates=True)
+        value, form = F.when(applied, dec["to"]).otherwise(c["raw"]), F.when(applied, dec["to_folded"]).otherwise(c["folded"])
+        kept = [c[n].alias(n) for n in ("upstream", "priority", "verified", "edition_unverified", "order_unverified", "accepted")]
+        return F.struct(*kept, value.alias("value"), form.alias("folded"), applied.alias("applied"), confirmed.alias("confirmed"), among(c, dec["artifacts"]).alias("artifact"))
+
+    def seen(c: Column) -> Column:
+        hits = F.filter(options, lambda o: answers_equal(o["text"], c["value"], o["folded"], c["folded"]))
+        chosen = once(hits, lambda h: F.when(F.size(h) == 1, F.get(h, 0)["label"]))
+        label = F.when((c["folded"] == "") | (F.size(options) == 0), None).when(F.exists(options, lambda o: o["label"] == c["folded"]), c["folded"]).otherwise(chosen)
+        kept = [c[n].alias(n) for n in ("upstream", "priority", "verified", "edition_unverified", "order_unverified", "accepted", "value", "applied", "confirmed", "artifact")]
+        return F.struct(*kept, in_family(c["folded"], family).alias("choice"), label.alias("label"), (c["folded"] == "").alias("empty"))
+
+    j = j.withColumn("all", F.transform(F.transform("all", ruled), seen))
     filled = F.filter("all", lambda c: ~c["empty"])
     j = j.withColumn("filled", filled).withColumn("counted", F.when(F.forall("filled", lambda c: c["artifact"]), F.filter("filled", lambda _: F.lit(False))).otherwise(F.col("filled")))
-    same = lambda r, c: (r["label"].isNotNull() & (r["label"] == c["label"])) | F.coalesce(compare_answers(r["value"], c["value"], family, r["allowed"], c["allowed"], number_word, dates)["equal"], F.lit(False))
+
+    def same(r: Column, c: Column) -> Column:
+        allowed = F.array_contains(r["accepted"], c["choice"]) | F.array_contains(c["accepted"], r["choice"]) | F.array_contains("more", c["choice"]) | F.array_contains("more", r["choice"])
+        return (r["label"].isNotNull() & (r["label"] == c["label"])) | answers_equal(r["value"], c["value"], r["choice"], c["choice"], allowed, number_word, dates)
 
     def stand(acc: Column, c: Column) -> Column:
         """Groups of candidates: each joins the first whose first member has its value."""
@@ -92,8 +103,7 @@ def adjudicate(questions: DataFrame, candidates: DataFrame, decisions: DataFrame
         joined = F.transform(acc, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(c))).otherwise(g))
         return F.when(at > 0, joined).otherwise(F.concat(acc, F.array(F.array(c))))
 
-    j = j.withColumn("groups", F.aggregate("counted", F.transform("counted", lambda c: F.filter(F.array(c), lambda _: F.lit(False))), lambda acc, c: stand(F.filter(acc, lambda g: F.size(g) > 0), c)))
-    j = j.withColumn("groups", F.filter("groups", lambda g: F.size(g) > 0))
+    j = j.withColumn("groups", F.aggregate("counted", F.filter(F.array("counted"), lambda _: F.lit(False)), stand))
     ranked = F.transform("groups", lambda g, i: F.struct(F.array_min(F.transform(g, lambda c: c["priority"])).alias("best"), i.alias("i")))
     group = F.get("groups", F.array_min(ranked)["i"])
     best = once(group, lambda g: F.get(g, F.array_min(F.transform(g, lambda c, i: F.struct(c["priority"].alias("p"), i.alias("i"))))["i"]))
@@ -110,7 +120,7 @@ def adjudicate(questions: DataFrame, candidates: DataFrame, decisions: DataFrame
     rule = F.when(F.col("fixed").isNotNull(), "decision_correction").when(some_confirmed, "decision_confirmed").when(status == "conflict", "conflict_unresolved").when(status == "missing", "missing_no_candidate").when(status.isin("order_unverified", "decision_stale"), status).otherwise("explicit_number")
     answer = F.when(F.col("fixed").isNotNull(), F.col("fixed.value")).when(some_confirmed, dec["book_value"]).when(~empty, b["value"])
     state = F.when(F.col("fixed").isNotNull(), "applied").when(F.exists("all", lambda c: c["confirmed"]), "confirmed").when(correct & (F.size("all") > 0), "stale").otherwise("none")
-    shown = F.transform("groups", lambda g: F.struct(F.coalesce(F.get(g, 0)["label"], normalize_choice(F.get(g, 0)["value"], family)).alias("value"), F.array_sort(F.array_distinct(F.transform(g, lambda c: c["upstream"]))).alias("upstreams"), F.array_min(F.transform(g, lambda c: c["priority"])).alias("priority")))
+    shown = F.transform("groups", lambda g: F.struct(F.coalesce(F.get(g, 0)["label"], F.get(g, 0)["choice"]).alias("value"), F.array_sort(F.array_distinct(F.transform(g, lambda c: c["upstream"]))).alias("upstreams"), F.array_min(F.transform(g, lambda c: c["priority"])).alias("priority")))
     conflicts = F.when(status == "conflict", shown).otherwise(F.filter(shown, lambda _: F.lit(False)))
     return j.select(*key, status.alias("status"), rule.alias("rule"), answer.alias("answer"), F.when(~empty & F.col("fixed").isNull(), b["label"]).alias("label"), conflicts.alias("conflicts"), state.alias("decision_state"))
 

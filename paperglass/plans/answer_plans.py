@@ -67,7 +67,8 @@ def _adjudicated(r: Roles):
     questions = q.select("o_orderkey", instruction.alias("instruction"), options.alias("options"), F.lit(None).cast("array<string>").alias("allowed_variants"))
     known = r.spark.createDataFrame([(s, p, *c) for s, scene in enumerate(_SCENES) for p, c in enumerate(scene[0])], f"k long, position long, {_CANDIDATE}")
     ruled = r.spark.createDataFrame([(s, *scene[1]) for s, scene in enumerate(_SCENES) if scene[1]], "k long, action string, from string, to string, book_value string, equivalents array<string>, artifact_values array<string>")
-    return A.adjudicate(questions, q.join(known, "k").drop("k"), q.join(ruled, "k").drop("k"), ["o_orderkey"])
+    # the scenes are a fixed table; without the hint Spark, which does not know its size, broadcasts the orders or deals them by fourteen scenes
+    return A.adjudicate(questions, q.join(F.broadcast(known), "k").drop("k"), q.join(F.broadcast(ruled), "k").drop("k"), ["o_orderkey"])
 
 
 def _scene(at: int) -> str:
