@@ -289,12 +289,13 @@ def _questions(containers: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _regions(containers: DataFrame, questions: DataFrame) -> DataFrame:
-    """A row for each raw region: of whole questions, not their parts, or of a unit."""
-    held = containers.select("source_id", "system", "native", "documents", "pages", "coordinate_system", F.col("ref").alias("unit_ref"), F.col("regions").alias("unit_regions"))
-    of_units = held.where(F.size("unit_regions") > 0).select(*held.columns[:6], F.col("unit_ref").alias("native_ref"), F.posexplode("unit_regions").alias("place", "region"))
-    roots = questions.where((F.size("regions") > 0) & (F.size("number_path") == 1) & F.col("native_id").isNotNull()).select("source_id", "system", "native", F.col("native_id").alias("native_ref"), F.posexplode("regions").alias("place", "region"))
-    of_questions = roots.join(held.select(*held.columns[:6]), ["source_id", "system", "native"])
+def _regions(containers: DataFrame) -> DataFrame:
+    """A row for each raw region: of whole questions, not their parts, or of a unit. Rows keep their container's members, so nothing is joined."""
+    held = containers.select("source_id", "system", "native", "documents", "pages", "coordinate_system", "questions", F.col("ref").alias("unit_ref"), F.col("regions").alias("unit_regions"))
+    common = held.columns[:6]
+    of_units = held.where(F.size("unit_regions") > 0).select(*common, F.col("unit_ref").alias("native_ref"), F.posexplode("unit_regions").alias("place", "region"))
+    roots = held.where("system = 'cie'").select(*common, F.explode("questions").alias("q")).select(*common, _any_text(F.col("q"), MAPPINGS["cie"].id).alias("native_ref"), _items(F.col("q"), "$.regions").alias("found"))
+    of_questions = roots.where("native_ref is not null").select(*common, "native_ref", F.posexplode("found").alias("place", "region"))
     rows = of_units.unionByName(of_questions)
     region, none = F.col("region"), F.lit(None).cast("string")
     role = F.coalesce(_any_text(region, ("$.document_role",)), F.lit("qp"))
@@ -349,17 +350,20 @@ def normalised(raw: DataFrame, name: str) -> DataFrame:
     and nothing else. Members of another type than the mapping asks for count as absent; members at the top that the
     mapping does not name are a problem row each. A question without an id is a problem row and gives no question. `native` is the
     container's native identity as JSON. Answers of parts may be inherited from the nearest ancestor that states one, or derived
-    from the parts, as the file's mode says, and are marked so. Regions and problems write the containers to the shared folder
-    first, the others are lazy.
+    from the parts, as the file's mode says, and are marked so. Regions and problems write the parsed files and the
+    containers to the shared folder first, the others are lazy.
     """
     docs = files(raw.select("source_id", "system", "payload"))
+    several = name in ("regions", "problems")  # several branches go on from the files and from the containers: each once computed, once planned
+    if several:
+        docs = written(docs)
     if name == "courses":
         return _courses(docs)
     containers = _containers(docs)
     key = ["source_id", "system", "native"]
     if name == "containers":
         return containers.select(*key, "kind", "revision", F.size("documents").alias("documents"))
-    if name in ("regions", "problems"):  # several branches go on from them: once parsed, once planned
+    if several:
         containers = written(containers)
     every = _questions(containers)
     questions = every.where("native_id is not null")
@@ -369,7 +373,7 @@ def normalised(raw: DataFrame, name: str) -> DataFrame:
         return questions.where("answer is not null").select(*key, F.col("native_id").alias("question_ref"), "answer.*")
     if name == "assets":
         return _assets(containers, questions)
-    regions = _regions(containers, every)
+    regions = _regions(containers)
     if name == "regions":
         return regions.drop("problems")
     if name == "problems":

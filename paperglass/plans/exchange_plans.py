@@ -18,48 +18,53 @@ def _when(condition: str, value: Column) -> Column:
 
 def _raw(r: Roles) -> DataFrame:
     """Files (source_id, system, payload). One of eleven is cut off, one of thirteen is null."""
-    q = r.questions()
+    every = r.questions()
     p, number, stem = F.col("paper_id"), F.col("number_path"), F.col("stem_text")
     label = F.concat
     top = [F.lit("synthetic").alias("fixture_kind"), F.lit("1").alias("schema_version")]
     none = F.lit(None).cast("string")
 
-    def nested(part: Column, root) -> DataFrame:
-        """Papers with their roots, each made from its row and its parts."""
-        parts = q.where("parent_id is not null").select(F.col("parent_id").alias("root_id"), part.alias("part"), F.col("id").alias("at")).groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    def nested(system: int, part: Column, root) -> DataFrame:
+        """A system's papers with their roots, each made from its row and its parts, which are of the same paper."""
+        q = every.where(f"paper_id % 4 = {system}")
+        parts = q.where("parent_id is not null").select(F.col("parent_id").alias("root_id"), part.alias("part"), F.col("id").alias("at")).groupBy("root_id").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
         roots = q.where("parent_id is null").join(parts, F.col("id") == F.col("root_id"), "left").withColumn("parts", F.transform("parts", lambda x: x["part"]))
-        return roots.select("paper_id", F.struct(F.col("id").alias("at"), root.alias("root")).alias("x")).groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["root"]).alias("roots"))
+        return roots.select("paper_id", F.struct(F.col("id").alias("at"), root.alias("root")).alias("x")).groupBy("paper_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["root"]).alias("roots"))
 
     documents = F.filter(F.array(F.struct(F.lit("qp").alias("role"), label(F.lit(" Q"), p.cast("string")).alias("sha256")), _when("paper_id % 3 <> 0", F.struct(F.lit("ms").alias("role"), none.alias("sha256")))), lambda x: x.isNotNull())
     cie = nested(
+        0,
         F.struct(number.alias("question"), stem.alias("text"), "marks", _when("id % 5 = 0", label(F.lit("own "), F.col("id").cast("string"))).alias("answer"), _when("id % 9 = 0", F.lit("sideways")).alias("answer_mode")),
         F.struct(
             number.alias("question"), stem.alias("text"), "marks", _when("id % 8 = 0", label(F.lit("root "), F.col("id").cast("string"))).alias("answer"), _when("id % 16 = 4", F.lit("descendants")).alias("answer_mode"),
             F.array(F.struct((1 + F.col("id") % 3).alias("page"), _when("id % 5 <> 0", F.array(F.lit(1), F.lit(2), F.lit(3), F.col("id").cast("int"))).alias("bbox"), _when("id % 28 = 0", F.lit("other")).alias("document_sha256"))).alias("regions"), "parts",
         ),
-    ).where("paper_id % 4 = 0").select(p, F.to_json(F.struct(
+    ).select(p, F.to_json(F.struct(
         *top, F.struct(label(F.lit("S"), (p % 7).cast("string")).alias("subject"), (2015 + p % 10).alias("year"), F.lit("june").alias("season"), p.cast("string").alias("paper")).alias("identity"),
         documents.alias("documents"), F.array(F.struct(F.lit(1).alias("page"), F.array(F.lit(0), F.lit(1)).alias("rotation_transform")), F.struct(F.lit(2).alias("page"), F.lit(None).cast("array<int>").alias("rotation_transform"))).alias("pages"),
         F.struct(F.lit("ancestor").alias("default_mode")).alias("answer_resolution"), _when("paper_id % 5 = 0", F.lit(1)).alias("surplus"), F.col("roots").alias("questions"))).alias("payload"))
     session = F.struct(F.lit("june").alias("session"), _when("id % 3 <> 0", F.lit("2020-06-01")).alias("date"), F.lit("unknown").alias("date_unknown_reason"))
     edexcel = nested(
+        1,
         F.struct("id"),
         F.struct(number.alias("native_id"), number.alias("unit_code"), F.array(session).alias("sessions"), F.array(F.struct(F.lit("qp").alias("role"), F.col("id").cast("string").alias("sha256"))).alias("documents"),
                  _when("id % 8 = 0", F.array(F.struct(F.lit("ms").alias("document_role"), F.lit(4).alias("page"), F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("bbox")))).alias("regions")),
-    ).where("paper_id % 4 = 1").select(p, F.to_json(F.struct(*top, F.array(F.struct(label(F.lit("E"), p.cast("string")).alias("native_id"), F.lit("ial").alias("qualification_level"), F.array(F.lit("x"), F.lit("y")).alias("alias_ids"), F.col("roots").alias("units"))).alias("subjects"))).alias("payload"))
+    ).select(p, F.to_json(F.struct(*top, F.array(F.struct(label(F.lit("E"), p.cast("string")).alias("native_id"), F.lit("ial").alias("qualification_level"), F.array(F.lit("x"), F.lit("y")).alias("alias_ids"), F.col("roots").alias("units"))).alias("subjects"))).alias("payload"))
     image = F.array(F.struct(F.lit("map").alias("role"), F.lit("X").alias("sha256")))
     ielts = nested(
+        2,
         F.struct(number.alias("native_id"), stem.alias("prompt"), "marks", _when("id % 3 = 0", F.lit("C")).alias("answer"), _when("id % 7 = 0", image).alias("required_images")),
         F.struct(number.alias("native_id"), stem.alias("prompt"), _when("id % 24 = 0", F.lit(True)).alias("missing_answer"), _when("id % 8 = 0", F.lit("A")).alias("answer"), _when("id % 8 = 0", F.lit("grouped_alternatives")).alias("kind"), _when("id % 8 = 0", F.array(F.lit("B"))).alias("alternative_answers"), F.col("parts").alias("children")),
-    ).where("paper_id % 4 = 2").select(p, F.to_json(F.struct(
+    ).select(p, F.to_json(F.struct(
         *top, F.lit("r1").alias("dataset_revision"), F.struct(label(F.lit("B"), p.cast("string")).alias("native_id"), _when("paper_id % 8 = 2", F.lit(True)).alias("edition_uncertain")).alias("book"),
         F.array(F.struct(F.lit("scan").alias("role"), _when("paper_id % 3 = 0", F.lit("H")).alias("sha256"))).alias("documents"), F.col("roots").alias("questions"))).alias("payload"))
     kind = F.element_at(F.array(F.lit("single_choice"), F.lit("multiple_choice"), F.lit("table_choice")), (F.col("id") % 4).cast("int"))
     toefl = nested(
+        3,
         F.struct(number.alias("native_id"), stem.alias("prompt"), kind.alias("kind"), _when("id % 4 = 1", F.array(F.lit("A"), F.lit("B"))).alias("options"), F.lit("A").alias("answer"), _when("id % 5 = 0", F.array(F.lit("A"), F.lit("B"))).alias("selected")),
         F.struct(number.alias("native_id"), F.when(F.expr("id % 12 = 0"), "jj").otherwise("tpo").alias("source_kind"), label(F.when(F.expr("id % 20 = 0"), "http").otherwise("https"), F.lit("://h.example/detail/read/"), F.col("id").cast("string"), F.lit(".html")).alias("kmf_url"),
                  (F.col("id") % 28 == 0).alias("restricted"), _when("id % 3 <> 0", F.lit("2020-01-01")).alias("exam_date"), F.col("parts").alias("questions")),
-    ).where("paper_id % 4 = 3").select(p, F.to_json(F.struct(*top, F.lit("r2").alias("dataset_revision"), F.col("roots").alias("sets"))).alias("payload"))
+    ).select(p, F.to_json(F.struct(*top, F.lit("r2").alias("dataset_revision"), F.col("roots").alias("sets"))).alias("payload"))
     payload = F.when(p % 11 == 5, F.left("payload", F.length("payload") - 1)).when(p % 13 != 6, F.col("payload"))
     return reduce(DataFrame.unionByName, [x.select(p.cast("string").alias("source_id"), F.lit(name).alias("system"), payload.alias("payload")) for name, x in zip(X.SYSTEMS, (cie, edexcel, ielts, toefl), strict=True)])
 

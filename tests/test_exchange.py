@@ -109,3 +109,14 @@ def test_containers_courses_regions_and_assets(raw):
 
 def test_no_files(raw):
     assert all(X.normalised(raw.where("false"), t).count() == 0 for t in ("questions", "problems"))
+
+
+@pytest.mark.parametrize("name", ["problems", "regions"])
+def test_files_are_parsed_once_and_nothing_is_joined(raw, name):
+    plan = X.normalised(raw, name)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" not in plan and "Join" not in plan
+
+
+def test_regions_stay_with_their_file(raw):
+    """A file that is given twice has its regions twice, not each with each."""
+    assert X.normalised(raw.where("source_id = 'a'").unionByName(raw.where("source_id = 'a'")), "regions").count() == 4
